@@ -14,7 +14,8 @@ run. Steps, each a join or an aggregation by key:
    lies in a maximal repeat with the same occurrences, so this removes exactly the bytes that
    an earlier equal window covers.
 4. A bucket with more than `crowd` different runs is refined by the window's bytes themselves: the
-   first of each window is an aggregate and a join marks the others, so no task holds the bucket.
+   first place of each window is an aggregate, and each run loses the rest of its places, so no
+   task holds the bucket.
 """
 
 from __future__ import annotations
@@ -203,23 +204,37 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _refined_spans(data: DataFrame, width: int) -> DataFrame:
-    """Crowded buckets, window by window: all but the first place of equal windows."""
+    """Crowded buckets, window by window: what is left of each run after the first place of each
+    window, which an aggregation finds. A run comes back as one row with its kept places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "doc_id", "start", "s", "w"]
         for b in batches:
-            docs, places, windows = [], [], []
-            for doc_id, start, text in zip(b.column("doc_id").to_pylist(), b.column("start").to_pylist(), b.column("data").to_pylist()):
+            rows: list[list] = [[] for _ in names]
+            for h, doc_id, start, text in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "start", "data"))):
                 for p in range(len(text) - width + 1):
-                    docs.append(doc_id)
-                    places.append(start + p)
-                    windows.append(text[p : p + width])
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(windows, pa.binary())], ["doc_id", "s", "w"])
-
-    w = data.select("doc_id", "start", "data").mapInArrow(run, "doc_id long, s int, w binary")
-    first = w.groupBy("w").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = w.join(first.select("w", "first"), "w").where(F.struct("doc_id", "s") != F.col("first"))
-    return later.select("doc_id", "s", (F.col("s") + width).alias("e"))
+                    for column, value in zip(rows, (h, doc_id, start, start + p, text[p : p + width])):
+                        column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[], [], []]
+            for doc_id, start, n, kept in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n", "kept"))):
+                own = set(kept or ())
+                gone = [s for s in range(start, start + n) if s not in own]
+                for a, z in zip(*splits(np.array(gone) - np.arange(len(gone)))):
+                    for column, value in zip(rows, (doc_id, gone[a], gone[z - 1] + width)):
+                        column.append(value)
+            types = (pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], ["doc_id", "s", "e"])
+
+    each = data.select("h", "doc_id", "start", "data").mapInArrow(windows, "h long, doc_id long, start int, s int, w binary")
+    first = each.groupBy("w").agg(F.min(F.struct("doc_id", "s", "start", "h")).alias("first")).select("first.*")
+    kept = first.groupBy("h", "doc_id", "start").agg(F.collect_list("s").alias("kept"))
+    size = (F.length("data") - (width - 1)).alias("n")
+    return data.select("h", "doc_id", "start", size).join(kept, ["h", "doc_id", "start"], "left").mapInArrow(rest, "doc_id long, s int, e int")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
