@@ -1,9 +1,9 @@
 """Mixing sources to target weights by cube-method balanced sampling (Deville and Tille, 2004).
 
 A source that is to take f times its words takes each document floor(f) times for certain and once
-more with probability f - floor(f). The cube method settles these fractions: three undecided
-documents at a time move along the null space of the balancing constraints (number of
-documents, number of words) until one is decided, at random with the right expectation. Blocks of
+more with probability f - floor(f). The cube method settles these fractions: the undecided
+documents move along the null space of the balancing constraints (number of documents, number of
+words) until one is decided, at random with the right expectation, the longest first. Blocks of
 documents are flown apart; what each leaves open (at most two) is gathered into larger blocks, until
 a source has at most two open documents, which land on the choice nearest the word total.
 """
@@ -46,27 +46,34 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def fly(p: np.ndarray, size: np.ndarray, seed: str) -> np.ndarray:
-    """Flight of one block: fractions p with at most two left strictly between 0 and 1."""
-    rng, p = Random(seed), p.tolist()
-    size = size.tolist()
-    eps = 1e-9
-    undecided = [i for i, x in enumerate(p) if eps < x < 1 - eps]
-    held: list[int] = []
-    for i in undecided:
-        held.append(i)
-        while len(held) == 3:
-            a, b, c = held
-            u = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
-            if not any(u):
-                u = (1, -1, 0)
-            up = min(((1 - p[k]) / x if x > 0 else p[k] / -x) for k, x in zip(held, u) if x)
-            down = min((p[k] / x if x > 0 else (1 - p[k]) / -x) for k, x in zip(held, u) if x)
-            step = up if rng.random() * (up + down) < down else -down
-            for k, x in zip(held, u):
-                p[k] = min(1.0, max(0.0, p[k] + step * x))
-            left = [k for k in held if eps < p[k] < 1 - eps]
-            held = left if len(left) < 3 else left[1:]
-    return np.array([0.0 if x <= eps else 1.0 if x >= 1 - eps else x for x in p])
+    """Flight of one block: fractions p with at most two left strictly between 0 and 1.
+
+    Each step moves along the projection of the longest open document onto the null space of the
+    constraints (1, size) over all open documents, up to the first bound, so long documents are
+    decided first, while many short ones can make up for them."""
+    rng, eps = Random(seed), 1e-9
+    p = np.where(p <= eps, 0.0, np.where(p >= 1 - eps, 1.0, p))
+    order = np.argsort(-size, kind="stable")
+    open_ = order[(p[order] > 0) & (p[order] < 1)]
+    while len(open_) > 2:
+        s, q = size[open_].astype(float), p[open_]
+        centred = s - s.mean()
+        spread = float(centred @ centred)
+        lever = 1 / len(s) + (centred * centred / spread if spread > 0 else 0.0)
+        k = int(np.argmax(1 - lever > 1e-9))  # the longest that the constraints let move
+        u = np.full(len(s), -1 / len(s))
+        if spread > 0:
+            u -= centred * (centred[k] / spread)
+        u[k] += 1
+        u[np.abs(u) < 1e-12] = 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = float(np.min(np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf))))
+            down = float(np.min(np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf))))
+        q = q + u * (up if rng.random() * (up + down) < down else -down)
+        q = np.where(q <= eps, 0.0, np.where(q >= 1 - eps, 1.0, q))
+        p[open_] = q
+        open_ = open_[(q > 0) & (q < 1)]
+    return p
 
 
 def land(p: np.ndarray, size: np.ndarray, seed: str) -> np.ndarray:
@@ -87,12 +94,11 @@ def land(p: np.ndarray, size: np.ndarray, seed: str) -> np.ndarray:
 
 
 def _flight(seed: int, level: int, last: bool):
-    """Flight, and at the last level landing, of one block in a seeded order of its units."""
+    """Flight, and at the last level landing, of one block."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tag = f"{seed}/{key}/{level}"
-        pdf = pdf.sort_values(["uid", "size", "p"], kind="stable")[["group", "uid", "size", "p"]]
-        pdf = pdf.iloc[Random(tag).sample(range(len(pdf)), len(pdf))]
+        pdf = pdf.sort_values(["size", "uid", "p"], ascending=False, kind="stable")[["group", "uid", "size", "p"]]
         size = pdf["size"].to_numpy()
         p = fly(pdf["p"].to_numpy(), size, tag)
         return pdf.assign(p=land(p, size, tag) if last else p)
@@ -125,8 +131,8 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK)
 
     Null text has size 0. A null source is a source of its own, last in order. A source
     whose documents have no words takes nothing. Documents without words are never copied but
-    stay once. Rows that repeat a doc_id, or have none, are documents of their own and are
-    drawn by their content. Other columns are ignored; an empty table gives no rows. The draw depends on seed, doc_id and size
+    stay once. Rows that repeat a doc_id, or have none, are documents of their own. Other columns
+    are ignored; an empty table gives no rows. The draw depends on seed, doc_id, source and size
     only, so reruns and other partitionings agree."""
     sized = docs.select(
         "doc_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, suffix
+from . import bpe, cube, lattice, simhash, suffix
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.mix(table(spark, sf_dir, "documents")).drop("uid")
+
+
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = bpe.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -30,6 +38,8 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_source_mix": op3_source_mix,
+    "op4_lattice_score": op4_lattice_score,
     "op5_token_histogram": op5_token_histogram,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_simhash_components": op9_simhash_components,
