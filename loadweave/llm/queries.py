@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cube, lattice, simhash, suffix
+from . import bayes, bpe, chat, cube, lattice, quality, simhash, suffix
 from .common import table
 
 
@@ -32,17 +32,34 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
+def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bayes.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text())
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_source_mix": op3_source_mix,
     "op4_lattice_score": op4_lattice_score,
     "op5_token_histogram": op5_token_histogram,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_ngram_quality": op7_ngram_quality,
+    "op8_site_bayes": op8_site_bayes,
     "op9_simhash_components": op9_simhash_components,
+    "op10_perspective_rotation": op10_perspective_rotation,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_perspective_rotation": chat.SQL}
