@@ -157,3 +157,13 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK)
     joined = known.join(drawn.select("uid", F.col("p").alias("extra")), "uid", "left")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.coalesce("extra", F.lit(0.0))).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "uid")
+
+
+def take(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, each row as many times as mix() takes it. Texts meet their numbers of
+    copies by doc_id; rows that repeat a doc_id are each taken as often as the id's rows are on
+    average, rounded down, and rows without one are taken once."""
+    copies = mix(docs, cap, seed, block).where("doc_id is not null").groupBy("doc_id").agg(F.floor(F.avg("copies")).cast("int").alias("_copies"))
+    met = docs.join(copies, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    repeated = met.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return repeated.select(docs.columns)

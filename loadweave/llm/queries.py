@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes, bpe, chat, cube, lattice, quality, simhash, suffix
+from . import bayes, bpe, chat, covertree, cube, lattice, quality, simhash, suffix
 from .common import table
 
 
+def op1_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -51,6 +55,7 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cover_tree_links": op1_cover_tree_links,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_source_mix": op3_source_mix,
     "op4_lattice_score": op4_lattice_score,

@@ -278,6 +278,31 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
+def _span_lists(docs: DataFrame, width: int, crowd: int) -> DataFrame:
+    return repeated_spans(docs, width, crowd).groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("found"))
+
+
+def cut_repeats(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """docs, all columns, with the repeated bytes gone from text and n_chars, if there, counted
+    again. A cut inside a character drops what is left of it. Rows stay even where no text does;
+    nulls and repeated ids are as in remove_repeats()."""
+    lists = _span_lists(docs, width, crowd).withColumnRenamed("doc_id", "cut_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, found in enumerate(b.column("found").to_pylist()):
+                if found and texts[i]:
+                    texts[i] = kept_bytes(texts[i].encode(), merged(found)).decode("utf-8", "ignore")
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names)
+
+    names = docs.columns
+    return docs.join(lists, docs.doc_id == lists.cut_id, "left").select(*names, "found").mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256, spans (array of s, e) and kept (the remaining bytes).
@@ -286,8 +311,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> D
     loses bytes nor makes others lose any. Rows that repeat a doc_id are places of one document:
     equal windows at the same place don't count as earlier, and each row loses the union of the
     spans found for its id. Other columns are ignored; an empty table gives no rows."""
-    spans = repeated_spans(docs, width, crowd)
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("found"))
+    lists = _span_lists(docs, width, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
