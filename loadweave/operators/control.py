@@ -25,10 +25,10 @@ def normalise_devices(devices: DataFrame, floor: float = FLOOR_KW, by: Sequence[
     return x.withColumn("device_index", F.row_number().over(W.partitionBy(*by).orderBy("device_id")) - 1)
 
 
-def water_fill(devices: DataFrame, by: Sequence[str], floor: float = FLOOR_KW, cap: str = "cap_kw") -> DataFrame:
+def water_fill(devices: DataFrame, by: Sequence[str], floor: float = FLOOR_KW, cap: str = "cap_kw", digits: int | None = 3) -> DataFrame:
     """Common level for (by, device_id, demand_kw, cap_kw): limit = min(demand, max(level, floor)) with the
     limits summing to the cap. No congestion: the demand. Cap below n * floor: the floor for all,
-    even above a demand. Adds level, limit_kw (3 digits), shed_kw, feasible."""
+    even above a demand. Adds level, limit_kw (rounded to `digits`), shed_kw, feasible."""
     group = W.partitionBy(*by)
     order = group.orderBy("demand_kw", "device_id")
     d = F.col("demand_kw")
@@ -39,10 +39,10 @@ def water_fill(devices: DataFrame, by: Sequence[str], floor: float = FLOOR_KW, c
     x = x.withColumn("level", level).withColumn("feasible", F.col(cap) >= F.col("n") * floor)
     # demands below the floor keep theirs; others share what is left, at least the floor each
     limit = F.when(F.col("total") <= F.col(cap), d).when(~F.col("feasible"), F.lit(floor)).otherwise(F.least(d, F.greatest(F.col("level"), F.lit(floor))))
-    return x.withColumn("limit_kw", F.round(limit, 3)).withColumn("shed_kw", d - F.col("limit_kw")).drop("n", "total", "k", "candidate")
+    return x.withColumn("limit_kw", limit if digits is None else F.round(limit, digits)).withColumn("shed_kw", d - F.col("limit_kw")).drop("n", "total", "k", "candidate")
 
 
-def weighted_fill(devices: DataFrame, by: Sequence[str], cap: str = "cap_kw") -> DataFrame:
+def weighted_fill(devices: DataFrame, by: Sequence[str], cap: str = "cap_kw", digits: int | None = 3) -> DataFrame:
     """Pressure x with limit = clip(demand - weight * x, floor, demand) and limits summing to the cap, for
     (by, device_id, demand_kw, floor_kw, weight, cap_kw). Floors are at most the demand. Cap below
     the floors: all at their floor."""
@@ -59,13 +59,13 @@ def weighted_fill(devices: DataFrame, by: Sequence[str], cap: str = "cap_kw") ->
     pressure = F.min_by("candidate", F.when(F.col("candidate") <= F.col("b") + 1e-12, F.col("k"))).over(group)
     x = x.withColumn("pressure", pressure).withColumn("feasible", F.col(cap) >= F.col("floors"))
     limit = F.when(F.col("total") <= F.col(cap), d).when(~F.col("feasible"), f).otherwise(clip(d - w * F.col("pressure"), f, d))
-    return x.withColumn("limit_kw", F.round(limit, 3)).withColumn("shed_kw", d - F.col("limit_kw")).drop("f", "b", "total", "floors", "candidate", "k")
+    return x.withColumn("limit_kw", limit if digits is None else F.round(limit, digits)).withColumn("shed_kw", d - F.col("limit_kw")).drop("f", "b", "total", "floors", "candidate", "k")
 
 
-def pool_dispatch(assets: DataFrame, periods: DataFrame, dt_h: float = 1.0) -> DataFrame:
+def pool_dispatch(assets: DataFrame, periods: DataFrame, dt_h: float = 1.0, digits: int | None = 3) -> DataFrame:
     """Weighted fill of (pool_id, device_id, ...) in each (pool_id, hour, cap_kw): energy and shed energy
     per asset and whether every period is safe."""
-    x = weighted_fill(periods.join(assets, "pool_id"), ["pool_id", "hour"])
+    x = weighted_fill(periods.join(assets, "pool_id"), ["pool_id", "hour"], digits=digits)
     return x.groupBy("pool_id", "device_id").agg(
         (F.sum("limit_kw") * dt_h).alias("energy_kwh"), (F.sum("shed_kw") * dt_h).alias("shed_kwh"), F.bool_and("feasible").alias("safe")
     )
@@ -75,14 +75,14 @@ def pool_band(assets: DataFrame) -> DataFrame:
     return assets.groupBy("pool_id").agg(F.sum(F.least("floor_kw", "demand_kw")).alias("least_kw"), F.sum("demand_kw").alias("most_kw"))
 
 
-def redispatch(hours: DataFrame, devices: DataFrame, threshold: float, floor: float = FLOOR_KW) -> DataFrame:
+def redispatch(hours: DataFrame, devices: DataFrame, threshold: float, floor: float = FLOOR_KW, digits: int | None = 3) -> DataFrame:
     """(feeder_id, hour, forecast_kw) x (feeder_id, device_id, demand_kw): in hours above the threshold the
     devices share threshold - (forecast - their demand); then shed and safety, against naive
     dimming to the floor. One row an hour."""
     demand = devices.groupBy("feeder_id").agg(F.sum("demand_kw").alias("demand"), F.count("*").alias("n"), F.sum(F.greatest(F.col("demand_kw") - floor, F.lit(0.0))).alias("naive"))
     x = hours.join(demand, "feeder_id").withColumn("congested", F.col("forecast_kw") > threshold)
     x = x.withColumn("cap_kw", F.greatest(F.lit(0.0), threshold - (F.col("forecast_kw") - F.col("demand"))))
-    filled = water_fill(x.where("congested").join(devices, "feeder_id"), ["feeder_id", "hour"], floor)
+    filled = water_fill(x.where("congested").join(devices, "feeder_id"), ["feeder_id", "hour"], floor, digits=digits)
     used = filled.groupBy("feeder_id", "hour").agg(F.sum("shed_kw").alias("shed"), F.sum("limit_kw").alias("limits"), F.bool_and("feasible").alias("feasible"))
     zero = F.lit(0.0)
     return x.join(used, ["feeder_id", "hour"], "left").select(

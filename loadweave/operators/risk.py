@@ -29,10 +29,18 @@ def expected_cost(point: Column, residuals: Column, nominated: Column, c_short:
     return F.try_divide(total, F.size(residuals))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, also inside a fold."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _cvar(costs: Column, alpha: float) -> Column:
-    var = array_quantile(F.array_sort(costs), alpha)
-    excess = F.aggregate(costs, F.lit(0.0), lambda a, c: a + F.greatest(c - var, F.lit(0.0)))
-    return var + excess / ((1 - alpha) * F.size(costs))
+    """Of sorted costs."""
+
+    def tail(var: Column) -> Column:
+        return var + F.aggregate(costs, F.lit(0.0), lambda a, c: a + F.greatest(c - var, F.lit(0.0))) / ((1 - alpha) * F.size(costs))
+
+    return let(array_quantile(costs, alpha), tail)
 
 
 def cvar_nomination(rows: DataFrame, c_short: float, c_long: float, beta: float = 0.5, alpha: float = 0.9, steps: int = 64) -> DataFrame:
@@ -43,9 +51,11 @@ def cvar_nomination(rows: DataFrame, c_short: float, c_long: float, beta: float
     amounts = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / steps)
 
     def scored(q: Column) -> Column:
-        costs = F.transform("actual", lambda a: imbalance_cost(a, q, c_short, c_long))
-        mean = F.aggregate(costs, F.lit(0.0), lambda s, c: s + c) / F.size(costs)
-        return F.struct(((1 - beta) * mean + beta * _cvar(costs, alpha)).alias("objective"), q.alias("nomination_kw"))
+        def objective(costs: Column) -> Column:
+            mean = F.aggregate(costs, F.lit(0.0), lambda s, c: s + c) / F.size(costs)
+            return F.struct(((1 - beta) * mean + beta * _cvar(costs, alpha)).alias("objective"), q.alias("nomination_kw"))
+
+        return let(F.array_sort(F.transform("actual", lambda a: imbalance_cost(a, q, c_short, c_long))), objective)
 
     best = F.array_min(F.transform(amounts, scored))
     return x.withColumn("best", best).select(*rows.columns, "best.nomination_kw", "best.objective")

@@ -292,7 +292,7 @@ def cumulative_counters(spark: SparkSession, d: str) -> DataFrame:
 
     total = F.sum("value").over(W.partitionBy("series_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
     x = i.load(spark, d).withColumn("value", F.round(total, 2) - F.when(F.hour("ts") == 5, 1000).otherwise(0))
-    return rounded(grid_import(x, 2.0, 6).select(i.stamp("ts").alias("ts"), "value"))
+    return rounded(grid_import(x, 2.0, 4).select(i.stamp("ts").alias("ts"), "value"))
 
 
 # --- calibration --------------------------------------------------------------------------------
