@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 32
-CACHED = 1_000_000
+CACHED = 250_000
 
 
 class PieceIds(dict):
@@ -56,7 +56,7 @@ class Coder:
         self.digits = [str(i) for i in range(len(self.bytes_of))]
         self.pattern = regex.compile(pattern)
         self.leaf_chars, self.leaf_bytes = max(8, leaf_chars), max(2, leaf_bytes)
-        self.stable = lru_cache(1 << 18)(self._stable)
+        self.stable = lru_cache(1 << 15)(self._stable)
         self.pieces = PieceIds(self)
 
     # --- one match ---------------------------------------------------------------------------

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 WORD_BITS, CHAR_BITS = 11, 12
+WIDTH = 2 * (1 << WORD_BITS) + (1 << CHAR_BITS)
 PER_CLASS = 1_500
 KEEP_AT = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -33,7 +34,7 @@ class WordHash(dict):
     """64-bit hash of a word, remembered; emptied at a bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = (zlib.crc32(word) * 0x9E3779B97F4A7C15 ^ zlib.adler32(word) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
         return h
@@ -70,14 +71,15 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weighted ridge logistic regression by accelerated gradient steps."""
+    """Weighted ridge logistic regression by accelerated gradient steps. Rows of weight 0 don't count; x is
+    used in its own precision, so that it is never copied."""
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb, pw, pb = w, b, w, b
     step = 1.0
     for k in range(rounds):
-        z = np.clip(x @ vw + vb, -50, 50)
+        z = np.clip(x @ vw.astype(x.dtype) + vb, -50, 50)
         g = weight * (1 / (1 + np.exp(-z)) - y)
-        w, b = vw - step * (x.T @ g + l2 * vw), vb - step * g.sum()
+        w, b = vw - step * (g.astype(x.dtype) @ x + l2 * vw), vb - step * g.sum()
         m = k / (k + 3)
         vw, vb, pw, pb = w + m * (w - pw), b + m * (b - pb), w, b
     return w, b
@@ -86,25 +88,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, round
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     hashes = WordHash()
     pdf = pdf.sort_values(["doc_id", "quality"])
-    texts = [b"" if t is None else t.encode() for t in pdf["text"]]
-    x = np.array([features(t, t.split(), hashes) for t in texts], np.float32)
+    x = np.empty((len(pdf), WIDTH), np.float32)
+    for k, t in enumerate(pdf["text"]):
+        t = b"" if t is None else t.encode()
+        x[k] = features(t, t.split(), hashes)
     y = pdf["quality"].to_numpy(float)
     held = np.array([zlib.crc32(f"cal{i}".encode()) % 4 == 0 for i in pdf["doc_id"]])
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held = np.zeros(len(y), bool)
 
-    def balanced(of: np.ndarray) -> np.ndarray:
-        share = of.mean() if len(of) else 0.5
-        return np.where(of > 0.5, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / max(1, len(of))
+    def balanced(rows: np.ndarray) -> np.ndarray:
+        """Weights that give both classes half of the total, over the chosen rows only."""
+        n = [max(1, int((rows & (y == q)).sum())) for q in (0, 1)]
+        return np.where(rows, np.where(y > 0.5, 0.5 / n[1], 0.5 / n[0]), 0.0)
 
     if len(set(y)) < 2:
         w, b, slope, offset = np.zeros(x.shape[1]), 0.0, 0.0, (20.0 if len(y) == 0 or y[0] > 0 else -20.0)
     else:
-        w, b = _logistic(x[~held], y[~held], balanced(y[~held]), 1e-5)
-        cal = held if held.any() else ~held
-        z = (x[cal] @ w + b)[:, None]
+        w, b = _logistic(x, y, balanced(~held), 1e-5)
+        z = (x @ w.astype(np.float32) + b)[:, None].astype(float)
         scale = max(1e-9, float(np.abs(z).mean()))
-        slope, offset = _logistic(z / scale, y[cal], balanced(y[cal]), 1e-4)
+        slope, offset = _logistic(z / scale, y, balanced(held if held.any() else ~held), 1e-4)
         slope = float(slope[0]) / scale
     return pd.DataFrame({"weights": [w.astype(float).tolist()], "bias": [float(b)], "slope": [float(slope)], "offset": [float(offset)]})
 
@@ -120,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     schema = "weights array<double>, bias double, slope double, offset double"
     fitted = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, schema).collect()
     if not fitted:
-        return Model(np.zeros(2 * (1 << WORD_BITS) + (1 << CHAR_BITS)), 0.0, 0.0, 20.0)
+        return Model(np.zeros(WIDTH), 0.0, 0.0, 20.0)
     r = fitted[0]
     return Model(np.array(r["weights"]), r["bias"], r["slope"], r["offset"])
 
