@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
-from ..operators import bootstrap, calibration, control, features, ledger, metrics, models, reconcile, relations, risk
+from ..operators import bootstrap, calibration, control, features, ledger, metrics, models, reconcile, relations, risk, studies
 from . import inputs as i
 from .registry import query, rounded
 
@@ -425,3 +425,55 @@ def availability_window(spark: SparkSession, d: str) -> DataFrame:
 def local_time_round_trip(spark: SparkSession, d: str) -> DataFrame:
     e = i.events(spark, d).withColumn("l", fc.local_time("ts"))
     return e.select("event_id", i.stamp("l").alias("local"), i.stamp(fc.localize("l")).alias("back"))
+
+
+# --- studies ------------------------------------------------------------------------------------
+@query(f"""WITH {i.BANDS}, x AS (SELECT series_id, day, hour, actual - p50 AS r FROM bands), a AS (SELECT unnest([6, 12]) AS at),
+s AS (SELECT series_id, day, at, avg(r) AS mean, sum(pow(0.5, (at - 1 - hour) / 3.0) * r) / sum(pow(0.5, (at - 1 - hour) / 3.0)) AS ewm FROM x, a WHERE hour < at GROUP BY 1, 2, 3),
+k AS (SELECT series_id, day, at, 'mean' AS kind, mean AS delta FROM s UNION ALL SELECT series_id, day, at, 'ewm', ewm FROM s), g AS (SELECT unnest([0.5, 1.0]) AS shrink),
+d AS (SELECT x.series_id, kind, shrink, k.at, x.day, avg(abs(r)) AS b, avg(abs(r - shrink * delta)) AS c FROM x JOIN k ON x.series_id = k.series_id AND x.day = k.day AND x.hour >= k.at, g GROUP BY 1, 2, 3, 4, 5)
+SELECT series_id, kind, shrink::DOUBLE AS shrink, at, count(*) AS n_days, round(avg(b), 6) AS mae_before, round(avg(c), 6) AS mae_after, round(100 * avg(CASE WHEN round(c, 9) < round(b, 9) THEN 1.0 ELSE 0.0 END), 6) AS helped FROM d GROUP BY 1, 2, 3, 4""")
+def intraday_levers(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(studies.intraday_levers(i.bands(spark, d), (6, 12), (0.5, 1.0)))
+
+
+@query(f"""WITH {i.SCENARIOS}, m AS (SELECT asset_id, hour, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 2.0 / 3.0) AS q67 FROM scen GROUP BY 1, 2),
+c AS (SELECT asset_id, hour, avg(CASE WHEN r > q50 THEN 2.0 * (r - q50) ELSE q50 - r END) AS a, avg(CASE WHEN r > q67 THEN 2.0 * (r - q67) ELSE q67 - r END) AS b FROM scen JOIN m USING (asset_id, hour) GROUP BY 1, 2)
+SELECT asset_id, 2.0::DOUBLE AS ratio, round(sum(a), 5) AS median_cost, round(sum(b), 5) AS optimal_cost, round(100 * (1 - sum(b) / nullif(sum(a), 0)), 5) AS saved_percent FROM c GROUP BY 1""")
+def asymmetry_costs(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(studies.asymmetry_costs(i.scenarios(spark, d), (2.0,)), "median_cost", "optimal_cost", "saved_percent", digits=5)
+
+
+@query()
+def bagged_intervals(spark: SparkSession, d: str) -> DataFrame:
+    rows = models.with_vector(features.features(i.days(spark, d)), features.FEATURES)
+    return studies.bagged_intervals(rows, 5, train_until=25).where("day_idx >= 25")
+
+
+@query()
+def temporal_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    q = i.days(spark, d).select("series_id", "day_idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "hour", "value")
+    q = q.select("series_id", "day_idx", (F.col("hour") * 4 + F.col("k")).alias("slot"), (F.col("value") * (0.2 + F.col("k") * 0.05)).alias("value"))
+    return studies.temporal_reconciliation(q, 4, "wls_struct")
+
+
+@query()
+def generation_bias(spark: SparkSession, d: str) -> DataFrame:
+    x = i.days(spark, d).withColumn("proxy_in", F.col("value") * 0.8 + 5)
+    return studies.generation_bias(x, "proxy_in", 10).groupBy("series_id").agg(F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae"))
+
+
+@query()
+def service_run(spark: SparkSession, d: str) -> DataFrame:
+    from . import service
+
+    return service.run_forecast(i.load(spark, d), "UTC", n_test=7, cal_days=7)["metrics"]
+
+
+@query()
+def blind_challenge(spark: SparkSession, d: str) -> DataFrame:
+    from . import service
+
+    a = i.load(spark, d)
+    older = a.withColumn("ts", F.col("ts") - F.expr("interval 30 days"))
+    return service.blind_challenge(a.unionByName(older), "UTC", 28, 200)["skill"]
