@@ -34,47 +34,46 @@ SLACK = 1e-9
 PAIRS = 1 << 20
 
 
-class Tree:
-    """Nested nets over unit vectors: level k groups points within LEVELS[k] of a centre, inside the
-    groups of level k - 1; the last level is the points themselves."""
-
-    def __init__(self, x: np.ndarray, weight: np.ndarray):
-        self.x, self.weight = x, weight
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # centre, radius, parent of each node
-        group = np.zeros(len(x), np.int64)
-        for rho in LEVELS:
-            group = self._refine(group, rho)
-        self._close(np.arange(len(x)), group)
-
-    def _refine(self, group: np.ndarray, rho: float) -> np.ndarray:
-        new = np.full(len(self.x), -1, np.int64)
-        centres, radii, parents = [], [], []
-        order = np.argsort(group, kind="stable")
-        bounds = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            left = order[a:b]
-            while len(left):
-                c = left[0]
-                d = chord(self.x[left] @ self.x[c])
-                near = d <= rho
+def nets(x: np.ndarray) -> np.ndarray:
+    """Of unit vectors: for each level of LEVELS the place of every vector's centre. Level k splits the groups
+    of level k - 1, each greedily: the first vector left is a centre and takes all within
+    LEVELS[k]. A centre stays one on all finer levels."""
+    out = np.empty((len(LEVELS), len(x)), np.int64)
+    groups = [np.arange(len(x))]
+    for k, rho in enumerate(LEVELS):
+        floor, finer = 1.0 - rho * rho / 2.0, []
+        for left in groups:
+            while len(left) > 1:
+                near = x[left] @ x[left[0]] >= floor
                 near[0] = True
-                new[left[near]] = len(centres)
-                centres.append(c)
-                radii.append(float(d[near].max()))
-                parents.append(group[c])
+                out[k, left[near]] = left[0]
+                finer.append(left[near])
                 left = left[~near]
-        self.levels.append((np.array(centres), np.array(radii), np.array(parents)))
-        self._members(new, len(centres))
-        return new
+            if len(left):
+                out[k, left] = left
+                finer.append(left)
+        out[k:, [g[0] for g in finer if len(g) == 1]] = [g[0] for g in finer if len(g) == 1]
+        groups = [g for g in finer if len(g) > 1]
+    return out
 
-    def _members(self, group: np.ndarray, n: int) -> None:
-        self.order = np.argsort(group, kind="stable")
-        self.bounds = np.searchsorted(group[self.order], np.arange(n + 1))
-        self.saved = [*getattr(self, "saved", []), (self.order, self.bounds)]
 
-    def _close(self, points: np.ndarray, group: np.ndarray) -> None:
-        self.levels.append((points, np.zeros(len(points)), group))
-        self._members(points, len(points))
+class Tree:
+    """A chunk's levels from the centres that nets() chose; the last level is the points themselves. Covering
+    radii are measured."""
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray, centre: np.ndarray | None = None):
+        self.x, self.weight = x, weight
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # centre, radius, parent of each node
+        self.saved: list[tuple[np.ndarray, np.ndarray]] = []
+        parent = np.zeros(len(x), np.int64)
+        for own in [*(nets(x) if centre is None else centre), np.arange(len(x))]:
+            centres, node = np.unique(own, return_inverse=True)
+            order = np.argsort(node, kind="stable")
+            bounds = np.searchsorted(node[order], np.arange(len(centres) + 1))
+            far = chord(np.einsum("ij,ij->i", x, x[own])) * (own != np.arange(len(x)))
+            self.levels.append((centres, np.maximum.reduceat(far[order], bounds[:-1]) if len(x) else far, parent[centres]))
+            self.saved.append((order, bounds))
+            parent = node
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Order and bounds of level + 1's nodes by their parent at level."""
@@ -154,8 +153,11 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
     stack = []
     for at in range(0, len(ca), rows):
         cos = ca[at : at + rows] @ cb.T
-        reach = chord(cos) <= t + a.levels[0][1][at : at + rows, None] + b.levels[0][1][None, :] + SLACK
-        i, j = np.nonzero(reach)
+        reach = (t + SLACK) + a.levels[0][1][at : at + rows, None] + b.levels[0][1][None, :]
+        reach *= reach
+        reach *= -0.5
+        reach += 1.0 - SLACK
+        i, j = np.nonzero(cos >= reach)
         stack.append((0, *visit(0, i + at, j, cos[i, j])))
     kids_a = [a.children(k) for k in range(last)]
     kids_b = kids_a if same else [b.children(k) for k in range(last)]
@@ -179,6 +181,21 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
     return out
 
 
+CHUNK = "pivot long, chunk long, rep long, copies long, x array<double>, far double, centres array<long>"
+
+
+def _plant(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk with each vector's centres, by rep: its tree is built once, whatever the number of partners."""
+    pdf = pdf.sort_values("rep", kind="stable")
+    return pdf.assign(centres=list(pdf["rep"].to_numpy()[nets(unit(pdf["x"]))].T))[["pivot", "chunk", "rep", "copies", "x", "far", "centres"]]
+
+
+def _grown(pdf: pd.DataFrame) -> Tree:
+    """The tree of a chunk whose rows are in order of rep."""
+    rep = pdf["rep"].to_numpy()
+    return Tree(unit(pdf["x"]), pdf["copies"].to_numpy(), np.searchsorted(rep, np.stack(pdf["centres"].to_numpy()).T))
+
+
 def unit(rows: list | np.ndarray) -> np.ndarray:
     x = np.asarray(list(rows), dtype=np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -238,7 +255,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         placed = materialize(own.mapInArrow(place, schema))
         sizes = placed.groupBy("pivot").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / block))
         chunked = placed.join(F.broadcast(sizes), "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-        nodes = chunked.groupBy("pivot", "chunk").agg(F.max("far").alias("radius")).orderBy("pivot", "chunk").collect()
+        treed = materialize(chunked.groupBy("pivot", "chunk").applyInPandas(_plant, CHUNK))
+        nodes = treed.groupBy("pivot", "chunk").agg(F.max("far").alias("radius")).orderBy("pivot", "chunk").collect()
         where = {(r["pivot"], r["chunk"]): k for k, r in enumerate(nodes)}
         centre = pivots[[r["pivot"] for r in nodes]]
         radius = np.array([r["radius"] for r in nodes])
@@ -256,27 +274,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
                 other = np.concatenate([near[m] for m in mine])
                 me = mine[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(me, other) * k + np.maximum(me, other)), pa.array(me > other), b.column("rep").take(pa.array(row)), b.column("copies").take(pa.array(row)), b.column("x").take(pa.array(row))],
-                    ["pair", "second", "rep", "copies", "x"],
+                    [pa.array(np.minimum(me, other) * k + np.maximum(me, other)), pa.array(me > other), b.column("rep").take(pa.array(row)), b.column("copies").take(pa.array(row)), b.column("x").take(pa.array(row)), b.column("centres").take(pa.array(row))],
+                    ["pair", "second", "rep", "copies", "x", "centres"],
                 )
 
         def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["second", "rep"], kind="stable")
             first = int((~pdf["second"]).sum())
-            x, w, rep = unit(pdf["x"]), pdf["copies"].to_numpy(), pdf["rep"].to_numpy()
-            alone = key[0] // table.value[2] == key[0] % table.value[2]
-            if alone:
-                tree = Tree(x, w)
+            rep = pdf["rep"].to_numpy()
+            if key[0] // table.value[2] == key[0] % table.value[2]:
+                tree = _grown(pdf)
                 found = dual_links(tree, tree, cosine)
-                found.count -= w  # a vector with itself and its copies
-            elif 0 < first < len(x):
-                found = dual_links(Tree(x[:first], w[:first]), Tree(x[first:], w[first:]), cosine)
+                found.count -= tree.weight  # a vector with itself and its copies
+            elif 0 < first < len(pdf):
+                found = dual_links(_grown(pdf[:first]), _grown(pdf[first:]), cosine)
             else:
                 return pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
             some = np.flatnonzero(found.count > 0)
             return pd.DataFrame({"rep": rep[some], "links": found.count[some], "root": [rep[found.find(int(i))] for i in some]})
 
-        dealt = chunked.select("rep", "copies", "x", "pivot", "chunk").mapInArrow(deal, "pair long, second boolean, rep long, copies long, x array<double>")
+        dealt = treed.select("rep", "copies", "x", "pivot", "chunk", "centres").mapInArrow(deal, "pair long, second boolean, rep long, copies long, x array<double>, centres array<long>")
         met = materialize(dealt.groupBy("pair").applyInPandas(meet, "rep long, links long, root long"))
         e, c = met.select(F.col("rep").alias("src"), F.col("root").alias("dst")), met.groupBy("rep").agg(F.sum("links").alias("links"))
         edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
