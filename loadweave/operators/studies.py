@@ -16,17 +16,17 @@ def intraday_levers(rows: DataFrame, hours: Sequence[int] = (6, 9, 12, 15), shri
     of the day before and after the shift, and the share of days it helps. A constant grid is
     exploded; the rest is two aggregations by day."""
     x = rows.withColumn("r", F.col("actual") - F.col("p50")).where("r is not null")
-    x = x.withColumn("at", F.explode(F.array(*(F.lit(h) for h in hours))))
-    seen, age = F.col("hour") < F.col("at"), F.pow(F.lit(0.5), (F.col("at") - 1 - F.col("hour")) / half_life)
-    shift = x.groupBy("series_id", "day", "at").agg(
+    x = x.withColumn("update_hour", F.explode(F.array(*(F.lit(h) for h in hours))))
+    seen, age = F.col("hour") < F.col("update_hour"), F.pow(F.lit(0.5), (F.col("update_hour") - 1 - F.col("hour")) / half_life)
+    shift = x.groupBy("series_id", "day", "update_hour").agg(
         F.avg(F.when(seen, F.col("r"))).alias("mean"), F.try_divide(F.sum(F.when(seen, age * F.col("r"))), F.sum(F.when(seen, age))).alias("ewm")
     )
-    shift = shift.unpivot(["series_id", "day", "at"], ["mean", "ewm"], "kind", "delta").where("delta is not null")
+    shift = shift.unpivot(["series_id", "day", "update_hour"], ["mean", "ewm"], "kind", "delta").where("delta is not null")
     shift = shift.withColumn("shrink", F.explode(F.array(*(F.lit(float(s)) for s in shrinks))))
-    rest = x.where(~seen).select("series_id", "day", "at", "r").join(shift, ["series_id", "day", "at"])
-    daily = rest.groupBy("series_id", "kind", "shrink", "at", "day").agg(F.avg(F.abs("r")).alias("before"), F.avg(F.abs(F.col("r") - F.col("shrink") * F.col("delta"))).alias("after"))
-    return daily.groupBy("series_id", "kind", "shrink", "at").agg(
-        F.count("*").alias("n_days"), F.avg("before").alias("mae_before"), F.avg("after").alias("mae_after"), (100 * F.avg((F.col("after") < F.col("before")).cast("double"))).alias("helped")
+    rest = x.where(~seen).select("series_id", "day", "update_hour", "r").join(shift, ["series_id", "day", "update_hour"])
+    daily = rest.groupBy("series_id", "kind", "shrink", "update_hour", "day").agg(F.avg(F.abs("r")).alias("before"), F.avg(F.abs(F.col("r") - F.col("shrink") * F.col("delta"))).alias("after"))
+    return daily.groupBy("series_id", "kind", "shrink", "update_hour").agg(
+        F.count("*").alias("n_days"), F.avg("before").alias("mae_before"), F.avg("after").alias("mae_after"), (100 * F.avg((F.col("after") < F.col("before") - 1e-9).cast("double"))).alias("helped")
     )
 
 

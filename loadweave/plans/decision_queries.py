@@ -428,11 +428,11 @@ def local_time_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- studies ------------------------------------------------------------------------------------
-@query(f"""WITH {i.BANDS}, x AS (SELECT series_id, day, hour, actual - p50 AS r FROM bands), a AS (SELECT unnest([6, 12]) AS at),
-s AS (SELECT series_id, day, at, avg(r) AS mean, sum(pow(0.5, (at - 1 - hour) / 3.0) * r) / sum(pow(0.5, (at - 1 - hour) / 3.0)) AS ewm FROM x, a WHERE hour < at GROUP BY 1, 2, 3),
-k AS (SELECT series_id, day, at, 'mean' AS kind, mean AS delta FROM s UNION ALL SELECT series_id, day, at, 'ewm', ewm FROM s), g AS (SELECT unnest([0.5, 1.0]) AS shrink),
-d AS (SELECT x.series_id, kind, shrink, k.at, x.day, avg(abs(r)) AS b, avg(abs(r - shrink * delta)) AS c FROM x JOIN k ON x.series_id = k.series_id AND x.day = k.day AND x.hour >= k.at, g GROUP BY 1, 2, 3, 4, 5)
-SELECT series_id, kind, shrink::DOUBLE AS shrink, at, count(*) AS n_days, round(avg(b), 6) AS mae_before, round(avg(c), 6) AS mae_after, round(100 * avg(CASE WHEN round(c, 9) < round(b, 9) THEN 1.0 ELSE 0.0 END), 6) AS helped FROM d GROUP BY 1, 2, 3, 4""")
+@query(f"""WITH {i.BANDS}, x AS (SELECT series_id, day, hour, actual - p50 AS r FROM bands), a AS (SELECT unnest([6, 12]) AS uh),
+s AS (SELECT series_id, day, uh, avg(r) AS mean, sum(pow(0.5, (uh - 1 - hour) / 3.0) * r) / sum(pow(0.5, (uh - 1 - hour) / 3.0)) AS ewm FROM x, a WHERE hour < uh GROUP BY 1, 2, 3),
+k AS (SELECT series_id, day, uh, 'mean' AS kind, mean AS delta FROM s UNION ALL SELECT series_id, day, uh, 'ewm', ewm FROM s), g AS (SELECT unnest([0.5, 1.0]) AS shrink),
+d AS (SELECT x.series_id, kind, shrink, k.uh, x.day, avg(abs(r)) AS b, avg(abs(r - shrink * delta)) AS c FROM x JOIN k ON x.series_id = k.series_id AND x.day = k.day AND x.hour >= k.uh, g GROUP BY 1, 2, 3, 4, 5)
+SELECT series_id, kind, shrink::DOUBLE AS shrink, uh AS update_hour, count(*) AS n_days, round(avg(b), 6) AS mae_before, round(avg(c), 6) AS mae_after, round(100 * avg(CASE WHEN c < b - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS helped FROM d GROUP BY 1, 2, 3, 4""")
 def intraday_levers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(studies.intraday_levers(i.bands(spark, d), (6, 12), (0.5, 1.0)))
 
