@@ -148,7 +148,7 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK)
     targets = source_targets(sized.select("source", "size"), cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = materialize(
-        sized.join(F.broadcast(targets), sized.source.eqNullSafe(targets.source))
+        sized.join(targets, sized.source.eqNullSafe(targets.source))
         .select("doc_id", "group", "uid", "size", "source_size", "target", rate.alias("rate"))
         .withColumn("whole", F.floor(F.col("rate") + 1e-12))
         .withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
