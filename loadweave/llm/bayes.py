@@ -3,8 +3,9 @@
 The document classifier of quality.py gives each document a calibrated probability. Hosts and the
 paths below them get posterior means: a path's share is shrunk toward its host's, a host's toward
 the global share, by prior strengths estimated from the spread between groups (method of
-moments). A document's own evidence is left out of its groups' posteriors and then added as a
-log-odds term, so a single-document site falls back to the global prior plus the document.
+moments). A document's own evidence is left out of its groups' posteriors; its posterior log-odds
+are those of its path plus its own, which weigh n / (n + SHORT) for n words. So a single-document site
+falls back to the global share, and a few words don't condemn a document.
 All group sums are aggregations; groups meet documents in joins that carry no texts.
 """
 
@@ -19,7 +20,8 @@ from .quality import Model, document_evidence
 REJECT_BELOW = 0.5
 FLOOR = 1e-6
 EVIDENCE = 12.0  # bound on a document's own log-odds, beyond which the classifier isn't calibrated
-TILT = 3.0  # bound on what the site may add or take
+TILT = 3.0  # bound on the log-odds of the site
+SHORT = 8.0  # words at which a document's own evidence weighs half
 
 
 def _logit(p: Column) -> Column:
@@ -43,7 +45,7 @@ def strength(groups: DataFrame, mean: float) -> float:
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(uid, host, path, p) -> with p, global_share, host_posterior, path_posterior, posterior."""
+    """(..., host, path, p, n_words) -> adds global_share, host_posterior, path_posterior and posterior."""
     total = evidence.agg(F.count("*"), F.coalesce(F.sum("p"), F.lit(0.0))).first()
     mean = float(min(1 - FLOOR, max(FLOOR, total[1] / total[0]))) if total[0] else 0.5
     paths = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
@@ -58,19 +60,19 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     met = met.withColumn("host_posterior", host_post)
     path_post = (F.col("g_s") - F.col("p") + path_k * F.col("host_posterior")) / (F.col("g_n") - 1 + path_k)
     met = met.withColumn("path_posterior", path_post)
-    site = F.greatest(F.lit(-TILT), F.least(F.lit(TILT), _logit(F.col("path_posterior")) - _logit(F.lit(mean))))
-    own = F.greatest(F.lit(-EVIDENCE), F.least(F.lit(EVIDENCE), _logit(F.col("p"))))
+    site = F.greatest(F.lit(-TILT), F.least(F.lit(TILT), _logit(F.col("path_posterior"))))
+    own = F.greatest(F.lit(-EVIDENCE), F.least(F.lit(EVIDENCE), _logit(F.col("p")))) * F.col("n_words") / (F.col("n_words") + SHORT)
     return met.select(
         *evidence.columns, F.lit(mean).alias("global_share"), "host_posterior", "path_posterior", (1 / (1 + F.exp(-(own + site)))).alias("posterior")
     )
 
 
 def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Column | None = None, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """One row per row of docs(doc_id, text, source, lang, ...): doc_id, host, path, p, host_posterior,
-    path_posterior, posterior, kept (posterior >= reject_below).
+    """One row per row of docs(doc_id, text, source, lang, ...): doc_id, host, path, p, n_words,
+    host_posterior, path_posterior, posterior, kept (posterior >= reject_below).
 
     host and path default to source and lang: documents without a URL have no finer site. A null
-    host or path is a group of its own. Null text is empty and judged by the classifier's bias.
+    host or path is a group of its own. Null text is empty and judged by its site alone.
     Null or repeated doc_ids are rows like others; an empty table gives no rows."""
     named = docs.select(
         "doc_id", "text", (F.col("source") if host is None else host).cast("string").alias("host"), (F.col("lang") if path is None else path).cast("string").alias("path")

@@ -196,13 +196,18 @@ def score_quality(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> Da
 
 
 def document_evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """keep columns and p, the classifier's calibrated probability of good quality."""
+    """keep columns, p (the classifier's calibrated probability of good quality, classes weighing alike) and
+    n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
-            p = [model.probability(features(t, t.split(), hashes)) for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64())], [*keep, "p"])
+            p, n = [], []
+            for text in text_bytes(b.column("text")):
+                words = text.split()
+                p.append(model.probability(features(text, words, hashes)))
+                n.append(len(words))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64()), pa.array(n, pa.int64())], [*keep, "p", "n_words"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, p double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, p double, n_words long")
