@@ -18,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +26,11 @@ from .common import materialize
 from .components import connected_components
 
 COSINE = 0.95
-BLOCK = 1_024
+BLOCK = 2_048
 PIVOTS = 512
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-9
+ROUNDING = 1e-5  # more than the error of a dot product of unit vectors in single floats
 PAIRS = 1 << 20
 
 
@@ -107,6 +107,12 @@ class Links:
             self.root[max(a, b)] = min(a, b)
 
 
+def _bands(radius: np.ndarray) -> list[np.ndarray]:
+    """Places of the nodes of about equal covering radius: single points, then by halves of the first level's."""
+    band = np.digitize(radius, [SLACK, LEVELS[0] / 4, LEVELS[0] / 2])
+    return [at for k in range(4) if len(at := np.flatnonzero(band == k))]
+
+
 def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
     """Links between the points of a (numbered first) and of b. If b is a, each point's link with
     itself is counted too."""
@@ -147,18 +153,23 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
         rest = ~inside & (d <= t + r + SLACK)
         return i[rest], j[rest]
 
-    # the root pair: all first-level pairs, by blocks of centres
-    ca, cb = a.x[a.levels[0][0]], b.x[b.levels[0][0]]
-    rows = max(1, PAIRS // max(1, len(cb)))
+    # the root pair: all first-level pairs. Nodes go by bands of radius, so that a block of pairs has one bound;
+    # single floats screen against it with room for their rounding, visit() decides in doubles
+    (ca, ra, _), (cb, rb, _) = a.levels[0], b.levels[0]
+    single_b = b.x[cb].astype(np.float32)
     stack = []
-    for at in range(0, len(ca), rows):
-        cos = ca[at : at + rows] @ cb.T
-        reach = (t + SLACK) + a.levels[0][1][at : at + rows, None] + b.levels[0][1][None, :]
-        reach *= reach
-        reach *= -0.5
-        reach += 1.0 - SLACK
-        i, j = np.nonzero(cos >= reach)
-        stack.append((0, *visit(0, i + at, j, cos[i, j])))
+    for i in _bands(ra):
+        for j in _bands(rb):
+            floor = np.float32(1.0 - (t + ra[i].max() + rb[j].max()) ** 2 / 2.0 - ROUNDING)
+            columns = single_b[j].T
+            rows = max(1, PAIRS // len(j))
+            for at in range(0, len(i), rows):
+                own = i[at : at + rows]
+                p, q = np.nonzero(a.x[ca[own]].astype(np.float32) @ columns >= floor)
+                p, q = own[p], j[q]
+                for s in range(0, len(p), 65536):
+                    x, y = p[s : s + 65536], q[s : s + 65536]
+                    stack.append((0, *visit(0, x, y, np.einsum("ij,ij->i", a.x[ca[x]], b.x[cb[y]]))))
     kids_a = [a.children(k) for k in range(last)]
     kids_b = kids_a if same else [b.children(k) for k in range(last)]
     while stack:
@@ -184,20 +195,27 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
 CHUNK = "pivot long, chunk long, rep long, copies long, x array<double>, far double, centres array<long>"
 
 
-def _plant(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), -1)
+
+
+def _plant(part: pa.Table) -> pa.Table:
     """A chunk with each vector's centres, by rep: its tree is built once, whatever the number of partners."""
-    pdf = pdf.sort_values("rep", kind="stable")
-    return pdf.assign(centres=list(pdf["rep"].to_numpy()[nets(unit(pdf["x"]))].T))[["pivot", "chunk", "rep", "copies", "x", "far", "centres"]]
+    part = part.sort_by("rep")
+    centres = part["rep"].to_numpy()[nets(unit(matrix(part["x"], np.float64)))].T
+    lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * len(LEVELS), pa.array(np.ascontiguousarray(centres).ravel()))
+    return part.select(["pivot", "chunk", "rep", "copies", "x", "far"]).append_column("centres", lists)
 
 
-def _grown(pdf: pd.DataFrame) -> Tree:
+def _grown(part: pa.Table) -> Tree:
     """The tree of a chunk whose rows are in order of rep."""
-    rep = pdf["rep"].to_numpy()
-    return Tree(unit(pdf["x"]), pdf["copies"].to_numpy(), np.searchsorted(rep, np.stack(pdf["centres"].to_numpy()).T))
+    places = np.searchsorted(part["rep"].to_numpy(), matrix(part["centres"], np.int64).T)
+    return Tree(unit(matrix(part["x"], np.float64)), part["copies"].to_numpy(), places)
 
 
-def unit(rows: list | np.ndarray) -> np.ndarray:
-    x = np.asarray(list(rows), dtype=np.float64)
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -238,7 +256,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     for (dim,) in classes.select(F.size("x")).distinct().collect():
         own = classes.where(F.size("x") == dim)
         n = own.count()
-        sample = unit([r["x"] for r in own.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("x").collect()])
+        sample = unit(np.array([r["x"] for r in own.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("x").collect()]))
         pivots = _net(sample, max(1, min(PIVOTS, -(-n // block))))
         shared = spark.sparkContext.broadcast(pivots)
 
@@ -246,7 +264,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
             p = shared.value
             for b in batches:
                 if b.num_rows:
-                    cos = unit(b.column("x").to_pylist()) @ p.T
+                    cos = unit(matrix(b.column("x"), np.float64)) @ p.T
                     yield pa.RecordBatch.from_arrays(
                         [b.column("rep"), b.column("copies"), b.column("x"), pa.array(cos.argmax(1)), pa.array(chord(cos.max(1)))], ["rep", "copies", "x", "pivot", "far"]
                     )
@@ -255,7 +273,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         placed = materialize(own.mapInArrow(place, schema))
         sizes = placed.groupBy("pivot").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / block))
         chunked = placed.join(F.broadcast(sizes), "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-        treed = materialize(chunked.groupBy("pivot", "chunk").applyInPandas(_plant, CHUNK))
+        treed = materialize(chunked.groupBy("pivot", "chunk").applyInArrow(_plant, CHUNK))
         nodes = treed.groupBy("pivot", "chunk").agg(F.max("far").alias("radius")).orderBy("pivot", "chunk").collect()
         where = {(r["pivot"], r["chunk"]): k for k, r in enumerate(nodes)}
         centre = pivots[[r["pivot"] for r in nodes]]
@@ -278,23 +296,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
                     ["pair", "second", "rep", "copies", "x", "centres"],
                 )
 
-        def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["second", "rep"], kind="stable")
-            first = int((~pdf["second"]).sum())
-            rep = pdf["rep"].to_numpy()
-            if key[0] // table.value[2] == key[0] % table.value[2]:
-                tree = _grown(pdf)
+        def meet(key: tuple, part: pa.Table) -> pa.Table:
+            part = part.combine_chunks().sort_by([("second", "ascending"), ("rep", "ascending")])
+            first = int(np.count_nonzero(~part["second"].to_numpy()))
+            rep, pair = part["rep"].to_numpy(), key[0].as_py()
+            if pair // table.value[2] == pair % table.value[2]:
+                tree = _grown(part)
                 found = dual_links(tree, tree, cosine)
                 found.count -= tree.weight  # a vector with itself and its copies
-            elif 0 < first < len(pdf):
-                found = dual_links(_grown(pdf[:first]), _grown(pdf[first:]), cosine)
+            elif 0 < first < len(part):
+                found = dual_links(_grown(part.slice(0, first)), _grown(part.slice(first)), cosine)
             else:
-                return pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
+                found = Links(0)
             some = np.flatnonzero(found.count > 0)
-            return pd.DataFrame({"rep": rep[some], "links": found.count[some], "root": [rep[found.find(int(i))] for i in some]})
+            roots = rep[np.fromiter((found.find(int(i)) for i in some), np.int64, len(some))]
+            return pa.table({"rep": rep[some], "links": found.count[some], "root": roots})
 
         dealt = treed.select("rep", "copies", "x", "pivot", "chunk", "centres").mapInArrow(deal, "pair long, second boolean, rep long, copies long, x array<double>, centres array<long>")
-        met = materialize(dealt.groupBy("pair").applyInPandas(meet, "rep long, links long, root long"))
+        met = materialize(dealt.groupBy("pair").applyInArrow(meet, "rep long, links long, root long"))
         e, c = met.select(F.col("rep").alias("src"), F.col("root").alias("dst")), met.groupBy("rep").agg(F.sum("links").alias("links"))
         edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
     if edges is None:
