@@ -166,18 +166,25 @@ def _common(a: bytes, b: bytes, low: int) -> int:
 
 
 def _repeated_spans(part: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
-    """Spans to remove in each bucket: every occurrence of a maximal repeat but the first."""
+    """Spans to remove in each bucket: every occurrence of a maximal repeat but the first, as the union
+    of each run's occurrences."""
     h, ids, starts = (part.column(c).to_numpy() for c in ("h", "doc_id", "start"))
     data = part.column("data").to_pylist()
     docs, begins, ends = [], [], []
     for a, b in zip(*splits(h)):
         texts = data[a:b]
+        covered: dict[int, list[dict]] = {}  # of each run: repeats nest and overlap, so only their union goes on
         for length, found in maximal_repeats(texts, [len(t) - width + 1 for t in texts], width):
-            at = sorted((int(ids[a + i]), int(starts[a + i]) + p) for i, p in found)
-            for doc_id, begin in at[1:]:
-                docs.append(doc_id)
-                begins.append(begin)
-                ends.append(begin + length)
+            places = [(ids[a + i], starts[a + i] + p) for i, p in found]
+            first = min(places)
+            for (i, p), place in zip(found, places):
+                if place != first:
+                    covered.setdefault(i, []).append({"s": p, "e": p + length})
+        for i, spans in covered.items():
+            for s, e in merged(spans):
+                docs.append(int(ids[a + i]))
+                begins.append(int(starts[a + i]) + s)
+                ends.append(int(starts[a + i]) + e)
     if docs:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "s", "e"])
 
