@@ -215,7 +215,7 @@ p2 AS (SELECT malo, a, a + INTERVAL 30 HOUR AS b, p + 10 AS lim FROM s UNION ALL
 r AS (SELECT malo, a + INTERVAL (h) HOUR AS ts FROM s, range(0, 36, 4) t(h))
 SELECT r.malo, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS ts, min(lim) FILTER (r.ts >= p2.a AND r.ts < p2.b) AS active_limit_kw FROM r JOIN p2 ON r.malo = p2.malo GROUP BY ALL""")
 def active_setpoints(spark: SparkSession, d: str) -> DataFrame:
-    s = i.table(spark, d, "lineitem").where("l_orderkey <= 300").groupBy(F.col("l_orderkey").alias("malo")).agg(F.min("l_shipdate").cast("timestamp").alias("a"), (F.min("l_quantity") + 4.2).alias("p"))
+    s = i.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("malo")).agg(F.min("l_shipdate").cast("timestamp").alias("a"), (F.min("l_quantity") + 4.2).alias("p"))
     h = lambda n: F.col("a") + F.make_dt_interval(hours=n if not isinstance(n, int) else F.lit(n))
     points = s.select("malo", h(0).alias("start_ts"), h(30).alias("end_ts"), (F.col("p") + 10).alias("p_limit_kw")).union(s.select("malo", h(5), h(12), "p"))
     readings = s.select("malo", "a", F.explode(F.sequence(F.lit(0), F.lit(32), F.lit(4))).alias("k")).select("malo", h(F.col("k")).alias("ts"))

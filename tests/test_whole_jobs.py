@@ -32,3 +32,16 @@ def test_redispatch_takes_all_orders(spark, sf):
             shed = sum(x - min(x, most) for x in demands)
         assert (r["congested"], r["feasible"]) == (forecast > threshold, feasible)
         assert abs(r["forecast_kw"] - forecast) < 1e-3 and abs(r["naive_shed_kw"] - naive) < 1e-3 and abs(r["shed_kw"] - shed) < 1e-3
+
+
+def test_active_setpoints_takes_all_line_items(spark, sf):
+    items = pd.read_parquet(f"{sf}/lineitem.parquet")
+    want = {}
+    for malo, g in items.groupby("l_orderkey"):
+        start, least = g["l_shipdate"].min(), g["l_quantity"].min() + 4.2
+        for h in range(0, 36, 4):
+            limits = [x for a, b, x in ((0, 30, least + 10), (5, 12, least)) if a <= h < b]
+            want[malo, str(start + pd.Timedelta(hours=h))[:19]] = min(limits, default=None)
+    got = plans.QUERIES["active_setpoints"](spark, sf).collect()
+    assert len(got) == len(want) == 9 * items["l_orderkey"].nunique()
+    assert {(r["malo"], r["ts"]): r["active_limit_kw"] for r in got} == want
