@@ -198,7 +198,7 @@ pl AS (SELECT *, greatest(0, least(ceil_, energy_kwh - coalesce(sum(ceil_) OVER
 @query(f"""WITH {TARIFF}, s AS (SELECT plan, sum(kwh) AS a, sum(kwh * fee) AS c, sum(naive_kwh * fee) AS nc FROM pl GROUP BY 1)
 SELECT plan, round(a, 6)::DOUBLE AS placed_kwh, round(c, 6)::DOUBLE AS cost, round(nc, 6)::DOUBLE AS naive_cost, round(40.0 - a, 6)::DOUBLE + 0.0 AS shortfall_kwh, round(nc - c, 6)::DOUBLE + 0.0 AS saving FROM s""")
 def greedy_tariff(spark: SparkSession, d: str) -> DataFrame:
-    x = i.table(spark, d, "part").where("p_partkey <= 400").select(
+    x = i.table(spark, d, "part").select(
         F.col("p_brand").alias("plan"),
         F.col("p_partkey").alias("hour"),
         F.round(F.col("p_retailprice") / 10000, 3).alias("fee"),
@@ -279,7 +279,7 @@ def cvar_nomination(spark: SparkSession, d: str) -> DataFrame:
 # --- ledger -------------------------------------------------------------------------------------
 @query("SELECT CAST(o_custkey AS VARCHAR) AS ledger_id, count(*) AS n_entries, NULL::BIGINT AS first_broken, true AS chain_ok FROM orders WHERE o_custkey <= 200 GROUP BY 1")
 def ledger_verify(spark: SparkSession, d: str) -> DataFrame:
-    o = i.table(spark, d, "orders").where("o_custkey <= 200")
+    o = i.table(spark, d, "orders")
     entries = o.select(F.col("o_custkey").cast("string").alias("ledger_id"), F.col("o_orderkey").alias("seq"), ledger.canonical_json("o_orderkey", "o_orderpriority", "o_totalprice").alias("payload"))
     return ledger.verify(ledger.chain(entries))
 

@@ -45,3 +45,26 @@ def test_active_setpoints_takes_all_line_items(spark, sf):
     got = plans.QUERIES["active_setpoints"](spark, sf).collect()
     assert len(got) == len(want) == 9 * items["l_orderkey"].nunique()
     assert {(r["malo"], r["ts"]): r["active_limit_kw"] for r in got} == want
+
+
+def test_ledger_verify_takes_all_customers(spark, tmp_path):
+    orders = pd.DataFrame({"o_custkey": [1, 200, 201, 201, 9000], "o_orderkey": range(5), "o_orderpriority": "1-URGENT", "o_totalprice": 1.5})
+    orders.to_parquet(tmp_path / "orders.parquet")
+    got = plans.QUERIES["ledger_verify"](spark, str(tmp_path)).collect()
+    assert {(r["ledger_id"], r["n_entries"], r["first_broken"], r["chain_ok"]) for r in got} == {(k, n, None, True) for k, n in (("1", 1), ("200", 1), ("201", 2), ("9000", 1))}
+
+
+def test_greedy_tariff_takes_all_parts(spark, tmp_path):
+    part = pd.DataFrame({"p_brand": [f"Brand#{k % 7}" for k in range(1000)], "p_partkey": range(1000), "p_retailprice": [900.0 + k * 37 % 1000 for k in range(1000)], "p_size": [1 + k * 11 % 50 for k in range(1000)]})
+    part.to_parquet(tmp_path / "part.parquet")
+    got = {r["plan"]: r for r in plans.QUERIES["greedy_tariff"](spark, str(tmp_path)).collect()}
+    assert len(got) == 7
+    for plan, g in part.groupby("p_brand"):
+        hours = [(int(r.p_retailprice + 5) // 10 / 1000, r.p_partkey, min(5.0, 3.0 + r.p_size % 4) if r.p_size % 5 else 0.0) for r in g.itertuples()]
+        cost = {}
+        for name, order in (("cost", sorted(hours)), ("naive_cost", sorted(hours, key=lambda h: h[1]))):
+            left, cost[name] = 40.0, 0.0
+            for fee, _, most in order:
+                cost[name] += fee * min(most, left)
+                left -= min(most, left)
+        assert all(abs(got[plan][k] - v) < 2e-6 for k, v in cost.items()) and got[plan]["shortfall_kwh"] == 0
