@@ -10,6 +10,7 @@ a source has at most two open documents, which land on the choice nearest the wo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from random import Random
 
 import numpy as np
@@ -125,23 +126,25 @@ def settle(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
         count = now.groupBy("group").count().agg(F.max("count")).first()[0] or 0
 
 
-def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs(doc_id, text, source, ...): doc_id, size (words), source_size,
     target (its source's words to take), taken (words the mix takes: copies times size), copies.
 
     Null text has size 0. A null source is a source of its own, last in order. A source
     whose documents have no words takes nothing. Documents without words are never copied but
     stay once. Rows that repeat a doc_id, or have none, are documents of their own. Other columns
-    are ignored; an empty table gives no rows. The draw depends on seed, doc_id, source and size
+    are ignored but those in carry, which are added; an empty table gives no rows. The draw depends on seed, doc_id, source and size
     only, so reruns and other partitionings agree."""
     sized = docs.select(
         "doc_id",
         F.concat(F.lit("="), "source").alias("group"),
         "source",
         F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"),
+        F.xxhash64("text").alias("mark"),
+        *carry,
     )
-    # rows that repeat an id are numbered, so that uid tells them apart
-    again = W.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
+    # rows that repeat an id are numbered, by text, so that uid tells them apart
+    again = W.partitionBy("doc_id", "source", "size").orderBy("mark")
     sized = materialize(sized.withColumn("group", F.coalesce("group", F.lit("-"))))
     sized = sized.withColumn("copy", F.row_number().over(again))
     sized = sized.withColumn("uid", F.xxhash64("doc_id", "group", "size", "copy"))
@@ -149,21 +152,20 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = materialize(
         sized.join(targets, sized.source.eqNullSafe(targets.source))
-        .select("doc_id", "group", "uid", "size", "source_size", "target", rate.alias("rate"))
+        .select("doc_id", "group", "uid", "size", "source_size", "target", rate.alias("rate"), *carry)
         .withColumn("whole", F.floor(F.col("rate") + 1e-12))
         .withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     )
     drawn = settle(known.where("size > 0 and p > 0"), seed, block)
     joined = known.join(drawn.select("uid", F.col("p").alias("extra")), "uid", "left")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.coalesce("extra", F.lit(0.0))).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "uid")
+    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "uid", *carry)
 
 
 def take(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """docs, all columns, each row as many times as mix() takes it. Texts meet their numbers of
-    copies by doc_id; rows that repeat a doc_id are each taken as often as the id's rows are on
-    average, rounded down, and rows without one are taken once."""
-    copies = mix(docs, cap, seed, block).where("doc_id is not null").groupBy("doc_id").agg(F.floor(F.avg("copies")).cast("int").alias("_copies"))
-    met = docs.join(copies, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    repeated = met.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    """docs, all columns, each row as many times as mix() takes it, rows that repeat a doc_id or have
+    none too. Rows are written once with a key, by which they meet their numbers of copies."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    copies = mix(rows, cap, seed, block, ["_row"]).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    repeated = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
     return repeated.select(docs.columns)
