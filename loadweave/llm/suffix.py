@@ -13,22 +13,30 @@ run. Steps, each a join or an aggregation by key:
    with all its occurrences. All but the first occurrence is removed. Every repeated window
    lies in a maximal repeat with the same occurrences, so this removes exactly the bytes that
    an earlier equal window covers.
-4. A bucket with more than `crowd` different runs is refined by the window's bytes themselves: the
-   first place of each window is an aggregate, and each run loses the rest of its places, so no
-   task holds the bucket.
+4. A bucket with more than `crowd` different runs is first split by context. Windows with the anchor at
+   offsets lo to hi all hold the lo bytes before it and what follows up to width - hi: halving the
+   offsets deals a run to two buckets whose keys hold half as many context bytes more. Equal windows have equal
+   offsets, so they stay together; equal parts of runs collapse to the first again, and a part whose
+   key is its own is done. After seven halvings a bucket is one window, so no task holds a crowd and
+   every bucket that is left goes through step 3.
+
+Runs count as equal by two 64-bit hashes (anchor and content); parts of split runs, and all that
+step 3 finds, by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, materialize, splits, text_bytes
+from .common import by_key, fresh, materialize, splits, text_bytes
 
 WIDTH = 100
 CROWD = 1_000
@@ -52,11 +60,11 @@ STEP = U(0xD6E8FEB86659FD93)
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the gram bytes from each place: polynomial, by doubling, then stirred."""
     parts: dict[int, np.ndarray] = {1: CODES[data]}
-    power, size = STEP, 1
+    size = 1
     while 2 * size <= gram:
         h = parts[size]
-        parts[2 * size] = h[:-size] * power + h[size:]
-        power, size = power * power, 2 * size
+        parts[2 * size] = h[:-size] * U(pow(int(STEP), size, 1 << 64)) + h[size:]
+        size *= 2
     out, done = parts[size], size
     while done < gram:
         size = 1 << ((gram - done).bit_length() - 1)
@@ -68,59 +76,72 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def lowest(h: np.ndarray, span: int) -> np.ndarray:
-    """Place of the leftmost lowest value among the span values from each place."""
-    place, low, size = np.arange(len(h), dtype=np.int32), h, 1
-    while size < span:
-        step = min(size, span - size)
-        right = low[step:] < low[:-step]
-        low = np.where(right, low[step:], low[:-step])
-        place = np.where(right, place[step:], place[:-step])
-        size += step
-    return place
-
-
-def document_runs(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, start, number of windows) of each run of the text's windows."""
+    """Place of the leftmost value with the lowest upper half among the span values from each place: each value
+    carries its place in the lower half, and a window's minimum is that of a block's end and the next
+    one's begin."""
+    n = len(h) - span + 1
+    blocks = -(-len(h) // span)
+    x = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
+    x[: len(h)] = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    x = x.reshape(blocks, span)
+    begins = np.minimum.accumulate(x, 1).ravel()[span - 1 : span - 1 + n]
+    ends = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()[:n]
+    return (np.minimum(begins, ends) & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def text_runs(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(anchor hash, content hash, text, start, number of windows) of each run of the windows of texts that are at least
+    width long. The texts are hashed as one; windows that cross a border don't count."""
     gram = max(1, width // 4)
-    data = np.frombuffer(text, np.uint8)
-    h = gram_hashes(data, gram)
-    place = lowest(h, width - gram + 1)
+    h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin, windows = np.cumsum(size) - size, size - (width - 1)
+    before = np.cumsum(windows) - windows
+    at = np.arange(windows.sum()) + np.repeat(begin - before, windows)
+    place = lowest(h, width - gram + 1)[at]
     start, end = splits(place)
     n = end - start
+    text = np.searchsorted(before, start, "right") - 1
+    first, last = at[start], at[end - 1]
     # first and last window overlap, as a run has at most width - gram + 1 windows
     content = n.astype(np.uint64)
     for offset in sorted({*range(0, width - gram, gram), width - gram}):
-        content = _stir(content * STEP + h[start + offset]) * STEP + h[end - 1 + offset]
-    return h[place[start]].view(np.int64), content.view(np.int64), start.astype(np.int32), n.astype(np.int32)
+        content = _stir(content * STEP + h[first + offset]) * STEP + h[last + offset]
+    return h[place[start]].view(np.int64), content.view(np.int64), text, (first - begin[text]).astype(np.int32), n.astype(np.int32)
 
 
 RUNS = "h long, c long, doc_id long, start int, n int"
+CHUNK, LONG = 1 << 16, 1 << 20  # bytes of short texts that are hashed together, windows of a long text
 
 
 def runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The runs of every text. A text of more than LONG windows is hashed in parts, which only cuts runs in two."""
+
+    def batch(ids: list[int], offsets: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        h, c, text, start, n = text_runs(texts, width)
+        start = start + np.array(offsets, np.int32)[text]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, np.array(ids, np.int64)[text], start, n)], [f.split()[0] for f in RUNS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, ids, pending = [], [], 0
+            ids, offsets, texts, pending = [], [], [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
-                if doc_id is None or len(text) < width:
+                if doc_id is None:
                     continue
-                found.append(document_runs(text, width))
-                ids.append(np.full(len(found[-1][0]), doc_id, np.int64))
-                pending += len(ids[-1])
-                if pending > 200_000:
-                    yield _runs_batch(found, ids)
-                    found, ids, pending = [], [], 0
-            if found:
-                yield _runs_batch(found, ids)
+                for at in range(0, len(text) - width + 1, LONG):
+                    ids.append(doc_id)
+                    offsets.append(at)
+                    texts.append(text[at : at + LONG + width - 1])
+                    pending += len(texts[-1])
+                    if pending > CHUNK:
+                        yield batch(ids, offsets, texts)
+                        ids, offsets, texts, pending = [], [], [], 0
+            if texts:
+                yield batch(ids, offsets, texts)
 
     return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
 
-def _runs_batch(found: list, ids: list) -> pa.RecordBatch:
-    h, c, start, n = (np.concatenate(x) for x in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, np.concatenate(ids), start, n)], ["h", "c", "doc_id", "start", "n"])
-
-
 def maximal_repeats(texts: list[bytes], windows: list[int], width: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeats of at least width bytes among suffixes 0 .. windows[i]-1 of texts[i]:
     (length, all occurrences (i, place)), by a stack scan over the sorted suffixes."""
@@ -210,59 +231,88 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(lists, "doc_id", "left").mapInArrow(run, "h long, m long, doc_id long, start int, data binary")
 
 
-def _refined_spans(data: DataFrame, width: int) -> DataFrame:
-    """Crowded buckets, window by window: what is left of each run after the first place of each
-    window, which an aggregation finds. A run comes back as one row with its kept places."""
+PART = "h long, doc_id long, start int, data binary, lo int, hi int, a int"
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "doc_id", "start", "s", "w"]
+
+def _halves(parts: DataFrame, width: int) -> DataFrame:
+    """Each part of a run (anchor at data[a], offsets lo to hi) as its windows of the lower and of the upper half of
+    the offsets, keyed by the bytes that all windows of that half hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in PART.split(", ")]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
         for b in batches:
             rows: list[list] = [[] for _ in names]
-            for h, doc_id, start, text in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "start", "data"))):
-                for p in range(len(text) - width + 1):
-                    for column, value in zip(rows, (h, doc_id, start, start + p, text[p : p + width])):
+            for doc_id, start, data, lo, hi, a in zip(*(b.column(c).to_pylist() for c in names[1:])):
+                middle = (lo + hi + 1) // 2
+                for low, high in ((lo, middle - 1), (middle, hi)):
+                    least, most = max(low, a - (len(data) - width)), min(high, a)  # this part's own offsets
+                    if least > most:
+                        continue
+                    key = xxhash.xxh64_intdigest(data[a - low : a - high + width], low * width + high) - (1 << 63)
+                    for column, value in zip(rows, (key, doc_id, start + a - most, data[a - most : a - least + width], low, high, most)):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names)
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = [[], [], []]
-            for doc_id, start, n, kept in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n", "kept"))):
-                own = set(kept or ())
-                gone = [s for s in range(start, start + n) if s not in own]
-                for a, z in zip(*splits(np.array(gone) - np.arange(len(gone)))):
-                    for column, value in zip(rows, (doc_id, gone[a], gone[z - 1] + width)):
-                        column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], ["doc_id", "s", "e"])
+    return parts.mapInArrow(run, PART)
 
-    each = data.select("h", "doc_id", "start", "data").mapInArrow(windows, "h long, doc_id long, start int, s int, w binary")
-    first = each.groupBy("w").agg(F.min(F.struct("doc_id", "s", "start", "h")).alias("first")).select("first.*")
-    kept = first.groupBy("h", "doc_id", "start").agg(F.collect_list("s").alias("kept"))
-    size = (F.length("data") - (width - 1)).alias("n")
-    return data.select("h", "doc_id", "start", size).join(kept, ["h", "doc_id", "start"], "left").mapInArrow(rest, "doc_id long, s int, e int")
+
+def _with_anchor(data: DataFrame, width: int) -> DataFrame:
+    """Whole runs as parts: all offsets, and where the anchor is."""
+    gram = max(1, width // 4)
+    span = width - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [int(lowest(gram_hashes(np.frombuffer(x[:width], np.uint8), gram), span)[0]) for x in b.column("data").to_pylist()]
+            n = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("h", "doc_id", "start", "data")), *(pa.array(v, pa.int32()) for v in ([0] * n, [span - 1] * n, at))], [f.split()[0] for f in PART.split(", ")]
+            )
+
+    return data.select("h", "doc_id", "start", "data").mapInArrow(run, PART)
+
+
+def _split(crowded: DataFrame, width: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Crowded buckets, split by context until no bucket has more than `crowd` different parts: spans of parts that
+    repeat an earlier part as a whole, and the buckets (h, doc_id, start, data) that are left."""
+    spans, buckets = [], []
+    parts = _with_anchor(crowded, width)
+    while True:
+        parts = materialize(_halves(parts, width))
+        place = F.struct("doc_id", "start")
+        first = materialize(parts.groupBy("h", "data", "lo", "hi", "a").agg(F.min(place).alias("first"), F.count("*").alias("k")))
+        again = parts.join(first.where("k > 1").select("h", "data", "a", "first"), ["h", "data", "a"]).where(place != F.col("first"))
+        spans.append(again.select("doc_id", F.col("start").alias("s"), (F.col("start") + F.length("data")).alias("e")))
+        several = materialize(first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+        left = materialize(first.join(several, "h").select("h", "m", "first.doc_id", "first.start", "data", "lo", "hi", "a"))
+        buckets.append(left.where(F.col("m") <= crowd).select("h", "doc_id", "start", "data"))
+        parts = left.where(F.col("m") > crowd).drop("m")
+        if parts.isEmpty():
+            return spans, buckets
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, s, e): bytes s to e of a document are covered by width-byte strings that also
     start earlier (a smaller doc_id, or the same document further left). Spans may overlap."""
     all_runs = runs(docs, width)
-    often = all_runs.groupBy("h").count().where(F.col("count") > 1).select("h")
+    # written first: a join of plain rows is one that adaptive execution can split where one anchor is very common
+    often = materialize(all_runs.groupBy("h").count().where(F.col("count") > 1).select("h"))
     again = materialize(all_runs.join(often, "h"))
     first = materialize(again.groupBy("h", "c").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count("*").alias("k")))
     place = F.struct("doc_id", "start", "n")
     equal = again.join(first.where("k > 1").select("h", "c", "first"), ["h", "c"]).where(place != F.col("first"))
     equal = equal.select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("n") + (width - 1)).alias("e"))
-    several = first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    several = materialize(first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
     wanted = first.join(several, "h").select("h", "m", "first.doc_id", "first.start", (F.col("first.n") + (width - 1)).alias("size"))
     data = materialize(_fetch(docs, wanted))
-    small = by_key(data.where(F.col("m") <= crowd), "h", lambda part: _repeated_spans(part, width), "doc_id long, s int, e int")
-    spans = equal.union(small)
+    spans, buckets = [equal], [data.where(F.col("m") <= crowd).select("h", "doc_id", "start", "data")]
     crowded = data.where(F.col("m") > crowd)
     if not crowded.isEmpty():
-        spans = spans.union(_refined_spans(crowded, width))
-    return spans
+        more, rest = _split(crowded, width, crowd)
+        spans, buckets = spans + more, buckets + rest
+    found = by_key(reduce(DataFrame.union, buckets), "h", lambda part: _repeated_spans(part, width), "doc_id long, s int, e int")
+    return reduce(DataFrame.union, [*spans, found])
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -293,21 +343,22 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> Data
     """docs, all columns, with the repeated bytes gone from text and n_chars, if there, counted
     again. A cut inside a character drops what is left of it. Rows stay even where no text does;
     nulls and repeated ids are as in remove_repeats()."""
-    lists = _span_lists(docs, width, crowd).withColumnRenamed("doc_id", "cut_id")
+    cut_id, spans = fresh(docs, "cut_id"), fresh(docs, "found")
+    lists = _span_lists(docs.select("doc_id", "text"), width, crowd).select(F.col("doc_id").alias(cut_id), F.col("found").alias(spans))
+    names, chars = docs.columns, "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, found in enumerate(b.column("found").to_pylist()):
+            for i, found in enumerate(b.column(spans).to_pylist()):
                 if found and texts[i]:
                     texts[i] = kept_bytes(texts[i].encode(), merged(found)).decode("utf-8", "ignore")
             new = {"text": pa.array(texts, pa.string())}
-            if "n_chars" in names:
+            if chars:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names)
 
-    names = docs.columns
-    return docs.join(lists, docs.doc_id == lists.cut_id, "left").select(*names, "found").mapInArrow(run, docs.schema)
+    return docs.join(lists, F.col("doc_id") == F.col(cut_id), "left").select(*names, spans).mapInArrow(run, docs.schema)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
