@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2_000
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK,
 def take(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """docs, all columns, each row as many times as mix() takes it, rows that repeat a doc_id or have
     none too. Rows are written once with a key, by which they meet their numbers of copies."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    copies = mix(rows, cap, seed, block, ["_row"]).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
-    repeated = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return repeated.select(docs.columns)
+    row, copies, copy = (fresh(docs, c) for c in ("row_key", "row_copies", "row_copy"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    drawn = mix(rows, cap, seed, block, [row]).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    return rows.join(drawn, row).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
