@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_key, materialize, splits, text_bytes
+from .common import by_key, fresh, materialize, splits, text_bytes
 from .components import connected_components
 
 BITS = 4
@@ -45,15 +46,20 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row; null or wordless text gives 0."""
+def with_fingerprints(docs: DataFrame, name: str, names: list[str]) -> DataFrame:
+    """Columns names of docs and each text's fingerprint as a long; null or wordless text gives 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x) for x in text_bytes(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, name])
+
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in names), StructField(name, LongType())]))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) of every row."""
+    return with_fingerprints(docs.select("doc_id", "text"), "fp", ["doc_id"])
 
 
 def _syndromes() -> np.ndarray:
@@ -165,9 +171,7 @@ def simhash_components(docs: DataFrame, bits: int = BITS, crowd: int = CROWD) ->
     doc_id link with nothing and get a null component_id. Rows that repeat a doc_id each get
     their own fingerprint. Other columns are ignored; an empty table gives no rows."""
     fps = materialize(fingerprints(docs))
-    distinct = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(near_links(distinct, bits, crowd))
-    named = distinct.join(parts, distinct.rep == parts.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = _components(fps, bits, crowd)
     return fps.join(named, "fp", "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -175,8 +179,28 @@ def simhash_components(docs: DataFrame, bits: int = BITS, crowd: int = CROWD) ->
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep the document with the smallest id of each component; rows with a null doc_id stay."""
-    parts = simhash_components(docs)
-    gone = parts.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _components(fps: DataFrame, bits: int, crowd: int) -> DataFrame:
+    """(fp, component_id) of the fingerprints of (doc_id, fp) rows that have an id."""
+    distinct = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    parts = connected_components(near_links(distinct, bits, crowd))
+    return distinct.join(parts, distinct.rep == parts.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each component: its smallest doc_id's. Rows with a null doc_id stay.
+
+    Rows that repeat a doc_id are judged by their own fingerprints. Where several rows with the smallest
+    id are in its component, the one whose text, then whose JSON, comes first stays. An empty table gives no rows."""
+    fps = materialize(fingerprints(docs))
+    judged = materialize(fps.where("doc_id is not null").join(_components(fps, bits, crowd), "fp").groupBy("doc_id", "fp", "component_id").agg(F.count("*").alias("k")))
+    repeated = materialize(judged.groupBy("doc_id").agg(F.sum("k").alias("k")).where("k > 1").select("doc_id"))
+    gone = judged.where("doc_id != component_id").select("doc_id").union(repeated).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    key, fp, row = fresh(docs, "fp_id"), fresh(docs, "fp"), F.struct(*docs.columns)
+    own = judged.where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("fp").alias(f"{fp}_"))
+    again = with_fingerprints(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), fp, docs.columns)
+    again = again.join(own, (F.col("doc_id") == F.col(key)) & (F.col(fp) == F.col(f"{fp}_")), "left_semi")
+    first = again.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("first")).select("first.*")
+    return kept.unionByName(first)
