@@ -2,7 +2,7 @@
 
 The document classifier of quality.py gives each document a calibrated probability. Hosts and the
 paths below them get posterior means: a path's share is shrunk toward its host's, a host's toward
-the global share, by prior strengths estimated from the spread between groups (method of
+the global share, by prior strengths estimated from the spread between the groups of a parent (method of
 moments). A document's own evidence is left out of its groups' posteriors; its posterior log-odds
 are those of its path plus its own, which weigh n / (n + SHORT) for n words. So a single-document site
 falls back to the global share, and a few words don't condemn a document.
@@ -29,28 +29,37 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def strength(groups: DataFrame, mean: float) -> float:
-    """Beta prior strength (pseudo-documents) from (n, s): a large spread of the group means beyond
-    that of sampling gives a weak prior. One global aggregation; between 1 and 10 000."""
-    share = F.col("s") / F.col("n")
-    r = groups.where("n > 1").agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (share - mean) ** 2).alias("v"), F.sum(F.col("n") * F.col("n")).alias("n2")
+def strength(groups: DataFrame) -> float:
+    """Prior strength (pseudo-documents) of groups (n, s, q: number, sum and sum of squares of p; parent_n, parent_s): the
+    variance of p inside groups over that between the groups of a parent, beyond what sampling
+    gives (method of moments; the credibility ratio of Buehlmann and Straub). One global aggregation;
+    between 1 and 10 000, and 20 where no parent has two groups."""
+    n, s = F.col("n"), F.col("s")
+    own = F.try_divide(n, F.col("parent_n"))  # sums to 1 over a parent's groups
+    r = groups.agg(
+        F.count("*").alias("k"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("q") - s * s / n).alias("inside"),
+        F.sum(n * (s / n - F.try_divide("parent_s", "parent_n")) ** 2).alias("spread"),
+        F.sum(n * own).alias("n2"),
+        F.sum(own).alias("parents"),
     ).first()
-    if not r["k"] or r["k"] < 2 or not 0 < mean < 1:
+    if not r["k"] or r["k"] - r["parents"] < 0.5 or r["n"] <= r["k"]:
         return 20.0
-    within = mean * (1 - mean)
-    spare = r["n"] - r["n2"] / r["n"]
-    between = (r["v"] - (r["k"] - 1) * within) / spare if spare > 0 else 0.0
-    return float(min(10_000.0, max(1.0, within / between - 1))) if between > 0 else 10_000.0
+    within = max(0.0, r["inside"]) / (r["n"] - r["k"])
+    between = (r["spread"] - (r["k"] - r["parents"]) * within) / (r["n"] - r["n2"])
+    return float(min(10_000.0, max(1.0, within / between))) if between > 0 else 10_000.0
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
     """(..., host, path, p, n_words) -> adds global_share, host_posterior, path_posterior and posterior."""
     total = evidence.agg(F.count("*"), F.coalesce(F.sum("p"), F.lit(0.0))).first()
     mean = float(min(1 - FLOOR, max(FLOOR, total[1] / total[0]))) if total[0] else 0.5
-    paths = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    host_k, path_k = strength(hosts, mean), strength(paths, mean)
+    paths = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    parent = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("parent_n"), F.col("s").alias("parent_s"))
+    host_k = strength(hosts.select("*", F.lit(total[0]).alias("parent_n"), F.lit(total[1]).alias("parent_s")))
+    path_k = strength(paths.join(parent, F.col("host").eqNullSafe(F.col("h_host"))))
     h = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), F.col("s").alias("h_s"))
     groups = paths.join(h, F.col("host").eqNullSafe(F.col("h_host"))).select(
         F.col("host").alias("g_host"), F.col("path").alias("g_path"), F.col("n").alias("g_n"), F.col("s").alias("g_s"), "h_n", "h_s"
