@@ -115,12 +115,14 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on the per_class labelled documents of each class with the lowest id hashes: a bounded,
-    documented sample. Rows without id, or with a label other than 0 and 1, are no examples."""
+    documented sample. Rows without id, or with a label other than 0 and 1, are no examples; of rows that repeat an
+    id, the least text is the example."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = [marked.where(F.col("quality") == q).orderBy(*order).limit(per_class) for q in (0, 1)]
     sample = chosen[0].union(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row an id, however often it occurs
     schema = "weights array<double>, bias double, slope double, offset double"
     fitted = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, schema).collect()
     if not fitted:
