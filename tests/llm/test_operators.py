@@ -233,7 +233,7 @@ def brute_repeats(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width,crowd", [(20, 1000), (20, 2), (33, 1000), (100, 1)])
+@pytest.mark.parametrize("width,crowd", [(20, 1000), (20, 2), (33, 1000), (33, 3), (100, 1)])
 def test_suffix_dedup(spark, width, crowd):
     rng = random.Random(5)
 
@@ -261,6 +261,27 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1000, 20])
+def test_suffix_dedup_of_a_crowd(spark, crowd):
+    """One passage in many documents, between texts of their own: its border windows are one crowded bucket."""
+    rng = random.Random(55)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = own(160)
+    rows = [(i, own(rng.randint(0, 90)) + passage + own(rng.randint(0, 90))) for i in range(150)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(documents(spark, rows), 100, crowd).collect()}
+    assert got == brute_repeats([(d, t.encode()) for d, t in rows], 100)
+
+
+def test_runs_of_long_texts_in_parts(spark, monkeypatch):
+    rng = random.Random(56)
+    text = "".join(rng.choice("abcde") for _ in range(900))
+    rows = [(1, text), (2, text[300:700] + "z" + text[100:350]), (3, text[::-1])]
+    monkeypatch.setattr(suffix, "LONG", 128)
+    monkeypatch.setattr(suffix, "CHUNK", 200)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(documents(spark, rows), 40).collect()}
+    assert got == brute_repeats([(d, t.encode()) for d, t in rows], 40)
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"xxABCDEFyy", b"ABCDEFz", b"qABCDr", b"CDEF"]
     got = {(n, frozenset(o)) for n, o in suffix.maximal_repeats(texts, [max(0, len(t) - 3) for t in texts], 4)}
@@ -304,28 +325,61 @@ def test_quality_classifier(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def brute_strength(groups):
+    """groups: one list of arrays of p per parent."""
+    n = sum(len(x) for g in groups for x in g)
+    k = sum(len(g) for g in groups)
+    if k - len(groups) < 1 or n <= k:
+        return 20.0
+    within = sum(((x - x.mean()) ** 2).sum() for g in groups for x in g) / (n - k)
+    spread, n2 = 0.0, 0.0
+    for g in groups:
+        whole = np.concatenate(g)
+        spread += sum(len(x) * (x.mean() - whole.mean()) ** 2 for x in g)
+        n2 += sum(len(x) ** 2 for x in g) / len(whole)
+    between = (spread - (k - len(groups)) * within) / (n - n2)
+    return min(10_000.0, max(1.0, within / between)) if between > 0 else 10_000.0
+
+
+def brute_site_posteriors(rows):
+    key = lambda x: "-" if x is None or x != x else x
+    hosts, paths = {}, {}
+    for h, t, p in zip(rows.host, rows.path, rows.p):
+        hosts.setdefault(key(h), []).append(p)
+        paths.setdefault(key(h), {}).setdefault(key(t), []).append(p)
+    mean = rows.p.mean()
+    hk = brute_strength([[np.array(v) for v in hosts.values()]])
+    pk = brute_strength([[np.array(v) for v in g.values()] for g in paths.values()])
+    host = np.array([(sum(hosts[key(h)]) - p + hk * mean) / (len(hosts[key(h)]) - 1 + hk) for h, p in zip(rows.host, rows.p)])
+    own = [paths[key(h)][key(t)] for h, t in zip(rows.host, rows.path)]
+    return host, np.array([(sum(o) - p + pk * m) / (len(o) - 1 + pk) for o, p, m in zip(own, rows.p, host)])
+
+
+def test_site_posteriors_where_hosts_and_paths_differ(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for h in range(6):
+        for t in range(5):
+            level = np.clip(0.5 + 0.07 * h + 0.05 * (t - 2), 0.05, 0.95)
+            rows += [(f"h{h}" if h else None, f"t{t}", float(np.clip(rng.normal(level, 0.1), 0.001, 0.999)), int(rng.integers(0, 60))) for _ in range(int(rng.integers(1, 40)))]
+    got = bayes.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double, n_words long")).toPandas()
+    assert len(got) == len(rows)
+    host, path = brute_site_posteriors(got)
+    assert np.allclose(got.host_posterior, host) and np.allclose(got.path_posterior, path)
+    assert path.max() - path.min() > 0.3
+    logit = lambda q: np.log(q / (1 - q))
+    own = np.clip(logit(got.p), -12, 12) * got.n_words / (got.n_words + 8)
+    assert np.allclose(got.posterior, 1 / (1 + np.exp(-(own + np.clip(logit(path), -3, 3)))))
+
+
 def test_site_bayes(spark):
     docs, labels = quality_data(spark)
     model = quality.train(docs, labels)
     out = bayes.classify(docs, model)
     rows = out.toPandas()
     assert len(rows) == docs.count()
-    mean = rows.p.mean()
-    n, s = (rows.groupby("host", dropna=False).p.transform(f) for f in ("size", "sum"))
-    paths = rows.groupby(["host", "path"], dropna=False).p.agg(["size", "sum"]).rename(columns={"size": "n", "sum": "s"}).reset_index()
-    hosts = rows.groupby("host", dropna=False).p.agg(["size", "sum"]).rename(columns={"size": "n", "sum": "s"}).reset_index()
-
-    def brute_strength(g):
-        g = g[g.n > 1]
-        v, total = (g.n * (g.s / g.n - mean) ** 2).sum(), g.n.sum()
-        between = (v - (len(g) - 1) * mean * (1 - mean)) / (total - (g.n**2).sum() / total) if len(g) > 1 else None
-        return 20.0 if between is None else 10_000.0 if between <= 0 else min(10_000.0, max(1.0, mean * (1 - mean) / between - 1))
-
-    hk, pk = brute_strength(hosts), brute_strength(paths)
-    host = (s - rows.p + hk * mean) / (n - 1 + hk)
-    assert np.allclose(rows.host_posterior, host)
-    pn, ps = (rows.groupby(["host", "path"], dropna=False).p.transform(f) for f in ("size", "sum"))
-    assert np.allclose(rows.path_posterior, (ps - rows.p + pk * host) / (pn - 1 + pk))
+    host, path = brute_site_posteriors(rows)
+    assert np.allclose(rows.host_posterior, host) and np.allclose(rows.path_posterior, path)
     kept = {r["doc_id"] for r in bayes.drop_rejected(docs, model).collect()}
     assert None in kept and all((i in kept) == (i % 4 > 0) for i in range(1, 400, 2))
     assert bayes.classify(docs.limit(0), model).count() == 0
@@ -393,6 +447,16 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_drop_near_duplicates_of_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(5, text(1)), (5, text(1)), (6, text(1)), (7, text(2)), (7, text(3)), (8, text(2)), (3, text(3)), (None, text(1)), (9, text(4))]
+    docs = documents(spark, rows).withColumn("fp", F.lit(1)).withColumn("fp_id", F.lit(2))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect())
+    assert got == sorted([(5, text(1)), (7, text(2)), (3, text(3)), (-1, text(1)), (9, text(4))])
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 def test_perspective_rotation(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo\n"), (2, 0, "user", None), (2, None, None, "?"), (None, 0, "user", "x"), (3, 5, "a", "t"), (3, 5, "a", "t"), (3, 700, "b", "u")]
