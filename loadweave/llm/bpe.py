@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 32
 CACHED = 250_000
@@ -213,7 +215,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "length long")
 
 
-def length_histogram(lengths: DataFrame, block: int = 4096) -> DataFrame:
+def length_histogram(lengths: DataFrame, block: int = 512) -> DataFrame:
     """Exact histogram of (length) with its suffix sums, one row per length that occurs:
 
     length, n_docs, n_tokens (theirs), docs_from / tokens_from (of all with at least this length),
@@ -223,8 +225,9 @@ def length_histogram(lengths: DataFrame, block: int = 4096) -> DataFrame:
     take the next length's suffix: tokens_total - tokens_from + limit * docs_from.
 
     Null lengths count as 0; an empty table gives no rows. Suffix sums are taken inside blocks of
-    `block` lengths and over the block totals, so no task scans the histogram as a whole."""
-    h = (
+    `block` lengths and over the block totals, so no task scans the histogram as a whole. The histogram is
+    written once, so that texts aren't encoded again for the totals."""
+    h = materialize(
         lengths.select(F.coalesce("length", F.lit(0)).cast("long").alias("length"))
         .groupBy("length")
         .agg(F.count("*").alias("n_docs"))
