@@ -1,12 +1,14 @@
 """Online calibration of bands and point forecasts; every window ends before the day it serves.
 
-Rows are (series_id, day, hour, actual, p10, p50, p90). The search grids are small constants that
-are exploded per row of a window, so each operator is one range join on the day number (equal
-series, bounded window) and two aggregations.
+Rows are (series_id, day, hour, actual, p10, p50, p90). What a row says for each value of a search
+grid is summed up per day first; a window then adds the sums of its days, so no row is copied for the
+days it serves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,11 @@ def grid(low: float, high: float, n: int) -> Column:
     return F.array(*(F.lit(low + (high - low) * i / (n - 1)) for i in range(n)))
 
 
+def _before(window: int):
+    """The `window` days before each day of a series."""
+    return W.partitionBy("series_id").orderBy("day").rangeBetween(-window, -1)
+
+
 def _history(rows: DataFrame, window: int, least: int) -> DataFrame:
     """Each day with the rows of the `window` days before it, where at least `least` days exist. Days
     are spread over the days they serve by explode, so the join is by key and not a range join."""
@@ -29,31 +36,56 @@ def _history(rows: DataFrame, window: int, least: int) -> DataFrame:
     return x.join(enough, ["series_id", "for_day"], "left_semi")
 
 
+def _best_on_grid(rows: DataFrame, tests: dict[str, tuple[Callable[[Column], Column], float]], window: int, least: int, points: Column, n: int) -> DataFrame:
+    """(series_id, day, name of each test): the grid point at which the share of a window's rows that pass the test
+    is nearest its target, the smallest on ties; null where history is short. A test passes on one stretch of
+    the grid (or nowhere), so a row is its two ends and a day is n counts."""
+    flags = {k: F.transform(points, test) for k, (test, _) in tests.items()}
+    ends = lambda f: F.struct(F.array_position(f, True).alias("a"), (n + 1 - F.array_position(F.reverse(f), True)).alias("z"))
+    whole = F.col("actual").isNotNull() & F.col("p10").isNotNull() & F.col("p50").isNotNull() & F.col("p90").isNotNull()
+    daily = rows.groupBy("series_id", "day").agg(F.count_if(whole).alias("n"), *(F.collect_list(F.when(whole, ends(f))).alias(k) for k, f in flags.items()))
+    place = F.sequence(F.lit(1), F.lit(n))
+
+    def passed(k: str) -> Column:
+        return F.transform(place, lambda p: F.size(F.filter(k, lambda x: (x["a"] > 0) & (x["a"] <= p) & (p <= x["z"]))))
+
+    past = daily.withColumns({k: passed(k) for k in tests})
+    w = _before(window)
+    past = past.select("series_id", "day", F.count("*").over(w).alias("days"), F.sum("n").over(w).alias("n"), *(F.collect_list(k).over(w).alias(k) for k in tests))
+
+    def best(k: str, target: float) -> Column:
+        share = lambda i: F.aggregate(k, F.lit(0), lambda total, day: total + day[i]) / F.col("n")
+        scored = F.transform(points, lambda s, i: F.struct(F.round(F.abs(share(i) - target), 12).alias("miss"), s.alias("s")))
+        return F.when((F.col("days") >= least) & (F.col("n") > 0), F.array_min(scored)["s"])
+
+    return past.select("series_id", "day", *(best(k, target).alias(k) for k, (_, target) in tests.items()))
+
+
+def _shrunk(s: Column, shrink: float) -> Column:
+    return F.coalesce(1 + shrink * (s - 1), F.lit(1.0))
+
+
+def _low_edge(s: Column) -> Column:
+    return F.col("p50") - s * (F.col("p50") - F.col("p10"))
+
+
+def _high_edge(s: Column) -> Column:
+    return F.col("p50") + s * (F.col("p90") - F.col("p50"))
+
+
 def rolling_scale(rows: DataFrame, window: int = 28, target: float = 0.8, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0, n: int = 136) -> DataFrame:
     """(series_id, day, scale): the factor on both band halves whose coverage was nearest the target,
-    smaller factors first, shrunk toward 1; 1 where history is short."""
-    x = _history(rows, window, least).withColumn("s", F.explode(grid(low, high, n)))
-    inside = F.col("actual").between(F.col("p50") - F.col("s") * (F.col("p50") - F.col("p10")), F.col("p50") + F.col("s") * (F.col("p90") - F.col("p50")))
-    hits = x.groupBy("series_id", "for_day", "s").agg(F.avg(inside.cast("double")).alias("c"))
-    best = hits.groupBy("series_id", "for_day").agg(F.min_by("s", F.struct(F.round(F.abs(F.col("c") - target), 12), "s")).alias("s"))
-    days = rows.select("series_id", "day").distinct()
-    return days.join(best.withColumnRenamed("for_day", "day"), ["series_id", "day"], "left").select(
-        "series_id", "day", F.coalesce(1 + shrink * (F.col("s") - 1), F.lit(1.0)).alias("scale")
-    )
+    smaller factors first, shrunk toward 1; 1 where history is short. Rows with a missing value don't count."""
+    inside = lambda s: F.col("actual").between(_low_edge(s), _high_edge(s))
+    best = _best_on_grid(rows, {"s": (inside, target)}, window, least, grid(low, high, n), n)
+    return best.select("series_id", "day", _shrunk(F.col("s"), shrink).alias("scale"))
 
 
 def rolling_tail_scales(rows: DataFrame, window: int = 28, tail: float = 0.1, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0, n: int = 136) -> DataFrame:
     """(series_id, day, scale_low, scale_high): each band half by its own tail share."""
-    x = _history(rows, window, least).withColumn("s", F.explode(grid(low, high, n)))
-    below = F.col("actual") < F.col("p50") - F.col("s") * (F.col("p50") - F.col("p10"))
-    above = F.col("actual") > F.col("p50") + F.col("s") * (F.col("p90") - F.col("p50"))
-    hits = x.groupBy("series_id", "for_day", "s").agg(F.avg(below.cast("double")).alias("b"), F.avg(above.cast("double")).alias("a"))
-    pick = lambda c: F.min_by("s", F.struct(F.round(F.abs(F.col(c) - tail), 12), "s"))
-    best = hits.groupBy("series_id", "for_day").agg(pick("b").alias("lo"), pick("a").alias("hi"))
-    days = rows.select("series_id", "day").distinct()
-    return days.join(best.withColumnRenamed("for_day", "day"), ["series_id", "day"], "left").select(
-        "series_id", "day", *(F.coalesce(1 + shrink * (F.col(c) - 1), F.lit(1.0)).alias(a) for c, a in (("lo", "scale_low"), ("hi", "scale_high")))
-    )
+    tests = {"lo": (lambda s: F.col("actual") < _low_edge(s), tail), "hi": (lambda s: F.col("actual") > _high_edge(s), tail)}
+    best = _best_on_grid(rows, tests, window, least, grid(low, high, n), n)
+    return best.select("series_id", "day", _shrunk(F.col("lo"), shrink).alias("scale_low"), _shrunk(F.col("hi"), shrink).alias("scale_high"))
 
 
 def apply_scales(rows: DataFrame, scales: DataFrame) -> DataFrame:
@@ -66,15 +98,18 @@ def apply_scales(rows: DataFrame, scales: DataFrame) -> DataFrame:
 
 def residual_feedback(rows: DataFrame, window: int = 28, shrink: float = 0.5, least: int = 14, rho_max: float = 0.8, n: int = 17) -> DataFrame:
     """(series_id, day, hour, rho, delta, corrected): yesterday's residual at the hour, times the rho that
-    was best over the window (smallest on ties), shrunk. The first day has no delta."""
+    was best over the window (smallest on ties), shrunk; rho is 0 before `least` days. The first day
+    has no delta and, as it has no day before it, no part in the choice."""
     hour = W.partitionBy("series_id", "hour").orderBy("day")
     x = rows.withColumn("residual", F.col("actual") - F.col("p50")).withColumn("before", F.lag("residual").over(hour))
-    tuned = _history(x.where("before is not null").select("series_id", "day", "residual", "before"), window, least)
-    # a window that starts at the first day has no residual before it there: that day counts with rho 0
-    tuned = tuned.withColumn("r", F.explode(grid(0.0, rho_max, n)))
-    mae = tuned.groupBy("series_id", "for_day", "r").agg(F.avg(F.abs(F.col("residual") - F.col("r") * F.col("before"))).alias("mae"))
-    best = mae.groupBy("series_id", "for_day").agg(F.min_by("r", F.struct(F.round("mae", 9), "r")).alias("r"))
-    out = x.join(best.withColumnRenamed("for_day", "day"), ["series_id", "day"], "left").withColumn("rho", shrink * F.coalesce("r", F.lit(0.0)))
+    steps = [rho_max * i / (n - 1) for i in range(n)]
+    miss = F.col("residual") - F.col("before")  # not null where both are
+    daily = x.groupBy("series_id", "day").agg(F.count(miss).alias("n"), *(F.sum(F.abs(F.col("residual") - r * F.col("before"))).alias(f"m{i}") for i, r in enumerate(steps)))
+    w = _before(window)
+    past = daily.select("series_id", "day", F.count("*").over(w).alias("days"), F.sum("n").over(w).alias("n"), *(F.sum(f"m{i}").over(w).alias(f"m{i}") for i in range(n)))
+    best = F.array_min(F.array(*(F.struct(F.round(F.col(f"m{i}") / F.col("n"), 9).alias("mae"), F.lit(r).alias("r")) for i, r in enumerate(steps))))["r"]
+    tuned = past.select("series_id", "day", F.when((F.col("days") >= least) & (F.col("n") > 0), best).alias("r"))
+    out = x.join(tuned, ["series_id", "day"], "left").withColumn("rho", shrink * F.coalesce("r", F.lit(0.0)))
     delta = F.coalesce(F.col("rho") * F.col("before"), F.lit(0.0))
     return out.withColumn("delta", delta).withColumn("corrected", F.col("p50") + F.col("delta")).select("series_id", "day", "hour", "rho", "delta", "corrected")
 
