@@ -26,16 +26,19 @@ def baselines(days: DataFrame) -> DataFrame:
     return x.withColumn("target", F.col("value") - F.col("snaive"))
 
 
-def holiday_aware_base(days: DataFrame, holidays: DataFrame, weeks: int = 8) -> DataFrame:
+def holiday_aware_base(days: DataFrame, holidays: DataFrame | None, weeks: int = 8) -> DataFrame:
     """Adds base: the value 7, 14, ... days back, passing over holidays while an earlier step exists; the
-    oldest step counts even if it is a holiday. `weeks` bounds the walk."""
-    h = F.broadcast(holidays.select(F.col("holiday").alias("local_date"), F.lit(True).alias("hol")).distinct())
+    oldest step counts even if it is a holiday. `weeks` bounds the walk. Without holidays it is the
+    value 7 days back."""
+    if holidays is None:
+        return days.withColumn("base", F.lag("value", 7).over(by_hour()))
+    h = holidays.select(F.col("holiday").alias("local_date"), F.lit(True).alias("hol")).distinct()
     x = days.join(h, "local_date", "left").withColumn("hol", F.coalesce("hol", F.lit(False)))
     steps = [F.struct(F.lag("value", 7 * k).over(by_hour()).alias("v"), F.lag("hol", 7 * k).over(by_hour()).alias("h")) for k in range(1, weeks + 1)]
     x = x.withColumn("back", F.filter(F.array(*steps), lambda s: s["h"].isNotNull()))
     free = F.filter("back", lambda s: ~s["h"])
     base = F.coalesce(F.try_element_at(free, F.lit(1))["v"], F.try_element_at("back", F.lit(-1))["v"])
-    return x.withColumn("base", base).drop("back", "hol")
+    return x.select(*days.columns, base.alias("base"))
 
 
 def _harmonics(angle: Column, name: str, orders: tuple[int, ...]) -> dict[str, Column]:
@@ -49,22 +52,23 @@ def calendar(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     x = x.withColumn("weekend", (F.weekday("local_date") >= 5).cast("double"))
     if holidays is None:
         return x.withColumn("holiday", F.lit(0.0))
-    h = F.broadcast(holidays.select(F.col("holiday").alias("local_date"), F.lit(1.0).alias("holiday")).distinct())
+    h = holidays.select(F.col("holiday").alias("local_date"), F.lit(1.0).alias("holiday")).distinct()
     return x.join(h, "local_date", "left").withColumn("holiday", F.coalesce("holiday", F.lit(0.0)))
 
 
 # The feature columns in order.
 FEATURES = ["one", "dev_prev", "dev_mean", "trend", "week_step", "sin_h1", "cos_h1", "sin_h2", "cos_h2", "sin_d1", "cos_d1", "weekend", "holiday"]
-SMALL = ["d_2_9", "d_3_10", "d_7_14", "roll3", "roll7", "evening", "morning", "evening_dev", "morning_dev"]
-EXTENDED = FEATURES + ["lag2", "roll3", "weekend_evening"]
+SMALL = ["d_2_9", "d_3_10", "d_7_14", "roll3", "roll7", "evening_dev", "morning_dev", "weekend_evening", "weekend_morning"]
+EXTENDED = ["lag2", "roll3", "weekend_evening"]
 
 
 def features(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """The 13 features of FEATURES, the naive base snaive and the target; rows from day 8 on.
+    """The 13 features of FEATURES, the baselines persist and snaive, the holiday-aware base and the target (value
+    minus base); rows from day 8 on. Other columns of days, such as weather, stay.
 
-    dev_prev: yesterday against the same day a week earlier, at this hour; dev_mean: the same of day
-    means; trend: yesterday's mean against that of two days ago; week_step: yesterday against the
-    value a week ago."""
+    dev_prev: yesterday against the same day a week earlier, at this hour; dev_mean and trend: the same
+    of day means (as the mean deviation and as the deviation of means); week_step: yesterday against
+    the value a week ago."""
     lag = lambda k: F.lag("value", k).over(by_hour())
     x = days.withColumn("day_mean", F.avg("value").over(W.partitionBy("series_id", "day_idx")))
     mean = lambda k: F.lag("day_mean", k).over(by_hour())
@@ -75,42 +79,40 @@ def features(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
             "persist": lag(1),
             "dev_prev": lag(1) - lag(8),
             "dev_mean": mean(1) - mean(8),
-            "trend": mean(1) - mean(2),
+            "trend": mean(1) - mean(8),
             "week_step": lag(1) - lag(7),
         }
     )
-    x = calendar(x, holidays).withColumn("target", F.col("value") - F.col("snaive"))
+    x = calendar(holiday_aware_base(x, holidays), holidays).withColumn("target", F.col("value") - F.col("base"))
     return x.where(F.col("day_idx") >= FIRST)
 
 
+def _bump(at: float) -> Column:
+    """A bell of two hours' width."""
+    return F.exp(-F.pow(F.col("hour") - at, 2) / 8)
+
+
 def small_load_features(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """The 13 features and the 9 of SMALL for small, nervous loads; rows from day 14 on."""
+    """The 13 features and the 9 of SMALL for small, nervous loads; rows from day 14 on. The deviations of
+    evening and morning are those of the day means."""
     lag = lambda k: F.lag("value", k).over(by_hour())
     roll = lambda k: F.avg("value").over(by_hour().rowsBetween(-k, -1)) - lag(7)
-    bump = lambda at, width: F.exp(-F.pow((F.col("hour") - at) / width, 2) / 2)
-    x = days.withColumns(
-        {
-            "d_2_9": lag(2) - lag(9),
-            "d_3_10": lag(3) - lag(10),
-            "d_7_14": lag(7) - lag(14),
-            "roll3": roll(3),
-            "roll7": roll(7),
-            "lag2": lag(2) - lag(7),
-            "evening": bump(19.0, 2.0),
-            "morning": bump(8.0, 2.0),
-        }
-    )
+    x = days.withColumns({"d_2_9": lag(2) - lag(9), "d_3_10": lag(3) - lag(10), "d_7_14": lag(7) - lag(14), "roll3": roll(3), "roll7": roll(7)})
+    bells = {"evening": _bump(19.0), "morning": _bump(8.0)}
     x = features(x, holidays)
-    x = x.withColumns(
-        {
-            "evening_dev": F.col("evening") * F.col("dev_prev"),
-            "morning_dev": F.col("morning") * F.col("dev_prev"),
-            "weekend_evening": F.col("weekend") * F.col("evening"),
-        }
-    )
+    x = x.withColumns({f"{k}_dev": F.col("trend") * v for k, v in bells.items()} | {f"weekend_{k}": F.col("weekend") * v for k, v in bells.items()})
     return x.where(F.col("day_idx") >= FIRST_SMALL)
 
 
+def extended_features(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """The 13 features and the three of EXTENDED (the deviation two days back, that of the last three days' mean,
+    weekend evenings); rows from day 9 on."""
+    lag = lambda k: F.lag("value", k).over(by_hour())
+    x = days.withColumns({"lag2": lag(2) - lag(9), "roll3": F.avg("value").over(by_hour().rowsBetween(-3, -1)) - lag(7)})
+    x = features(x, holidays).withColumn("weekend_evening", F.col("weekend") * _bump(19.0))
+    return x.where(F.col("day_idx") >= FIRST + 1)
+
+
 def generation_features(days: DataFrame, proxy: str) -> DataFrame:
     """Proxy, its square and hour, weekday and day-of-year harmonics for generation bias models."""
     year = F.dayofyear("local_date") * (2 * math.pi / 365.25)

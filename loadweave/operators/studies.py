@@ -57,12 +57,12 @@ def generation_bias(days: DataFrame, proxy: str, n_test: int, retrain_every: int
     return x.select("series_id", "day_idx", "hour", F.col("value").alias("actual"), F.greatest(F.lit(0.0), models.dot("x", "weights")).alias("forecast"))
 
 
-def bagged_intervals(rows: DataFrame, n_models: int = 10, block: int = 7, alpha: float = 0.2, seed: int = 5, train_until: int | None = None) -> DataFrame:
+def bagged_intervals(rows: DataFrame, n_models: int = 10, block: int = 7, alpha: float = 0.2, seed: int = 5, n_test: int = 0) -> DataFrame:
     """Block-bootstrapped ridge ensemble: each member sees weekly blocks drawn by hash, the band comes from the
-    residuals of the members' mean on the training days. rows are models.with_vector() rows."""
-    known = rows.where("target is not null")
-    if train_until is not None:
-        known = known.where(F.col("day_idx") < train_until)
+    residuals of the members' mean on the training days, which leave out the last n_test known days. rows are
+    models.with_vector() rows."""
+    ends = rows.where("target is not null").groupBy("series_id").agg((F.max("day_idx") + 1 - n_test).alias("until"))
+    known = rows.where("target is not null").join(ends, "series_id").where("day_idx < until").drop("until")
     blocks = known.select("series_id", F.floor(F.col("day_idx") / block).alias("b")).distinct()
     place = blocks.withColumn("k", F.row_number().over(W.partitionBy("series_id").orderBy("b")) - 1).withColumn("n", F.count("*").over(W.partitionBy("series_id")))
     tries = place.select("series_id", F.col("k").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))).alias("m"))
@@ -73,11 +73,12 @@ def bagged_intervals(rows: DataFrame, n_models: int = 10, block: int = 7, alpha:
     fitted = models.fit_expanding(x, 0, (10.0,), shrunk=False).withColumn("series_id", F.substring_index("series_id", "#", 1))
     mean = fitted.select("series_id", F.posexplode("weights").alias("i", "w")).groupBy("series_id", "i").agg(F.avg("w").alias("w"))
     mean = mean.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("s")).select("series_id", F.col("s.w").alias("weights"))
-    p = rows.join(mean, "series_id").withColumn("model", F.col("snaive") + models.dot("x", "weights"))
-    inside = p.where("value is not null") if train_until is None else p.where((F.col("day_idx") < train_until) & F.col("value").isNotNull())
+    p = rows.join(mean, "series_id").withColumn("model", F.col("base") + models.dot("x", "weights"))
+    p = p.join(ends, "series_id")
+    inside = p.where((F.col("day_idx") < F.col("until")) & F.col("value").isNotNull())
     q = F.percentile(F.col("value") - F.col("model"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     band = inside.groupBy("series_id").agg(q[0].alias("lo"), q[1].alias("hi"))
-    return p.join(band, "series_id").select("series_id", "day_idx", "hour", F.col("value").alias("actual"), "model", (F.col("model") + F.col("lo")).alias("p10"), (F.col("model") + F.col("hi")).alias("p90"))
+    return p.where(F.col("day_idx") >= F.col("until") if n_test else F.lit(True)).join(band, "series_id").select("series_id", "day_idx", "hour", F.col("value").alias("actual"), "model", (F.col("model") + F.col("lo")).alias("p10"), (F.col("model") + F.col("hi")).alias("p90"))
 
 
 def temporal_reconciliation(quarters: DataFrame, n_test: int = 7, method: str = "wls_var") -> DataFrame:
