@@ -15,8 +15,8 @@ GENESIS = "0" * 64
 ENTRY = "ledger_id string, seq long, prev_hash string, payload string, entry_hash string"
 
 
-def canonical_json(*columns: Column | str) -> Column:
-    """JSON of the named columns in name order, no blanks; nested structs must be ordered by the caller."""
+def payload_json(*columns: Column | str) -> Column:
+    """The fixed format of a payload: JSON of the named columns in name order, no blanks; nested structs must be ordered by the caller."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
@@ -93,7 +93,7 @@ def fairness(events: DataFrame) -> DataFrame:
     is missing anywhere, and then the absolute total is the burden."""
     x = events.withColumn("share", F.when(F.col("demand_kw") > 0, F.col("shed_kw") / F.col("demand_kw")))
     x = x.groupBy("device_id").agg(F.sum("shed_kw").alias("shed_kwh"), F.avg("share").alias("share"), F.bool_and(F.col("demand_kw") > 0).alias("known"))
-    x = x.withColumn("relative", F.min(F.coalesce("known", F.lit(False))).over(W.partitionBy(F.lit(0))))
+    x = x.crossJoin(x.agg(F.coalesce(F.bool_and(F.coalesce("known", F.lit(False))), F.lit(False)).alias("relative")))  # one row
     return x.withColumn("burden", F.when(F.col("relative"), F.col("share")).otherwise(F.col("shed_kwh"))).drop("known")
 
 

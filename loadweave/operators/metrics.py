@@ -19,6 +19,49 @@ def pairs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: finite(c) for c in columns}).na.drop(subset=list(columns))
 
 
+def _meet(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their group; without keys that is one row."""
+    return rows.join(groups, list(by)) if by else rows.crossJoin(groups)
+
+
+def cumulative(values: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], blocks: int = 64) -> DataFrame:
+    """Rows with distinct values in each group -> adds upto_<c> (sum of c over values up to this one) and all_<c>. Values
+    go to blocks between approximate quantiles, sums run inside blocks and over block totals, so no
+    task scans a group as a whole; the blocks' borders don't change the result."""
+    levels = F.array(*(F.lit(k / blocks) for k in range(1, blocks)))
+    edges = values.groupBy(*by).agg(F.percentile_approx(value, levels).alias("edges"))
+    x = _meet(values, edges, by)
+    x = x.withColumn("block", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
+    inside = W.partitionBy(*by, "block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    totals = x.groupBy(*by, "block").agg(*(F.sum(c).alias(f"in_{c}") for c in counts))
+    before = group.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*by, "block", *(F.coalesce(F.sum(f"in_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in counts), *(F.sum(f"in_{c}").over(group).alias(f"all_{c}") for c in counts))
+    x = x.select("*", *(F.sum(c).over(inside).alias(f"own_{c}") for c in counts)).join(totals, [*by, "block"])
+    return x.select(*values.columns, *((F.col(f"own_{c}") + F.col(f"before_{c}")).alias(f"upto_{c}") for c in counts), *(f"all_{c}" for c in counts))
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, levels: Sequence[float], name: str = "q") -> DataFrame:
+    """(by, n, name: array of the interpolated quantiles of a column without nulls). Exact, without a buffer of a
+    group's values: equal values are counted first, and each quantile takes two of them by position."""
+    x = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    x = cumulative(x, by, "v", ["k"])
+    first, last = F.col("upto_k") - F.col("k"), F.col("upto_k") - 1
+    parts = []
+    for i, level in enumerate(levels):
+        at = (F.col("all_k") - 1) * F.lit(float(level))
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            parts.append(F.max(F.when((place >= first) & (place <= last), F.col("v"))).alias(f"{side}{i}"))
+    x = x.groupBy(*by).agg(F.max("all_k").alias("n"), *parts)
+
+    def between(i: int, level: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(float(level))
+        share = at - F.floor(at)
+        return F.col(f"lo{i}") * (1 - share) + F.col(f"hi{i}") * share
+
+    return x.select(*by, "n", F.array(*(between(i, q) for i, q in enumerate(levels))).alias(name))
+
+
 def point_metrics(rows: DataFrame, by: Sequence[str], pred: str = "pred", actual: str = "actual") -> DataFrame:
     e = F.col(pred) - F.col(actual)
     return (
@@ -117,10 +160,9 @@ def surplus_deficit(rows: DataFrame, by: Sequence[str], forecast: str, actual: s
 def spread_stats(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Of |value|: n, mean, median, quartiles and 95th percentile; and the signed mean."""
     x = rows.withColumn("_v", finite(value)).na.drop(subset=["_v"]).withColumn("_a", F.abs("_v"))
-    q = F.percentile("_a", F.array(*(F.lit(v) for v in (0.5, 0.25, 0.75, 0.95))))
-    return x.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("_a").alias("mean"), q[0].alias("median"), q[1].alias("p25"), q[2].alias("p75"), q[3].alias("p95"), F.avg("_v").alias("signed_mean")
-    )
+    q = quantiles(x, by, "_a", (0.5, 0.25, 0.75, 0.95)).drop("n")
+    base = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_a").alias("mean"), F.avg("_v").alias("signed_mean"))
+    return _meet(base, q, by).select(*by, "n", "mean", *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "p25", "p75", "p95"))), "signed_mean")
 
 
 def saving_estimates(stats: DataFrame, delta_mae: float, hours: float = 8760.0) -> DataFrame:
@@ -141,19 +183,18 @@ def realized_settlement(rows: DataFrame, by: Sequence[str], baseline: str, model
 
 
 def cvar(rows: DataFrame, by: Sequence[str], cost: str, alpha: float = 0.95) -> DataFrame:
-    var = F.percentile(cost, alpha)
     x = pairs(rows, cost)
-    at = x.groupBy(*by).agg(var.alias("var"))
-    return x.join(at, list(by)).groupBy(*by).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col(cost) - F.col("var"), F.lit(0.0))) / (1 - alpha)).alias("cvar"))
+    at = quantiles(x, by, cost, [alpha]).select(*by, F.col("q")[0].alias("var"))
+    x = _meet(x, at, by)
+    return x.groupBy(*by).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col(cost) - F.col("var"), F.lit(0.0))) / (1 - alpha)).alias("cvar"))
 
 
 # --- drift --------------------------------------------------------------------------------------
 def psi(errors: DataFrame, by: Sequence[str], value: str = "error", recent: str = "recent", bins: int = 10, eps: float = 1e-4, least: int = 10) -> DataFrame:
     """Population stability index of recent against reference rows on the reference's deciles."""
     x = pairs(errors, value)
-    levels = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    edges = x.where(~F.col(recent)).groupBy(*by).agg(F.percentile(value, levels).alias("edges"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    placed = x.join(edges, list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
+    edges = quantiles(x.where(~F.col(recent)), by, value, [k / bins for k in range(1, bins)], "edges").where(F.col("n") >= least).drop("n")
+    placed = _meet(x, edges, by).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
     counts = placed.groupBy(*by, "bin").agg(F.sum((~F.col(recent)).cast("long")).alias("r"), F.sum(F.col(recent).cast("long")).alias("c"))
     total = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     shares = counts.withColumn("pr", F.greatest(F.lit(eps), F.try_divide("r", F.sum("r").over(total)))).withColumn(
@@ -166,11 +207,10 @@ def psi(errors: DataFrame, by: Sequence[str], value: str = "error", recent: str
 def ks(errors: DataFrame, by: Sequence[str], value: str = "error", recent: str = "recent") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance; ties count together."""
     x = pairs(errors, value).groupBy(*by, value).agg(F.sum((~F.col(recent)).cast("long")).alias("r"), F.sum(F.col(recent).cast("long")).alias("c"))
-    upto, every = W.partitionBy(*by).orderBy(value), W.partitionBy(*by)
-    d = F.abs(F.sum("r").over(upto) / F.sum("r").over(every) - F.sum("c").over(upto) / F.sum("c").over(every))
-    return x.withColumn("d", d).withColumn("nr", F.sum("r").over(every)).withColumn("nc", F.sum("c").over(every)).groupBy(*by).agg(
-        F.max("d").alias("ks"), (1.358 * F.sqrt((F.first("nr") + F.first("nc")) / (F.first("nr") * F.first("nc")))).alias("ks_critical")
-    )
+    x = cumulative(x, by, value, ["r", "c"])
+    d = F.abs(F.try_divide("upto_r", "all_r") - F.try_divide("upto_c", "all_c"))
+    nr, nc = F.first("all_r"), F.first("all_c")
+    return x.withColumn("d", d).groupBy(*by).agg(F.max("d").alias("ks"), (1.358 * F.sqrt(F.try_divide(nr + nc, nr * nc))).alias("ks_critical"))
 
 
 STATUS = ["stable", "watch", "drift"]

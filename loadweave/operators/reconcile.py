@@ -1,11 +1,13 @@
 """Hierarchical reconciliation (MinT): the nearest coherent forecasts under a weighting of nodes.
 
-A hierarchy is (node_id, leaf_id, weight). Groups (e.g. hours) are independent; the projection of a
-hierarchy is one small dense solve in a grouped task, applying it is a grouped task as well.
+A hierarchy is (node_id, leaf_id, weight). The projection of a hierarchy is one small dense solve in Python;
+it is applied to each period in column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,31 +38,42 @@ def node_weights(s: np.ndarray, method: str, residuals: np.ndarray | None = None
     raise ValueError(method)
 
 
-def reconcile(base: DataFrame, hierarchy: DataFrame, method: str = "ols", residuals: DataFrame | None = None, shrink: float = 0.2) -> DataFrame:
-    """base(tree_id, period, node_id, value), hierarchy(tree_id, node_id, leaf_id, weight), residuals(tree_id, t,
-    node_id, residual) -> base with the coherent value added as reconciled. Periods with a missing
-    node get null. A tree's size bounds its group."""
+def projections(hierarchy: DataFrame, method: str = "ols", residuals: DataFrame | None = None, shrink: float = 0.2) -> DataFrame:
+    """(tree_id, nodes, rows): the nodes of a tree in order and, for each, its row of the projection. One small dense
+    solve a tree, whatever the number of periods."""
     h = hierarchy.groupBy("tree_id").agg(F.collect_list(F.struct("node_id", "leaf_id", "weight")).alias("edges"))
-    x = base.join(h, "tree_id")
     if residuals is not None:
         r = residuals.groupBy("tree_id").agg(F.collect_list(F.struct("t", "node_id", "residual")).alias("residuals"))
-        x = x.join(r, "tree_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = pd.DataFrame([e.asDict() if hasattr(e, "asDict") else e for e in pdf["edges"].iloc[0]])
-        s = edges.pivot_table(index="node_id", columns="leaf_id", values="weight", aggfunc="sum", fill_value=0.0).sort_index()
-        past = None
-        if "residuals" in pdf:
-            rows = pd.DataFrame([e.asDict() if hasattr(e, "asDict") else e for e in pdf["residuals"].iloc[0]])
-            past = rows.pivot_table(index="t", columns="node_id", values="residual").reindex(columns=s.index).dropna().to_numpy()
-        p = projection(s.to_numpy(float), node_weights(s.to_numpy(float), method, past, shrink))
-        wide = pdf.pivot_table(index="period", columns="node_id", values="value", aggfunc="first").reindex(columns=s.index)
-        fixed = pd.DataFrame(wide.to_numpy() @ p.T, index=wide.index, columns=s.index).stack().rename("reconciled").reset_index()
-        out = pdf[["tree_id", "period", "node_id", "value"]].merge(fixed, on=["period", "node_id"], how="left")
-        return out[["tree_id", "period", "node_id", "value", "reconciled"]]
-
-    kinds = {c: base.schema[c].dataType.simpleString() for c in ("tree_id", "period", "node_id")}
-    return x.groupBy("tree_id").applyInPandas(run, f"tree_id {kinds['tree_id']}, period {kinds['period']}, node_id {kinds['node_id']}, value double, reconciled double")
+        h = h.join(r, "tree_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                s = pd.DataFrame(list(row.edges)).pivot_table(index="node_id", columns="leaf_id", values="weight", aggfunc="sum", fill_value=0.0).sort_index()
+                past = None
+                if residuals is not None:
+                    past = pd.DataFrame(list(row.residuals)).pivot_table(index="t", columns="node_id", values="residual").reindex(columns=s.index).dropna().to_numpy()
+                p = projection(s.to_numpy(float), node_weights(s.to_numpy(float), method, past, shrink))
+                out.append((row.tree_id, list(s.index), p.tolist()))
+            yield pd.DataFrame(out, columns=["tree_id", "nodes", "rows"])
+
+    kinds = {c: hierarchy.schema[c].dataType.simpleString() for c in ("tree_id", "node_id")}
+    return h.mapInPandas(run, f"tree_id {kinds['tree_id']}, nodes array<{kinds['node_id']}>, rows array<array<double>>")
+
+
+def reconcile(base: DataFrame, hierarchy: DataFrame, method: str = "ols", residuals: DataFrame | None = None, shrink: float = 0.2) -> DataFrame:
+    """base(tree_id, period, node_id, value), hierarchy(tree_id, node_id, leaf_id, weight), residuals(tree_id, t,
+    node_id, residual) -> base with the coherent value added as reconciled. Periods with a missing
+    node get null. Periods are groups of their own, as large as a tree."""
+    p = projections(hierarchy, method, residuals, shrink)
+    x = base.groupBy("tree_id", "period").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "value"))).alias("v")).join(p, "tree_id")
+    y = F.transform("nodes", lambda n: F.col("v")[n])
+    dot = lambda row: F.aggregate(F.zip_with(row, "y", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    x = x.withColumn("y", y).withColumn("fixed", F.transform("rows", dot))
+    x = x.select("tree_id", "period", F.explode(F.arrays_zip("nodes", "y", "fixed")).alias("n"))
+    fixed = x.select("tree_id", "period", F.col("n.nodes").alias("node_id"), F.col("n.fixed").alias("reconciled"))
+    return base.select("tree_id", "period", "node_id", F.col("value").cast("double").alias("value")).join(fixed, ["tree_id", "period", "node_id"], "left")
 
 
 def star_ols(base: DataFrame) -> DataFrame:

@@ -86,11 +86,18 @@ def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names. Only a local session may do without: a folder of
+    its own machine is no good to a cluster's executors."""
     sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loadweave-"))
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not root:
+            import tempfile
+
+            root = tempfile.mkdtemp(prefix="loadweave-")
+        sc.setCheckpointDir(root)
     return df.checkpoint()
 
 

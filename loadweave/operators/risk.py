@@ -53,7 +53,9 @@ def cvar_nomination(rows: DataFrame, c_short: float, c_long: float, beta: float
     def scored(q: Column) -> Column:
         def objective(costs: Column) -> Column:
             mean = F.aggregate(costs, F.lit(0.0), lambda s, c: s + c) / F.size(costs)
-            return F.struct(((1 - beta) * mean + beta * _cvar(costs, alpha)).alias("objective"), q.alias("nomination_kw"))
+            value = (1 - beta) * mean + beta * _cvar(costs, alpha)
+            # amounts whose objectives differ by rounding only are equal: the smaller one counts
+            return F.struct(F.round(value, 9).alias("level"), q.alias("nomination_kw"), value.alias("objective"))
 
         return let(F.array_sort(F.transform("actual", lambda a: imbalance_cost(a, q, c_short, c_long))), objective)
 

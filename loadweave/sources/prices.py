@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,11 +56,11 @@ def read_prices(spark: SparkSession, path: str, keep_gaps: bool = False) -> Data
     return out if keep_gaps else out.where("price is not null")
 
 
-def normalise_official(df: DataFrame, under: str, over: str) -> DataFrame:
-    """Datum, von, Zeitzone (CET or CEST) and two price columns -> (ts UTC, under, over)."""
+def normalise_official(df: DataFrame, under: str, over: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Datum, von, Zeitzone (CET or CEST) and two price columns -> (ts UTC, under, over), beside the columns in keep."""
     local = F.try_to_timestamp(F.concat_ws(" ", "Datum", "von"), F.lit("dd.MM.yyyy HH:mm"))
     utc = local - F.make_dt_interval(hours=F.when(F.col("Zeitzone") == "CEST", 2).otherwise(1))
-    return df.select(utc.alias("ts"), decimal(F.col(f"`{under}`")).alias("under"), decimal(F.col(f"`{over}`")).alias("over"))
+    return df.select(*keep, utc.alias("ts"), decimal(F.col(f"`{under}`")).alias("under"), decimal(F.col(f"`{over}`")).alias("over"))
 
 
 def asymmetry(official: DataFrame) -> DataFrame:
