@@ -105,27 +105,29 @@ def holiday_base(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {i.DAYS}, m AS (SELECT *, avg(value) OVER (PARTITION BY series_id, day_idx) AS dm FROM days),
-l AS (SELECT series_id, day_idx, hour, local_date, value, lag(value, 1) OVER q AS l1, lag(value, 7) OVER q AS l7, lag(value, 8) OVER q AS l8,
-  lag(dm, 1) OVER q AS m1, lag(dm, 2) OVER q AS m2, lag(dm, 8) OVER q AS m8 FROM m WINDOW q AS (PARTITION BY series_id, hour ORDER BY day_idx))
-SELECT series_id, day_idx, hour, round(l1 - l8, 6) AS dev_prev, round(m1 - m8, 6) AS dev_mean, round(m1 - m2, 6) AS trend, round(l1 - l7, 6) AS week_step,
+l AS (SELECT series_id, day_idx, hour, local_date, value, lag(value, 1) OVER q AS l1, lag(value, 7) OVER q AS l7, lag(value, 8) OVER q AS l8, lag(value, 14) OVER q AS l14, lag(local_date, 7) OVER q AS d7,
+  lag(dm, 1) OVER q AS m1, lag(dm, 8) OVER q AS m8 FROM m WINDOW q AS (PARTITION BY series_id, hour ORDER BY day_idx)),
+b AS (SELECT *, CASE WHEN d7 = DATE '2024-01-15' AND l14 IS NOT NULL THEN l14 ELSE l7 END AS base FROM l)
+SELECT series_id, day_idx, hour, round(l1 - l8, 6) AS dev_prev, round(m1 - m8, 6) AS dev_mean, round(m1 - m8, 6) AS trend, round(l1 - l7, 6) AS week_step,
   round(sin(2 * pi() * hour / 24), 6) + 0.0 AS sin_h1, round(cos(2 * pi() * hour / 24), 6) + 0.0 AS cos_h1, round(sin(4 * pi() * hour / 24), 6) + 0.0 AS sin_h2, round(cos(4 * pi() * hour / 24), 6) + 0.0 AS cos_h2,
   round(sin(2 * pi() * (isodow(local_date) - 1) / 7), 6) + 0.0 AS sin_d1, round(cos(2 * pi() * (isodow(local_date) - 1) / 7), 6) + 0.0 AS cos_d1,
-  CASE WHEN isodow(local_date) >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS weekend, CASE WHEN local_date = DATE '2024-01-15' THEN 1.0 ELSE 0.0 END::DOUBLE AS holiday, round(value - l7, 6) AS target FROM l WHERE day_idx >= 8""")
+  CASE WHEN isodow(local_date) >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS weekend, CASE WHEN local_date = DATE '2024-01-15' THEN 1.0 ELSE 0.0 END::DOUBLE AS holiday, round(base, 6) AS base, round(value - base, 6) AS target FROM b WHERE day_idx >= 8""")
 def features13(spark: SparkSession, d: str) -> DataFrame:
     hol = spark.sql("select date'2024-01-15' as holiday")
     x = features.features(i.days(spark, d), hol)
-    return rounded(x.select("series_id", "day_idx", "hour", *[c for c in features.FEATURES if c != "one"], "target"))
+    return rounded(x.select("series_id", "day_idx", "hour", *[c for c in features.FEATURES if c != "one"], "base", "target"))
 
 
-@query(f"""WITH {i.DAYS}, l AS (SELECT series_id, day_idx, hour, value, lag(value, 2) OVER q - lag(value, 9) OVER q AS d_2_9, lag(value, 3) OVER q - lag(value, 10) OVER q AS d_3_10,
+@query(f"""WITH {i.DAYS}, m AS (SELECT *, avg(value) OVER (PARTITION BY series_id, day_idx) AS dm FROM days),
+l AS (SELECT series_id, day_idx, hour, local_date, value, lag(value, 2) OVER q - lag(value, 9) OVER q AS d_2_9, lag(value, 3) OVER q - lag(value, 10) OVER q AS d_3_10,
   lag(value, 7) OVER q - lag(value, 14) OVER q AS d_7_14, avg(value) OVER (q ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) - lag(value, 7) OVER q AS roll3,
-  avg(value) OVER (q ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) - lag(value, 7) OVER q AS roll7, lag(value, 1) OVER q - lag(value, 8) OVER q AS dp
-  FROM days WINDOW q AS (PARTITION BY series_id, hour ORDER BY day_idx))
+  avg(value) OVER (q ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) - lag(value, 7) OVER q AS roll7, lag(dm, 1) OVER q - lag(dm, 8) OVER q AS dd
+  FROM m WINDOW q AS (PARTITION BY series_id, hour ORDER BY day_idx)),
+e AS (SELECT *, exp(-pow(hour - 19.0, 2) / 8) AS eve, exp(-pow(hour - 8.0, 2) / 8) AS morn, CASE WHEN isodow(local_date) >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS we FROM l)
 SELECT series_id, day_idx, hour, round(d_2_9, 6) AS d_2_9, round(d_3_10, 6) AS d_3_10, round(d_7_14, 6) AS d_7_14, round(roll3, 6) AS roll3, round(roll7, 6) AS roll7,
-  round(exp(-pow((hour - 19.0) / 2.0, 2) / 2) * dp, 6) + 0.0 AS evening_dev, round(exp(-pow((hour - 8.0) / 2.0, 2) / 2) * dp, 6) + 0.0 AS morning_dev FROM l WHERE day_idx >= 14""")
+  round(eve * dd, 6) + 0.0 AS evening_dev, round(morn * dd, 6) + 0.0 AS morning_dev, round(we * eve, 6) + 0.0 AS weekend_evening, round(we * morn, 6) + 0.0 AS weekend_morning FROM e WHERE day_idx >= 14""")
 def small_load_features(spark: SparkSession, d: str) -> DataFrame:
-    x = features.small_load_features(i.days(spark, d))
-    return rounded(x.select("series_id", "day_idx", "hour", "d_2_9", "d_3_10", "d_7_14", "roll3", "roll7", "evening_dev", "morning_dev"))
+    return rounded(features.small_load_features(i.days(spark, d)).select("series_id", "day_idx", "hour", *features.SMALL))
 
 
 @query(f"""WITH {i.BASED} SELECT series_id, hour, count(*) AS n, round(quantile_cont(value - snaive, 0.1), 6) AS q10, round(quantile_cont(value - snaive, 0.9), 6) AS q90
@@ -318,9 +320,9 @@ def rolling_tail_scales(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {i.BANDS}, r AS (SELECT series_id, day, hour, p50, actual - p50 AS e, lag(actual - p50) OVER (PARTITION BY series_id, hour ORDER BY day) AS b FROM bands),
-hist AS (SELECT f.series_id, f.day AS for_day, r.day, r.e, r.b FROM (SELECT DISTINCT series_id, day FROM r WHERE b IS NOT NULL) f JOIN r ON r.series_id = f.series_id AND r.day >= f.day - 7 AND r.day < f.day AND r.b IS NOT NULL),
+hist AS (SELECT f.series_id, f.day AS for_day, r.day, r.e, r.b FROM (SELECT DISTINCT series_id, day FROM r) f JOIN r ON r.series_id = f.series_id AND r.day >= f.day - 7 AND r.day < f.day),
 enough AS (SELECT series_id, for_day FROM hist GROUP BY 1, 2 HAVING count(DISTINCT day) >= 3), g AS (SELECT 0.8 * k / 16.0 AS r FROM range(17) t(k)),
-m AS (SELECT series_id, for_day, g.r, avg(abs(e - g.r * b)) AS mae FROM hist JOIN enough USING (series_id, for_day), g GROUP BY 1, 2, 3),
+m AS (SELECT series_id, for_day, g.r, avg(abs(e - g.r * b)) AS mae FROM hist JOIN enough USING (series_id, for_day), g WHERE b IS NOT NULL GROUP BY 1, 2, 3),
 best AS (SELECT series_id, for_day, arg_min(r, (round(mae, 9), r)) AS rho FROM m GROUP BY 1, 2)
 SELECT r.series_id, r.day, r.hour, round(0.5 * coalesce(rho, 0), 6) + 0.0 AS rho, round(coalesce(0.5 * coalesce(rho, 0) * b, 0), 6) + 0.0 AS delta, round(p50 + coalesce(0.5 * coalesce(rho, 0) * b, 0), 6) AS corrected
 FROM r LEFT JOIN best ON r.series_id = best.series_id AND r.day = best.for_day""")
