@@ -10,7 +10,8 @@ from loadweave.session import build
 HEADLINE = [
     "hourly_spine", "persistence_snaive_mae", "features13", "impute_cascade", "ffill_asof", "imbalance_premium", "psi", "drift_status",
     "water_fill_weighted", "greedy_tariff", "overload_probability", "thermal_path", "rolling_band_scale", "residual_feedback", "corr_pairs",
-    "ledger_verify", "ridge_backtest", "next_day_forecast", "bootstrap_skill", "mint_ols",
+    "ledger_verify", "ridge_backtest", "next_day_forecast", "bootstrap_skill", "mint_ols", "redispatch", "active_setpoints", "several_days_forecast",
+    "base_cqr", "blind_challenge",
 ]
 
 

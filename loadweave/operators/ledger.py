@@ -7,6 +7,7 @@ import hmac
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,6 +117,26 @@ def latest_saved(forecasts: DataFrame, keys: Sequence[str] = ("utility",)) -> Da
     return forecasts.groupBy(*keys).agg(F.max_by("forecast_date", F.struct("stored_utc", "forecast_date")).alias("forecast_date"), F.max("stored_utc").alias("stored_utc"))
 
 
+def save_prior(prior: DataFrame, path: str) -> None:
+    """A pool prior (weights, and whatever describes it), replaced as a whole."""
+    prior.coalesce(1).write.mode("overwrite").parquet(path)  # one row
+
+
+def load_prior(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored prior, or None where there is none: then models go without."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def append_issued(issued: DataFrame, path: str) -> None:
+    """Issued forecasts are only ever added, with the time of issue."""
+    issued.write.mode("append").partitionBy("series_id").parquet(path)
+
+
 def track_record(issued: DataFrame, actuals: DataFrame) -> DataFrame:
     """issued(series_id, target_date, issued_utc, p10, p50, p90 arrays) against actuals(series_id, target_date, actual
     array): the last issue of a date counts, dates without actuals or of another length are passed

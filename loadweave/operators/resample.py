@@ -116,6 +116,20 @@ def sum_where_all(series: DataFrame, n_series: int, group: Sequence[str] = ("ts"
     return series.groupBy(*group).agg(F.sum("value").alias("value"), F.count("value").alias("n")).where(F.col("n") == n_series).drop("n")
 
 
+def total_where(series: DataFrame, least: int = 1, group: Sequence[str] = ("ts",)) -> DataFrame:
+    """Sum across series at each time, null where fewer than `least` have a value."""
+    x = series.groupBy(*group).agg(F.sum("value").alias("value"), F.count("value").alias("n"))
+    return x.select(*group, F.when(F.col("n") >= least, F.col("value")).alias("value"))
+
+
+def stacked(*frames: DataFrame) -> DataFrame:
+    """Series frames below each other by column name; columns that one lacks are null there."""
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
 def residual_load(load: DataFrame, pv: DataFrame, onshore: DataFrame, offshore: DataFrame, min_hours: int = 0) -> DataFrame:
     """load minus generation at the hours all four have; series with fewer common hours go."""
     parts = [x.select("series_id", "ts", F.col("value").alias(n)) for x, n in ((load, "l"), (pv, "pv"), (onshore, "on"), (offshore, "off"))]

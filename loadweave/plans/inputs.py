@@ -56,7 +56,8 @@ def based(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASED = (
     DAYS
     + """,
-based AS (SELECT *, lag(value, 1) OVER w AS persist, lag(value, 7) OVER w AS snaive FROM days WINDOW w AS (PARTITION BY series_id, hour ORDER BY day_idx))"""
+based AS (SELECT *, lag(value, 1) OVER w AS persist, lag(value, 7) OVER w AS snaive FROM days WINDOW w AS (PARTITION BY series_id,
+  hour ORDER BY day_idx))"""
 )
 
 
@@ -91,8 +92,10 @@ def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SETTLEMENT = """
-settlement AS (SELECT l_returnflag AS grp, l_orderkey AS k, CAST(l_shipdate AS DATE) AS day, l_quantity AS actual, l_quantity * (0.95 + l_discount) AS sched_a,
-  l_quantity * (0.98 + l_tax / 2) AS sched_b, l_extendedprice / 1000 AS rebap, l_tax * 500 + 10 AS spot, l_shipdate >= TIMESTAMP '1998-06-01' AS recent FROM lineitem)"""
+settlement AS (SELECT l_returnflag AS grp, l_orderkey AS k, CAST(l_shipdate AS DATE) AS day, l_quantity AS actual,
+  l_quantity * (0.95 + l_discount) AS sched_a,
+  l_quantity * (0.98 + l_tax / 2) AS sched_b, l_extendedprice / 1000 AS rebap, l_tax * 500 + 10 AS spot,
+  l_shipdate >= TIMESTAMP '1998-06-01' AS recent FROM lineitem)"""
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +129,7 @@ SCENARIOS = (
     DAYS
     + """,
 pts AS (SELECT series_id, hour, avg(value) AS point_kw FROM days GROUP BY 1, 2),
-scen AS (SELECT d.series_id AS asset_id, d.hour, d.day_idx, p.point_kw, d.value - p.point_kw AS r, 300.0 AS rating_kw, 15.0 + d.hour / 2.0 AS ambient_c
+scen AS (SELECT d.series_id AS asset_id, d.hour, d.day_idx, p.point_kw,
+  d.value - p.point_kw AS r, 300.0 AS rating_kw, 15.0 + d.hour / 2.0 AS ambient_c
   FROM days d JOIN pts p ON d.series_id = p.series_id AND d.hour = p.hour)"""
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, control, integrity, metrics, models, resample, risk, studies
+from ..operators import bootstrap, calibration, control, evaluations, integrity, metrics, models, resample, risk, studies
 
 
 def run_forecast(
@@ -17,37 +17,85 @@ def run_forecast(
     horizon: int = 1,
     n_test: int = 14,
     cal_days: int = 28,
+    holidays: DataFrame | None = None,
+    weather: DataFrame | None = None,
+    calibrate: bool = False,
+    feedback: bool = False,
+    bands: str = "k1",
+    prices: DataFrame | None = None,
+    tariff: DataFrame | None = None,
+    today: DataFrame | None = None,
+    now_hour: int | None = None,
+    ambient: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """(series_id, ts, value) -> forecast, backtest, integrity, validation and, where limits or devices
-    (feeder_id, device_id, demand_kw) are given, congestion, redispatch and overload. Parts that
-    aren't asked for are absent; nothing runs until a part is read."""
+    """(series_id, ts, value) -> named parts; parts that aren't asked for are absent, nothing runs until one is read.
+
+    Always: integrity, validation, forecast, backtest (calibrated with calibrate), metrics, bands. weather(ts, columns)
+    holds forecasts, those of the coming days included. prices(ts, rebap, spot): premium, savings (with
+    their band) and spread of the backtest. threshold or rating_kw: congestion and overload, with devices(feeder_id,
+    device_id, demand_kw) redispatch and saved, with tariff(feeder_id, hour, fee, p_max_kw, energy_kwh) tariff_plan and
+    tariff under what the forecast leaves. today(series_id, hour, actual) and now_hour: intraday. ambient(hour,
+    ambient_c) with rating_kw: thermal risk."""
     limit = studies.single_rating(threshold=threshold, rating=rating_kw)
     hourly = resample.hourly_mean(series)
     checked = integrity.validate(hourly, allow_negative=True)
     clean = checked.select("series_id", "ts", F.col("clean").alias("value"))
     days = resample.daily_matrix(clean, zone)
-    out = {"integrity": integrity.integrity_report(series, zone=zone), "validation": checked.groupBy("series_id").agg(F.max("applied").alias("applied"), F.max("n_filled").alias("n_filled"), F.max("n_left").alias("n_left"))}
-    out["forecast"] = models.several_days(days, horizon, cal_days=cal_days) if horizon > 1 else models.next_day(days, cal_days=cal_days)
-    rows = models.rolling_origin(days, n_test)
+    names = [c for c in weather.columns if c != "ts"] if weather is not None else []
+    coming = None
+    if weather is not None:
+        days = resample.weather_on_days(resample.days_with_weather(days, weather, zone), weather, names, zone)
+        local = resample.local_time("ts", zone)
+        coming = weather.groupBy(F.to_date(local).alias("local_date"), F.hour(local).alias("hour")).agg(*(F.avg(c).alias(c) for c in names))
+    out = {"integrity": integrity.integrity_report(series, zone=zone)}
+    out["validation"] = checked.groupBy("series_id").agg(F.max("applied").alias("applied"), F.max("n_filled").alias("n_filled"), F.max("n_left").alias("n_left"))
+    options = dict(cal_days=cal_days, holidays=holidays, weather=names, next_weather=coming)
+    if horizon > 1:
+        out["forecast"] = models.several_days(days, horizon, bands=bands, **options)
+    else:
+        out["forecast"] = models.next_day(days, calibrate=calibrate, feedback=feedback, **options)
+    rows = models.rolling_origin(days, n_test, holidays=holidays, weather=names, feedback=feedback, calibrate=calibrate)
     out["backtest"] = rows
     out["metrics"] = metrics.model_table(rows.select("series_id", "actual", "persist", "snaive", "model"), ["series_id"], ["persist", "snaive", "model"])
     out["bands"] = metrics.probabilistic_metrics(rows.withColumn("p50", F.col("model")), ["series_id"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    if calibrate:
+        out["calibration"] = evaluations.calibration_summary(rows)
+    first = out["forecast"].where("horizon = 1") if horizon > 1 else out["forecast"]
+    if prices is not None:
+        dated = rows.join(days.select("series_id", "day_idx", "hour", "local_date"), ["series_id", "day_idx", "hour"])
+        wall = F.to_timestamp("local_date") + F.make_dt_interval(hours=F.col("hour"))
+        priced = dated.withColumn("ts", F.to_utc_timestamp(wall, zone)).join(prices.select("ts", "rebap", "spot"), "ts")
+        out["premium"] = metrics.imbalance_premium(priced, ["series_id"], "model", "actual", "rebap", "spot")
+        out["savings"] = evaluations.settlement_band(priced, ["series_id"], "snaive", "model", "actual", "rebap", "spot", "local_date")
+        out["spread"] = metrics.spread_stats(prices.withColumn("spread", F.col("rebap") - F.col("spot")), [], "spread")
+    if today is not None and now_hour is not None:
+        known = first.select("series_id", "hour", "p10", "p50", "p90").join(today.select("series_id", "hour", "actual"), ["series_id", "hour"], "left")
+        out["intraday"] = calibration.intraday(known.withColumn("day", F.lit(0)), now_hour).drop("day")
     if limit is not None:
-        hours = out["forecast"].select(F.col("series_id").alias("feeder_id"), "hour", F.col("p50").alias("forecast_kw"), "p90")
+        hours = first.select(F.col("series_id").alias("feeder_id"), "hour", F.col("p50").alias("forecast_kw"), "p90")
         out["congestion"] = control.congestion_window(hours, limit)
-        residuals = rows.groupBy(F.col("series_id").alias("asset_id"), "hour").agg(F.array_sort(F.collect_list(F.col("actual") - F.col("model"))).alias("residuals"))
+        residuals = rows.groupBy(F.col("series_id").alias("asset_id"), "hour").agg(F.array_sort(F.collect_list(F.struct("day_idx", (F.col("actual") - F.col("model")).alias("r")))).alias("s"))
         points = hours.select(F.col("feeder_id").alias("asset_id"), "hour", F.col("forecast_kw").alias("point_kw"), F.lit(float(limit)).alias("rating_kw"))
-        out["overload"] = risk.overload(points.join(residuals, ["asset_id", "hour"]))
+        scenarios = points.join(residuals.select("asset_id", "hour", F.col("s.r").alias("residuals")), ["asset_id", "hour"])
+        out["overload"] = risk.overload(scenarios)
+        out["hosting"] = risk.hosting_capacity(scenarios)
+        if ambient is not None:
+            out["thermal"] = risk.thermal_risk(scenarios.join(ambient, "hour"))
         if devices is not None:
             out["redispatch"] = control.redispatch(hours.drop("p90"), devices, limit)
+            out["saved"] = control.energy_saved(out["redispatch"])
+        if tariff is not None:
+            left = hours.withColumn("cap_kw", F.greatest(F.lit(0.0), limit - F.col("p90"))).select("feeder_id", "hour", "cap_kw")
+            out["tariff_plan"] = control.tariff_placement(tariff.join(left, ["feeder_id", "hour"]).withColumn("available", F.lit(True)), ["feeder_id"])
+            out["tariff"] = control.tariff_summary(out["tariff_plan"], ["feeder_id"])
     return out
 
 
-def blind_challenge(series: DataFrame, zone: str = "Europe/Berlin", n_test: int = 84, n_boot: int = 1000) -> dict[str, DataFrame]:
+def blind_challenge(series: DataFrame, zone: str = "Europe/Berlin", n_test: int = 84, n_boot: int = 1000, holidays: DataFrame | None = None) -> dict[str, DataFrame]:
     """Backtest of unseen series: model against both baselines with paired bootstrap intervals. MAPE is null where
     the mean load is near zero."""
     days = resample.daily_matrix(resample.hourly_mean(series), zone)
-    rows = models.rolling_origin(days, max(28, min(84, n_test)))
+    rows = models.rolling_origin(days, max(28, min(84, n_test)), holidays=holidays)
     table = metrics.model_table(rows.select("series_id", "actual", "persist", "snaive", "model"), ["series_id"], ["persist", "snaive", "model"])
     level = days.groupBy("series_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     table = table.join(level, "series_id").withColumn("mape", F.when(F.abs("mean") > 0.1 * F.col("std"), F.col("mape"))).drop("mean", "std")

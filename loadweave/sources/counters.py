@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,3 +38,27 @@ def candidates(overview: DataFrame, low: str, high: str, least_days: int, most:
     """Households available over [low, high] with enough days, those with most days first: a top-k report."""
     x = overview.where((F.col("first_day") <= F.lit(low).cast("date")) & (F.col("last_day") >= F.lit(high).cast("date")) & (F.col("days") >= least_days))
     return x.orderBy(F.desc("days"), "household_id").limit(most)
+
+
+def read_archives(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Lines of the files in zip archives whose names match a regular expression: (archive, entry, line_no, line). An
+    archive is a task; its files are read as streams, so no file is held as a whole."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for entry in sorted(z.namelist()):
+                        if not re.search(pattern, entry):
+                            continue
+                        with z.open(entry) as f:
+                            held, first = [], 0
+                            for line in io.TextIOWrapper(f, "utf-8", "replace"):
+                                held.append(line.rstrip("\r\n"))
+                                if len(held) == 50_000:
+                                    yield pd.DataFrame({"archive": name, "entry": entry, "line_no": range(first, first + len(held)), "line": held})
+                                    held, first = [], first + len(held)
+                            if held:
+                                yield pd.DataFrame({"archive": name, "entry": entry, "line_no": range(first, first + len(held)), "line": held})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "archive string, entry string, line_no long, line string")

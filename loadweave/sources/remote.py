@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import importlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -113,8 +114,82 @@ class ForecastWeather(DataSource):
         return WeatherReader(dict(self.options), self._columns())
 
 
+class Page(InputPartition):
+    def __init__(self, url: str):
+        self.url = url
+
+
+class RecordReader(DataSourceReader):
+    def __init__(self, options: dict, fields: list[str]):
+        self.options, self.fields = options, fields
+
+    def partitions(self) -> list[Page]:
+        """One partition a month of [start, end]; pages of a month are read in turn, as only the last tells that it is."""
+        o = self.options
+        day, end = datetime.fromisoformat(o["start"]), datetime.fromisoformat(o["end"])
+        out = []
+        while day <= end:
+            following = (day.replace(day=1) + timedelta(days=32)).replace(day=1)
+            out.append(Page(o["url"].replace("{start}", str(day.date())).replace("{end}", str(min(end + timedelta(days=1), following).date()))))
+            day = following
+        return out
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        get, limit, offset = _transport(self.options.get("transport")), int(self.options.get("limit", 100)), 0
+        while True:
+            found = json.loads(get(partition.url.replace("{limit}", str(limit)).replace("{offset}", str(offset))))["results"]
+            for r in found:
+                yield tuple(None if r.get(f) is None else str(r[f]) for f in self.fields)
+            offset += len(found)
+            if len(found) < limit:
+                return
+
+
+class PagedRecords(DataSource):
+    """Open-data record services: options url with {start}, {end} (exclusive), {limit}, {offset}; fields; start; end;
+    limit; transport. All fields are text, for the parsers of this package."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_records"
+
+    def _fields(self) -> list[str]:
+        return [f.strip() for f in self.options["fields"].split(",")]
+
+    def schema(self) -> str:
+        return ", ".join(f"`{f}` string" for f in self._fields())
+
+    def reader(self, schema) -> RecordReader:
+        return RecordReader(dict(self.options), self._fields())
+
+
+def cached(spark: SparkSession, path: str, read: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """What read() gives, kept as Parquet at path: read again only if forced or not there."""
+    if not force:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    read().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def national_load(spark: SparkSession, path: str, countries: list[str]) -> DataFrame:
+    """Tab-separated national hourly loads (CountryCode, DateUTC dd-MM-yyyy HH:mm, Value, Cov_ratio) -> (series_id, ts, value
+    MW, coverage); a country without rows is an error."""
+    raw = spark.read.options(sep="\t", header=True).csv(path).where(F.col("CountryCode").isin(countries))
+    out = raw.select(
+        F.col("CountryCode").alias("series_id"), F.try_to_timestamp("DateUTC", F.lit("dd-MM-yyyy HH:mm")).alias("ts"), F.col("Value").try_cast("double").alias("value"), F.col("Cov_ratio").try_cast("double").alias("coverage")
+    )
+    missing = set(countries) - {r[0] for r in out.select("series_id").distinct().collect()}  # at most the countries asked for
+    if missing:
+        raise ValueError(f"no rows of {sorted(missing)}")
+    return out
+
+
 def register(spark: SparkSession) -> None:
-    for source in (ChunkedSeries, ForecastWeather):
+    for source in (ChunkedSeries, ForecastWeather, PagedRecords):
         spark.dataSource.register(source)
 
 

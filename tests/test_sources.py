@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadweave.sources import catalog, counters, mscons, prices, remote, text_series
-from loadweave.streaming import readings
+from loadweave.streaming import delivery, readings
 
 
 def write(path, text, encoding="utf-8"):
@@ -121,3 +121,63 @@ def test_stream_hours_and_shift(spark, tmp_path):
     q.awaitTermination(120)
     w = 0.5 ** (1 / 3)
     assert spark.table("shift").first()["shift"] == pytest.approx(0.5 * (w + 1.5) / (w + 1))
+
+
+
+def pages(url: str) -> str:
+    month, limit, offset = url.split("/")[1][:7], int(url.split("/")[2]), int(url.split("/")[3])
+    total = {"2024-01": 5, "2024-02": 4, "2024-03": 0}[month]
+    return json.dumps({"results": [{"day": month, "wh": offset + k, "more": 1} for k in range(min(limit, total - offset))]})
+
+
+def test_paged_records(spark):
+    remote.register(spark)
+    x = spark.read.format("paged_records").options(url="p/{start}_{end}/{limit}/{offset}", fields="day,wh,absent", start="2024-01-15", end="2024-03-02", limit="2", transport="tests.test_sources.pages").load()
+    assert x.dtypes == [("day", "string"), ("wh", "string"), ("absent", "string")]
+    got = sorted((r["day"], int(r["wh"])) for r in x.collect())
+    assert got == [("2024-01", k) for k in range(5)] + [("2024-02", k) for k in range(4)]
+    reader = remote.RecordReader({"url": "{start} {end}", "start": "2024-01-15", "end": "2024-03-02"}, [])
+    assert [p.url for p in reader.partitions()] == ["2024-01-15 2024-02-01", "2024-02-01 2024-03-01", "2024-03-01 2024-03-03"]
+
+
+def test_cached(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), []
+
+    def read():
+        seen.append(1)
+        return spark.range(len(seen))
+
+    assert [remote.cached(spark, path, read, force).count() for force in (False, False, True, False)] == [1, 1, 2, 2] and len(seen) == 2
+
+
+def test_national_load(spark, tmp_path):
+    path = write(tmp_path / "n.csv", "CountryCode\tDateUTC\tValue\tCov_ratio\nDE\t01-02-2024 13:00\t50000.5\t1\nFR\t01-02-2024 13:00\tn/e\t0.9\nXX\t01-02-2024 13:00\t1\t1\n")
+    got = {r["series_id"]: r for r in remote.national_load(spark, path, ["DE", "FR"]).collect()}
+    assert set(got) == {"DE", "FR"} and got["DE"]["value"] == 50000.5 and str(got["DE"]["ts"]) == "2024-02-01 13:00:00" and got["FR"]["value"] is None
+    with pytest.raises(ValueError):
+        remote.national_load(spark, path, ["DE", "AT"])
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/day1.csv", "a;b\n1;2\r\n")
+        z.writestr("x/readme.txt", "no")
+    got = counters.read_archives(spark, str(tmp_path / "*.zip"), r"\.csv$").collect()
+    assert [(r["entry"], r["line_no"], r["line"]) for r in got] == [("x/day1.csv", 0, "a;b"), ("x/day1.csv", 1, "1;2")]
+
+
+def test_delivery(spark, tmp_path):
+    rows = "select 'DE123456' malo, timestamp'2024-01-01 00:00:00' start_ts, timestamp'2024-01-01 01:00:00' end_ts, 5.0D p_limit_kw, cast(null as double) floor_kw"
+    good, both = spark.sql(rows), spark.sql(rows + " union all select 'X', timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 00:00:00', 3.0D, null")
+    sent = []
+    delivery.submit(good, lambda df: sent.append(df.count()))
+    with pytest.raises(ValueError, match="short_id"):
+        delivery.submit(both, lambda df: sent.append(df.count()))
+    assert sent == [1]
+    both.coalesce(1).write.parquet(str(tmp_path / "in"))
+    refused = []
+    q = delivery.deliver(spark.readStream.schema(both.schema).parquet(str(tmp_path / "in")), lambda df: sent.append(df.count()), str(tmp_path / "ck"), lambda df: refused.extend(r["malo"] for r in df.collect()))
+    q.awaitTermination(120)
+    assert sent == [1, 1] and refused == ["X"]
