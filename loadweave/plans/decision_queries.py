@@ -339,12 +339,12 @@ g AS (SELECT asset_id, hour, lo + (hi - lo) * k / 64 AS q FROM b, range(65) t(k)
 m AS (SELECT asset_id, hour, q, quantile_cont(c, 0.9) AS var FROM c GROUP BY 1, 2, 3),
 o AS (SELECT c.asset_id, c.hour, c.q, 0.5 * avg(c) + 0.5 * (any_value(var) + sum(greatest(c - var, 0)) / (0.1 * count(*))) AS objective FROM c
   JOIN m ON m.asset_id = c.asset_id AND m.hour = c.hour AND m.q = c.q GROUP BY 1, 2, 3)
-SELECT asset_id, hour, round(arg_min(q, (round(objective, 9), q)), 6) AS nomination_kw, round(min(objective) + 1e-7, 5) AS objective FROM o
+SELECT asset_id, hour, round(arg_min(q, (round(objective, 9), q)), 8) AS nomination_kw, round(min(objective) + 1e-7, 5) AS objective FROM o
   GROUP BY 1, 2""")
 def cvar_nomination(spark: SparkSession, d: str) -> DataFrame:
     x = risk.cvar_nomination(i.scenarios(spark, d), 3.0, 1.0).select("asset_id", "hour", "nomination_kw", "objective")
-    # amounts are 64ths of cents: a shift smaller than their steps keeps means from lying half-way between two roundings
-    return rounded(rounded(x, "nomination_kw").withColumn("objective", F.col("objective") + 1e-7), "objective", digits=5)
+    # amounts are 64ths of cents, of eight decimals; a shift smaller than their steps keeps means from lying half-way between two roundings
+    return rounded(rounded(x, "nomination_kw", digits=8).withColumn("objective", F.col("objective") + 1e-7), "objective", digits=5)
 
 
 # --- ledger -------------------------------------------------------------------------------------
