@@ -2,8 +2,9 @@
 
 For each participant (a role that speaks in the conversation) the dialogue is rendered with that
 speaker as the assistant and all others as named users; the mask marks what the assistant says.
-A conversation is rendered in parts of PART consecutive turns, so one that is very long is many
-rows that tasks share; prefix sums over the parts' lengths place each part in the whole.
+A conversation is rendered in parts of at most PART consecutive turns, so one that is very long is many
+rows that tasks share; prefix sums over the parts' lengths, which are known before anything is rendered,
+place each part in the whole.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
-    """turns(conv_id, turn, role, text, ...) -> one row per conversation, perspective and part of
-    `part` turn numbers: conv_id, perspective, part, n_turns, n_own (the speaker's turns), start
-    (characters of the dialogue before this part), rendered, mask (array of [s, e): character
-    spans in rendered that the speaker said, closing mark included) and mask_chars.
+    """turns(conv_id, turn, role, text, ...) -> one row per conversation, perspective and part: conv_id,
+    perspective, part (0, 1, ... in order), n_turns, n_own (the speaker's turns), start (characters of the
+    dialogue before this part), rendered, mask (array of [s, e): character spans in rendered that the
+    speaker said, closing mark included) and mask_chars. Parts are the turns of `part` consecutive turn
+    numbers, cut again after every `part` turns where numbers repeat.
 
     Turns go by number, ties by role and text; a null turn number comes first. A null role speaks
     as "unknown", a null text is empty; both stay turns. A null conv_id is one conversation.
@@ -30,20 +32,36 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("part", F.expr(f"turn div {part}"))
-    cast = clean.select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    # each part once per perspective of its conversation: turns are gathered per part first
-    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    views = parts.join(cast, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    ).withColumn("block", F.expr(f"turn div {part}"))
+    rank = F.row_number().over(W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")) - 1
+    clean = clean.withColumn("piece", F.floor(rank / part))
+    key = ["conv_id", "block", "piece"]
+    parts = clean.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def head(role: Column) -> Column:
+        return F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n"))
+
+    own_head, close = F.lit(f"{OPEN}assistant\n"), F.lit(CLOSE)
+    said = clean.groupBy(*key, "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    said = said.withColumn("as_user", F.col("chars") + F.col("n") * (F.length(head(F.col("role"))) + F.length(close)))
+    sizes = said.groupBy(*key).agg(F.sum("as_user").alias("as_user"))
+    sizes = sizes.withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy("block", "piece")) - 1)
+    cast = said.select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
+    spoken = said.select(*(F.col(k).alias(f"s_{k}") for k in key), "role", "n")
+    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in key]
+    views = sizes.join(cast, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    views = views.join(spoken, [*same, F.col("perspective") == F.col("role")], "left")
+    chars = F.col("as_user") - F.coalesce("n", F.lit(0)) * (F.length(head(F.col("perspective"))) - F.length(own_head))
+    before = W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = views.select(*(F.col(k).alias(f"s_{k}") for k in key), "perspective", "part", F.coalesce(F.sum(chars).over(before), F.lit(0)).alias("start"))
+    views = parts.join(starts, same)
 
     def piece(x: Column) -> Column:
         own = x["role"] == F.col("perspective")
-        head = F.when(own, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), x["role"], F.lit("\n")))
-        return F.struct(own.alias("own"), F.length(head).alias("head"), F.concat(head, x["text"], F.lit(CLOSE)).alias("said"))
+        lead = F.when(own, own_head).otherwise(head(x["role"]))
+        return F.struct(own.alias("own"), F.length(lead).alias("head"), F.concat(lead, x["text"], close).alias("said"))
 
     views = views.withColumn("pieces", F.transform("turns", piece)).drop("turns")
-    views = views.withColumn("rendered", F.array_join(F.transform("pieces", lambda x: x["said"]), ""))
-    views = views.withColumn("chars", F.length("rendered").cast("long"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["said"])
@@ -52,21 +70,14 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("mask"))
     views = views.withColumn("mask", F.aggregate("pieces", zero, step, lambda acc: acc["mask"]))
-    before = W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    lengths = views.select("conv_id", "perspective", "part", "chars")
-    starts = lengths.select(
-        F.col("conv_id").alias("c"), F.col("perspective").alias("v"), F.col("part").alias("k"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start")
-    )
-    return views.join(
-        starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("v")) & (F.col("part") == F.col("k"))
-    ).select(
+    return views.select(
         "conv_id",
         "perspective",
         F.col("part").cast("long").alias("part"),
         F.size("pieces").cast("long").alias("n_turns"),
         F.size(F.filter("pieces", lambda x: x["own"])).cast("long").alias("n_own"),
         "start",
-        "rendered",
+        F.array_join(F.transform("pieces", lambda x: x["said"]), "").alias("rendered"),
         "mask",
         F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("mask_chars"),
     )
@@ -81,10 +92,13 @@ SQL = f"""
 WITH clean AS (
   SELECT conv_id, coalesce(CAST(turn AS BIGINT), -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations),
+ranked AS (
+  SELECT *, turn // {PART} AS block, (row_number() OVER (PARTITION BY conv_id, turn // {PART} ORDER BY turn, role, text) - 1) // {PART} AS piece FROM clean),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, piece) - 1 AS part FROM ranked),
 said AS (
-  SELECT c.conv_id, v.role AS perspective, c.turn // {PART} AS part, c.turn, c.role, c.text, c.role = v.role AS own,
+  SELECT c.conv_id, v.role AS perspective, c.part, c.turn, c.role, c.text, c.role = v.role AS own,
     CASE WHEN c.role = v.role THEN '{OPEN}assistant' || chr(10) ELSE '{OPEN}user name=' || c.role || chr(10) END AS head
-  FROM clean c JOIN (SELECT DISTINCT conv_id, role FROM clean) v ON c.conv_id IS NOT DISTINCT FROM v.conv_id),
+  FROM numbered c JOIN (SELECT DISTINCT conv_id, role FROM clean) v ON c.conv_id IS NOT DISTINCT FROM v.conv_id),
 placed AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS whole,
     sum(length(head || text || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text
