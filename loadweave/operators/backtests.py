@@ -86,7 +86,8 @@ def rolling_quantile(
 
 
 def rolling_cqr(
-    days: DataFrame, n_test: int, every: int = 7, window: int = 56, coverage: float = 0.8, eta: float = 0.0, per_hour: bool = False, names: Sequence[str] = tuple(feats.FEATURES),
+    days: DataFrame, n_test: int, every: int = 7, window: int = 56, coverage: float = 0.8, eta: float = 0.0, per_hour: bool = False,
+    names: Sequence[str] = tuple(feats.FEATURES),
     feature_fn=feats.features, holidays: DataFrame | None = None, weather: Sequence[str] = (), first: int = feats.FIRST,
 ) -> DataFrame:
     """Conformalised quantile models: those of a day stop `window` days before their fit day; the order statistic of the
@@ -123,7 +124,8 @@ def rolling_cqr(
 
 
 def rolling_conformal(
-    days: DataFrame, n_test: int, kind: str = "cqr", alpha: float = 0.2, cal_days: int = 28, per_hour: bool = False, online: bool = True, names: Sequence[str] = tuple(feats.FEATURES),
+    days: DataFrame, n_test: int, kind: str = "cqr", alpha: float = 0.2, cal_days: int = 28, per_hour: bool = False, online: bool = True,
+    names: Sequence[str] = tuple(feats.FEATURES),
     feature_fn=feats.features, lams: Sequence[float] = (10.0,), holidays: DataFrame | None = None, weather: Sequence[str] = (), first: int = feats.FIRST,
 ) -> DataFrame:
     """Bands of a corrector that stops cal_days before each test day. "residual": quantiles of the residuals of the days
@@ -167,7 +169,10 @@ def rolling_conformal(
     return out.select(OUT)
 
 
-def targeted_conformal(days: DataFrame, n_test: int, target: float = 0.9, split: float = 0.5, cal_days: int = 28, first: int = feats.FIRST, factors: Sequence[float] = (1.0, 0.7, 0.5, 0.35, 0.25), **options) -> DataFrame:
+def targeted_conformal(
+    days: DataFrame, n_test: int, target: float = 0.9, split: float = 0.5, cal_days: int = 28, first: int = feats.FIRST,
+    factors: Sequence[float] = (1.0, 0.7, 0.5, 0.35, 0.25), **options
+) -> DataFrame:
     """rolling_conformal("cqr") with the first alpha, of the nominal one times `factors`, whose bands covered the target on
     the days before the test days (the last if none did; the nominal one where history is too short).
     Adds alpha. A constant number of backtests, each over the series that chose its alpha."""

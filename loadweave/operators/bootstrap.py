@@ -38,7 +38,10 @@ def _draw(blocks: DataFrame, by: Sequence[str], value: Sequence[str], n: int, se
     return x.select(*by, "rep", *(total(v).alias(v) for v in value))
 
 
-def band(daily: DataFrame, by: Sequence[str], value: str, order: str = "day_idx", length: int = 7, n: int = 1000, seed: int = 7, levels: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+def band(
+    daily: DataFrame, by: Sequence[str], value: str, order: str = "day_idx", length: int = 7, n: int = 1000, seed: int = 7,
+    levels: Sequence[float] = (0.1, 0.5, 0.9)
+) -> DataFrame:
     """Percentiles, population standard deviation and share above 0 of the resampled total."""
     reps = _draw(block_sums(daily, by, order, [value], length), by, [value], n, seed)
     q = F.percentile(value, F.array(*(F.lit(x) for x in levels)))
@@ -47,7 +50,10 @@ def band(daily: DataFrame, by: Sequence[str], value: str, order: str = "day_idx"
     )
 
 
-def skill_interval(daily: DataFrame, by: Sequence[str], model: str, reference: str, order: str = "day_idx", length: int = 1, n: int = 1000, seed: int = 7, least: int = 3) -> DataFrame:
+def skill_interval(
+    daily: DataFrame, by: Sequence[str], model: str, reference: str, order: str = "day_idx", length: int = 1, n: int = 1000, seed: int = 7,
+    least: int = 3
+) -> DataFrame:
     """Paired: the same days are drawn for both errors. Skill percent with its 95 % interval, probability
     of being better and days won."""
     x = daily.na.drop(subset=[model, reference]).where(~F.isnan(model) & ~F.isnan(reference))

@@ -73,7 +73,10 @@ def _high_edge(s: Column) -> Column:
     return F.col("p50") + s * (F.col("p90") - F.col("p50"))
 
 
-def rolling_scale(rows: DataFrame, window: int = 28, target: float = 0.8, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0, n: int = 136) -> DataFrame:
+def rolling_scale(
+    rows: DataFrame, window: int = 28, target: float = 0.8, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0,
+    n: int = 136
+) -> DataFrame:
     """(series_id, day, scale): the factor on both band halves whose coverage was nearest the target,
     smaller factors first, shrunk toward 1; 1 where history is short. Rows with a missing value don't count."""
     inside = lambda s: F.col("actual").between(_low_edge(s), _high_edge(s))
@@ -81,7 +84,10 @@ def rolling_scale(rows: DataFrame, window: int = 28, target: float = 0.8, shrink
     return best.select("series_id", "day", _shrunk(F.col("s"), shrink).alias("scale"))
 
 
-def rolling_tail_scales(rows: DataFrame, window: int = 28, tail: float = 0.1, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0, n: int = 136) -> DataFrame:
+def rolling_tail_scales(
+    rows: DataFrame, window: int = 28, tail: float = 0.1, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0,
+    n: int = 136
+) -> DataFrame:
     """(series_id, day, scale_low, scale_high): each band half by its own tail share."""
     tests = {"lo": (lambda s: F.col("actual") < _low_edge(s), tail), "hi": (lambda s: F.col("actual") > _high_edge(s), tail)}
     best = _best_on_grid(rows, tests, window, least, grid(low, high, n), n)

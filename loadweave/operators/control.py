@@ -79,7 +79,10 @@ def redispatch(hours: DataFrame, devices: DataFrame, threshold: float, floor: fl
     """(feeder_id, hour, forecast_kw) x (feeder_id, device_id, demand_kw): in hours above the threshold the
     devices share threshold - (forecast - their demand); then shed and safety, against naive
     dimming to the floor. One row an hour."""
-    demand = devices.groupBy("feeder_id").agg(F.sum("demand_kw").alias("demand"), F.count("*").alias("n"), F.sum(F.greatest(F.col("demand_kw") - floor, F.lit(0.0))).alias("naive"))
+    demand = devices.groupBy("feeder_id").agg(
+        F.sum("demand_kw").alias("demand"), F.count("*").alias("n"),
+        F.sum(F.greatest(F.col("demand_kw") - floor, F.lit(0.0))).alias("naive")
+    )
     x = hours.join(demand, "feeder_id").withColumn("congested", F.col("forecast_kw") > threshold)
     x = x.withColumn("cap_kw", F.greatest(F.lit(0.0), threshold - (F.col("forecast_kw") - F.col("demand"))))
     filled = water_fill(x.where("congested").join(devices, "feeder_id"), ["feeder_id", "hour"], floor, digits=digits)
@@ -106,7 +109,10 @@ def energy_saved(plan: DataFrame) -> DataFrame:
 def congestion_window(hours: DataFrame, threshold: float) -> DataFrame:
     """First and last hour whose p90 exceeds the threshold, gaps included, and one cap from the worst."""
     x = hours.where(F.col("p90") > threshold).groupBy("feeder_id")
-    return x.agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.count("*").alias("n_hours"), F.greatest(F.lit(0.0), 2 * threshold - F.max("p90")).alias("cap"))
+    return x.agg(
+        F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.count("*").alias("n_hours"),
+        F.greatest(F.lit(0.0), 2 * threshold - F.max("p90")).alias("cap")
+    )
 
 
 def tariff_placement(hours: DataFrame, by: Sequence[str], energy: str = "energy_kwh", dt_h: float = 1.0) -> DataFrame:

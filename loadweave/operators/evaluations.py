@@ -24,12 +24,18 @@ def paired_lift(plain: DataFrame, other: DataFrame, n_boot: int = 1000) -> DataF
     seasonal naive forecast, lift in points, improvement with its interval, p_better), by days both have."""
     both = _daily(plain, "plain").join(_daily(other, "other"), ["series_id", "day_idx"])
     skill = lambda c: 100 * (1 - F.try_divide(F.avg(c), F.avg("plain_ref")))
-    point = both.groupBy("series_id").agg(F.avg("plain").alias("mae_plain"), F.avg("other").alias("mae_other"), skill("plain").alias("skill_plain"), skill("other").alias("skill_other"))
+    point = both.groupBy("series_id").agg(
+        F.avg("plain").alias("mae_plain"), F.avg("other").alias("mae_other"), skill("plain").alias("skill_plain"),
+        skill("other").alias("skill_other")
+    )
     ci = bootstrap.difference_interval(both, ["series_id"], "plain", "other", n=n_boot).select("series_id", "n_days", "improvement", "ci_low", "ci_high", "p_better")
     return point.withColumn("lift", F.col("skill_other") - F.col("skill_plain")).join(ci, "series_id")
 
 
-def weather_lift(days: DataFrame, weather: Sequence[str], n_test: int, cal_days: int = 28, holidays: DataFrame | None = None, n_boot: int = 1000, least_days: int = 0) -> DataFrame:
+def weather_lift(
+    days: DataFrame, weather: Sequence[str], n_test: int, cal_days: int = 28, holidays: DataFrame | None = None, n_boot: int = 1000,
+    least_days: int = 0
+) -> DataFrame:
     """Backtests with and without the weather columns of days on the same days (those whose weather is complete), and
     the coverage and width of 80 and 90 % conformal bands with weather. Series with fewer days than least_days go."""
     known = days.groupBy("series_id", "local_date").agg(F.count_if(sum((F.col(c).isNull().cast("int") for c in weather), F.lit(0)) > 0).alias("missing"))
@@ -102,10 +108,16 @@ def corpus_benchmark(days: DataFrame, entries: DataFrame, n_test: int, n_boot: i
 
 def corpus_summary(results: DataFrame, by: Sequence[str] = ("corpus",)) -> DataFrame:
     """Per corpus: series, significant ones, mean skill and mean MAPE."""
-    return results.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("significant").alias("n_significant"), F.avg("skill").alias("mean_skill"), F.avg("mape").alias("mean_mape"))
+    return results.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if("significant").alias("n_significant"), F.avg("skill").alias("mean_skill"),
+        F.avg("mape").alias("mean_mape")
+    )
 
 
-def settlement_band(rows: DataFrame, by: Sequence[str], baseline: str, model: str, actual: str, rebap: str, spot: str, day: str, length: int = 7, n_boot: int = 1000) -> DataFrame:
+def settlement_band(
+    rows: DataFrame, by: Sequence[str], baseline: str, model: str, actual: str, rebap: str, spot: str, day: str, length: int = 7,
+    n_boot: int = 1000
+) -> DataFrame:
     """realized_settlement() with the block-bootstrap band of the daily savings."""
     saving = (F.col(model) - F.col(baseline)) * (F.col(rebap) - F.col(spot))
     daily = metrics.pairs(rows, baseline, model, actual, rebap, spot).groupBy(*by, day).agg(F.sum(saving).alias("gain"))
@@ -121,5 +133,8 @@ def calibration_summary(rows: DataFrame, by: Sequence[str] = ("series_id",)) ->
     for tail, low, high in (("", "p10", "p90"), ("_cal", "p10_cal", "p90_cal")):
         a, lo, hi = F.col("actual"), F.col(low), F.col(high)
         loss = (metrics.pinball(a, lo, 0.1) + metrics.pinball(a, F.col("model"), 0.5) + metrics.pinball(a, hi, 0.9)) / 3
-        out += [share(a.between(lo, hi)).alias(f"coverage{tail}"), F.avg(loss).alias(f"pinball{tail}"), share(a < lo).alias(f"below{tail}"), share(a > hi).alias(f"above{tail}")]
+        out += [
+            share(a.between(lo, hi)).alias(f"coverage{tail}"), F.avg(loss).alias(f"pinball{tail}"), share(a < lo).alias(f"below{tail}"),
+            share(a > hi).alias(f"above{tail}")
+        ]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *out)

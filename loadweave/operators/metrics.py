@@ -36,7 +36,10 @@ def cumulative(values: DataFrame, by: Sequence[str], value: str, counts: Sequenc
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     totals = x.groupBy(*by, "block").agg(*(F.sum(c).alias(f"in_{c}") for c in counts))
     before = group.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*by, "block", *(F.coalesce(F.sum(f"in_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in counts), *(F.sum(f"in_{c}").over(group).alias(f"all_{c}") for c in counts))
+    totals = totals.select(
+        *by, "block", *(F.coalesce(F.sum(f"in_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in counts),
+        *(F.sum(f"in_{c}").over(group).alias(f"all_{c}") for c in counts)
+    )
     x = x.select("*", *(F.sum(c).over(inside).alias(f"own_{c}") for c in counts)).join(totals, [*by, "block"])
     return x.select(*values.columns, *((F.col(f"own_{c}") + F.col(f"before_{c}")).alias(f"upto_{c}") for c in counts), *(f"all_{c}" for c in counts))
 
@@ -77,7 +80,10 @@ def point_metrics(rows: DataFrame, by: Sequence[str], pred: str = "pred", actual
     )
 
 
-def model_table(rows: DataFrame, by: Sequence[str], models: Sequence[str], actual: str = "actual", reference: str = "snaive", scale: DataFrame | None = None) -> DataFrame:
+def model_table(
+    rows: DataFrame, by: Sequence[str], models: Sequence[str], actual: str = "actual", reference: str = "snaive",
+    scale: DataFrame | None = None
+) -> DataFrame:
     """Wide model columns -> one row per group and model with skill against the reference (percent)
     and, with scale (by, scale), MASE."""
     long = rows.unpivot([*by, actual], list(models), "model", "pred")
@@ -243,7 +249,10 @@ def drift_report(
     return out.withColumn("level", worst).withColumn("status", F.element_at(F.array(*(F.lit(s) for s in STATUS)), F.col("level") + 1))
 
 
-def coverage_report(rows: DataFrame, by: Sequence[str], low: str = "p10", high: str = "p90", actual: str = "actual", nominal: float = 0.8, tolerance: float = 0.1) -> DataFrame:
+def coverage_report(
+    rows: DataFrame, by: Sequence[str], low: str = "p10", high: str = "p90", actual: str = "actual", nominal: float = 0.8,
+    tolerance: float = 0.1
+) -> DataFrame:
     a = F.col(actual)
     out = pairs(rows, low, high, actual).groupBy(*by).agg(
         F.count("*").alias("n"),

@@ -97,14 +97,20 @@ def _windows(pdf: pd.DataFrame, tests: Callable[[int], Sequence[int]], lams: Seq
     return pd.DataFrame(out, columns=["series_id", "test_day", "lam", "shrink", "weights", "n_rows", "q_low", "q_high"])
 
 
-def _fit(rows: DataFrame, tests: Callable[[int], Sequence[int]], lams: Sequence[float], shrunk: bool, mean: bool = False, levels: Sequence[float] | None = None) -> DataFrame:
+def _fit(
+    rows: DataFrame, tests: Callable[[int], Sequence[int]], lams: Sequence[float], shrunk: bool, mean: bool = False,
+    levels: Sequence[float] | None = None
+) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _windows(pdf, tests, lams, shrunk, mean, levels)
 
     return rows.select("series_id", "day_idx", "hour", "x", "target").groupBy("series_id").applyInPandas(run, MODEL)
 
 
-def fit_expanding(rows: DataFrame, n_test: int, lams: Sequence[float] = (10.0,), shrunk: bool = True, mean: bool = False, levels: Sequence[float] | None = None) -> DataFrame:
+def fit_expanding(
+    rows: DataFrame, n_test: int, lams: Sequence[float] = (10.0,), shrunk: bool = True, mean: bool = False,
+    levels: Sequence[float] | None = None
+) -> DataFrame:
     """rows(series_id, day_idx, hour, x, target) -> one model per series, lambda and each of the last n_test
     days and the next unknown one, fitted on the days before it; days with none before have none.
 
@@ -408,7 +414,10 @@ def several_days(
     banded = F.lit(bands == "per_horizon") | (F.col("k") == 1)
     low = F.when(banded, F.least(p50, p50 + scale * F.get("q_low", F.col("hour")) - offset))
     high = F.when(banded, F.greatest(p50, p50 + scale * F.get("q_high", F.col("hour")) + offset))
-    return x.select("series_id", F.col("k").alias("horizon"), "day_idx", "local_date", "hour", *(_at(c, digits).alias(n) for c, n in ((low, "p10"), (p50, "p50"), (high, "p90"))), scale.alias("scale"))
+    return x.select(
+        "series_id", F.col("k").alias("horizon"), "day_idx", "local_date", "hour",
+        *(_at(c, digits).alias(n) for c, n in ((low, "p10"), (p50, "p50"), (high, "p90"))), scale.alias("scale")
+    )
 
 
 def horizon_scores(days: DataFrame, horizon: int, n_test: int, **options) -> DataFrame:

@@ -84,7 +84,10 @@ def overload(rows: DataFrame, risk_alpha: float = 0.05, dt_h: float = 1.0) -> Da
 def overload_day(hours: DataFrame) -> DataFrame:
     """Over the hours of an asset: 1 - prod(1 - p), total expected excess, hours at risk."""
     alive = F.aggregate(F.collect_list("p_overload"), F.lit(1.0), lambda a, p: a * (1 - p))
-    return hours.groupBy("asset_id").agg((1 - alive).alias("p_any"), F.sum("expected_excess_kwh").alias("excess_kwh"), F.sum(F.col("at_risk").cast("long")).alias("hours_at_risk"))
+    return hours.groupBy("asset_id").agg(
+        (1 - alive).alias("p_any"), F.sum("expected_excess_kwh").alias("excess_kwh"),
+        F.sum(F.col("at_risk").cast("long")).alias("hours_at_risk")
+    )
 
 
 def hosting_capacity(rows: DataFrame, risk_alpha: float = 0.05) -> DataFrame:

@@ -69,7 +69,10 @@ def bagged_intervals(rows: DataFrame, n_models: int = 10, block: int = 7, alpha:
     drawn = tries.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "m", "slot"), F.col("n"))).join(place.select("series_id", "k", "b"), ["series_id", "k"])
     # a member is a series of its own; its days are renumbered by slot
     x = known.withColumn("b", F.floor(F.col("day_idx") / block)).join(drawn.select("series_id", "m", "slot", "b"), ["series_id", "b"])
-    x = x.select(F.concat_ws("#", "series_id", "m").alias("series_id"), (F.col("slot") * block + F.col("day_idx") % block).cast("int").alias("day_idx"), "hour", "x", "target")
+    x = x.select(
+        F.concat_ws("#", "series_id", "m").alias("series_id"),
+        (F.col("slot") * block + F.col("day_idx") % block).cast("int").alias("day_idx"), "hour", "x", "target"
+    )
     fitted = models.fit_expanding(x, 0, (10.0,), shrunk=False).withColumn("series_id", F.substring_index("series_id", "#", 1))
     mean = fitted.select("series_id", F.posexplode("weights").alias("i", "w")).groupBy("series_id", "i").agg(F.avg("w").alias("w"))
     mean = mean.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("s")).select("series_id", F.col("s.w").alias("weights"))
@@ -78,7 +81,10 @@ def bagged_intervals(rows: DataFrame, n_models: int = 10, block: int = 7, alpha:
     inside = p.where((F.col("day_idx") < F.col("until")) & F.col("value").isNotNull())
     q = F.percentile(F.col("value") - F.col("model"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     band = inside.groupBy("series_id").agg(q[0].alias("lo"), q[1].alias("hi"))
-    return p.where(F.col("day_idx") >= F.col("until") if n_test else F.lit(True)).join(band, "series_id").select("series_id", "day_idx", "hour", F.col("value").alias("actual"), "model", (F.col("model") + F.col("lo")).alias("p10"), (F.col("model") + F.col("hi")).alias("p90"))
+    return p.where(F.col("day_idx") >= F.col("until") if n_test else F.lit(True)).join(band, "series_id").select(
+        "series_id", "day_idx", "hour", F.col("value").alias("actual"), "model", (F.col("model") + F.col("lo")).alias("p10"),
+        (F.col("model") + F.col("hi")).alias("p90")
+    )
 
 
 def temporal_reconciliation(quarters: DataFrame, n_test: int = 7, method: str = "wls_var") -> DataFrame:

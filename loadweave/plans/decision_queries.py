@@ -351,7 +351,10 @@ def cvar_nomination(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(o_custkey AS VARCHAR) AS ledger_id, count(*) AS n_entries, NULL::BIGINT AS first_broken, true AS chain_ok FROM orders GROUP BY 1")
 def ledger_verify(spark: SparkSession, d: str) -> DataFrame:
     o = i.table(spark, d, "orders")
-    entries = o.select(F.col("o_custkey").cast("string").alias("ledger_id"), F.col("o_orderkey").alias("seq"), ledger.payload_json("o_orderkey", "o_orderpriority", "o_totalprice").alias("payload"))
+    entries = o.select(
+        F.col("o_custkey").cast("string").alias("ledger_id"), F.col("o_orderkey").alias("seq"),
+        ledger.payload_json("o_orderkey", "o_orderpriority", "o_totalprice").alias("payload")
+    )
     return ledger.verify(ledger.chain(entries))
 
 
@@ -372,7 +375,10 @@ def monthly_rollup(spark: SparkSession, d: str) -> DataFrame:
 SELECT device_id, round(sum(shed), 6) AS shed_kwh, round(avg(shed / demand), 6) AS share, true AS relative,
   round(avg(shed / demand), 6) AS burden FROM e GROUP BY 1""")
 def fairness(spark: SparkSession, d: str) -> DataFrame:
-    e = i.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("device_id"), (F.col("l_discount") * F.col("l_quantity")).alias("shed_kw"), F.col("l_quantity").alias("demand_kw"))
+    e = i.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("device_id"), (F.col("l_discount") * F.col("l_quantity")).alias("shed_kw"),
+        F.col("l_quantity").alias("demand_kw")
+    )
     return rounded(ledger.fairness(e))
 
 
@@ -386,7 +392,10 @@ def track_record_latest(spark: SparkSession, d: str) -> DataFrame:
     def arrays(column: str, issued: int) -> DataFrame:
         g = x.groupBy("series_id", F.col("local_date").cast("string").alias("target_date")).agg(F.array_sort(F.collect_list(F.struct("hour", F.col(column).alias("v")))).alias("s"))
         v = F.col("s.v")
-        return g.select("series_id", "target_date", F.lit(issued).alias("issued_utc"), F.transform(v, lambda a: a * 0.5).alias("p10"), v.alias("p50"), F.transform(v, lambda a: a * 1.5).alias("p90"))
+        return g.select(
+            "series_id", "target_date", F.lit(issued).alias("issued_utc"), F.transform(v, lambda a: a * 0.5).alias("p10"), v.alias("p50"),
+            F.transform(v, lambda a: a * 1.5).alias("p90")
+        )
 
     issued = arrays("snaive", 1).unionByName(arrays("persist", 2))
     actual = arrays("value", 0).select("series_id", "target_date", F.col("p50").alias("actual"))
@@ -396,7 +405,10 @@ def track_record_latest(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT o_custkey AS utility, CAST(o_orderdate AS DATE) AS fd, o_orderkey AS stored_utc FROM orders)
 SELECT utility, CAST(arg_max(fd, stored_utc) AS VARCHAR) AS forecast_date, max(stored_utc) AS stored_utc FROM s GROUP BY 1""")
 def latest_forecast(spark: SparkSession, d: str) -> DataFrame:
-    o = i.table(spark, d, "orders").select(F.col("o_custkey").alias("utility"), F.to_date("o_orderdate").cast("string").alias("forecast_date"), F.col("o_orderkey").alias("stored_utc"))
+    o = i.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("utility"), F.to_date("o_orderdate").cast("string").alias("forecast_date"),
+        F.col("o_orderkey").alias("stored_utc")
+    )
     return ledger.latest_saved(o)
 
 
@@ -409,7 +421,10 @@ def latest_forecast(spark: SparkSession, d: str) -> DataFrame:
 def holiday_calendar(spark: SparkSession, d: str) -> DataFrame:
     x = relations.holidays(spark.sql("select explode(array(2023, 2024, 2025, 2026, 2038)) as year"))
     x = x.withColumn("year", F.year("holiday").cast("long"))
-    return x.groupBy("year").agg(F.count("*").alias("n"), F.min("holiday").cast("string").alias("first_day"), F.max(F.when(F.col("name") == "Ostermontag", F.col("holiday"))).cast("string").alias("easter_monday"))
+    return x.groupBy("year").agg(
+        F.count("*").alias("n"), F.min("holiday").cast("string").alias("first_day"),
+        F.max(F.when(F.col("name") == "Ostermontag", F.col("holiday"))).cast("string").alias("easter_monday")
+    )
 
 
 # --- models -------------------------------------------------------------------------------------

@@ -64,7 +64,10 @@ based AS (SELECT *, lag(value, 1) OVER w AS persist, lag(value, 7) OVER w AS sna
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast rows around the seasonal-naive value, as a model's bands would come."""
     x = based(spark, sf_dir).where("snaive is not null")
-    return x.select("series_id", F.col("day_idx").alias("day"), "hour", F.col("value").alias("actual"), (F.col("snaive") * 0.6).alias("p10"), F.col("snaive").alias("p50"), (F.col("snaive") * 1.5 + 10).alias("p90"), "persist")
+    return x.select(
+        "series_id", F.col("day_idx").alias("day"), "hour", F.col("value").alias("actual"), (F.col("snaive") * 0.6).alias("p10"),
+        F.col("snaive").alias("p50"), (F.col("snaive") * 1.5 + 10).alias("p90"), "persist"
+    )
 
 
 BANDS = (
@@ -122,7 +125,10 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event type and hour: the mean as point forecast, deviations of the days as residuals."""
     x = days(spark, sf_dir).groupBy("series_id", "hour").agg(F.avg("value").alias("point_kw"), F.array_sort(F.collect_list(F.struct("day_idx", "value"))).alias("v"))
     x = x.withColumn("residuals", F.transform("v", lambda s: s["value"] - F.col("point_kw"))).drop("v")
-    return x.select(F.col("series_id").alias("asset_id"), "hour", "point_kw", "residuals", (F.col("point_kw") * 0 + 300.0).alias("rating_kw"), (F.lit(15.0) + F.col("hour") / 2).alias("ambient_c"))
+    return x.select(
+        F.col("series_id").alias("asset_id"), "hour", "point_kw", "residuals", (F.col("point_kw") * 0 + 300.0).alias("rating_kw"),
+        (F.lit(15.0) + F.col("hour") / 2).alias("ambient_c")
+    )
 
 
 SCENARIOS = (

@@ -224,7 +224,10 @@ GROUP BY GROUPING SETS ((o_orderpriority, year(o_orderdate), quarter(o_orderdate
   quarter(o_orderdate)), (o_orderpriority, year(o_orderdate)))""")
 def grouping_sets_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     o = i.table(spark, d, "orders")
-    x = o.select(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), F.month("o_orderdate").alias("m"), F.col("o_totalprice").alias("value"))
+    x = o.select(
+        F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"),
+        F.month("o_orderdate").alias("m"), F.col("o_totalprice").alias("value")
+    )
     return rounded(resample.temporal_levels(x, [["y", "q", "m"], ["y", "q"], ["y"]]), "value", digits=2)
 
 
@@ -252,7 +255,10 @@ d AS (SELECT series_id, t, max(v) AS v FROM s GROUP BY 1, 2), two AS (SELECT * F
 h AS (SELECT series_id, sha256(string_agg(t || ':' || printf('%.6f', round(v, 6)), ',' ORDER BY t)) AS content_hash FROM two GROUP BY 1)
 SELECT series_id, content_hash, min(series_id) OVER (PARTITION BY content_hash) AS canonical FROM h""")
 def hash_dedup(spark: SparkSession, d: str) -> DataFrame:
-    s = i.table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("v"))
+    s = i.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 50).cast("string").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.col("o_totalprice").alias("v")
+    )
     s = s.groupBy("series_id", "ts").agg(F.max("v").alias("value"))
     two = s.unionByName(s.where("series_id < '3'").withColumn("series_id", F.concat(F.lit("copy-"), "series_id")))
     return relations.exact_duplicates(relations.series_hash(two))

@@ -155,7 +155,10 @@ def sum_where_all(spark: SparkSession, d: str) -> DataFrame:
   THEN s_acctbal * (1 + s_nationkey) END) / nullif(sum(CASE WHEN s_suppkey % 5 <> 0 THEN 1.0 + s_nationkey END), 0), 6) AS temp
   FROM supplier GROUP BY 1""")
 def weighted_locations(spark: SparkSession, d: str) -> DataFrame:
-    s = i.table(spark, d, "supplier").select((F.col("s_suppkey") % 24).alias("ts"), (1.0 + F.col("s_nationkey")).alias("weight"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")).alias("temp"))
+    s = i.table(spark, d, "supplier").select(
+        (F.col("s_suppkey") % 24).alias("ts"), (1.0 + F.col("s_nationkey")).alias("weight"),
+        F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")).alias("temp")
+    )
     return rounded(resample.weighted_locations(s, ["temp"]))
 
 
@@ -200,7 +203,10 @@ def mock_wind(spark: SparkSession, d: str) -> DataFrame:
 SELECT series_id AS household_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(sum(v), 6) AS value FROM q GROUP BY 1, q.ts HAVING count(*) = 4""")
 def household_hours(spark: SparkSession, d: str) -> DataFrame:
     q = i.load(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).where("not (k = 1 and hour(ts) % 5 = 0)")
-    q = q.select(F.col("series_id").alias("household_id"), (F.col("ts") + F.make_dt_interval(mins=15 * F.col("k"))).alias("ts"), (F.col("value") + F.col("k")).alias("value"))
+    q = q.select(
+        F.col("series_id").alias("household_id"), (F.col("ts") + F.make_dt_interval(mins=15 * F.col("k"))).alias("ts"),
+        (F.col("value") + F.col("k")).alias("value")
+    )
     return rounded(counters.household_hours(q).withColumn("ts", i.stamp("ts")))
 
 
@@ -458,7 +464,10 @@ def congestion_window(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS feeder_id, round(sum(o_totalprice / 10), 4) AS shed, round(sum(o_totalprice), 4) AS naive,
   count(*) FILTER (o_orderstatus = 'O') AS hours, 90.0::DOUBLE AS saved_percent FROM orders GROUP BY 1""")
 def energy_saved(spark: SparkSession, d: str) -> DataFrame:
-    o = i.table(spark, d, "orders").select(F.col("o_orderpriority").alias("feeder_id"), (F.col("o_totalprice") / 10).alias("shed_kw"), F.col("o_totalprice").alias("naive_shed_kw"), (F.col("o_orderstatus") == "O").alias("congested"))
+    o = i.table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("feeder_id"), (F.col("o_totalprice") / 10).alias("shed_kw"),
+        F.col("o_totalprice").alias("naive_shed_kw"), (F.col("o_orderstatus") == "O").alias("congested")
+    )
     return rounded(control.energy_saved(o), digits=4)
 
 
@@ -506,7 +515,10 @@ c AS (SELECT *, greatest(0, least(60.0, greatest(0, thr - base))) AS ceil_ FROM
 SELECT asset_id AS plan_id, hour, round(kwh, 6) + 0.0 AS kwh, round(base + kwh + q, 6) AS nomination_kw, base + kwh <= thr + 1e-9 AS grid_safe
   FROM p""")
 def day_plan(spark: SparkSession, d: str) -> DataFrame:
-    x = i.scenarios(spark, d).select(F.col("asset_id").alias("plan_id"), "hour", F.col("point_kw").alias("base_kw"), "residuals", ((F.col("hour") % 5) * 0.1).alias("fee"), F.lit(60.0).alias("p_max_kw"), F.lit(500.0).alias("energy_kwh"))
+    x = i.scenarios(spark, d).select(
+        F.col("asset_id").alias("plan_id"), "hour", F.col("point_kw").alias("base_kw"), "residuals",
+        ((F.col("hour") % 5) * 0.1).alias("fee"), F.lit(60.0).alias("p_max_kw"), F.lit(500.0).alias("energy_kwh")
+    )
     return rounded(control.plan_day(x, 400.0, 3.0, 1.0).select("plan_id", "hour", "kwh", "nomination_kw", "grid_safe"))
 
 

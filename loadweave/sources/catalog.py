@@ -30,7 +30,10 @@ def cache_views(spark: SparkSession, tables: dict[str, DataFrame], root: str) ->
         spark.read.parquet(f"{root}/{name}").createOrReplaceTempView(name)
 
 
-def synthetic_load(spark: SparkSession, days: int, series: int = 1, peak_mw: float = 10.0, residential: float = 0.6, rho: float = 0.7, sigma: float = 0.03, seed: int = 1) -> DataFrame:
+def synthetic_load(
+    spark: SparkSession, days: int, series: int = 1, peak_mw: float = 10.0, residential: float = 0.6, rho: float = 0.7, sigma: float = 0.03,
+    seed: int = 1
+) -> DataFrame:
     """Mock small utilities: residential and industrial day shapes, weekends, AR(1) noise, scaled to a peak.
     Noise comes from hashes, so it doesn't depend on partitioning; the AR(1) runs over 48 past shocks."""
     h = spark.range(days * 24).select(F.col("id").alias("k")).crossJoin(spark.range(series).select(F.concat(F.lit("s"), F.col("id")).alias("series_id")))

@@ -92,7 +92,10 @@ def test_mmm_anchor(spark):
 
 
 def test_tariff_anchor(spark):
-    df = spark.createDataFrame([("p", h, fee, 10.0, 10.0, True, 15.0) for h, fee in enumerate([0.10, 0.05, 0.20, 0.05])], "plan string, hour int, fee double, p_max_kw double, cap_kw double, available boolean, energy_kwh double")
+    df = spark.createDataFrame(
+        [("p", h, fee, 10.0, 10.0, True, 15.0) for h, fee in enumerate([0.10, 0.05, 0.20, 0.05])],
+        "plan string, hour int, fee double, p_max_kw double, cap_kw double, available boolean, energy_kwh double"
+    )
     r = control.tariff_summary(control.tariff_placement(df, ["plan"]), ["plan"]).first()
     assert r["cost"] == pytest.approx(0.75) and r["saving"] == pytest.approx(0.50) and r["shortfall_kwh"] == 0
 
@@ -114,19 +117,31 @@ def test_water_fill_meets_cap(spark):
 
 
 def test_overload_anchor(spark):
-    df = spark.createDataFrame([("a", 0, 100.0, [-10.0, -5.0, 0.0, 5.0, 10.0, 15.0, 20.0], 110.0)], "asset_id string, hour int, point_kw double, residuals array<double>, rating_kw double")
+    df = spark.createDataFrame(
+        [("a", 0, 100.0, [-10.0, -5.0, 0.0, 5.0, 10.0, 15.0, 20.0], 110.0)],
+        "asset_id string, hour int, point_kw double, residuals array<double>, rating_kw double"
+    )
     r = risk.overload(df).first()
     assert r["p_overload"] == pytest.approx(2 / 7) and r["expected_excess_kwh"] == pytest.approx(15 / 7) and r["p90_kw"] == pytest.approx(117)
 
 
 def test_hosting_anchor(spark):
-    df = spark.createDataFrame([("a", 0, 100.0, [-20.0, -10.0, 0.0, 10.0, 20.0], 150.0)], "asset_id string, hour int, point_kw double, residuals array<double>, rating_kw double")
+    df = spark.createDataFrame(
+        [("a", 0, 100.0, [-20.0, -10.0, 0.0, 10.0, 20.0], 150.0)],
+        "asset_id string, hour int, point_kw double, residuals array<double>, rating_kw double"
+    )
     assert risk.hosting_capacity(df, 0.2).first()["hosting_kw"] == 40.0
 
 
 def test_fleet_anchor(spark):
-    rows = spark.createDataFrame([("a", h, 0.0, [0.0], 500.0) for h in range(24)], "asset_id string, hour int, point_kw double, residuals array<double>, rating_kw double")
-    fleets = spark.createDataFrame([("ev", 1.0, 50.0, 4.0, 0.8, [1.0] * 24)], "fleet string, sign double, units double, rated_kw double, coincidence double, profile array<double>")
+    rows = spark.createDataFrame(
+        [("a", h, 0.0, [0.0], 500.0) for h in range(24)],
+        "asset_id string, hour int, point_kw double, residuals array<double>, rating_kw double"
+    )
+    fleets = spark.createDataFrame(
+        [("ev", 1.0, 50.0, 4.0, 0.8, [1.0] * 24)],
+        "fleet string, sign double, units double, rated_kw double, coincidence double, profile array<double>"
+    )
     assert risk.fleet_scenario(rows, fleets).agg(F.max("point_kw")).first()[0] == pytest.approx(160)
 
 
@@ -138,7 +153,10 @@ def test_thermal_anchor(spark):
 
 def test_mint_anchor(spark):
     base = spark.createDataFrame([("t", 0, n, v) for n, v in (("total", 10.0), ("a", 4.0), ("b", 5.0))], "tree_id string, period int, node_id string, value double")
-    h = spark.createDataFrame([("t", n, leaf, 1.0) for n, leaf in (("total", "a"), ("total", "b"), ("a", "a"), ("b", "b"))], "tree_id string, node_id string, leaf_id string, weight double")
+    h = spark.createDataFrame(
+        [("t", n, leaf, 1.0) for n, leaf in (("total", "a"), ("total", "b"), ("a", "a"), ("b", "b"))],
+        "tree_id string, node_id string, leaf_id string, weight double"
+    )
     want = {"total": 29 / 3, "a": 13 / 3, "b": 16 / 3}
     for got in (reconcile.reconcile(base, h), reconcile.star_ols(base.withColumn("is_total", F.col("node_id") == "total"))):
         assert {r["node_id"]: pytest.approx(r["reconciled"]) for r in got.collect()} == want
@@ -152,7 +170,10 @@ def test_temporal_hierarchy(spark):
 
 
 def test_intraday_anchor(spark):
-    df = spark.createDataFrame([("s", 0, h, a, 0.0, 0.0, 0.0) for h, a in ((0, 1.0), (1, 1.5), (2, None))], "series_id string, day int, hour int, actual double, p10 double, p50 double, p90 double")
+    df = spark.createDataFrame(
+        [("s", 0, h, a, 0.0, 0.0, 0.0) for h, a in ((0, 1.0), (1, 1.5), (2, None))],
+        "series_id string, day int, hour int, actual double, p10 double, p50 double, p90 double"
+    )
     w = 0.5 ** (1 / 3)
     assert calibration.intraday(df, 2).first()["shift"] == pytest.approx(0.5 * (w * 1.0 + 1.5) / (w + 1))
 
@@ -230,7 +251,10 @@ def test_drop_rows_in_order(spark):
 
 
 def test_schedule_validation(spark):
-    df = spark.createDataFrame([("DE123456", datetime(2024, 1, 1), datetime(2024, 1, 1, 1), 5.0, None), ("X", datetime(2024, 1, 1), datetime(2024, 1, 1), 3.0, None)], "malo string, start_ts timestamp, end_ts timestamp, p_limit_kw double, floor_kw double")
+    df = spark.createDataFrame(
+        [("DE123456", datetime(2024, 1, 1), datetime(2024, 1, 1, 1), 5.0, None), ("X", datetime(2024, 1, 1), datetime(2024, 1, 1), 3.0, None)],
+        "malo string, start_ts timestamp, end_ts timestamp, p_limit_kw double, floor_kw double"
+    )
     got = {r["malo"]: r["errors"] for r in control.validate_schedule(df).collect()}
     assert got == {"DE123456": [], "X": ["short_id", "below_floor", "no_duration"]}
     assert control.to_lpc(df).where("malo = 'DE123456'").first()["limit_w"] == 5000
@@ -239,6 +263,9 @@ def test_schedule_validation(spark):
 
 
 def test_plan_day(spark):
-    df = spark.createDataFrame([("p", h, 20.0, [-1.0, 0.0, 1.0], f, 10.0, 15.0) for h, f in enumerate([0.3, 0.1, 0.2])], "plan_id string, hour int, base_kw double, residuals array<double>, fee double, p_max_kw double, energy_kwh double")
+    df = spark.createDataFrame(
+        [("p", h, 20.0, [-1.0, 0.0, 1.0], f, 10.0, 15.0) for h, f in enumerate([0.3, 0.1, 0.2])],
+        "plan_id string, hour int, base_kw double, residuals array<double>, fee double, p_max_kw double, energy_kwh double"
+    )
     got = control.plan_day(df, 28.0, 1.0, 1.0).orderBy("hour").collect()
     assert [r["kwh"] for r in got] == [0.0, 8.0, 7.0] and all(r["grid_safe"] for r in got)

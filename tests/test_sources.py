@@ -65,7 +65,10 @@ def test_prices(spark, tmp_path):
     path = write(tmp_path / "p.csv", text, "windows-1252")
     assert [r["price"] for r in prices.read_prices(spark, path).orderBy("pos").collect()] == [-1234.56, 75.15]
     assert prices.read_prices(spark, path, keep_gaps=True).count() == 3
-    raw = spark.createDataFrame([("01.07.2024", "00:00", "CEST", "1,5", "2,5"), ("01.01.2024", "00:00", "CET", "3,0", "3,0")], "Datum string, von string, Zeitzone string, u string, o string")
+    raw = spark.createDataFrame(
+        [("01.07.2024", "00:00", "CEST", "1,5", "2,5"), ("01.01.2024", "00:00", "CET", "3,0", "3,0")],
+        "Datum string, von string, Zeitzone string, u string, o string"
+    )
     n = prices.normalise_official(raw, "u", "o")
     assert {str(r["ts"]) for r in n.collect()} == {"2024-06-30 22:00:00", "2023-12-31 23:00:00"}
     assert tuple(prices.asymmetry(n).first()) == (2, 1, 1.0)
@@ -132,7 +135,10 @@ def pages(url: str) -> str:
 
 def test_paged_records(spark):
     remote.register(spark)
-    x = spark.read.format("paged_records").options(url="p/{start}_{end}/{limit}/{offset}", fields="day,wh,absent", start="2024-01-15", end="2024-03-02", limit="2", transport="tests.test_sources.pages").load()
+    x = spark.read.format("paged_records").options(
+        url="p/{start}_{end}/{limit}/{offset}", fields="day,wh,absent", start="2024-01-15", end="2024-03-02", limit="2",
+        transport="tests.test_sources.pages"
+    ).load()
     assert x.dtypes == [("day", "string"), ("wh", "string"), ("absent", "string")]
     got = sorted((r["day"], int(r["wh"])) for r in x.collect())
     assert got == [("2024-01", k) for k in range(5)] + [("2024-02", k) for k in range(4)]
@@ -151,7 +157,10 @@ def test_cached(spark, tmp_path):
 
 
 def test_national_load(spark, tmp_path):
-    path = write(tmp_path / "n.csv", "CountryCode\tDateUTC\tValue\tCov_ratio\nDE\t01-02-2024 13:00\t50000.5\t1\nFR\t01-02-2024 13:00\tn/e\t0.9\nXX\t01-02-2024 13:00\t1\t1\n")
+    path = write(
+        tmp_path / "n.csv",
+        "CountryCode\tDateUTC\tValue\tCov_ratio\nDE\t01-02-2024 13:00\t50000.5\t1\nFR\t01-02-2024 13:00\tn/e\t0.9\nXX\t01-02-2024 13:00\t1\t1\n"
+    )
     got = {r["series_id"]: r for r in remote.national_load(spark, path, ["DE", "FR"]).collect()}
     assert set(got) == {"DE", "FR"} and got["DE"]["value"] == 50000.5 and str(got["DE"]["ts"]) == "2024-02-01 13:00:00" and got["FR"]["value"] is None
     with pytest.raises(ValueError):
@@ -178,6 +187,9 @@ def test_delivery(spark, tmp_path):
     assert sent == [1]
     both.coalesce(1).write.parquet(str(tmp_path / "in"))
     refused = []
-    q = delivery.deliver(spark.readStream.schema(both.schema).parquet(str(tmp_path / "in")), lambda df: sent.append(df.count()), str(tmp_path / "ck"), lambda df: refused.extend(r["malo"] for r in df.collect()))
+    q = delivery.deliver(
+        spark.readStream.schema(both.schema).parquet(str(tmp_path / "in")), lambda df: sent.append(df.count()), str(tmp_path / "ck"),
+        lambda df: refused.extend(r["malo"] for r in df.collect())
+    )
     q.awaitTermination(120)
     assert sent == [1, 1] and refused == ["X"]

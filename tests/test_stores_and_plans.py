@@ -12,7 +12,10 @@ from loadweave.plans import service
 
 
 def hourly(spark, days=45, series=("a", "b")):
-    rows = [(s, k, 50.0 + 20 * math.sin(2 * math.pi * (k % 24) / 24) + 5 * ((k // 24) % 7 < 5) + (k * 37 % 11) / 10 + 3 * n) for n, s in enumerate(series) for k in range(24 * days)]
+    rows = [
+        (s, k, 50.0 + 20 * math.sin(2 * math.pi * (k % 24) / 24) + 5 * ((k // 24) % 7 < 5) + (k * 37 % 11) / 10 + 3 * n) for n,
+        s in enumerate(series) for k in range(24 * days)
+    ]
     df = spark.createDataFrame(rows, "series_id string, k int, value double")
     return df.select("series_id", (F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(hours=F.col("k"))).alias("ts"), "value")
 
@@ -33,7 +36,10 @@ def test_forecast_store_replaces_one_day_of_one_utility(spark, tmp_path):
 
 
 def test_issued_forecasts_are_only_added(spark, tmp_path):
-    one = spark.createDataFrame([("s", "2024-01-01", 1, [1.0], [2.0], [3.0])], "series_id string, target_date string, issued_utc long, p10 array<double>, p50 array<double>, p90 array<double>")
+    one = spark.createDataFrame(
+        [("s", "2024-01-01", 1, [1.0], [2.0], [3.0])],
+        "series_id string, target_date string, issued_utc long, p10 array<double>, p50 array<double>, p90 array<double>"
+    )
     for k in (1, 2):
         ledger.append_issued(one.withColumn("issued_utc", F.lit(k).cast("long")), str(tmp_path / "i"))
     stored = spark.read.parquet(str(tmp_path / "i"))
@@ -93,7 +99,10 @@ def test_whole_request(spark):
     tariff = hours.select(F.lit("a").alias("feeder_id"), "hour", (F.col("hour") % 5 * 0.1).alias("fee"), F.lit(4.0).alias("p_max_kw"), F.lit(20.0).alias("energy_kwh"))
     today = hours.where("hour < 8").select(F.lit("a").alias("series_id"), "hour", F.lit(60.0).alias("actual"))
     ambient = hours.select("hour", F.lit(20.0).alias("ambient_c"))
-    out = service.run_forecast(series, "UTC", threshold=70.0, rating_kw=70.0, devices=devices, n_test=10, cal_days=8, weather=weather, calibrate=True, feedback=True, prices=prices, tariff=tariff, today=today, now_hour=8, ambient=ambient)
+    out = service.run_forecast(
+        series, "UTC", threshold=70.0, rating_kw=70.0, devices=devices, n_test=10, cal_days=8, weather=weather, calibrate=True,
+        feedback=True, prices=prices, tariff=tariff, today=today, now_hour=8, ambient=ambient
+    )
     counts = {k: v.count() for k, v in out.items()}
     assert counts["forecast"] == 48 and counts["backtest"] == 480 and counts["metrics"] == 6 and counts["bands"] == counts["calibration"] == counts["premium"] == counts["savings"] == 2
     assert counts["intraday"] == 32 and counts["redispatch"] == 24 and counts["tariff"] == 1 and counts["overload"] == 48 and counts["thermal"] == counts["hosting"] == 2 and counts["spread"] == 1
