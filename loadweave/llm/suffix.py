@@ -267,7 +267,10 @@ def _with_anchor(data: DataFrame, width: int) -> DataFrame:
             at = [int(lowest(gram_hashes(np.frombuffer(x[:width], np.uint8), gram), span)[0]) for x in b.column("data").to_pylist()]
             n = len(at)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("h", "doc_id", "start", "data")), *(pa.array(v, pa.int32()) for v in ([0] * n, [span - 1] * n, at))], [f.split()[0] for f in PART.split(", ")]
+                [
+                    *(b.column(c) for c in ("h", "doc_id", "start", "data")),
+                    *(pa.array(v, pa.int32()) for v in ([0] * n, [span - 1] * n, at))
+                ], [f.split()[0] for f in PART.split(", ")]
             )
 
     return data.select("h", "doc_id", "start", "data").mapInArrow(run, PART)

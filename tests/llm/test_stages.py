@@ -27,9 +27,15 @@ def test_no_rows(spark, sf, n):
 @pytest.mark.parametrize("n", range(5))
 def test_clashing_columns_nulls_and_repeats(spark, sf, n):
     rows = [(k, words(k), "en", f"s{k % 2}", 1) for k in range(12)]
-    rows += [(None, words(3), None, None, None), (50, None, "en", "s0", 0), (51, "", "de", None, 0), (2, words(2), "en", "s0", 1), (2, words(2), "en", "s0", 1), (60, words(1) + " " + words(1), "en", "s1", 1)]
+    rows += [
+        (None, words(3), None, None, None), (50, None, "en", "s0", 0), (51, "", "de", None, 0), (2, words(2), "en", "s0", 1),
+        (2, words(2), "en", "s0", 1), (60, words(1) + " " + words(1), "en", "s1", 1)
+    ]
     docs = spark.createDataFrame(rows, SF_COLUMNS)
-    names = ["found", "cut_id", "row_copies", "row_copy", "row_key", "_copies", "uid", "copies", "h", "p", "size", "group", "fp", "rep", "kept", "host", "path", "posterior", "count", "ids"]
+    names = [
+        "found", "cut_id", "row_copies", "row_copy", "row_key", "_copies", "uid", "copies", "h", "p", "size", "group", "fp", "rep", "kept",
+        "host", "path", "posterior", "count", "ids"
+    ]
     docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
     out = stages()[n][1](spark, docs, sf)
     got = out.collect()
