@@ -1,9 +1,10 @@
 """LM scoring with a subword lattice.
 
-Arcs of a word's lattice are the pieces of an existing vocabulary (never trained here). Their
-scores are the smoothed shares that the vocabulary's own segmentation gives the distinct training
-words. The marginal over all ways to cut the word, led by the word mark, into pieces is a forward
-recursion in log space; characters that are no piece are spelt in byte pieces. One more arc spans
+Arcs of a word's lattice are the pieces of an existing vocabulary (never trained here). Their weights start
+from the vocabulary's scores and are fitted to the distinct training words by ROUNDS rounds of
+expectation-maximisation over all segmentations (forward and backward). The marginal over all ways to
+cut the word, led by the word mark, into pieces is a forward recursion in log space; characters that
+are no piece are spelt in byte pieces. One more arc spans
 each whole training word: it has its discounted share (c - D) / N of the training tokens, and the
 mass D V / N that discounting frees goes to the piece arcs. So frequent words keep their rate, and
 rare and new ones are weighed by all their segmentations. The end symbol is a token of its own. A
@@ -20,7 +21,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .common import materialize, text_bytes
 MARK = "▁"
 HEAD = 300_000
 SMOOTH = 0.1
+ROUNDS = 2
 DISCOUNT = 0.75
 FLUSH = 400_000
 LN10 = math.log(10.0)
@@ -69,6 +70,19 @@ class Lattice:
                 self.arcs.setdefault(piece[:n], None)
         self.arcs.update({p: float(log_p[i]) for p, i in ordinary.items()})
 
+    def _arcs(self, s: str, i: int) -> list[tuple[int, float]]:
+        """(end, log weight) of the arcs from place i; a character that is no piece is its bytes."""
+        out, arcs = [], self.arcs
+        for j in range(i + 1, len(s) + 1):
+            p = arcs.get(s[i:j], 0.0)
+            if p == 0.0:
+                break
+            if p is not None:
+                out.append((j, p))
+        if arcs.get(s[i]) is None:
+            out.append((i + 1, sum(self.byte[b] for b in s[i].encode())))
+        return out
+
     def score(self, word: str) -> float:
         s = MARK + word
         n, arcs, exp, log = len(s), self.arcs, math.exp, math.log
@@ -97,63 +111,104 @@ class Lattice:
         top = max(come[n])
         return (top + log(sum(exp(x - top) for x in come[n]))) / LN10
 
+    def expected(self, word: str, into: dict[str | int, float]) -> None:
+        """Adds the expected number of each piece (a byte by its number) over all segmentations of the word."""
+        s = MARK + word
+        n = len(s)
+        arcs = [self._arcs(s, i) for i in range(n)]
+        ahead = [0.0] * n + [1.0]  # weight of all ways from a place to the end, scaled by `level` of the place
+        level = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            ways = [(p + level[j], ahead[j]) for j, p in arcs[i] if ahead[j]]
+            if ways:
+                level[i] = max(x for x, _ in ways)
+                ahead[i] = sum(math.exp(x - level[i]) * a for x, a in ways)
+        here = [1.0] + [0.0] * n  # share of segmentations through a place
+        for i in range(n):
+            if not here[i] or not ahead[i]:
+                continue
+            for j, p in arcs[i]:
+                share = here[i] * math.exp(p + level[j] - level[i]) * ahead[j] / ahead[i]
+                if share:
+                    here[j] += share
+                    piece = s[i:j]
+                    if self.arcs.get(piece) is not None:
+                        into[piece] = into.get(piece, 0.0) + share
+                    else:
+                        for b in piece.encode():
+                            into[b] = into.get(b, 0.0) + share
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): occurrences of every distinct word in training documents, 0 for others."""
+    """(word, c, t): occurrences of every distinct word in training documents and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        train: Counter = Counter()
+        held: Counter = Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
+            words = list(train.keys() | held.keys())
+            c = np.fromiter((train[w] for w in words), np.int64, len(words))
+            t = c + np.fromiter((held[w] for w in words), np.int64, len(words))
+            train.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c), pa.array(t)], ["word", "c", "t"])
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
-                words = text.lower().split()
-                if in_training(doc_id):
-                    counts.update(words)
-                else:
-                    counts.update(dict.fromkeys(words, 0))
-                if len(counts) > FLUSH:
+                (train if in_training(doc_id) else held).update(text.lower().split())
+                if len(train) + len(held) > FLUSH:
                     yield flush()
-        if counts:
+        if train or held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = docs.select("doc_id", "text").mapInArrow(run, "word string, c long, t long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
-def piece_log_p(words: DataFrame, path: str) -> np.ndarray:
-    """ln share of each piece in the vocabulary's segmentation of the distinct training words of
-    (word, c), smoothed: as many numbers as the vocabulary has pieces."""
+def start_log_p(path: str) -> np.ndarray:
+    """ln weight of each piece by the vocabulary's scores: those of a unigram vocabulary are log probabilities; those of a
+    BPE vocabulary are minus the rank of the merge, which counts as a frequency rank (Zipf's law)."""
+    sp, ordinary, single = vocabulary(path)
+    usable = np.array(sorted([*ordinary.values(), *single.values()]))
+    score = np.array([sp.get_score(int(i)) for i in usable])
+    ranks = bool((score == np.round(score)).all())
+    w = 1 / (2.7 - score) if ranks else np.exp(score)
+    if single:  # a BPE vocabulary scores byte pieces 0: they are for what has no other piece
+        w[np.isin(usable, list(single.values()))] = w.min()
+    out = np.full(usable[-1] + 1, -np.inf)
+    out[usable] = np.log(w / w.sum())
+    return out
+
+
+def fitted_log_p(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """ln weight of each piece after `rounds` of expectation-maximisation on the distinct training words of (word, c), each
+    counted once: absolute discounting frees the same mass from each. Expected numbers are smoothed. What
+    comes to the driver is as many numbers as the vocabulary has pieces."""
+    log_p = start_log_p(path)
+    usable = np.flatnonzero(np.isfinite(log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, _, _ = vocabulary(path)
-        total = np.zeros(sp.get_piece_size(), np.int64)
+        _, ordinary, single = vocabulary(path)
+        lattice, found = Lattice(ordinary, single, log_p), {}
         for b in batches:
-            found = b.column("word").to_pylist()
-            for at in range(0, len(found), 2000):
-                ids = sp.encode(found[at : at + 2000], num_threads=1)
-                total += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
-
-    _, ordinary, single = vocabulary(path)
-    rows = words.where("c > 0").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    usable = np.array(sorted([*ordinary.values(), *single.values()]))
-    n = np.zeros(usable[-1] + 1)
-    piece, count = rows.column("piece").to_numpy(), rows.column("n").to_numpy()
-    inside = piece < len(n)
-    n[piece[inside]] = count[inside]
-    out = np.full(len(n), -np.inf)
-    out[usable] = np.log((n[usable] + SMOOTH) / (n[usable] + SMOOTH).sum())
-    return out
+            for word in b.column("word").to_pylist():
+                lattice.expected(word, found)
+        ids = [single[k] if isinstance(k, int) else ordinary[k] for k in found]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(found.values()), pa.float64())], ["piece", "n"])
+
+    for _ in range(rounds):
+        rows = words.where("c > 0").select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros(len(log_p))
+        n[rows.column("piece").to_numpy()] = np.round(rows.column("n").to_numpy(), 6)  # sums in any order agree
+        log_p = np.full(len(log_p), -np.inf)
+        log_p[usable] = np.log((n[usable] + SMOOTH) / (n[usable] + SMOOTH).sum())
+    return log_p
 
 
 def _head_floor(words: DataFrame, head: int) -> float:
-    """Least log2(c) step from which at most `head` words are left; at most 512 steps come here."""
-    steps = words.where("c > 0").groupBy(F.floor(F.log2("c") * 8).alias("b")).count().collect()
+    """Least log2(t) step from which at most `head` words are left; at most 512 steps come here."""
+    steps = words.groupBy(F.floor(F.log2("t") * 8).alias("b")).count().collect()
     left, floor = head, math.inf
     for row in sorted(steps, key=lambda r: -r["b"]):
         left -= row["count"]
@@ -177,7 +232,7 @@ def score_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     n_words, v_words = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = n_words + ends, v_words + (ends > 0)
     unit = total + SMOOTH * (distinct + 1)
-    log_p = piece_log_p(counted, path)
+    log_p = fitted_log_p(counted, path)
     free = DISCOUNT * distinct / total if total else 1.0  # the mass of the piece arcs
 
     def lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,61 +245,59 @@ def score_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
             whole = np.full(len(c), -np.inf)
             whole[c > 0] = np.log10((c[c > 0] - DISCOUNT) / max(total, 1))
             score = np.logaddexp(whole * LN10, (pieces + math.log10(free)) * LN10) / LN10
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(base), pa.array(score)], ["word", "c", "base", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("t"), pa.array(base), pa.array(score)], ["word", "c", "t", "base", "score"])
 
-    words = materialize(counted.mapInArrow(lattices, "word string, c long, base double, score double"))
+    words = materialize(counted.mapInArrow(lattices, "word string, c long, t long, base double, score double"))
     floor = _head_floor(words, head)
-    top = words.where(F.col("c") > 0).where(F.floor(F.log2("c") * 8) >= floor).toArrow() if floor < math.inf else words.limit(0).toArrow()
+    top = words.where(F.floor(F.log2("t") * 8) >= floor).toArrow() if floor < math.inf else words.limit(0).toArrow()
     shared = spark.sparkContext.broadcast(
-        (top.column("word").cast(pa.binary()).to_pylist(), top.column("base").to_numpy(), top.column("score").to_numpy())
+        (top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy() > 0, top.column("base").to_numpy(), top.column("score").to_numpy())
     )
     end_base = math.log10((ends + SMOOTH) / unit)
     end_score = math.log10((ends - DISCOUNT) / total) if ends else 0.0
 
+    fields = {"uid": pa.int64(), "doc_id": pa.int64(), "word": pa.string(), "n": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "b0": pa.float64(), "s0": pa.float64()}
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_words, head_base, head_score = shared.value
+        head_words, head_known, head_base, head_score = shared.value
         place = {w: i for i, w in enumerate(head_words)}
-        head_base, head_score = np.append(head_base, 0.0), np.append(head_score, 0.0)
+        head_known, head_base, head_score = np.append(head_known, False), np.append(head_base, 0.0), np.append(head_score, 0.0)
         last = len(head_words)
 
         def batch(rows):
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], ["uid", "word", "n", "n_tokens", "n_known", "b0", "s0"])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, fields.values())], list(fields))
 
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in fields]
         for b in batches:
-            for uid, text in zip(b.column("uid").to_pylist(), text_bytes(b.column("text"))):
+            for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
                 words = text.lower().split()
                 at = np.fromiter((place.get(w, last) for w in words), np.int64, len(words))
-                known = int((at < last).sum())
                 # no word holds a space, so this key meets no word in the join and is spread evenly
-                values = (uid, f" {uid}", 0, len(words) + 1, known + (ends > 0), float(head_base[at].sum()) + end_base, float(head_score[at].sum()) + end_score)
+                values = (uid, doc_id, f" {uid}", 0, len(words) + 1, int(head_known[at].sum()) + (ends > 0), float(head_base[at].sum()) + end_base, float(head_score[at].sum()) + end_score)
                 for column, value in zip(rows, values):
                     column.append(value)
-                if known < len(words):
-                    rare = Counter(w for w in words if w not in place)
-                    rows[0].extend([uid] * len(rare))
-                    rows[1].extend(w.decode() for w in rare)
-                    rows[2].extend(rare.values())
-                    for k in (3, 4):
-                        rows[k].extend([0] * len(rare))
-                    for k in (5, 6):
-                        rows[k].extend([0.0] * len(rare))
+                rare = Counter(w for w, i in zip(words, at.tolist()) if i == last)
+                if rare:
+                    for column, value in zip(rows, (uid, None, None, None, 0, 0, 0.0, 0.0)):
+                        column.extend([value] * len(rare))
+                    rows[2][-len(rare) :] = [w.decode() for w in rare]
+                    rows[3][-len(rare) :] = rare.values()
                 if len(rows[0]) > 100_000:
                     yield batch(rows)
-                    rows = [[] for _ in range(7)]
+                    rows = [[] for _ in fields]
         if rows[0]:
             yield batch(rows)
 
+    # a row's number is made once and stays with its id, so scores can't move to another row
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
-    found = numbered.select("uid", "text").mapInArrow(parts, "uid long, word string, n long, n_tokens long, n_known long, b0 double, s0 double")
-    met = found.join(words, "word", "left")
+    found = numbered.select("uid", "doc_id", "text").mapInArrow(parts, "uid long, doc_id long, word string, n long, n_tokens long, n_known long, b0 double, s0 double")
+    met = found.join(words.select("word", "c", "base", "score"), "word", "left")
     n = F.col("n")
     sums = met.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c") > 0, n).otherwise(0)).alias("n_known"),
         F.sum(F.col("b0") + n * F.coalesce("base", F.lit(0.0))).alias("base_score"),
         F.sum(F.col("s0") + n * F.coalesce("score", F.lit(0.0))).alias("score"),
     )
-    ids = numbered.select("uid", "doc_id", (~train).alias("held_out"))
-    return ids.join(sums, "uid").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", (~train).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
