@@ -1,11 +1,13 @@
 """Embedding near-dedup by a dual traversal of cover trees.
 
 Vectors are normalised, so cosine >= c means a chord of at most sqrt(2 - 2c). Equal vectors are one
-row with a multiplicity. The top of the tree is a net of pivots from a bounded sample; every
-vector hangs below its nearest pivot, in chunks of `block` vectors (a crowded pivot has several).
-A chunk with its covering radius is a node; pairs of nodes farther apart than their radii and the
-threshold allow are pruned. For each remaining pair a task builds both chunks' lower levels,
-nested nets with radii 1, 1/2, ..., 1/16, and walks down pairs of nodes:
+row with a multiplicity. The roots of the tree are a net of pivots from a bounded sample; every vector
+hangs below its nearest root. A node of more than `block` vectors is split by a net of its own sample,
+level by level, so the tree grows with the data; the leaves of this top are chunks. Pairs of
+roots, then pairs of chunks, are pruned where they are farther apart than their covering radii and the
+threshold allow; a vector goes to a partner chunk only if it is near enough to the chunk's ball and to
+the bisector of the two cells. For each remaining pair of chunks a task has both chunks' lower
+levels, nested nets with radii 1, 1/2, ..., 1/16, and walks down pairs of nodes:
 
 * centres farther apart than threshold + both covering radii: no link below, pruned;
 * centres at most threshold - both radii apart: all pairs below are links, counted at once;
@@ -28,8 +30,13 @@ from .components import connected_components
 COSINE = 0.95
 BLOCK = 2_048
 PIVOTS = 512
+FANOUT = 64  # children of a split node at most
+SAMPLE = 1_024  # vectors that a split node's centres are chosen from, about
+DEEPEST = 16  # levels of splits; what is still crowded then is dealt by hash
+SALT = 32_768  # vectors of a split node that one task places
+PARTNERS = 64  # partner chunks that one task deals a chunk's vectors to
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
-SLACK = 1e-9
+SLACK = 1e-7  # more than the error of a chord that comes from a cosine
 ROUNDING = 1e-5  # more than the error of a dot product of unit vectors in single floats
 PAIRS = 1 << 20
 
@@ -192,7 +199,8 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
     return out
 
 
-CHUNK = "pivot long, chunk long, rep long, copies long, x array<double>, far double, centres array<long>"
+PLACED = "root long, node string, rep long, copies long, x array<double>, far double, root_far double"
+CHUNK = PLACED + ", chunk long, centres array<long>"
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
@@ -206,12 +214,18 @@ def _plant(part: pa.Table) -> pa.Table:
     part = part.sort_by("rep")
     centres = part["rep"].to_numpy()[nets(unit(matrix(part["x"], np.float64)))].T
     lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * len(LEVELS), pa.array(np.ascontiguousarray(centres).ravel()))
-    return part.select(["pivot", "chunk", "rep", "copies", "x", "far"]).append_column("centres", lists)
+    return part.select([*names_of(PLACED), "chunk"]).append_column("centres", lists)
 
 
 def _grown(part: pa.Table) -> Tree:
-    """The tree of a chunk whose rows are in order of rep."""
-    places = np.searchsorted(part["rep"].to_numpy(), matrix(part["centres"], np.int64).T)
+    """The tree of some of a chunk's vectors, in order of rep. A centre that isn't among them is replaced by the
+    first vector that it covers, whose covering radii are measured anew."""
+    rep, centres = part["rep"].to_numpy(), matrix(part["centres"], np.int64).T
+    places = np.minimum(np.searchsorted(rep, centres), len(rep) - 1)
+    for k, (own, centre) in enumerate(zip(places, centres)):
+        if len(own) and (rep[own] != centre).any():
+            _, first, node = np.unique(centre, return_index=True, return_inverse=True)
+            places[k] = first[node]
     return Tree(unit(matrix(part["x"], np.float64)), part["copies"].to_numpy(), places)
 
 
@@ -234,11 +248,133 @@ def _net(x: np.ndarray, want: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector has a finite, positive length in doubles and no null component."""
+    """Rows whose vector has no null and only finite components and isn't zero, scaled by the largest component, so that no
+    square is lost to over- or underflow."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    square = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-    good = F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))) & (square > 0)
-    return vectors.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x"))
+    good = F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
+    most = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    kept = vectors.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x"))
+    return kept.withColumn("most", most).where("most > 0").select("vec_id", F.transform("x", lambda v: v / F.col("most")).alias("x"))
+
+
+def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(rep, copies, x) below the nearest of a bounded number of pivots."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for b in batches:
+            if b.num_rows:
+                cos = unit(matrix(b.column("x"), np.float64)) @ p.T
+                root, far = cos.argmax(1), pa.array(chord(cos.max(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(root.astype(str)), b.column("rep"), b.column("copies"), b.column("x"), far, far], names_of(PLACED))
+
+    return rows.select("rep", "copies", "x").mapInArrow(run, PLACED)
+
+
+def names_of(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _own_net(block: int | None):
+    def run(part: pa.Table) -> pa.Table:
+        """Of a crowded node's sample: centres of its children, in one row."""
+        want = 1 if block is None else max(2, min(FANOUT, -(-2 * part["size"][0].as_py() // block)))
+        x = _net(unit(matrix(part.sort_by("rep")["x"], np.float64)), want)
+        return pa.table({"node": part["node"].slice(0, 1), "net": pa.array([x.ravel().tolist()], pa.list_(pa.float64())), "width": pa.array([len(x)], pa.int32())})
+
+    return run
+
+
+def _descend(key: tuple, part: pa.Table, nets_of: pa.Table) -> pa.Table:
+    """Each vector of a split node moves to the child whose centre is nearest."""
+    if not len(part):
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+        return pa.table([pa.array([], t) for t in types], names=names_of(PLACED))
+    x = unit(matrix(part["x"], np.float64))
+    cos = x @ np.array(nets_of["net"][0].as_py()).reshape(-1, x.shape[1]).T
+    child = cos.argmax(1)
+    node = [f"{key[0].as_py()}.{c}" for c in child.tolist()]
+    return pa.table([part["root"], pa.array(node), part["rep"], part["copies"], part["x"], pa.array(chord(cos.max(1))), part["root_far"]], names=names_of(PLACED))
+
+
+def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes of more than `block` vectors split by nets of their own samples, level by level, until none is left; a node
+    whose sample has only one centre is dealt by hash. (placed rows with chunk; node, centre of the split
+    nodes' children). One loop a level of the tree."""
+    spark = placed.sparkSession
+    done, centres, now, level = None, spark.createDataFrame([], "node string, centre array<double>"), placed, 0
+    while True:
+        level += 1
+        sizes = materialize(now.groupBy("node").agg(F.count("*").alias("size")))
+        crowded = sizes.where(F.col("size") > block)
+        small = now.join(sizes.where(F.col("size") <= block).select("node"), "node", "left_semi").withColumn("chunk", F.xxhash64("node"))
+        done = small if done is None else done.unionByName(small)
+        if crowded.isEmpty():
+            return done, centres
+        held = now.join(crowded, "node")
+        sample = held.where(F.pmod(F.xxhash64("rep", "node"), F.col("size")) < SAMPLE).select("node", "rep", "x", "size")
+        nets_ = materialize(sample.groupBy("node").applyInArrow(_own_net(block if level <= DEEPEST else None), "node string, net array<double>, width int"))
+        split = held.join(nets_.where("width > 1").select("node"), "node", "left_semi")
+        flat = held.join(nets_.where("width > 1").select("node"), "node", "left_anti")
+        flat = flat.withColumn("chunk", F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / block)))).drop("size")
+        done = done.unionByName(flat)
+        salted = split.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / SALT)))
+        salts = nets_.where("width > 1").join(crowded, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / SALT) - 1)).alias("salt"), "net")
+        now = materialize(salted.groupBy("node", "salt").cogroup(salts.groupBy("node", "salt")).applyInArrow(_descend, PLACED))
+        one = F.size("net") / F.col("width")
+        centre = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(F.concat_ws(".", "node", k.cast("string")).alias("node"), F.slice("net", (k * one + 1).cast("int"), one.cast("int")).alias("centre")))
+        centres = materialize(centres.unionByName(nets_.where("width > 1").select(F.explode(centre).alias("c")).select("c.*")))
+
+
+def _partners(nodes: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
+    """(a, b): pairs of chunks that may hold a link, each with itself too: pairs of roots first (a bounded number, on the
+    driver), then the pairs of their chunks."""
+    spark = nodes.sparkSession
+    far = {r["root"]: r["far"] for r in nodes.groupBy("root").agg(F.max("root_radius").alias("far")).collect()}  # one row a pivot
+    roots = sorted(far)
+    radius = np.array([far[r] for r in roots])
+    near = chord(pivots[roots] @ pivots[roots].T) <= reach + radius[:, None] + radius[None, :] + SLACK
+    pairs = [(roots[i], roots[j]) for i, j in zip(*np.nonzero(near)) if i <= j]
+    met = spark.createDataFrame(pairs, "ra long, rb long")
+    side = lambda k: nodes.select(F.col("root").alias(f"r{k}"), F.col("chunk").alias(k), F.col("radius").alias(f"radius_{k}"), F.col("centre").alias(f"centre_{k}"))
+    x = met.join(side("a"), "ra").join(side("b"), "rb").where("ra < rb or a <= b")
+    cos = F.aggregate(F.zip_with("centre_a", "centre_b", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cos))
+    return x.where((F.col("a") == F.col("b")) | (gap <= reach + F.col("radius_a") + F.col("radius_b") + SLACK)).select("a", "b")
+
+
+def _deal(pivots, reach: float):
+    """Of a chunk's vectors those that may link with something in each of some partner chunks: near enough to the partner's
+    ball and to the bisector between the roots, or between children of one node."""
+    names = ["a", "b", "second", "rep", "copies", "x", "centres"]
+
+    def run(key: tuple, own: pa.Table, others: pa.Table) -> pa.Table:
+        out = []
+        if len(own) and len(others):
+            x, p = unit(matrix(own["x"], np.float64)), pivots.value
+            node, root = own["node"][0].as_py(), own["root"][0].as_py()
+            far, root_far = own["far"].to_numpy(), own["root_far"].to_numpy()
+            d = chord(x @ matrix(others["centre"], np.float64).T)
+            mine = np.array(others["own_centre"][0].as_py())
+            for k, o in enumerate(others.drop_columns(["own_centre"]).to_pylist()):
+                keep = np.ones(len(x), bool)
+                if o["a"] != o["b"]:
+                    keep = d[:, k] <= reach + o["radius"] + SLACK
+                    if o["root"] != root:
+                        gap = float(chord(p[root] @ p[o["root"]]))
+                        keep &= chord(x @ p[o["root"]]) ** 2 - root_far**2 <= 2 * gap * (reach + SLACK) + SLACK
+                    elif o["node"] != node and "." in node and o["node"].rpartition(".")[0] == node.rpartition(".")[0]:
+                        gap = float(chord(mine @ np.array(o["centre"])))
+                        keep &= d[:, k] ** 2 - far**2 <= 2 * gap * (reach + SLACK) + SLACK
+                some = own.filter(pa.array(keep)).select(["rep", "copies", "x", "centres"])
+                n = len(some)
+                out.append(pa.table([pa.array([v] * n, t) for v, t in ((o["a"], pa.int64()), (o["b"], pa.int64()), (o["second"], pa.bool_()))] + some.columns, names=names))
+        if not out:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))], names=names)
+        return pa.concat_tables(out)
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -252,6 +388,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     spark = vectors.sparkSession
     good = usable(vectors)
     classes = materialize(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    reach = math.sqrt(2.0 - 2.0 * cosine)
     edges, counts = None, None
     for (dim,) in classes.select(F.size("x")).distinct().collect():
         own = classes.where(F.size("x") == dim)
@@ -259,48 +396,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         sample = unit(np.array([r["x"] for r in own.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("x").collect()]))
         pivots = _net(sample, max(1, min(PIVOTS, -(-n // block))))
         shared = spark.sparkContext.broadcast(pivots)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = shared.value
-            for b in batches:
-                if b.num_rows:
-                    cos = unit(matrix(b.column("x"), np.float64)) @ p.T
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("rep"), b.column("copies"), b.column("x"), pa.array(cos.argmax(1)), pa.array(chord(cos.max(1)))], ["rep", "copies", "x", "pivot", "far"]
-                    )
-
-        schema = "rep long, copies long, x array<double>, pivot long, far double"
-        placed = materialize(own.mapInArrow(place, schema))
-        sizes = placed.groupBy("pivot").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / block))
-        chunked = placed.join(F.broadcast(sizes), "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-        treed = materialize(chunked.groupBy("pivot", "chunk").applyInArrow(_plant, CHUNK))
-        nodes = treed.groupBy("pivot", "chunk").agg(F.max("far").alias("radius")).orderBy("pivot", "chunk").collect()
-        where = {(r["pivot"], r["chunk"]): k for k, r in enumerate(nodes)}
-        centre = pivots[[r["pivot"] for r in nodes]]
-        radius = np.array([r["radius"] for r in nodes])
-        reach = math.sqrt(2.0 - 2.0 * cosine)
-        partners = [np.flatnonzero(chord(centre @ centre[k]) <= reach + radius + radius[k] + SLACK) for k in range(len(nodes))]
-        table = spark.sparkContext.broadcast((where, partners, len(nodes)))
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, near, k = table.value
-            for b in batches:
-                mine = np.array([at[p, c] for p, c in zip(b.column("pivot").to_pylist(), b.column("chunk").to_pylist())], np.int64)
-                if not len(mine):
-                    continue
-                row = np.repeat(np.arange(len(mine)), [len(near[m]) for m in mine])
-                other = np.concatenate([near[m] for m in mine])
-                me = mine[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(me, other) * k + np.maximum(me, other)), pa.array(me > other), b.column("rep").take(pa.array(row)), b.column("copies").take(pa.array(row)), b.column("x").take(pa.array(row)), b.column("centres").take(pa.array(row))],
-                    ["pair", "second", "rep", "copies", "x", "centres"],
-                )
+        chunked, centres = _split(materialize(_place(own, pivots)), block)
+        treed = materialize(chunked.groupBy("chunk").applyInArrow(_plant, CHUNK))
+        of_root = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(pivots)], "node string, centre array<double>")
+        nodes = treed.groupBy("chunk").agg(F.first("node").alias("node"), F.first("root").alias("root"), F.max("far").alias("radius"), F.max("root_far").alias("root_radius"))
+        nodes = materialize(nodes.join(centres.unionByName(of_root), "node"))
+        pairs = materialize(_partners(nodes, pivots, reach))
+        both = pairs.select(F.col("a").alias("chunk"), F.col("b").alias("other"), F.lit(False).alias("second"), "a", "b")
+        both = both.unionByName(pairs.where("a != b").select(F.col("b").alias("chunk"), F.col("a").alias("other"), F.lit(True).alias("second"), "a", "b"))
+        lots = both.groupBy("chunk").agg(F.ceil(F.count("*") / PARTNERS).alias("lots"))
+        other = nodes.select(F.col("chunk").alias("other"), "node", "root", "radius", "centre")
+        mine = nodes.select("chunk", F.col("centre").alias("own_centre"))
+        both = both.join(lots, "chunk").withColumn("lot", F.pmod(F.xxhash64("other"), F.col("lots"))).join(other, "other").join(mine, "chunk").drop("lots", "other")
+        dealt = treed.join(lots, "chunk").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("lots")
+        dealt = dealt.groupBy("chunk", "lot").cogroup(both.groupBy("chunk", "lot")).applyInArrow(
+            _deal(shared, reach), "a long, b long, second boolean, rep long, copies long, x array<double>, centres array<long>"
+        )
 
         def meet(key: tuple, part: pa.Table) -> pa.Table:
             part = part.combine_chunks().sort_by([("second", "ascending"), ("rep", "ascending")])
             first = int(np.count_nonzero(~part["second"].to_numpy()))
-            rep, pair = part["rep"].to_numpy(), key[0].as_py()
-            if pair // table.value[2] == pair % table.value[2]:
+            rep = part["rep"].to_numpy()
+            if key[0] == key[1]:
                 tree = _grown(part)
                 found = dual_links(tree, tree, cosine)
                 found.count -= tree.weight  # a vector with itself and its copies
@@ -312,8 +429,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
             roots = rep[np.fromiter((found.find(int(i)) for i in some), np.int64, len(some))]
             return pa.table({"rep": rep[some], "links": found.count[some], "root": roots})
 
-        dealt = treed.select("rep", "copies", "x", "pivot", "chunk", "centres").mapInArrow(deal, "pair long, second boolean, rep long, copies long, x array<double>, centres array<long>")
-        met = materialize(dealt.groupBy("pair").applyInArrow(meet, "rep long, links long, root long"))
+        met = materialize(dealt.groupBy("a", "b").applyInArrow(meet, "rep long, links long, root long"))
         e, c = met.select(F.col("rep").alias("src"), F.col("root").alias("dst")), met.groupBy("rep").agg(F.sum("links").alias("links"))
         edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
     if edges is None:

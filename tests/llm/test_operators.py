@@ -42,7 +42,7 @@ def brute_links(x, c=0.95):
         label = new
 
 
-@pytest.mark.parametrize("block", [1024, 90])
+@pytest.mark.parametrize("block", [1024, 90, 12])
 def test_cover_tree_links(spark, block):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
@@ -58,6 +58,24 @@ def test_cover_tree_links(spark, block):
     assert (got[1006]["n_links"], got[1006]["component_id"]) == (1, 1005) and got[None]["n_links"] == 0
 
 
+def test_cover_tree_of_a_tight_crowd(spark, monkeypatch):
+    """Many nearly equal vectors can't be told apart by centres; they are dealt by hash and placed by several tasks."""
+    monkeypatch.setattr(covertree, "SALT", 40)
+    monkeypatch.setattr(covertree, "PARTNERS", 3)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.ones((150, 6)) + rng.normal(size=(150, 6)) * 1e-7, rng.normal(size=(250, 6)), np.ones((60, 6)) + rng.normal(size=(60, 6)) * 0.3])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in covertree.near_duplicates(df.withColumns({c: F.lit(1) for c in ("x", "rep", "node", "chunk", "copies")}), block=16).collect()}
+    n, label = brute_links(x)
+    assert all(got[i]["n_links"] == n[i] and got[i]["component_id"] == label[i] for i in range(len(x)))
+
+
+def test_cover_tree_extreme_and_repeated_rows(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (4, None), (5, [0.0, -0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 1), (4, 0, 4), (4, 0, 4), (5, 0, 5)]
+
+
 def test_cover_tree_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert covertree.near_duplicates(df).count() == 0
@@ -198,6 +216,44 @@ def test_lattice_marginal_is_the_sum_over_segmentations():
         assert 10 ** model.score(w) == pytest.approx(total("▁" + w))
 
 
+def test_lattice_expected_counts_are_sums_over_segmentations():
+    pieces = {"▁": 0, "▁a": 1, "b": 2, "ab": 3, "a": 4, "▁ab": 5}
+    single = {b: 6 + k for k, b in enumerate("é".encode())}
+    log_p = np.log(np.array([0.2, 0.1, 0.25, 0.1, 0.1, 0.15, 0.05, 0.05]))
+    model = lattice.Lattice(pieces, single, log_p)
+
+    def cuts(s):
+        if not s:
+            yield 1.0, []
+        for p, i in pieces.items():
+            if s.startswith(p):
+                yield from ((math.exp(log_p[i]) * w, [p, *rest]) for w, rest in cuts(s[len(p) :]))
+        if s[:1] == "é":
+            for w, rest in cuts(s[1:]):
+                yield w * math.exp(sum(log_p[single[b]] for b in "é".encode())), [*"é".encode(), *rest]
+
+    got, want = {}, Counter()
+    for word in ("ab", "aabéb", "abab", "b", "éé"):
+        model.expected(word, got)
+        ways = list(cuts("▁" + word))
+        for w, cut in ways:
+            for p in cut:
+                want[p] += w / sum(x for x, _ in ways)
+        assert 10 ** model.score(word) == pytest.approx(sum(x for x, _ in ways))
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_lattice_fit_raises_likelihood(spark):
+    words = spark.createDataFrame([(w, 1, 1) for w in ("water", "waters", "watering", "river", "rivers", "unseen")] + [("held", 0, 3)], "word string, c long, t long")
+    _, ordinary, single = lattice.vocabulary(PIECES)
+    total = []
+    for rounds in (0, 1, 3):
+        log_p = lattice.fitted_log_p(words, PIECES, rounds)
+        assert np.exp(log_p[np.isfinite(log_p)]).sum() == pytest.approx(1)
+        total.append(sum(lattice.Lattice(ordinary, single, log_p).score(w) for w in ("water", "waters", "watering", "river", "rivers", "unseen")))
+    assert total[0] < total[1] < total[2]
+
+
 @pytest.mark.parametrize("head", [300_000, 3])
 def test_lattice_base(spark, head):
     rng = random.Random(6)
@@ -213,6 +269,14 @@ def test_lattice_base(spark, head):
         base = sum(math.log10((c[w] + 0.1) / unit) for w in ws) + math.log10((len(train) + 0.1) / unit)
         assert r["base_score"] == pytest.approx(base) and r["n_tokens"] == len(ws) + 1 and r["n_known"] == sum(c[w] > 0 for w in ws) + 1
         assert r["train_tokens"] == n and r["held_out"] == (i not in train) and -math.inf < r["score"] < 0
+    # the whole score: training words by their discounted share and the pieces' share of what discounting freed
+    counted = spark.createDataFrame([(w, k, k) for w, k in ((w.decode() if isinstance(w, bytes) else w, k) for w, k in c.items()) if k], "word string, c long, t long")
+    _, ordinary, single = lattice.vocabulary(PIECES)
+    model = lattice.Lattice(ordinary, single, lattice.fitted_log_p(counted, PIECES))
+    free = 0.75 * v / n
+    for i, ws in split.items():
+        want = sum(math.log10((max(c[w] - 0.75, 0.0) / n if c[w] else 0.0) + free * 10 ** model.score(w)) for w in ws) + math.log10((len(train) - 0.75) / n)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
     assert lattice.score_documents(documents(spark, ODD[:1]), PIECES).first()["held_out"]
     assert lattice.score_documents(documents(spark, []), PIECES).count() == 0
 
@@ -458,27 +522,36 @@ def test_drop_near_duplicates_of_repeated_ids(spark):
 
 
 # --- 10 -----------------------------------------------------------------------------------------
-def test_perspective_rotation(spark):
+@pytest.mark.parametrize("part", [256, 2])
+def test_perspective_rotation(spark, part):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo\n"), (2, 0, "user", None), (2, None, None, "?"), (None, 0, "user", "x"), (3, 5, "a", "t"), (3, 5, "a", "t"), (3, 700, "b", "u")]
+    rows += [(4, None, f"r{k % 3}", f"text {k}") for k in range(9)] + [(5, 7, "a", "same")] * 5 + [(5, 8, "b", "é日本")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    got = chat.rotate(df).collect()
-    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "system"), (1, "user"), (1, "assistant"), (2, "user"), (2, "unknown"), (None, "user"), (3, "a"), (3, "b")}
-    for r in got:
-        turns = sorted(((-1 if t is None else t), role or "unknown", text or "") for c, t, role, text in rows if c == r["conv_id"])
-        whole, spans, start = "", [], 0
-        for t, role, text in turns:
-            own = role == r["perspective"]
-            head = "<|im_start|>assistant\n" if own else f"<|im_start|>user name={role}\n"
-            piece = head + text + "<|im_end|>\n"
-            if t // chat.PART < r["part"] if t >= 0 else False:
-                start += len(piece)
-            if int(t / chat.PART) == r["part"]:
-                if own:
-                    spans.append((len(whole) + len(head), len(whole) + len(piece)))
-                whole += piece
-        assert r["rendered"] == whole and [tuple(m) for m in r["mask"]] == spans and r["start"] == start
-        assert r["mask_chars"] == sum(e - s for s, e in spans)
-    assert chat.rotate(df.limit(0)).count() == 0
+    got = chat.rotate(df, part).collect()
+    assert {(r["conv_id"], r["perspective"]) for r in got} == {(c, role or "unknown") for c, _, role, _ in rows}
+    want = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((-1 if t is None else t), role or "unknown", text or "") for c, t, role, text in rows if c == conv)
+        groups = []
+        for t in turns:
+            block = t[0] // part if t[0] >= 0 else 0
+            if groups and groups[-1][0] == block and len(groups[-1][1]) < part:
+                groups[-1][1].append(t)
+            else:
+                groups.append((block, [t]))
+        for view in {t[1] for t in turns}:
+            start = 0
+            for k, (_, group) in enumerate(groups):
+                whole, spans = "", []
+                for _, role, text in group:
+                    head = "<|im_start|>assistant\n" if role == view else f"<|im_start|>user name={role}\n"
+                    if role == view:
+                        spans.append((len(whole) + len(head), len(whole) + len(head) + len(text) + 11))
+                    whole += head + text + "<|im_end|>\n"
+                want[conv, view, k] = (len(group), len(spans), start, whole, spans, sum(e - s for s, e in spans))
+                start += len(whole)
+    assert {(r["conv_id"], r["perspective"], r["part"]): (r["n_turns"], r["n_own"], r["start"], r["rendered"], [tuple(m) for m in r["mask"]], r["mask_chars"]) for r in got} == want
+    assert len(got) == len(want) and chat.rotate(df.limit(0)).count() == 0
 
 
 def test_rotation_is_native(spark, sf):
