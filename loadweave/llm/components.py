@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     component, with that smallest node. Null ends and loops are ignored; no edges, no rows.
 
     Each round is two aggregations by key and two joins that adaptive execution may split, so a
-    hub with a large share of all edges is no single task. Lineage is cut after each round."""
+    hub with a large share of all edges is no single task. Lineage is cut after each round, and the
+    round before it deleted."""
     now = materialize(
         edges.where(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
@@ -32,12 +33,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a")
-        now = materialize(
+        old, now = now, materialize(
             near.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
             .where("a != b")
             .distinct()
         )
+        discard(old)
         before, seen = seen, _signature(now)
         if before == seen:
             break
