@@ -69,19 +69,8 @@ class Lattice:
             for n in range(1, len(piece)):
                 self.arcs.setdefault(piece[:n], None)
         self.arcs.update({p: float(log_p[i]) for p, i in ordinary.items()})
-
-    def _arcs(self, s: str, i: int) -> list[tuple[int, float]]:
-        """(end, log weight) of the arcs from place i; a character that is no piece is its bytes."""
-        out, arcs = [], self.arcs
-        for j in range(i + 1, len(s) + 1):
-            p = arcs.get(s[i:j], 0.0)
-            if p == 0.0:
-                break
-            if p is not None:
-                out.append((j, p))
-        if arcs.get(s[i]) is None:
-            out.append((i + 1, sum(self.byte[b] for b in s[i].encode())))
-        return out
+        self.weights = {p: math.exp(log_p[i]) for p, i in ordinary.items()}
+        self.byte_weights = {b: math.exp(log_p[i]) for b, i in single.items()}
 
     def score(self, word: str) -> float:
         s = MARK + word
@@ -112,31 +101,58 @@ class Lattice:
         return (top + log(sum(exp(x - top) for x in come[n]))) / LN10
 
     def expected(self, word: str, into: dict[str | int, float]) -> None:
-        """Adds the expected number of each piece (a byte by its number) over all segmentations of the word."""
+        """Adds the expected number of each piece (a byte by its number) over all segmentations of the word: shares of the
+        weight that runs through an arc, forward times arc times backward. Plain weights; where few are left
+        the forward pass goes on from 1, and the backward pass takes that factor back."""
         s = MARK + word
-        n = len(s)
-        arcs = [self._arcs(s, i) for i in range(n)]
-        ahead = [0.0] * n + [1.0]  # weight of all ways from a place to the end, scaled by `level` of the place
-        level = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            ways = [(p + level[j], ahead[j]) for j, p in arcs[i] if ahead[j]]
-            if ways:
-                level[i] = max(x for x, _ in ways)
-                ahead[i] = sum(math.exp(x - level[i]) * a for x, a in ways)
-        here = [1.0] + [0.0] * n  # share of segmentations through a place
+        n, arcs, weights, byte = len(s), self.arcs, self.weights, self.byte_weights
+        come = [0.0] * (n + 1)
+        come[0] = 1.0
+        factors: dict[int, float] = {}
+        arcs_of: list[list[tuple[int, str, float]]] = []
         for i in range(n):
-            if not here[i] or not ahead[i]:
+            found: list[tuple[int, str, float]] = []
+            arcs_of.append(found)
+            here = come[i]
+            if here == 0.0:
                 continue
-            for j, p in arcs[i]:
-                share = here[i] * math.exp(p + level[j] - level[i]) * ahead[j] / ahead[i]
-                if share:
-                    here[j] += share
-                    piece = s[i:j]
-                    if self.arcs.get(piece) is not None:
-                        into[piece] = into.get(piece, 0.0) + share
-                    else:
-                        for b in piece.encode():
-                            into[b] = into.get(b, 0.0) + share
+            if here < 1e-60:
+                factors[i] = here
+                come[i:] = [x / here for x in come[i:]]
+                here = 1.0
+            j = i + 1
+            while j <= n:
+                piece = s[i:j]
+                w = weights.get(piece)
+                if w is not None:
+                    found.append((j, piece, w))
+                    come[j] += here * w
+                elif piece not in arcs:
+                    break
+                j += 1
+            if not found or found[0][0] != i + 1:
+                w = 1.0
+                for b in s[i].encode():
+                    w *= byte[b]
+                found.append((i + 1, s[i], w))
+                come[i + 1] += here * w
+        total, get = come[n], into.get
+        ahead = [0.0] * n + [1.0]
+        for i in range(n - 1, -1, -1):
+            here, out = come[i] / total, 0.0
+            for j, piece, w in arcs_of[i]:
+                w *= ahead[j]
+                if factors:
+                    for k in range(i + 1, j + 1):
+                        w /= factors.get(k, 1.0)
+                out += w
+                w *= here
+                if piece in weights:
+                    into[piece] = get(piece, 0.0) + w
+                else:
+                    for b in piece.encode():
+                        into[b] = get(b, 0.0) + w
+            ahead[i] = out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -256,7 +272,10 @@ def score_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     end_base = math.log10((ends + SMOOTH) / unit)
     end_score = math.log10((ends - DISCOUNT) / total) if ends else 0.0
 
-    fields = {"uid": pa.int64(), "doc_id": pa.int64(), "word": pa.string(), "n": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "b0": pa.float64(), "s0": pa.float64()}
+    fields = {
+        "uid": pa.int64(), "doc_id": pa.int64(), "word": pa.string(), "n": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(),
+        "b0": pa.float64(), "s0": pa.float64()
+    }
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_words, head_known, head_base, head_score = shared.value
@@ -273,7 +292,10 @@ def score_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
                 words = text.lower().split()
                 at = np.fromiter((place.get(w, last) for w in words), np.int64, len(words))
                 # no word holds a space, so this key meets no word in the join and is spread evenly
-                values = (uid, doc_id, f" {uid}", 0, len(words) + 1, int(head_known[at].sum()) + (ends > 0), float(head_base[at].sum()) + end_base, float(head_score[at].sum()) + end_score)
+                values = (
+                    uid, doc_id, f" {uid}", 0, len(words) + 1, int(head_known[at].sum()) + (ends > 0),
+                    float(head_base[at].sum()) + end_base, float(head_score[at].sum()) + end_score
+                )
                 for column, value in zip(rows, values):
                     column.append(value)
                 rare = Counter(w for w, i in zip(words, at.tolist()) if i == last)

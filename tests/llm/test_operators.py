@@ -27,7 +27,10 @@ def documents(spark, rows):
     return df.withColumns({"lang": F.lit("en"), "source": F.concat(F.lit("s"), F.col("doc_id") % 3), "n_chars": F.length("text").cast("long"), "count": F.lit(1), "h": F.lit("x")})
 
 
-ODD = [(None, "no id here at all, only words"), (900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "x" * 3000), (905, "same text twice " * 30), (906, "same text twice " * 30), (906, "same text twice " * 30)]
+ODD = [
+    (None, "no id here at all, only words"), (900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "x" * 3000),
+    (905, "same text twice " * 30), (906, "same text twice " * 30), (906, "same text twice " * 30)
+]
 
 
 # --- 1 ------------------------------------------------------------------------------------------
@@ -48,7 +51,10 @@ def test_cover_tree_links(spark, block):
     base = rng.normal(size=(40, 8))
     x = np.float32([base[rng.integers(40)] + rng.normal(size=8) * rng.choice([0, 0.05, 0.2, 0.4]) for _ in range(400)])
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    odd = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] * 8, 0), (1003, [1.0, None] * 4, 0), (1004, [float("inf")] * 8, 1), (None, [1.0] * 8, 0), (1005, [1.0, 2.0], 0), (1006, [2.0, 4.0], 0)]
+    odd = [
+        (1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] * 8, 0), (1003, [1.0, None] * 4, 0), (1004, [float("inf")] * 8, 1),
+        (None, [1.0] * 8, 0), (1005, [1.0, 2.0], 0), (1006, [2.0, 4.0], 0)
+    ]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: r for r in covertree.near_duplicates(df, block=block).collect()}
     n, label = brute_links(x.astype(float))
@@ -241,6 +247,9 @@ def test_lattice_expected_counts_are_sums_over_segmentations():
                 want[p] += w / sum(x for x, _ in ways)
         assert 10 ** model.score(word) == pytest.approx(sum(x for x, _ in ways))
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+    long = {}
+    model.expected("ab" * 300 + "é" * 40, long)  # weights far below the least double
+    assert sum(v * (len(k) if isinstance(k, str) else 0.5) for k, v in long.items()) == pytest.approx(1 + 600 + 40)
 
 
 def test_lattice_fit_raises_likelihood(spark):
@@ -524,7 +533,10 @@ def test_drop_near_duplicates_of_repeated_ids(spark):
 # --- 10 -----------------------------------------------------------------------------------------
 @pytest.mark.parametrize("part", [256, 2])
 def test_perspective_rotation(spark, part):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo\n"), (2, 0, "user", None), (2, None, None, "?"), (None, 0, "user", "x"), (3, 5, "a", "t"), (3, 5, "a", "t"), (3, 700, "b", "u")]
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo\n"), (2, 0, "user", None), (2, None, None, "?"),
+        (None, 0, "user", "x"), (3, 5, "a", "t"), (3, 5, "a", "t"), (3, 700, "b", "u")
+    ]
     rows += [(4, None, f"r{k % 3}", f"text {k}") for k in range(9)] + [(5, 7, "a", "same")] * 5 + [(5, 8, "b", "é日本")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
     got = chat.rotate(df, part).collect()
