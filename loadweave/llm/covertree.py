@@ -248,13 +248,13 @@ def _net(x: np.ndarray, want: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector has no null and only finite components and isn't zero, scaled by the largest component, so that no
-    square is lost to over- or underflow."""
+    """Rows whose vector has no null and only finite components and isn't zero. Vectors whose squares could over- or
+    underflow are scaled by their largest component."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    most = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    kept = vectors.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x"))
-    return kept.withColumn("most", most).where("most > 0").select("vec_id", F.transform("x", lambda v: v / F.col("most")).alias("x"))
+    most = F.greatest(F.array_max("x"), -F.array_min("x"))
+    kept = vectors.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x")).withColumn("most", most).where("most > 0")
+    return kept.select("vec_id", F.when(F.col("most").between(1e-100, 1e100), F.col("x")).otherwise(F.transform("x", lambda v: v / F.col("most"))).alias("x"))
 
 
 def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -267,7 +267,10 @@ def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             if b.num_rows:
                 cos = unit(matrix(b.column("x"), np.float64)) @ p.T
                 root, far = cos.argmax(1), pa.array(chord(cos.max(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(root.astype(str)), b.column("rep"), b.column("copies"), b.column("x"), far, far], names_of(PLACED))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(root), pa.array(root.astype(str)), b.column("rep"), b.column("copies"), b.column("x"), far, far],
+                    names_of(PLACED)
+                )
 
     return rows.select("rep", "copies", "x").mapInArrow(run, PLACED)
 
@@ -323,7 +326,10 @@ def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         salts = nets_.where("width > 1").join(crowded, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / SALT) - 1)).alias("salt"), "net")
         now = materialize(salted.groupBy("node", "salt").cogroup(salts.groupBy("node", "salt")).applyInArrow(_descend, PLACED))
         one = F.size("net") / F.col("width")
-        centre = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(F.concat_ws(".", "node", k.cast("string")).alias("node"), F.slice("net", (k * one + 1).cast("int"), one.cast("int")).alias("centre")))
+        centre = F.transform(
+            F.sequence(F.lit(0), F.col("width") - 1),
+            lambda k: F.struct(F.concat_ws(".", "node", k.cast("string")).alias("node"), F.slice("net", (k * one + 1).cast("int"), one.cast("int")).alias("centre"))
+        )
         centres = materialize(centres.unionByName(nets_.where("width > 1").select(F.explode(centre).alias("c")).select("c.*")))
 
 
@@ -371,7 +377,10 @@ def _deal(pivots, reach: float):
                 n = len(some)
                 out.append(pa.table([pa.array([v] * n, t) for v, t in ((o["a"], pa.int64()), (o["b"], pa.int64()), (o["second"], pa.bool_()))] + some.columns, names=names))
         if not out:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))], names=names)
+            return pa.table(
+                [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))],
+                names=names
+            )
         return pa.concat_tables(out)
 
     return run
@@ -386,7 +395,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     vec_id). Vectors of another dimension than most link with those of their own only. Rows that
     repeat a vec_id with equal vectors count as copies. Other columns are ignored."""
     spark = vectors.sparkSession
-    good = usable(vectors)
+    good = materialize(usable(vectors))
     classes = materialize(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     reach = math.sqrt(2.0 - 2.0 * cosine)
     edges, counts = None, None
@@ -399,7 +408,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         chunked, centres = _split(materialize(_place(own, pivots)), block)
         treed = materialize(chunked.groupBy("chunk").applyInArrow(_plant, CHUNK))
         of_root = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(pivots)], "node string, centre array<double>")
-        nodes = treed.groupBy("chunk").agg(F.first("node").alias("node"), F.first("root").alias("root"), F.max("far").alias("radius"), F.max("root_far").alias("root_radius"))
+        nodes = treed.groupBy("chunk").agg(
+            F.first("node").alias("node"), F.first("root").alias("root"), F.max("far").alias("radius"),
+            F.max("root_far").alias("root_radius")
+        )
         nodes = materialize(nodes.join(centres.unionByName(of_root), "node"))
         pairs = materialize(_partners(nodes, pivots, reach))
         both = pairs.select(F.col("a").alias("chunk"), F.col("b").alias("other"), F.lit(False).alias("second"), "a", "b")
