@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import calibration, models
 from . import features as feats
+from .relations import dealt_union
 
 OUT = ["series_id", "day_idx", "hour", "actual", "persist", "snaive", "model", "p10", "p90"]
 FITS = "series_id string, fit_day int, fit_end int, weights array<array<double>>"
@@ -157,7 +158,7 @@ def rolling_conformal(
     if online:
         later_days = F.sequence(F.col("test") + 1, F.col("new") - 1)
         pool = own.where("test < new - 1").select("series_id", F.explode(later_days).alias("test"), "hour", "score")
-        scores = scores.unionByName(pool)
+        scores = dealt_union(["series_id", "test"], scores, pool)
     by = ["series_id", "test", "hour"] if per_hour else ["series_id", "test"]
     if kind == "cqr":
         offsets = calibration.conformal_offset(scores, by, "score", alpha).drop("n")
@@ -180,18 +181,16 @@ def targeted_conformal(
     alphas = [(1 - target) * f for f in factors]
     ends = days.where("value is not null").groupBy("series_id").agg((F.max("day_idx") + 1).alias("new"))
     before = days.join(ends, "series_id").where((F.col("day_idx") < F.col("new") - n_test) & (F.col("new") - n_test - n_val > first + cal_days + 2)).drop("new")
-    seen = None
+    seen = []
     for k, alpha in enumerate(alphas):
         b = rolling_conformal(before, n_val, "cqr", alpha, cal_days, first=first, **options)
-        one = b.groupBy("series_id").agg(F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage")).withColumn("k", F.lit(k))
-        seen = one if seen is None else seen.unionByName(one)
-    chosen = seen.groupBy("series_id").agg(F.coalesce(F.min(F.when(F.col("coverage") >= target - 1e-12, F.col("k"))), F.lit(len(alphas) - 1)).alias("k"))
+        seen.append(b.groupBy("series_id").agg(F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage")).withColumn("k", F.lit(k)))
+    chosen = dealt_union(["series_id"], *seen).groupBy("series_id").agg(F.coalesce(F.min(F.when(F.col("coverage") >= target - 1e-12, F.col("k"))), F.lit(len(alphas) - 1)).alias("k"))
     chosen = ends.select("series_id").join(chosen, "series_id", "left").select("series_id", F.coalesce("k", F.lit(0)).alias("k"))
     from .relations import _cut
 
-    chosen, out = _cut(chosen), None
+    chosen, out = _cut(chosen), []
     for k, alpha in enumerate(alphas):
         some = days.join(chosen.where(F.col("k") == k), "series_id", "left_semi")
-        one = rolling_conformal(some, n_test, "cqr", alpha, cal_days, first=first, **options).withColumn("alpha", F.lit(alpha))
-        out = one if out is None else out.unionByName(one)
-    return out
+        out.append(rolling_conformal(some, n_test, "cqr", alpha, cal_days, first=first, **options).withColumn("alpha", F.lit(alpha)))
+    return dealt_union(["series_id"], *out)

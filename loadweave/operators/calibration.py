@@ -40,6 +40,14 @@ def _best_on_grid(rows: DataFrame, tests: dict[str, tuple[Callable[[Column], Col
     """(series_id, day, name of each test): the grid point at which the share of a window's rows that pass the test
     is nearest its target, the smallest on ties; null where history is short. A test passes on one stretch of
     the grid (or nowhere), so a row is its two ends and a day is n counts."""
+    past = _passed_daily(rows, tests, points, n)
+    w = _before(window)
+    past = past.select("series_id", "day", F.count("*").over(w).alias("days"), F.sum("n").over(w).alias("n"), *(F.collect_list(k).over(w).alias(k) for k in tests))
+    return past.select("series_id", "day", *(_best(k, target, points, least).alias(k) for k, (_, target) in tests.items()))
+
+
+def _passed_daily(rows: DataFrame, tests: dict[str, tuple[Callable[[Column], Column], float]], points: Column, n: int) -> DataFrame:
+    """(series_id, day, n, name of each test): the whole rows of a day, and how many of them pass at each grid point."""
     flags = {k: F.transform(points, test) for k, (test, _) in tests.items()}
     ends = lambda f: F.struct(F.array_position(f, True).alias("a"), (n + 1 - F.array_position(F.reverse(f), True)).alias("z"))
     whole = F.col("actual").isNotNull() & F.col("p10").isNotNull() & F.col("p50").isNotNull() & F.col("p90").isNotNull()
@@ -49,16 +57,14 @@ def _best_on_grid(rows: DataFrame, tests: dict[str, tuple[Callable[[Column], Col
     def passed(k: str) -> Column:
         return F.transform(place, lambda p: F.size(F.filter(k, lambda x: (x["a"] > 0) & (x["a"] <= p) & (p <= x["z"]))))
 
-    past = daily.withColumns({k: passed(k) for k in tests})
-    w = _before(window)
-    past = past.select("series_id", "day", F.count("*").over(w).alias("days"), F.sum("n").over(w).alias("n"), *(F.collect_list(k).over(w).alias(k) for k in tests))
+    return daily.withColumns({k: passed(k) for k in tests})
 
-    def best(k: str, target: float) -> Column:
-        share = lambda i: F.aggregate(k, F.lit(0), lambda total, day: total + day[i]) / F.col("n")
-        scored = F.transform(points, lambda s, i: F.struct(F.round(F.abs(share(i) - target), 12).alias("miss"), s.alias("s")))
-        return F.when((F.col("days") >= least) & (F.col("n") > 0), F.array_min(scored)["s"])
 
-    return past.select("series_id", "day", *(best(k, target).alias(k) for k, (_, target) in tests.items()))
+def _best(k: str, target: float, points: Column, least: int) -> Column:
+    """The grid point whose share of n rows, of the days listed in column k, is nearest the target."""
+    share = lambda i: F.aggregate(k, F.lit(0), lambda total, day: total + day[i]) / F.col("n")
+    scored = F.transform(points, lambda s, i: F.struct(F.round(F.abs(share(i) - target), 12).alias("miss"), s.alias("s")))
+    return F.when((F.col("days") >= least) & (F.col("n") > 0), F.array_min(scored)["s"])
 
 
 def _shrunk(s: Column, shrink: float) -> Column:
@@ -84,6 +90,20 @@ def rolling_scale(
     return best.select("series_id", "day", _shrunk(F.col("s"), shrink).alias("scale"))
 
 
+def next_scale(
+    rows: DataFrame, window: int = 28, target: float = 0.8, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0,
+    n: int = 136
+) -> DataFrame:
+    """(series_id, scale) that rolling_scale() would give the day `next` (a column, one value a series) of which
+    there are no rows yet: sums of the days of its window, so that no blank day is appended."""
+    inside = lambda s: F.col("actual").between(_low_edge(s), _high_edge(s))
+    points = grid(low, high, n)
+    recent = rows.where((F.col("day") >= F.col("next") - window) & (F.col("day") < F.col("next")))
+    daily = _passed_daily(recent, {"s": (inside, target)}, points, n)
+    past = daily.groupBy("series_id").agg(F.count("*").alias("days"), F.sum("n").alias("n"), F.collect_list("s").alias("s"))
+    return past.select("series_id", _shrunk(_best("s", target, points, least), shrink).alias("scale"))
+
+
 def rolling_tail_scales(
     rows: DataFrame, window: int = 28, tail: float = 0.1, shrink: float = 0.5, least: int = 14, low: float = 0.3, high: float = 3.0,
     n: int = 136
@@ -102,19 +122,41 @@ def apply_scales(rows: DataFrame, scales: DataFrame) -> DataFrame:
     return x.withColumns({"p10": p50 - F.col(lo) * (p50 - F.col("p10")), "p90": p50 + F.col(hi) * (F.col("p90") - p50)})
 
 
+def _feedback_daily(rows: DataFrame, rho_max: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """rows with residual and before (that of the day before, at the hour), and per day the pairs and the summed error of each
+    of the n factors from 0 to rho_max."""
+    hour = W.partitionBy("series_id", "hour").orderBy("day")
+    x = rows.withColumn("residual", F.col("actual") - F.col("p50")).withColumn("before", F.lag("residual").over(hour))
+    miss = F.col("residual") - F.col("before")  # not null where both are
+    errors = (F.sum(F.abs(F.col("residual") - rho_max * i / (n - 1) * F.col("before"))).alias(f"m{i}") for i in range(n))
+    return x, x.groupBy("series_id", "day").agg(F.count(miss).alias("n"), *errors)
+
+
+def _best_rho(rho_max: float, n: int, least: int) -> Column:
+    mae = (F.struct(F.round(F.col(f"m{i}") / F.col("n"), 9).alias("mae"), F.lit(rho_max * i / (n - 1)).alias("r")) for i in range(n))
+    return F.when((F.col("days") >= least) & (F.col("n") > 0), F.array_min(F.array(*mae))["r"])
+
+
+def next_feedback(rows: DataFrame, window: int = 28, shrink: float = 0.5, least: int = 14, rho_max: float = 0.8, n: int = 17) -> DataFrame:
+    """(series_id, hour, rho, residual): what residual_feedback() would find for the day `next` (a column, one value a
+    series) of which there are no rows yet: rho from the sums of its window's days, and the last residual at the hour,
+    null where it is not known. rho is 0 before `least` days."""
+    x, daily = _feedback_daily(rows, rho_max, n)
+    ends = rows.groupBy("series_id").agg(F.max("next").alias("next"))
+    recent = daily.join(ends, "series_id").where((F.col("day") >= F.col("next") - window) & (F.col("day") < F.col("next")))
+    past = recent.groupBy("series_id").agg(F.count("*").alias("days"), F.sum("n").alias("n"), *(F.sum(f"m{i}").alias(f"m{i}") for i in range(n)))
+    tuned = past.select("series_id", (shrink * F.coalesce(_best_rho(rho_max, n, least), F.lit(0.0))).alias("rho"))
+    return x.groupBy("series_id", "hour").agg(F.max_by("residual", "day").alias("residual")).join(tuned, "series_id").select("series_id", "hour", "rho", "residual")
+
+
 def residual_feedback(rows: DataFrame, window: int = 28, shrink: float = 0.5, least: int = 14, rho_max: float = 0.8, n: int = 17) -> DataFrame:
     """(series_id, day, hour, rho, delta, corrected): yesterday's residual at the hour, times the rho that
     was best over the window (smallest on ties), shrunk; rho is 0 before `least` days. The first day
     has no delta and, as it has no day before it, no part in the choice."""
-    hour = W.partitionBy("series_id", "hour").orderBy("day")
-    x = rows.withColumn("residual", F.col("actual") - F.col("p50")).withColumn("before", F.lag("residual").over(hour))
-    steps = [rho_max * i / (n - 1) for i in range(n)]
-    miss = F.col("residual") - F.col("before")  # not null where both are
-    daily = x.groupBy("series_id", "day").agg(F.count(miss).alias("n"), *(F.sum(F.abs(F.col("residual") - r * F.col("before"))).alias(f"m{i}") for i, r in enumerate(steps)))
+    x, daily = _feedback_daily(rows, rho_max, n)
     w = _before(window)
     past = daily.select("series_id", "day", F.count("*").over(w).alias("days"), F.sum("n").over(w).alias("n"), *(F.sum(f"m{i}").over(w).alias(f"m{i}") for i in range(n)))
-    best = F.array_min(F.array(*(F.struct(F.round(F.col(f"m{i}") / F.col("n"), 9).alias("mae"), F.lit(r).alias("r")) for i, r in enumerate(steps))))["r"]
-    tuned = past.select("series_id", "day", F.when((F.col("days") >= least) & (F.col("n") > 0), best).alias("r"))
+    tuned = past.select("series_id", "day", _best_rho(rho_max, n, least).alias("r"))
     out = x.join(tuned, ["series_id", "day"], "left").withColumn("rho", shrink * F.coalesce("r", F.lit(0.0)))
     delta = F.coalesce(F.col("rho") * F.col("before"), F.lit(0.0))
     return out.withColumn("delta", delta).withColumn("corrected", F.col("p50") + F.col("delta")).select("series_id", "day", "hour", "rho", "delta", "corrected")

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import features as feats
+from .relations import dealt_union
 
 SHRINK_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 MODEL = "series_id string, test_day int, lam double, shrink double, weights array<double>, n_rows long, q_low array<double>, q_high array<double>"
@@ -259,7 +260,7 @@ def append_days(days: DataFrame, k: int = 1, weather: DataFrame | None = None) -
     )
     if weather is not None:
         new = new.join(weather, [c for c in ("series_id", "local_date", "hour") if c in weather.columns], "left")
-    return days.unionByName(new.select("series_id", "day_idx", "local_date", "hour", "value", *(c for c in extra if c in new.columns)), allowMissingColumns=True)
+    return dealt_union(["series_id"], days, new.select("series_id", "day_idx", "local_date", "hour", "value", *(c for c in extra if c in new.columns)))
 
 
 def _with_center(rows: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -313,25 +314,21 @@ def next_day(
     offsets = calibration.cqr_interp(past, ["series_id"], alpha).select("series_id", "offset")
     x = centred.where("day_idx = next").join(offsets, "series_id", "left").withColumn("c", F.coalesce("offset", F.lit(0.0)))
     x = x.select("series_id", "day_idx", "local_date", "hour", F.col("center").alias("p50"), "low", "high", "c")
-    # the day to come as a row without values: what the windows before it say is its own
-    blank = x.select("series_id", F.col("day_idx").alias("day"), "hour", *(F.lit(None).cast("double").alias(c) for c in ("actual", "p10", "p50", "p90")))
     if feedback:
         least = min(14, max(7, window // 2))
-        tuned = calibration.residual_feedback(past.drop("next").unionByName(blank), window, shrink, least).select("series_id", F.col("day").alias("day_idx"), "hour", "rho", "delta")
         known = past.groupBy("series_id").agg(F.count_distinct("day").alias("known"))
-        x = x.join(tuned, ["series_id", "day_idx", "hour"]).join(known, "series_id", "left")
-        delta = F.col("delta")
+        x = x.join(calibration.next_feedback(past, window, shrink, least), ["series_id", "hour"], "left").join(known, "series_id", "left")
+        residual = F.col("residual")
         if last_residual is not None:
-            x = x.join(last_residual.select("series_id", "hour", "residual"), ["series_id", "hour"], "left")
-            delta = F.coalesce(F.col("rho") * F.col("residual"), delta)
-        on = F.coalesce(F.col("known") >= least + 1, F.lit(False))
-        x = x.withColumn("rho", F.when(on, F.col("rho")).otherwise(0.0)).withColumn("p50", F.col("p50") + F.when(on, delta).otherwise(0.0))
+            x = x.join(last_residual.select("series_id", "hour", F.col("residual").alias("stored")), ["series_id", "hour"], "left")
+            residual = F.coalesce("stored", residual)
+        on = F.coalesce(F.col("known") >= least + 1, F.lit(False)) & residual.isNotNull()  # rho 0 says that nothing was added
+        x = x.withColumn("p50", F.col("p50") + F.when(on, F.col("rho") * residual).otherwise(0.0)).withColumn("rho", F.when(on, F.col("rho")).otherwise(0.0))
     p50 = F.col("p50")
     x = x.withColumns({"p10": p50 + F.col("low") - F.col("c"), "p90": p50 + F.col("high") + F.col("c")})
     if calibrate:
-        moved = past.drop("next").join(offsets, "series_id").withColumns({"p10": F.col("p10") - F.col("offset"), "p90": F.col("p90") + F.col("offset")}).drop("offset")
-        scales = calibration.rolling_scale(moved.unionByName(blank), cal_days, 1 - alpha, shrink, 1).withColumnRenamed("day", "day_idx")
-        x = x.join(scales, ["series_id", "day_idx"])
+        moved = past.join(offsets, "series_id").withColumns({"p10": F.col("p10") - F.col("offset"), "p90": F.col("p90") + F.col("offset")}).drop("offset")
+        x = x.join(calibration.next_scale(moved, cal_days, 1 - alpha, shrink, 1), "series_id", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
         x = x.withColumns({c: p50 + F.col("scale") * (F.col(c) - p50) for c in ("p10", "p90")})
     low, high = F.least(p50, F.col("p10")), F.greatest(p50, F.col("p90"))
     extra = [c for c, asked in (("scale", calibrate), ("rho", feedback)) if asked]
@@ -350,7 +347,7 @@ def _recurse(days: DataFrame, weights: DataFrame, horizon: int, names: Sequence[
         rows = with_vector(feature_fn(append_days(known, 1, weather), holidays).where("value is null"), names).join(weights, "series_id")
         step = _cut(rows.select("series_id", F.lit(k).alias("k"), "day_idx", "local_date", "hour", (F.col("base") + dot("x", "weights")).alias("center"), *(c for c in known.columns if c not in ("series_id", "day_idx", "local_date", "hour", "value"))))
         out = step if out is None else out.unionByName(step)
-        known = known.unionByName(step.drop("k").withColumnRenamed("center", "value"))
+        known = dealt_union(["series_id"], known, step.drop("k").withColumnRenamed("center", "value"))
     return out.select("series_id", "k", "day_idx", "local_date", "hour", "center")
 
 
@@ -408,7 +405,7 @@ def several_days(
         x = r.join(scales, ["origin", "k"]).join(span.select("origin", "q_low", "q_high"), "origin")
         miss = F.greatest(F.col("scale") * F.get("q_low", F.col("hour")) - F.col("r"), F.col("r") - F.col("scale") * F.get("q_high", F.col("hour")))
         later = calibration.conformal_offset(x.withColumn("score", miss), ["origin", "k"], "score", alpha).join(scales, ["origin", "k"])
-        offsets = offsets.unionByName(later.select(F.col("origin").alias("series_id"), "k", "scale", "offset"))
+        offsets = dealt_union(["series_id", "k"], offsets, later.select(F.col("origin").alias("series_id"), "k", "scale", "offset"))
     x = ahead.join(fitted.select("series_id", "q_low", "q_high"), "series_id").join(offsets, ["series_id", "k"], "left")
     scale, offset, p50 = F.coalesce("scale", F.lit(1.0)), F.coalesce("offset", F.lit(0.0)), F.col("center")
     banded = F.lit(bands == "per_horizon") | (F.col("k") == 1)

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from ..functions.columns import easter
 
 
+def dealt_union(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
+    """Frames below each other by column name (missing columns null), dealt by the keys anew. Windows, groups and joins by
+    these keys then need no further shuffle, and never rest on partitionings that the frames happen to have:
+    Spark 4.1 takes those over for the union, and adaptive execution may change one of them alone."""
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out.repartition(*keys)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in a stated order: deterministic, unlike dropDuplicates."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
@@ -127,7 +137,7 @@ def holidays(years: DataFrame, region: str | None = None) -> DataFrame:
 
 def override_holidays(base: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
     """(base and add) without remove: removal wins."""
-    return base.select("holiday").union(add.select("holiday")).distinct().join(remove.select("holiday"), "holiday", "left_anti")
+    return dealt_union(["holiday"], base.select("holiday"), add.select("holiday")).distinct().join(remove.select("holiday"), "holiday", "left_anti")
 
 
 def round_robin(items: DataFrame, group: str, item: str, limit: int, per_group: int | None = None) -> DataFrame:

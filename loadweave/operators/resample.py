@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, local_time
+from .relations import dealt_union
 
 
 def hourly_mean(series: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def as_of(left: DataFrame, right: DataFrame, value: str = "value", keys: Sequenc
     a = left.select(F.struct(*names).alias("row"), *keys, "ts", F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(1).alias("side"))
     b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *keys, "ts", F.col(value).alias("v"), F.lit(0).alias("side"))
     last = F.last("v", ignorenulls=True).over(W.partitionBy(*keys).orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0))
-    return b.unionByName(a).withColumn("found", last).where("side = 1").select("row.*", F.col("found").alias(f"asof_{value}"))
+    return dealt_union(keys, b, a).withColumn("found", last).where("side = 1").select("row.*", F.col("found").alias(f"asof_{value}"))
 
 
 def unmatched_leading(aligned: DataFrame, value: str) -> DataFrame:
@@ -124,10 +125,7 @@ def total_where(series: DataFrame, least: int = 1, group: Sequence[str] = ("ts",
 
 def stacked(*frames: DataFrame) -> DataFrame:
     """Series frames below each other by column name; columns that one lacks are null there."""
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x, allowMissingColumns=True)
-    return out
+    return dealt_union(["series_id"], *frames)
 
 
 def residual_load(load: DataFrame, pv: DataFrame, onshore: DataFrame, offshore: DataFrame, min_hours: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_quantile, clip
+from .relations import dealt_union
 
 
 def nomination(point: Column, residuals: Column, c_short: float, c_long: float) -> Column:
@@ -110,10 +111,10 @@ def fleet_scenario(rows: DataFrame, fleets: DataFrame, factor: float = 1.0) -> D
 
 def coincidence_band(rows: DataFrame, fleets: DataFrame, factors=(0.5, 1.0, 1.5), risk_alpha: float = 0.05) -> DataFrame:
     """Overload of the day before and with the fleets at several coincidence factors."""
-    out = overload_day(overload(rows, risk_alpha)).withColumn("factor", F.lit(0.0))
+    out = [overload_day(overload(rows, risk_alpha)).withColumn("factor", F.lit(0.0))]
     for f in factors:
-        out = out.unionByName(overload_day(overload(fleet_scenario(rows, fleets, f), risk_alpha)).withColumn("factor", F.lit(float(f))))
-    return out
+        out.append(overload_day(overload(fleet_scenario(rows, fleets, f), risk_alpha)).withColumn("factor", F.lit(float(f))))
+    return dealt_union(["factor"], *out)
 
 
 # Documented defaults of an oil-immersed distribution transformer.

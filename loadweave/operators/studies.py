@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import features, metrics, models, reconcile, risk
+from .relations import dealt_union
 
 
 def intraday_levers(rows: DataFrame, hours: Sequence[int] = (6, 9, 12, 15), shrinks: Sequence[float] = (0.25, 0.5, 0.75, 1.0), half_life: float = 3.0) -> DataFrame:
@@ -33,14 +34,13 @@ def intraday_levers(rows: DataFrame, hours: Sequence[int] = (6, 9, 12, 15), shri
 def asymmetry_costs(rows: DataFrame, ratios: Sequence[float] = (1.0, 1.5, 2.0, 3.0, 5.0), by: Sequence[str] = ("asset_id",)) -> DataFrame:
     """Cost of nominating the median against the cost-optimal quantile as c_short / c_long grows, on the same
     residual scenarios; percent saved."""
-    out = None
+    out = []
     for ratio in ratios:
         q = risk.nomination(F.lit(0.0), F.col("residuals"), ratio, 1.0)
         m = risk.nomination(F.lit(0.0), F.col("residuals"), 1.0, 1.0)
         cost = lambda n: risk.expected_cost(F.lit(0.0), F.col("residuals"), n, ratio, 1.0)  # noqa: B023, E731
-        one = rows.select(*by, cost(m).alias("a"), cost(q).alias("b")).groupBy(*by).agg(F.sum("a").alias("median_cost"), F.sum("b").alias("optimal_cost")).withColumn("ratio", F.lit(float(ratio)))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("saved_percent", 100 * (1 - F.try_divide("optimal_cost", "median_cost")))
+        out.append(rows.select(*by, cost(m).alias("a"), cost(q).alias("b")).groupBy(*by).agg(F.sum("a").alias("median_cost"), F.sum("b").alias("optimal_cost")).withColumn("ratio", F.lit(float(ratio))))
+    return dealt_union(by, *out).withColumn("saved_percent", 100 * (1 - F.try_divide("optimal_cost", "median_cost")))
 
 
 def generation_bias(days: DataFrame, proxy: str, n_test: int, retrain_every: int = 7, first: int = 7) -> DataFrame:
@@ -123,11 +123,10 @@ def sweep_summary(results: DataFrame, by: Sequence[str], value: str, reference:
 
 def shoot_out(days: DataFrame, candidates: dict[str, dict], n_test: int) -> DataFrame:
     """Daily errors of several rolling_origin() settings side by side: (series_id, day_idx, candidate, mae)."""
-    out = None
+    out = []
     for name, options in candidates.items():
-        one = metrics.daily_mae(models.rolling_origin(days, n_test, **options), ["series_id"], "model").withColumn("candidate", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        out.append(metrics.daily_mae(models.rolling_origin(days, n_test, **options), ["series_id"], "model").withColumn("candidate", F.lit(name)))
+    return dealt_union(["series_id"], *out)
 
 
 def single_rating(**ratings: float | None) -> float | None:

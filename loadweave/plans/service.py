@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, calibration, control, evaluations, integrity, metrics, models, resample, risk, studies
+from ..operators import bootstrap, calibration, control, evaluations, integrity, metrics, models, relations, resample, risk, studies
 
 
 def run_forecast(
@@ -100,12 +100,9 @@ def blind_challenge(series: DataFrame, zone: str = "Europe/Berlin", n_test: int
     level = days.groupBy("series_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     table = table.join(level, "series_id").withColumn("mape", F.when(F.abs("mean") > 0.1 * F.col("std"), F.col("mape"))).drop("mean", "std")
     e = lambda c: F.avg(F.abs(F.col(c) - F.col("actual"))).alias(c)
-    daily = rows.groupBy("series_id", "day_idx").agg(e("model"), e("persist"), e("snaive"))
-    skill = None
-    for reference in ("persist", "snaive"):
-        one = bootstrap.skill_interval(daily, ["series_id"], "model", reference, n=n_boot).withColumn("reference", F.lit(reference))
-        skill = one if skill is None else skill.unionByName(one)
-    return {"metrics": table, "skill": skill}
+    daily = relations._cut(rows.groupBy("series_id", "day_idx").agg(e("model"), e("persist"), e("snaive")))  # both references read it
+    skill = [bootstrap.skill_interval(daily, ["series_id"], "model", r, n=n_boot).withColumn("reference", F.lit(r)) for r in ("persist", "snaive")]
+    return {"metrics": table, "skill": relations.dealt_union(["series_id"], *skill)}
 
 
 def daily_batch(series: DataFrame, tenants: DataFrame, **options) -> dict[str, DataFrame]:
