@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes, bpe, chat, covertree, cube, lattice, quality, simhash, suffix
+from . import bayes, bpe, chat, covertree, cube, importance, lattice, quality, runs, simhash, sketch, suffix
 from .common import table
 
 
@@ -54,6 +54,19 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text())
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.likeness_to_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, sf_dir, "documents"), edit=runs.repeat_tail))
+
+
 QUERIES = {
     "op1_cover_tree_links": op1_cover_tree_links,
     "op2_byte_bpe": op2_byte_bpe,
@@ -65,6 +78,13 @@ QUERIES = {
     "op8_site_bayes": op8_site_bayes,
     "op9_simhash_components": op9_simhash_components,
     "op10_perspective_rotation": op10_perspective_rotation,
+    "op11_importance_draw": op11_importance_draw,
+    "op12_bottom_k": op12_bottom_k,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-SQL: dict[str, str] = {"op10_perspective_rotation": chat.SQL}
+SQL: dict[str, str] = {
+    "op10_perspective_rotation": chat.SQL,
+    "op11_importance_draw": importance.SQL,
+    "op13_periodic_runs": runs.SQL,
+}
