@@ -99,7 +99,7 @@ def _flight(seed: int, level: int, last: bool):
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tag = f"{seed}/{key}/{level}"
-        pdf = pdf.sort_values(["size", "uid", "p"], ascending=False, kind="stable")[["group", "uid", "size", "p"]]
+        pdf = pdf.sort_values(["size", "uid", "p"], ascending=False, kind="stable").drop(columns="block")
         size = pdf["size"].to_numpy()
         p = fly(pdf["p"].to_numpy(), size, tag)
         return pdf.assign(p=land(p, size, tag) if last else p)
@@ -107,12 +107,12 @@ def _flight(seed: int, level: int, last: bool):
     return run
 
 
-def settle(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def settle(units: DataFrame, seed: int = SEED, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
     """(group, uid, size, p) -> (group, uid, p) with every p 0 or 1, balanced in each group on the
-    number of units and on size. Units of a block depend on their uid only."""
-    schema = "group string, uid long, size long, p double"
+    number of units and on size. Units of a block depend on their uid only. Columns in carry go along."""
+    schema = "group string, uid long, size long, p double" + "".join(f", `{c}` {units.schema[c].dataType.simpleString()}" for c in carry)
     count = units.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    now, done, level = units.select("group", "uid", "size", "p"), None, 0
+    now, done, level = units.select("group", "uid", "size", "p", *carry), None, 0
     while True:
         last = count <= block
         parts = 1 if last else -(-count // (block // 2))
@@ -121,7 +121,7 @@ def settle(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
         settled = flown.where("p = 0 or p = 1")
         done = settled if done is None else done.union(settled)
         if last:
-            return done.select("group", "uid", "p")
+            return done.select("group", "uid", "p", *carry)
         now, level = flown.where("p > 0 and p < 1"), level + 1
         count = now.groupBy("group").count().agg(F.max("count")).first()[0] or 0
 
@@ -148,23 +148,27 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK,
     sized = materialize(sized.withColumn("group", F.coalesce("group", F.lit("-"))))
     sized = sized.withColumn("copy", F.row_number().over(again))
     sized = sized.withColumn("uid", F.xxhash64("doc_id", "group", "size", "copy"))
+    # uid spreads and orders the draw; the row itself is known by this exact key and its group, as hashes may meet
+    exact = F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), "size", "copy")
+    sized = sized.withColumn("exact", exact)
     targets = source_targets(sized.select("source", "size"), cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = materialize(
         sized.join(targets, sized.source.eqNullSafe(targets.source))
-        .select("doc_id", "group", "uid", "size", "source_size", "target", rate.alias("rate"), *carry)
+        .select("doc_id", "group", "uid", "exact", "size", "source_size", "target", rate.alias("rate"), *carry)
         .withColumn("whole", F.floor(F.col("rate") + 1e-12))
         .withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     )
-    drawn = settle(known.where("size > 0 and p > 0"), seed, block)
-    joined = known.join(drawn.select("uid", F.col("p").alias("extra")), "uid", "left")
+    drawn = settle(known.where("size > 0 and p > 0"), seed, block, ["exact"])
+    joined = known.join(drawn.select("group", "uid", "exact", F.col("p").alias("extra")), ["group", "uid", "exact"], "left")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.coalesce("extra", F.lit(0.0))).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "uid", *carry)
 
 
 def take(docs: DataFrame, cap: float = 3.0, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """docs, all columns, each row as many times as mix() takes it, rows that repeat a doc_id or have
-    none too. Rows are written once with a key, by which they meet their numbers of copies."""
+    none too. Rows are written once with a key, by which they meet their numbers of copies. Null texts, empty ones and
+    ones without words stay once each, also those of a source without any word; no rows, no result."""
     row, copies, copy = (fresh(docs, c) for c in ("row_key", "row_copies", "row_copy"))
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     drawn = mix(rows, cap, seed, block, [row]).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))

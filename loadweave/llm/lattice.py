@@ -71,6 +71,7 @@ class Lattice:
         self.arcs.update({p: float(log_p[i]) for p, i in ordinary.items()})
         self.weights = {p: math.exp(log_p[i]) for p, i in ordinary.items()}
         self.byte_weights = {b: math.exp(log_p[i]) for b, i in single.items()}
+        self.longest = max(map(len, ordinary), default=1)
 
     def score(self, word: str) -> float:
         s = MARK + word
@@ -118,7 +119,8 @@ class Lattice:
                 continue
             if here < 1e-60:
                 factors[i] = here
-                come[i:] = [x / here for x in come[i:]]
+                reach = slice(i, i + self.longest + 1)  # no piece has brought weight further than this
+                come[reach] = [x / here for x in come[reach]]
                 here = 1.0
             j = i + 1
             while j <= n:

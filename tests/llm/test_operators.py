@@ -199,6 +199,35 @@ def test_cube_mix(spark):
     assert cube.mix(df.limit(0)).count() == 0
 
 
+def test_mix_tells_rows_apart_whose_hashes_meet(spark, monkeypatch):
+    class Same:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return F.pmod(F.hash(*columns), F.lit(3)).cast("long")  # every hash is one of three
+
+    rows = [(i % 20 if i % 7 else None, " ".join(["w"] * (i % 9)), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(cube, "F", Same())
+    got = cube.mix(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(i), len(t.split())) for i, t, _ in rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target, taken = brute_targets(dict(sizes)), Counter()
+    for r in got:
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source_size"]] += r["taken"]
+    assert sum(taken.values()) == pytest.approx(sum(target.values()), abs=9)
+
+
+def test_take_where_no_text_has_words(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "", "a"), (2, " ", None)], "doc_id long, text string, source string").withColumn("exact", F.lit("x"))
+    assert sorted(map(str, cube.take(df).collect())) == sorted(map(str, df.collect()))
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 50, 300)
@@ -210,6 +239,21 @@ def test_flight_keeps_totals():
 
 
 # --- 4 ------------------------------------------------------------------------------------------
+def test_lattice_takes_long_words_in_linear_time():
+    import time
+
+    log_p = lattice.start_log_p(PIECES)
+    _, ordinary, single = lattice.vocabulary(PIECES)
+    model, took = lattice.Lattice(ordinary, single, log_p), []
+    text = base64.b64encode(random.Random(1).randbytes(150_000)).decode()
+    for n in (20_000, 200_000):
+        start, found = time.perf_counter(), {}
+        model.expected(text[:n], found)
+        took.append(time.perf_counter() - start)
+        assert sum(v * (len(k) if isinstance(k, str) else 1 / 3) for k, v in found.items()) == pytest.approx(n + 1, rel=1e-6)  # the mark is three bytes
+    assert took[1] < 30 * took[0]  # ten times as long; the square would be a hundred
+
+
 def test_lattice_marginal_is_the_sum_over_segmentations():
     pieces = {"▁": 0, "▁a": 1, "b": 2, "ab": 3, "a": 4, "▁ab": 5}
     log_p = np.log(np.array([0.2, 0.1, 0.25, 0.1, 0.2, 0.15]))
