@@ -45,9 +45,14 @@ def _harmonics(angle: Column, name: str, orders: tuple[int, ...]) -> dict[str, C
     return {f"{f}_{name}{k}": g(angle * k) for k in orders for f, g in (("sin", F.sin), ("cos", F.cos))}
 
 
+def slots(days: DataFrame) -> Column:
+    """Steps of a day: the column slots, where series differ in it, else 24."""
+    return F.col("slots") if "slots" in days.columns else F.lit(24)
+
+
 def calendar(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """Adds hour and weekday harmonics, weekend and holiday."""
-    hour, dow = F.col("hour") * (2 * math.pi / 24), F.weekday("local_date") * (2 * math.pi / 7)
+    """Adds hour and weekday harmonics, weekend and holiday. With a column slots, hour numbers the steps of the day."""
+    hour, dow = F.col("hour") * (2 * math.pi / slots(days)), F.weekday("local_date") * (2 * math.pi / 7)
     x = days.withColumns(_harmonics(hour, "h", (1, 2)) | _harmonics(dow, "d", (1,)))
     x = x.withColumn("weekend", (F.weekday("local_date") >= 5).cast("double"))
     if holidays is None:
@@ -87,9 +92,9 @@ def features(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     return x.where(F.col("day_idx") >= FIRST)
 
 
-def _bump(at: float) -> Column:
+def _bump(days: DataFrame, at: float) -> Column:
     """A bell of two hours' width."""
-    return F.exp(-F.pow(F.col("hour") - at, 2) / 8)
+    return F.exp(-F.pow(F.col("hour") * (24 / slots(days)) - at, 2) / 8)
 
 
 def small_load_features(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
@@ -98,7 +103,7 @@ def small_load_features(days: DataFrame, holidays: DataFrame | None = None) -> D
     lag = lambda k: F.lag("value", k).over(by_hour())
     roll = lambda k: F.avg("value").over(by_hour().rowsBetween(-k, -1)) - lag(7)
     x = days.withColumns({"d_2_9": lag(2) - lag(9), "d_3_10": lag(3) - lag(10), "d_7_14": lag(7) - lag(14), "roll3": roll(3), "roll7": roll(7)})
-    bells = {"evening": _bump(19.0), "morning": _bump(8.0)}
+    bells = {"evening": _bump(days, 19.0), "morning": _bump(days, 8.0)}
     x = features(x, holidays)
     x = x.withColumns({f"{k}_dev": F.col("trend") * v for k, v in bells.items()} | {f"weekend_{k}": F.col("weekend") * v for k, v in bells.items()})
     return x.where(F.col("day_idx") >= FIRST_SMALL)
@@ -109,7 +114,7 @@ def extended_features(days: DataFrame, holidays: DataFrame | None = None) -> Dat
     weekend evenings); rows from day 9 on."""
     lag = lambda k: F.lag("value", k).over(by_hour())
     x = days.withColumns({"lag2": lag(2) - lag(9), "roll3": F.avg("value").over(by_hour().rowsBetween(-3, -1)) - lag(7)})
-    x = features(x, holidays).withColumn("weekend_evening", F.col("weekend") * _bump(19.0))
+    x = features(x, holidays).withColumn("weekend_evening", F.col("weekend") * _bump(days, 19.0))
     return x.where(F.col("day_idx") >= FIRST + 1)
 
 

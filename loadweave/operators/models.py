@@ -252,11 +252,12 @@ def rolling_origin(
 
 def append_days(days: DataFrame, k: int = 1, weather: DataFrame | None = None) -> DataFrame:
     """Adds k empty days after the last of each series (calendar day + 1, ...), with the columns that weather(local_date,
-    hour, and series_id if it differs by series) has for them."""
+    hour, and series_id if it differs by series) has for them. A day has 24 steps, or as many as a column slots says."""
     extra = [c for c in days.columns if c not in ("series_id", "day_idx", "local_date", "hour", "value")]
-    last = days.groupBy("series_id").agg(F.max("day_idx").alias("d"), F.max("local_date").alias("l"))
-    new = last.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i"), "d", "l").select(
-        "series_id", (F.col("d") + F.col("i")).alias("day_idx"), F.expr("date_add(l, i)").alias("local_date"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"), F.lit(None).cast("double").alias("value")
+    steps = feats.slots(days).cast("int")
+    last = days.groupBy("series_id").agg(F.max("day_idx").alias("d"), F.max("local_date").alias("l"), F.max(steps).alias("slots"))
+    new = last.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i"), "d", "l", "slots").select(
+        "series_id", (F.col("d") + F.col("i")).alias("day_idx"), F.expr("date_add(l, i)").alias("local_date"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("hour"), F.lit(None).cast("double").alias("value"), "slots"
     )
     if weather is not None:
         new = new.join(weather, [c for c in ("series_id", "local_date", "hour") if c in weather.columns], "left")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,20 +99,26 @@ def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("clusters did not settle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names. Only a local session may do without: a folder of
-    its own machine is no good to a cluster's executors."""
-    sc = df.sparkSession.sparkContext
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir():
-        if not root and not sc.master.startswith("local"):
+def _scratch(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session may do without, and gets one that goes at exit: a
+    folder of its own machine is no good to a cluster's executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not root:
-            import tempfile
+        root = tempfile.mkdtemp(prefix="loadweave-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
 
-            root = tempfile.mkdtemp(prefix="loadweave-")
-        sc.setCheckpointDir(root)
-    return df.checkpoint()
+def _cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared scratch folder and read again: what it took to make it is done once and is not
+    planned again (a checkpoint would keep its constraints, which the optimizer multiplies)."""
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/t-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def representatives(entries: DataFrame, components: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import features, metrics, models, reconcile, risk
-from .relations import dealt_union
+from .relations import _cut, dealt_union
 
 
 def intraday_levers(rows: DataFrame, hours: Sequence[int] = (6, 9, 12, 15), shrinks: Sequence[float] = (0.25, 0.5, 0.75, 1.0), half_life: float = 3.0) -> DataFrame:
@@ -87,32 +87,90 @@ def bagged_intervals(rows: DataFrame, n_models: int = 10, block: int = 7, alpha:
     )
 
 
-def temporal_reconciliation(quarters: DataFrame, n_test: int = 7, method: str = "wls_var") -> DataFrame:
-    """(series_id, day_idx, slot, value) -> per series and level (day, hour, quarter hour): error of lag-7 forecasts made
-    at each level, before and after reconciling the 121 nodes of a day with each other. Node
-    forecasts at day and hour level carry their level's own bias correction of the last week."""
-    h = reconcile.temporal_hierarchy(quarters.sparkSession)
-    leaf = F.concat(F.lit("q"), F.lpad(F.col("slot").cast("string"), 2, "0"))
-    x = quarters.withColumn("leaf_id", leaf).join(h, "leaf_id").groupBy("series_id", "day_idx", "node_id").agg(F.sum("value").alias("actual"))
-    by = W.partitionBy("series_id", "node_id").orderBy("day_idx")
-    x = x.withColumn("lag7", F.lag("actual", 7).over(by)).withColumn("miss", F.col("actual") - F.col("lag7"))
-    x = x.withColumn("bias", F.coalesce(F.avg("miss").over(by.rowsBetween(-7, -1)), F.lit(0.0)))
-    x = x.where("lag7 is not null").withColumn("value", F.col("lag7") + 0.5 * F.col("bias"))
-    last = F.max("day_idx").over(W.partitionBy("series_id"))
-    x = x.withColumn("last", last)
-    test, past = x.where(F.col("day_idx") > F.col("last") - n_test), x.where(F.col("day_idx") <= F.col("last") - n_test)
-    base = test.select(F.col("series_id").alias("tree_id"), F.col("day_idx").alias("period"), "node_id", "value")
-    tree = test.select(F.col("series_id").alias("tree_id")).distinct()
-    residuals = past.select(F.col("series_id").alias("tree_id"), F.col("day_idx").alias("t"), "node_id", (F.col("actual") - F.col("value")).alias("residual"))
-    fixed = reconcile.reconcile(base, tree.crossJoin(F.broadcast(h)), method, None if method in ("ols", "wls_struct") else residuals)  # the hierarchy has 288 rows
-    truth = test.select(F.col("series_id").alias("tree_id"), F.col("day_idx").alias("period"), "node_id", "actual")
-    level = F.when(F.col("node_id") == "day", "day").when(F.col("node_id").startswith("h"), "hour").otherwise("quarter")
-    r = fixed.join(truth, ["tree_id", "period", "node_id"]).withColumn("level", level)
-    return r.groupBy(F.col("tree_id").alias("series_id"), "level").agg(
-        F.avg(F.abs(F.col("value") - F.col("actual"))).alias("mae_before"), F.avg(F.abs(F.col("reconciled") - F.col("actual"))).alias("mae_after")
+LEVELS = {"day": 1, "hour": 24, "quarter": 96}
+
+
+def temporal_forecasts(
+    quarters: DataFrame, cal_days: int = 28, lams: Sequence[float] = (10.0,), holidays: DataFrame | None = None, min_history: int = 60, first: int = features.FIRST
+) -> DataFrame:
+    """quarters(series_id, day_idx, local_date, slot, value) -> (tree_id, period, local_date, node_id, level, value, actual): forecasts
+    of each day from min_history on, and of the day after the last, made apart at 96, 24 and 1 steps a day from the days before.
+
+    Levels are series of one plan, told apart by key, with as many steps a day as they have: features, fits and predictions of all
+    series and levels are each one pass. A day's model is fitted on the days before the last cal_days, as next_day()'s is. Days
+    that don't follow their predecessor by the calendar are no targets."""
+    whole = quarters.groupBy("series_id", "day_idx", "local_date").agg(F.count("value").alias("n")).where("n = 96").drop("n")
+    x = quarters.join(whole, ["series_id", "day_idx", "local_date"])
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("slot") * n / 96).cast("int").alias("hour"), F.lit(n).alias("slots")) for k, n in LEVELS.items())))
+    x = x.select("series_id", "day_idx", "local_date", at.alias("at"), "value").select("series_id", "day_idx", "local_date", "at.*", "value")
+    # days are numbered anew, as those that aren't whole have gone
+    number = F.dense_rank().over(W.partitionBy("series_id").orderBy("local_date")) - 1
+    x = x.groupBy("series_id", "local_date", "level", "hour", "slots").agg(F.sum("value").alias("value")).withColumn("day_idx", number.cast("int"))
+    days = x.select(F.concat_ws("@", "level", "series_id").alias("series_id"), "day_idx", "local_date", "hour", "slots", "value")
+    rows = _cut(models.with_vector(features.features(models.append_days(days), holidays), features.FEATURES))
+    cut = lambda d: d - cal_days if d - cal_days > first + 2 else d
+    fits = models._fit(rows, lambda new: sorted({cut(d) for d in range(min_history, new + 1)}), lams, True, True)
+    fits = fits.select("series_id", F.col("test_day").alias("cut"), "weights")
+    cut_of = F.when(F.col("day_idx") - cal_days > first + 2, F.col("day_idx") - cal_days).otherwise(F.col("day_idx"))
+    y = rows.where(F.col("day_idx") >= min_history).withColumn("cut", cut_of).join(fits, ["series_id", "cut"])
+    level, tree = F.substring_index("series_id", "@", 1), F.expr("substring(series_id, instr(series_id, '@') + 1)")
+    node = F.when(level == "day", F.lit("day")).otherwise(F.concat(F.substring(level, 1, 1), F.lpad(F.col("hour").cast("string"), 2, "0")))
+    # a target follows the day before it: lag over the days of one step
+    before = F.lag("local_date").over(W.partitionBy("series_id", "hour").orderBy("day_idx"))
+    seen = days.groupBy("series_id").agg(F.max("day_idx").alias("last"))
+    follows = rows.select("series_id", "hour", "day_idx", "local_date", before.alias("before")).where("hour = 0 and (before is null or date_add(before, 1) = local_date)").select("series_id", "day_idx")
+    y = y.join(follows, ["series_id", "day_idx"]).join(seen, "series_id")
+    return y.select(
+        tree.alias("tree_id"), F.col("day_idx").alias("period"), "local_date", node.alias("node_id"), level.alias("level"), (F.col("base") + models.dot("x", "weights")).alias("value"), F.col("value").alias("actual"),
+        (F.col("day_idx") > F.col("last")).alias("coming"),
     )
 
 
+def temporal_reconciliation(quarters: DataFrame, n_test: int = 7, method: str = "wls_struct", residual_days: int = 14, shrink: float = 0.2, **options) -> dict[str, DataFrame]:
+    """Forecasts at day, hour and quarter-hour level, made coherent: backtest, one row per series and level over the last n_test
+    targets (n, mae and mape of the forecasts before and after, gain in percent, mean coherence gap of a day before and after), and next, the
+    coming day's nodes (series_id, local_date, node_id, level, value, reconciled).
+
+    wls_var and mint_shrink use residuals of the residual_days targets before the days that they serve. options go to
+    temporal_forecasts()."""
+    x = _cut(temporal_forecasts(quarters, **options))
+    order = W.partitionBy("tree_id").orderBy(F.desc("period"))
+    ranked = x.where("not coming").select("tree_id", "period").distinct().withColumn("k", F.row_number().over(order))
+    ranked = _cut(ranked.where(F.col("k") <= n_test + residual_days))
+    tree = reconcile.temporal_tree(quarters.sparkSession)
+    weighted = method in ("wls_var", "mint_shrink")
+
+    def fixed(base: DataFrame, low: int) -> DataFrame:
+        past = x.join(ranked.where((F.col("k") > low) & (F.col("k") <= low + residual_days)), ["tree_id", "period"])
+        residuals = past.select("tree_id", F.col("period").alias("t"), "node_id", (F.col("actual") - F.col("value")).alias("residual")) if weighted else None
+        return reconcile.reconcile_tree(base, tree, method, residuals, shrink)
+
+    tested = x.join(ranked.where(F.col("k") <= n_test).drop("k"), ["tree_id", "period"])
+    after = fixed(tested, n_test).join(tested.select("tree_id", "period", "node_id", "level", "actual"), ["tree_id", "period", "node_id"])
+    coming = x.where("coming")
+    ahead = fixed(coming, 0).join(coming.select("tree_id", "period", "node_id", "level", "local_date"), ["tree_id", "period", "node_id"])
+    return {
+        "backtest": level_scores(after, tree).withColumnRenamed("tree_id", "series_id"),
+        "next": ahead.select(F.col("tree_id").alias("series_id"), "local_date", "node_id", "level", "value", "reconciled"),
+    }
+
+
+def level_scores(after: DataFrame, tree: DataFrame) -> DataFrame:
+    """(tree_id, period, node_id, level, value, reconciled, actual) -> per tree and level: n, mae and mape before and after, gain in
+    percent, and the mean gap between nodes and their children's sums before and after (of the whole tree)."""
+    after, gaps = _cut(after), None
+    for name, c in (("gap_before", "value"), ("gap_after", "reconciled")):
+        g = reconcile.incoherence(after.select("tree_id", "period", "node_id", c), tree, ["tree_id", "period"], c).groupBy("tree_id").agg(F.avg("gap").alias(name))
+        gaps = g if gaps is None else gaps.join(g, "tree_id")
+    a = F.abs("actual")
+    e = {"before": F.abs(F.col("value") - F.col("actual")), "after": F.abs(F.col("reconciled") - F.col("actual"))}
+    scores = after.groupBy("tree_id", "level").agg(
+        F.count("*").alias("n"), *(F.avg(v).alias(f"mae_{k}") for k, v in e.items()), *((100 * F.avg(F.when(a > 1e-12, v / a))).alias(f"mape_{k}") for k, v in e.items())
+    )
+    gain = F.when(F.col("mae_before") > 0, 100 * (F.col("mae_before") - F.col("mae_after")) / F.col("mae_before")).otherwise(0.0)
+    return scores.withColumn("gain_percent", gain).join(gaps, "tree_id")
+
+
 def sweep_summary(results: DataFrame, by: Sequence[str], value: str, reference: str) -> DataFrame:
     """Over repeated runs: mean, spread, range of a value and how often it beats the reference."""
     return results.groupBy(*by).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
@@ -600,11 +600,70 @@ f AS (SELECT t.series_id, t.level, t.v, t.y, CASE level WHEN 'day' THEN sh.total
   ELSE t.y - (sh.fixed - sh.yh) / 4 - (sh.total - sh.yd) / 96 END AS r
   FROM t JOIN sh ON t.series_id = sh.series_id AND t.day_idx = sh.day_idx AND sh.hour = CASE level WHEN 'day' THEN 0 WHEN 'hour' THEN t.node
   ELSE t.node // 4 END)
-SELECT series_id, level, round(avg(abs(y - v)), 6) AS mae_before, round(avg(abs(r - v)), 6) AS mae_after FROM f GROUP BY 1, 2""")
+SELECT series_id, level, round(avg(abs(y - v)), 6) AS mae_before, round(avg(abs(r - v)), 6) AS mae_after, true AS coherent FROM f GROUP BY 1, 2""")
 def temporal_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    q = i.days(spark, d).select("series_id", "day_idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "hour", "value")
-    q = q.select("series_id", "day_idx", (F.col("hour") * 4 + F.col("k")).alias("slot"), (F.col("value") * (0.2 + F.col("k") * 0.05)).alias("value"))
-    return rounded(studies.temporal_reconciliation(q, 4, "wls_struct"))
+    """Given forecasts of each level (a week ago and half the level's own bias), made coherent by two passes."""
+    x = _quarters(spark, d).withColumn("at", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("slot") * n / 96).alias("node")) for k, n in studies.LEVELS.items()))))
+    x = x.groupBy("series_id", "day_idx", "at.level", "at.node").agg(F.sum("value").alias("actual"))
+    by = Window.partitionBy("series_id", "level", "node").orderBy("day_idx")
+    x = x.withColumn("l7", F.lag("actual", 7).over(by)).withColumn("miss", F.col("actual") - F.col("l7"))
+    x = x.withColumn("value", F.col("l7") + 0.5 * F.coalesce(F.avg("miss").over(by.rowsBetween(-7, -1)), F.lit(0.0)))
+    x = x.withColumn("last", F.max("day_idx").over(Window.partitionBy("series_id"))).where("l7 is not null and day_idx > last - 4")
+    name = F.when(F.col("level") == "day", "day").otherwise(F.concat(F.substring("level", 1, 1), F.lpad(F.col("node").cast("string"), 2, "0")))
+    x = x.select(F.col("series_id").alias("tree_id"), F.col("day_idx").alias("period"), name.alias("node_id"), "level", "value", "actual")
+    tree = reconcile.temporal_tree(spark)
+    after = reconcile.reconcile_tree(x, tree, "wls_struct").join(x.drop("value"), ["tree_id", "period", "node_id"])
+    scores = studies.level_scores(after, tree).withColumnRenamed("tree_id", "series_id")
+    return rounded(scores.select("series_id", "level", "mae_before", "mae_after", (F.col("gap_after") < 1e-9).alias("coherent")))
+
+
+def _quarters(spark: SparkSession, d: str) -> DataFrame:
+    """Each hour as four quarter hours of unequal parts."""
+    q = i.days(spark, d).select("series_id", "day_idx", "local_date", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "hour", "value")
+    return q.select("series_id", "day_idx", "local_date", (F.col("hour") * 4 + F.col("k")).alias("slot"), (F.col("value") * (0.2 + F.col("k") * 0.05)).alias("value"))
+
+
+@query()
+def temporal_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted forecasts at 96, 24 and 1 steps a day, made coherent under their shrunk error covariance."""
+    out = studies.temporal_reconciliation(_quarters(spark, d), 3, "mint_shrink", 4, cal_days=7, min_history=18)
+    return out["backtest"]
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+y AS (SELECT DISTINCT year(o_orderdate) AS period FROM orders),
+o AS (SELECT o_custkey, year(o_orderdate) AS period, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+l AS (SELECT c.*, y.period, coalesce(o.v, 0.0) AS v FROM c CROSS JOIN y LEFT JOIN o ON o.o_custkey = c.c_custkey AND o.period = y.period),
+n0 AS (SELECT period, n_regionkey AS r, c_nationkey AS n, sum(v) AS s, count(*) AS k FROM l GROUP BY ALL),
+n1 AS (SELECT *, s * (0.9 + 0.01 * n) AS y0, (s * (0.9 + 0.01 * n) / k + s / k) / (2.0 / k) AS est, k / 2.0 AS spread FROM n0),
+r0 AS (SELECT period, r, sum(est) AS s, sum(spread) AS sv, sum(n1.s) AS raw, sum(k) AS k FROM n1 GROUP BY ALL),
+r1 AS (SELECT *, (raw * (1.1 - 0.02 * r) / k + s / sv) / (1.0 / k + 1 / sv) AS est, 1 / (1.0 / k + 1 / sv) AS spread FROM r0),
+t0 AS (SELECT period, sum(est) AS s, sum(spread) AS sv, sum(raw) AS raw, sum(k) AS k FROM r1 GROUP BY ALL),
+t1 AS (SELECT *, (raw * 1.02 / k + s / sv) / (1.0 / k + 1 / sv) AS fixed FROM t0),
+r2 AS (SELECT r1.*, r1.est + r1.spread * (t1.fixed - t1.s) / t1.sv AS fixed FROM r1 JOIN t1 USING (period)),
+n2 AS (SELECT n1.*, n1.est + n1.spread * (r2.fixed - r2.s) / r2.sv AS fixed FROM n1 JOIN r2 ON n1.period = r2.period AND n1.r = r2.r),
+l2 AS (SELECT l.period, 'c' || c_custkey AS node_id, l.v + (n2.fixed - n2.s) / n2.k AS fixed FROM l JOIN n2 ON n2.period = l.period AND n2.n = l.c_nationkey),
+f AS (SELECT period, node_id, fixed FROM l2 UNION ALL SELECT period, 'n' || n, fixed FROM n2 UNION ALL SELECT period, 'r' || r, fixed FROM r2
+  UNION ALL SELECT period, 'all', fixed FROM t1)
+SELECT CAST(period AS INT) AS period, node_id, round(fixed, 2) + 0.0 AS reconciled FROM f""")
+def mint_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly sums of customers, nations, regions and all, each level forecast apart (as if with a bias), made coherent by leaf counts."""
+    c = i.table(spark, d, "customer").join(i.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
+    o = i.table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("period"), "o_totalprice")
+    years = F.broadcast(o.select("period").distinct())  # one row a year
+    sums = o.groupBy(F.col("o_custkey").alias("c_custkey"), "period").agg(F.sum("o_totalprice").alias("v"))
+    leaves = c.crossJoin(years).join(sums, ["c_custkey", "period"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    nation, region = F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("r"), "n_regionkey")
+    base = [leaves.select("period", F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.col("v").alias("value"))]
+    for node, factor in ((nation, 0.9 + 0.01 * F.col("c_nationkey")), (region, 1.1 - 0.02 * F.col("n_regionkey")), (F.lit("all"), F.lit(1.02))):
+        base.append(leaves.groupBy("period", node.alias("node_id"), factor.alias("f")).agg((F.sum("v") * F.col("f")).alias("value")).select("period", "node_id", "value"))
+    tree = [
+        c.select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), nation.alias("parent_id")), c.select(nation.alias("node_id"), region.alias("parent_id")).distinct(),
+        c.select(region.alias("node_id"), F.lit("all").alias("parent_id")).distinct(), spark.range(1).select(F.lit("all").alias("node_id"), F.lit(None).cast("string").alias("parent_id")),
+    ]
+    t = relations.dealt_union(["node_id"], *tree).withColumn("tree_id", F.lit(0))
+    out = reconcile.reconcile_tree(relations.dealt_union(["node_id"], *base).withColumn("tree_id", F.lit(0)), t, "wls_struct")
+    return rounded(out.select("period", "node_id", "reconciled"), digits=2)
 
 
 @query()
