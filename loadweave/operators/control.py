@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from .metrics import cumulative
+from .relations import dealt_union
 
 FLOOR_KW = 4.2
 
@@ -75,28 +77,60 @@ def pool_band(assets: DataFrame) -> DataFrame:
     return assets.groupBy("pool_id").agg(F.sum(F.least("floor_kw", "demand_kw")).alias("least_kw"), F.sum("demand_kw").alias("most_kw"))
 
 
-def redispatch(hours: DataFrame, devices: DataFrame, threshold: float, floor: float = FLOOR_KW, digits: int | None = 3) -> DataFrame:
+def _at_or_after(asked: DataFrame, index: DataFrame, keys: Sequence[str], place: str, found: Sequence[str]) -> DataFrame:
+    """Each row of asked(keys, place, ...) with the columns `found` of the first row of index(keys, block, place, found) at or after
+    its place, null where there is none. Blocks are looked up first, by their last places, then the row in its block: no
+    task sorts a key's index as a whole, and rows grow with asked and index together."""
+
+    def lookup(a: DataFrame, b: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+        row, hit = F.struct(*a.columns), F.struct(*columns)
+        left = a.select(*by, place, row.alias("row"), F.lit(None).cast(b.select(hit.alias("h")).schema["h"].dataType).alias("hit"), F.lit(1).alias("side"))
+        right = b.select(*by, place, F.lit(None).cast(left.schema["row"].dataType).alias("row"), hit.alias("hit"), F.lit(0).alias("side"))
+        down = W.partitionBy(*by).orderBy(F.col(place).desc(), "side").rowsBetween(W.unboundedPreceding, 0)
+        near = dealt_union(by, left, right).withColumn("hit", F.last("hit", ignorenulls=True).over(down)).where("side = 1")
+        return near.select("row.*", "hit.*")
+
+    blocks = index.groupBy(*keys, "block").agg(F.max(place).alias(place))
+    return lookup(lookup(asked, blocks, keys, ["block"]), index, [*keys, "block"], found).drop("block")
+
+
+def redispatch(hours: DataFrame, devices: DataFrame, threshold: float, floor: float = FLOOR_KW, digits: int | None = 3, block: int = 4096) -> DataFrame:
     """(feeder_id, hour, forecast_kw) x (feeder_id, device_id, demand_kw): in hours above the threshold the
-    devices share threshold - (forecast - their demand); then shed and safety, against naive
-    dimming to the floor. One row an hour."""
-    demand = devices.groupBy("feeder_id").agg(
-        F.sum("demand_kw").alias("demand"), F.count("*").alias("n"),
-        F.sum(F.greatest(F.col("demand_kw") - floor, F.lit(0.0))).alias("naive")
+    devices share threshold - (forecast - their demand), water_fill()'s common level; then shed and safety, against naive
+    dimming to the floor. One row an hour.
+
+    The sum of the limits depends on the hour only by its level. So a feeder's demands are counted and summed up once, by value,
+    and each hour's level is looked up in these sums: rows grow with devices + hours, not with their product."""
+    r = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    d, zero = F.col("demand_kw"), F.lit(0.0)
+    counted = devices.groupBy("feeder_id", "demand_kw").agg(F.count("*").alias("c"))
+    counted = counted.withColumns({"s": F.col("c") * d, "r": F.col("c") * r(d)})
+    index = cumulative(counted, ["feeder_id"], "demand_kw", ["c", "s", "r"])
+    rest = F.col("all_c") - F.col("upto_c") + F.col("c")  # devices from this demand on
+    index = index.select(
+        "feeder_id", F.floor((F.col("upto_c") - F.col("c")) / block).alias("block"), ((F.col("upto_s") - F.col("s")) + rest * d + 1e-12).alias("sum"),
+        (F.col("upto_s") - F.col("s")).alias("below"), (F.col("upto_r") - F.col("r")).alias("below_limits"), rest.alias("rest"),
+    )  # sum: of the limits, if this demand is the level
+    low = F.least(d, F.lit(floor))
+    demand = counted.groupBy("feeder_id").agg(
+        F.sum("s").alias("demand"), F.sum("c").alias("n"), F.sum(F.col("c") * F.greatest(d - floor, zero)).alias("naive"), F.sum(F.col("c") * r(low)).alias("floored")
     )
     x = hours.join(demand, "feeder_id").withColumn("congested", F.col("forecast_kw") > threshold)
-    x = x.withColumn("cap_kw", F.greatest(F.lit(0.0), threshold - (F.col("forecast_kw") - F.col("demand"))))
-    filled = water_fill(x.where("congested").join(devices, "feeder_id"), ["feeder_id", "hour"], floor, digits=digits)
-    used = filled.groupBy("feeder_id", "hour").agg(F.sum("shed_kw").alias("shed"), F.sum("limit_kw").alias("limits"), F.bool_and("feasible").alias("feasible"))
-    zero = F.lit(0.0)
-    return x.join(used, ["feeder_id", "hour"], "left").select(
+    x = x.withColumn("sum", F.greatest(zero, threshold - (F.col("forecast_kw") - F.col("demand"))))
+    x = _at_or_after(x, index, ["feeder_id"], "sum", ["below", "below_limits", "rest"])
+    cap, level = F.col("sum"), (F.col("sum") - F.col("below")) / F.col("rest")
+    feasible = cap >= F.col("n") * floor
+    limits = F.when(~feasible, F.col("n") * r(F.lit(floor))).when(level < floor, F.col("floored")).otherwise(F.col("below_limits") + F.col("rest") * r(level))
+    shed = F.when(F.col("congested"), F.col("demand") - limits).otherwise(zero)
+    return x.select(
         "feeder_id",
         "hour",
         "forecast_kw",
         "congested",
-        F.coalesce("shed", zero).alias("shed_kw"),
+        shed.alias("shed_kw"),
         F.when(F.col("congested"), F.col("naive")).otherwise(zero).alias("naive_shed_kw"),
-        (F.col("forecast_kw") - F.coalesce("shed", zero)).alias("managed_kw"),
-        F.coalesce("feasible", F.lit(True)).alias("feasible"),
+        (F.col("forecast_kw") - shed).alias("managed_kw"),
+        (~F.col("congested") | feasible).alias("feasible"),
     )
 
 
@@ -152,15 +186,32 @@ def validate_schedule(points: DataFrame, default_floor: float = FLOOR_KW) -> Dat
     return points.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items()))))
 
 
-def active_limit(readings: DataFrame, points: DataFrame, key: str = "malo", bucket_s: int = 3600) -> DataFrame:
-    """The lowest limit whose [start, end) holds each reading's ts. Intervals are spread over hour buckets, so
-    the range join is an equi-join by key and bucket."""
-    seconds = lambda c: F.unix_timestamp(c)
-    spread = points.where("end_ts > start_ts").withColumn("bucket", F.explode(F.sequence(F.floor(seconds("start_ts") / bucket_s), F.floor((seconds("end_ts") - 1) / bucket_s))))
-    r = readings.withColumn("bucket", F.floor(seconds("ts") / bucket_s))
-    met = r.join(spread.select(key, "bucket", "start_ts", "end_ts", "p_limit_kw"), [key, "bucket"], "left")
+def active_limit(readings: DataFrame, points: DataFrame, key: str = "malo", grain_s: int = 3600) -> DataFrame:
+    """Each reading with the lowest limit whose [start, end) holds its ts; repeated readings stay.
+
+    Intervals are cut into dyadic ones: a power of two of grains long and as many from the epoch on, at most two of each length.
+    A reading meets the one of each length that holds it, so the range join is an equi-join by key, length and number, whose
+    rows grow with the logarithm of the durations; the exact times then decide."""
+    grains = lambda c: F.unix_micros(c) / F.lit(grain_s * 1e6)
+    spans = points.where("end_ts > start_ts").select(key, "start_ts", "end_ts", "p_limit_kw", F.floor(grains("start_ts")).alias("a"), F.ceil(grains("end_ts")).alias("b"))
+    longest = spans.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 1
+    top = int(longest).bit_length() - 1
+    pieces = []
+    for k in range(top + 1):
+        low, high = F.ceil(F.col("a") / 2**k), F.floor(F.col("b") / 2**k)
+        at = lambda n: F.struct(F.lit(k).alias("length"), n.cast("long").alias("number"))  # noqa: B023, E731
+        if k == top:
+            pieces.append(F.when(low < high, F.transform(F.sequence(low, high - 1), at)))
+            continue
+        odd = lambda n: F.pmod(n, F.lit(2)) == 1
+        pieces.append(F.when(low < high, F.array_compact(F.array(F.when(odd(low), at(low)), F.when(odd(high), at(high - 1))))))
+    spans = spans.select(key, "start_ts", "end_ts", "p_limit_kw", F.explode(F.flatten(F.array_compact(F.array(*pieces)))).alias("node")).select(key, "node.*", "start_ts", "end_ts", "p_limit_kw")
+    own = F.array(*(F.struct(F.lit(k).alias("length"), F.floor(grains("ts") / 2**k).alias("number")) for k in range(top + 1)))
+    r = readings.withColumn("reading_no", F.monotonically_increasing_id()).select("*", F.explode(own).alias("node")).select(*readings.columns, "reading_no", "node.*")
+    met = r.join(spans, [key, "length", "number"], "left")
     limit = F.min(F.when((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")), F.col("p_limit_kw")))
-    return met.groupBy(*readings.columns).agg(limit.alias("active_limit_kw"))
+    rest = [c for c in readings.columns if c != key]
+    return met.groupBy(key, "reading_no").agg(*(F.first(c).alias(c) for c in rest), limit.alias("active_limit_kw")).select(*readings.columns, "active_limit_kw")
 
 
 def to_lpc(points: DataFrame, floor: float = FLOOR_KW) -> DataFrame:

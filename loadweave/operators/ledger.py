@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GENESIS = "0" * 64
+GENESIS = "0" * 64  # fixed value: what the first entry of a ledger follows
 ENTRY = "ledger_id string, seq long, prev_hash string, payload string, entry_hash string"
 
 
@@ -21,20 +21,34 @@ def payload_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def chain(entries: DataFrame, head: str = GENESIS) -> DataFrame:
-    """(ledger_id, seq, payload) -> hash chain per ledger: entry_hash = sha256(prev_hash + payload). Sequential
-    by nature, so one grouped task per ledger; ledgers run in parallel."""
+def _linked(entries: DataFrame) -> DataFrame:
+    """(ledger_id, seq, payload, head, start) -> linked entries, numbered from start where it is given. Rows come sorted by ledger
+    and seq; the hash so far is all that is held, so a task takes many short ledgers, or one of any length, in a stream."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        prev, links = head, []
-        for payload in pdf["payload"]:
-            now = hashlib.sha256((prev + payload).encode()).hexdigest()
-            links.append((prev, now))
-            prev = now
-        return pdf.assign(prev_hash=[a for a, _ in links], entry_hash=[b for _, b in links])[["ledger_id", "seq", "prev_hash", "payload", "entry_hash"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = batches  # no ledger's name
+        prev, k = "", 0
+        for b in batches:
+            before, after, seqs = [], [], []
+            for ledger_id, seq, payload, head, start in zip(*(b.column(c).to_pylist() for c in ("ledger_id", "seq", "payload", "head", "start"))):
+                if ledger_id != now:
+                    now, prev, k = ledger_id, head, 0
+                before.append(prev)
+                prev = hashlib.sha256((prev + payload).encode()).hexdigest()
+                after.append(prev)
+                seqs.append(seq if start is None else start + k)
+                k += 1
+            columns = [b.column("ledger_id"), pa.array(seqs, pa.int64()), pa.array(before, pa.string()), b.column("payload"), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["ledger_id", "seq", "prev_hash", "payload", "entry_hash"])
 
-    return entries.select("ledger_id", F.col("seq").cast("long").alias("seq"), "payload").groupBy("ledger_id").applyInPandas(run, ENTRY)
+    x = entries.select(F.col("ledger_id").cast("string"), F.col("seq").cast("long"), "payload", "head", "start")
+    return x.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq").mapInArrow(run, ENTRY)
+
+
+def chain(entries: DataFrame, head: str = GENESIS) -> DataFrame:
+    """(ledger_id, seq, payload) -> hash chain per ledger: entry_hash = sha256(prev_hash + payload). Sequential
+    by nature inside a ledger; ledgers run in parallel, many in a task."""
+    return _linked(entries.select("ledger_id", "seq", "payload", F.lit(head).alias("head"), F.lit(None).cast("long").alias("start")))
 
 
 def verify(ledger: DataFrame, head: str = GENESIS) -> DataFrame:
@@ -53,19 +67,7 @@ def append(ledger: DataFrame, new: DataFrame) -> DataFrame:
         raise ValueError("a stored chain is broken; nothing is appended")
     heads = ledger.groupBy("ledger_id").agg(F.max_by("entry_hash", "seq").alias("h"), F.max("seq").alias("s"))
     x = new.select("ledger_id", "seq", "payload").join(heads, "ledger_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        prev = pdf["h"].iloc[0] if isinstance(pdf["h"].iloc[0], str) else GENESIS
-        at = int(pdf["s"].iloc[0]) + 1 if pd.notna(pdf["s"].iloc[0]) else 0
-        rows = []
-        for k, payload in enumerate(pdf["payload"]):
-            now = hashlib.sha256((prev + payload).encode()).hexdigest()
-            rows.append((pdf["ledger_id"].iloc[0], at + k, prev, payload, now))
-            prev = now
-        return pd.DataFrame(rows, columns=["ledger_id", "seq", "prev_hash", "payload", "entry_hash"])
-
-    return x.groupBy("ledger_id").applyInPandas(run, ENTRY)
+    return _linked(x.select("ledger_id", "seq", "payload", F.coalesce("h", F.lit(GENESIS)).alias("head"), F.coalesce(F.col("s") + 1, F.lit(0)).alias("start")))
 
 
 def seal(head_hash: str, key: bytes) -> str:

@@ -7,6 +7,8 @@ retained days of a series, not calendar differences.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -164,9 +166,10 @@ def weather_on_days(days: DataFrame, weather: DataFrame, columns: Sequence[str],
 
 
 def days_with_weather(days: DataFrame, weather: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Days whose weather has all 24 local hours; the day index closes up."""
+    """Days whose weather has all 24 local hours, each with some value; the day index closes up."""
     local = local_time("ts", zone)
-    full = weather.groupBy(F.to_date(local).alias("local_date")).agg(F.count_distinct(F.hour(local)).alias("n")).where("n = 24").select("local_date")
+    known = [F.col(c).isNotNull() for c in weather.columns if c != "ts"]
+    full = (weather.where(reduce(or_, known)) if known else weather).groupBy(F.to_date(local).alias("local_date")).agg(F.count_distinct(F.hour(local)).alias("n")).where("n = 24").select("local_date")
     kept = days.join(full, "local_date", "left_semi").drop("day_idx")
     return kept.withColumn("day_idx", F.dense_rank().over(W.partitionBy("series_id").orderBy("local_date")) - 1)
 

@@ -348,14 +348,23 @@ def cvar_nomination(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- ledger -------------------------------------------------------------------------------------
-@query("SELECT CAST(o_custkey AS VARCHAR) AS ledger_id, count(*) AS n_entries, NULL::BIGINT AS first_broken, true AS chain_ok FROM orders GROUP BY 1")
+@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS ledger_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT ledger_id, count(*) AS n_entries, min(pos) FILTER (k % 97 = 0 OR k % 101 = 0 OR k % 103 = 0) AS first_broken,
+  count(*) FILTER (k % 97 = 0 OR k % 101 = 0 OR k % 103 = 0) = 0 AS chain_ok FROM o GROUP BY 1""")
 def ledger_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a ledger, some of whose entries were changed later: payload, hash or link, by rules on the order's key."""
     o = i.table(spark, d, "orders")
     entries = o.select(
         F.col("o_custkey").cast("string").alias("ledger_id"), F.col("o_orderkey").alias("seq"),
         ledger.payload_json("o_orderkey", "o_orderpriority", "o_totalprice").alias("payload")
     )
-    return ledger.verify(ledger.chain(entries))
+    where = lambda n: F.col("seq") % n == 0
+    changed = ledger.chain(entries).withColumns({
+        "payload": F.when(where(97), F.concat("payload", F.lit(" "))).otherwise(F.col("payload")),
+        "entry_hash": F.when(where(101), F.reverse("entry_hash")).otherwise(F.col("entry_hash")),
+        "prev_hash": F.when(where(103), F.lit("f" * 64)).otherwise(F.col("prev_hash")),
+    })
+    return ledger.verify(changed)
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS decision_type, o_totalprice / 1000 AS kw, o_custkey AS dev, CASE WHEN o_totalprice > 200000
@@ -412,14 +421,18 @@ def latest_forecast(spark: SparkSession, d: str) -> DataFrame:
     return ledger.latest_saved(o)
 
 
-@query("""SELECT CAST(y AS BIGINT) AS year, count(*) AS n, CAST(min(h) AS VARCHAR) AS first_day, CAST(max(CASE WHEN k = 1
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders),
+a AS (SELECT y, y % 19 AS g, y // 100 AS c, y % 100 AS r FROM y),
+b AS (SELECT *, (19 * g + c - c // 4 - (c - (c + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
+l AS (SELECT *, (32 + 2 * (c % 4) + 2 * (r // 4) - h - r % 4) % 7 AS l FROM b),
+m AS (SELECT *, h + l - 7 * ((g + 11 * h + 22 * l) // 451) + 114 AS m FROM l),
+e AS (SELECT y, make_date(y, m // 31, m % 31 + 1) AS e FROM m)
+SELECT CAST(y AS BIGINT) AS year, count(*) AS n, CAST(min(h) AS VARCHAR) AS first_day, CAST(max(CASE WHEN k = 1
   THEN h END) AS VARCHAR) AS easter_monday FROM
 (SELECT y, unnest([make_date(y,1,1), make_date(y,5,1), make_date(y,10,3), make_date(y,12,25), make_date(y,12,26), e - 2, e + 1, e + 39,
-  e + 50]) AS h, unnest([0,0,0,0,0,0,1,0,0]) AS k FROM
-  (VALUES (2023, DATE '2023-04-09'), (2024, DATE '2024-03-31'), (2025, DATE '2025-04-20'), (2026, DATE '2026-04-05'), (2038,
-  DATE '2038-04-25')) v(y, e)) GROUP BY 1""")
+  e + 50]) AS h, unnest([0,0,0,0,0,0,1,0,0]) AS k FROM e) GROUP BY 1""")
 def holiday_calendar(spark: SparkSession, d: str) -> DataFrame:
-    x = relations.holidays(spark.sql("select explode(array(2023, 2024, 2025, 2026, 2038)) as year"))
+    x = relations.holidays(i.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct())
     x = x.withColumn("year", F.year("holiday").cast("long"))
     return x.groupBy("year").agg(
         F.count("*").alias("n"), F.min("holiday").cast("string").alias("first_day"),

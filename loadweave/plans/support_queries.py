@@ -87,11 +87,13 @@ def first_price_per_time(spark: SparkSession, d: str) -> DataFrame:
 # --- shapes -------------------------------------------------------------------------------------
 WEATHER = f"""wx AS (SELECT CAST(ts AS DATE) AS local_date, hour(ts)::INT AS hour, avg(temp) AS temp FROM
   (SELECT {START} + INTERVAL (p_partkey % 600) HOUR AS ts, p_size * 1.0 AS temp FROM part WHERE p_partkey % 200 <> 17) GROUP BY 1, 2)"""
+# parts whose temperature is missing count for nothing
 
 
 def _weather(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as hourly temperatures of 25 days; some hours are missing."""
-    return i.table(spark, d, "part").where("p_partkey % 200 <> 17").select(_at((F.col("p_partkey") % 600).cast("int")).alias("ts"), (F.col("p_size") * 1.0).alias("temp"))
+    """All parts as hourly temperatures of 25 days; some are null, so that hours are missing."""
+    temp = F.when(F.col("p_partkey") % 200 != 17, F.col("p_size") * 1.0)
+    return i.table(spark, d, "part").select(_at((F.col("p_partkey") % 600).cast("int")).alias("ts"), temp.alias("temp"))
 
 
 @query(f"""WITH {i.DAYS}, {WEATHER} SELECT series_id, day_idx, d.hour, round(temp, 6) AS temp FROM days d LEFT JOIN wx
@@ -187,8 +189,10 @@ f AS (SELECT *, count(*) OVER (PARTITION BY series_id, d) AS n FROM s)
 SELECT series_id, CAST(dense_rank() OVER (PARTITION BY series_id ORDER BY d) - 1 AS INT) AS day_idx, slot, round(value, 6) AS value FROM f
   WHERE n = 96""")
 def quarter_hour_matrix(spark: SparkSession, d: str) -> DataFrame:
-    q = i.load(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).where("not (hour(ts) = 3 and day(ts) % 10 = 5 and k = 2)")
-    q = q.select("series_id", (F.col("ts") + F.make_dt_interval(mins=15 * (F.col("k") + 1))).alias("ts"), (F.col("value") * (F.col("k") + 1)).alias("value"))
+    """Four readings an hour; some have no value, so that their days aren't whole."""
+    q = i.load(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    value = F.when(F.expr("not (hour(ts) = 3 and day(ts) % 10 = 5 and k = 2)"), F.col("value") * (F.col("k") + 1))
+    q = q.select("series_id", (F.col("ts") + F.make_dt_interval(mins=15 * (F.col("k") + 1))).alias("ts"), value.alias("value"))
     return rounded(resample.quarter_hour_matrix(q).select("series_id", "day_idx", "slot", "value"))
 
 
@@ -202,10 +206,11 @@ def mock_wind(spark: SparkSession, d: str) -> DataFrame:
   AND hour(ts) % 5 = 0))
 SELECT series_id AS household_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(sum(v), 6) AS value FROM q GROUP BY 1, q.ts HAVING count(*) = 4""")
 def household_hours(spark: SparkSession, d: str) -> DataFrame:
-    q = i.load(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).where("not (k = 1 and hour(ts) % 5 = 0)")
+    """Four readings an hour; some have no value, so that their hours aren't whole."""
+    q = i.load(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     q = q.select(
         F.col("series_id").alias("household_id"), (F.col("ts") + F.make_dt_interval(mins=15 * F.col("k"))).alias("ts"),
-        (F.col("value") + F.col("k")).alias("value")
+        F.when(F.expr("not (k = 1 and hour(ts) % 5 = 0)"), F.col("value") + F.col("k")).alias("value")
     )
     return rounded(counters.household_hours(q).withColumn("ts", i.stamp("ts")))
 
@@ -241,10 +246,17 @@ def price_asymmetry(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prices.asymmetry(_official(spark, d)))
 
 
-@query(f"""SELECT p_partkey AS pos, strftime({START} + INTERVAL (p_partkey // 2) HOUR - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts FROM part
-  WHERE p_partkey < 4000""")
+@query(f"""WITH t AS (SELECT p_partkey AS pos, {START} + INTERVAL (p_partkey // 2) HOUR AS l FROM part),
+y AS (SELECT DISTINCT year(l) AS y FROM t),
+b AS (SELECT y, make_date(y, 3, 31) - (isodow(make_date(y, 3, 31)) % 7)::INT + INTERVAL 2 HOUR AS spring,
+  make_date(y, 10, 31) - (isodow(make_date(y, 10, 31)) % 7)::INT + INTERVAL 2 HOUR AS autumn FROM y),
+n AS (SELECT pos, l, row_number() OVER (PARTITION BY l ORDER BY pos) AS k FROM t)
+SELECT pos, strftime(CASE WHEN l >= spring AND l < spring + INTERVAL 1 HOUR THEN spring - INTERVAL 1 HOUR
+  WHEN l > spring AND (l < autumn OR (l < autumn + INTERVAL 1 HOUR AND k = 1)) THEN l - INTERVAL 2 HOUR
+  ELSE l - INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S') AS ts FROM n JOIN b ON year(l) = y""")
 def local_prices(spark: SparkSession, d: str) -> DataFrame:
-    p = i.table(spark, d, "part").where("p_partkey < 4000").select(F.col("p_partkey").alias("pos"), _at(F.expr("cast(p_partkey div 2 as int)")).alias("local"))  # winter ends there
+    """All parts as local half hours' prices, through winter, summer and the nights between."""
+    p = i.table(spark, d, "part").select(F.col("p_partkey").alias("pos"), _at(F.expr("cast(p_partkey div 2 as int)")).alias("local"))
     return prices.local_prices(p).select("pos", i.stamp("ts").alias("ts"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import localize, parse_numbers, parse_timestamps, unit_factor
+from ..functions.columns import FORMATS, localize, parse_numbers, parse_timestamps, strip_weekday, unit_factor
 
 PEEK = 80
 # Words by which header cells are recognised.
@@ -83,9 +83,7 @@ def read_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[
     lines = spark.read.option("encoding", encoding).text(path)
     layout = sniff([r["value"] for r in lines.limit(PEEK).collect()])
     numbered = lines.withColumn("line", F.monotonically_increasing_id())
-    skipped = lines.limit(layout.first_row).collect() if layout.first_row else []
-    drop = {r["value"] for r in skipped}
-    rows = numbered.where(~F.col("value").isin(*drop)) if drop else numbered
+    rows = numbered.where(F.col("line") >= layout.first_row)  # the first lines of the file are the first of the first split
     cells = F.split("value", re.escape(layout.separator), -1)
     rows = rows.where(F.trim("value") != "").withColumn("cells", cells)
     named = [F.trim(F.regexp_replace(F.get("cells", F.lit(i)), '^"|"$', "")).alias(n) for i, n in enumerate(layout.names)]
@@ -119,6 +117,19 @@ def inspect(df: DataFrame, columns: list[str], rows: int = 2000) -> DataFrame:
     return out.withColumn("plausible", F.coalesce(good, F.lit(False)))
 
 
+def time_column(df: DataFrame, columns: list[str], rows: int = 2000, least: float = 0.5) -> str:
+    """The column whose values on the first rows are times most often, under the format that reads it best; ties go to a
+    name that sounds like a time, then to the first. The limit is the feature: a quick look, in one aggregation."""
+    head = df.orderBy("line").limit(rows)
+    reads = {c: [F.try_to_timestamp(strip_weekday(c), F.lit(f)) for f in FORMATS] + [F.when(F.col(c).rlike(r"\d[-/.:]"), F.try_to_timestamp(strip_weekday(c)))] for c in columns}
+    filled = {c: F.trim(c) != "" for c in columns}
+    rates = head.agg(*(F.greatest(*(F.avg(F.when(filled[c], x.isNotNull().cast("double"))) for x in parsed)).alias(f"r{k}") for k, (c, parsed) in enumerate(reads.items()))).first()
+    best = max(range(len(columns)), key=lambda k: (round(rates[f"r{k}"] or 0.0, 9), bool(TIME_WORDS.search(columns[k])), -k))
+    if (rates[f"r{best}"] or 0.0) < least:
+        raise ValueError(f"no column holds times; name it: {columns}")
+    return columns[best]
+
+
 def load_series(
     spark: SparkSession, path: str, series_id: str, ts_col: str | None = None, load_col: str | None = None, unit: str | None = None, zone: str = "Europe/Berlin"
 ) -> DataFrame:
@@ -127,7 +138,7 @@ def load_series(
     standard time."""
     cells, layout = read_text(spark, path)
     if ts_col is None:
-        ts_col = next((n for n in layout.names if TIME_WORDS.search(n)), layout.names[0])
+        ts_col = "Datum" if {"Datum", "von"} <= set(layout.names) else time_column(cells, layout.names)
     stamped = cells
     if ts_col == "Datum" and "von" in layout.names:
         stamped = cells.withColumn("_ts", F.concat_ws(" ", "Datum", "von"))

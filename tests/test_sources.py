@@ -193,3 +193,23 @@ def test_delivery(spark, tmp_path):
     )
     q.awaitTermination(120)
     assert sent == [1, 1] and refused == ["X"]
+
+
+def test_time_column_by_what_it_holds(spark, tmp_path):
+    rows = [f"{k};x{k % 3};{k * 1.5:.1f};{k // 4 % 24:02d}:{15 * (k % 4):02d} war am {1 + k // 96:02d}.01.2024;{1 + k // 96:02d}.01.2024 {k // 4 % 24:02d}:{15 * (k % 4):02d}" for k in range(192)]
+    lines = ["Bericht", "", "nr;zeitart;Leistung kW;text;stempel", *rows]
+    path = tmp_path / "odd.csv"
+    path.write_text("\n".join(lines))
+    cells, layout = text_series.read_text(spark, str(path))
+    assert text_series.time_column(cells, layout.names) == "stempel"
+    got = text_series.load_series(spark, str(path), "s", load_col=layout.names[2], unit="MW")
+    assert got.count() == 48 and got.orderBy("ts").first()["value"] == pytest.approx((0 + 1.5 + 3 + 4.5) / 4)
+    with pytest.raises(ValueError):
+        text_series.time_column(cells, layout.names[:3])
+
+
+def test_lines_like_the_preamble_stay(spark, tmp_path):
+    path = tmp_path / "twice.csv"
+    path.write_text("\n".join(["a;b", "01.01.2024 00:00;1", "a;b", "01.01.2024 01:00;2"]))
+    cells, layout = text_series.read_text(spark, str(path))
+    assert cells.count() == 4 - layout.first_row
