@@ -152,6 +152,14 @@ def track_record(issued: DataFrame, actuals: DataFrame) -> DataFrame:
     )
 
 
+def last_residuals(issued: DataFrame, actuals: DataFrame) -> DataFrame:
+    """(series_id, hour, residual): actual minus issued median on each series' last date that has actuals, as last issued."""
+    last = issued.groupBy("series_id", "target_date").agg(F.max_by("p50", "issued_utc").alias("p50"))
+    x = last.join(actuals, ["series_id", "target_date"]).where("size(p50) = size(actual)")
+    x = x.groupBy("series_id").agg(F.max_by(F.arrays_zip("p50", "actual"), "target_date").alias("v"))
+    return x.select("series_id", F.posexplode("v").alias("hour", "v")).select("series_id", "hour", (F.col("v.actual") - F.col("v.p50")).alias("residual"))
+
+
 def last_days(record: DataFrame, n: int = 30) -> DataFrame:
     k = F.row_number().over(W.partitionBy("series_id").orderBy(F.desc("target_date")))
     return record.withColumn("k", k).where(F.col("k") <= n).drop("k")

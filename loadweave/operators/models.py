@@ -78,7 +78,12 @@ def _hourly_quantiles(residual: np.ndarray, hour: np.ndarray, levels: Sequence[f
     return [[float(np.quantile(r, q)) if len(r) else None for r in parts] for q in levels]
 
 
-def _windows(pdf: pd.DataFrame, tests: Callable[[int], Sequence[int]], lams: Sequence[float], shrunk: bool, mean: bool, levels: Sequence[float] | None) -> pd.DataFrame:
+def _windows(
+    pdf: pd.DataFrame, tests: Callable[[int], Sequence[int]], lams: Sequence[float], shrunk: bool, mean: bool, levels: Sequence[float] | None,
+    prior: np.ndarray | None = None, tau_days: float = 30.0
+) -> pd.DataFrame:
+    if "pooled" in pdf and not bool(pdf["pooled"].iloc[0]):
+        prior = None
     pdf = pdf.sort_values(["day_idx", "hour"], kind="stable")
     x, y, day, hour = np.stack(pdf["x"].to_numpy()), pdf["target"].to_numpy(float), pdf["day_idx"].to_numpy(), pdf["hour"].to_numpy()
     ok = np.isfinite(y)
@@ -92,6 +97,9 @@ def _windows(pdf: pd.DataFrame, tests: Callable[[int], Sequence[int]], lams: Seq
         fits = [(lam, *_shrunk_fit(moments, n, lam, shrunk)) for lam in lams]
         if mean and fits:
             fits = [(0.0, 1.0, np.mean([s * w for _, s, w in fits], axis=0))]
+        if prior is not None:
+            own = n / (n + 24 * tau_days)
+            fits = [(lam, 1.0, own * s * w + (1 - own) * prior) for lam, s, w in fits]
         for lam, s, w in fits or [(0.0, 0.0, np.zeros(x.shape[1]))]:
             q = _hourly_quantiles(y[:n] - x[:n] @ (s * w), hour[:n], levels) if levels else (None, None)
             out.append((pdf["series_id"].iloc[0], int(d), float(lam), float(s), (s * w).tolist(), n, *q))
@@ -100,12 +108,16 @@ def _windows(pdf: pd.DataFrame, tests: Callable[[int], Sequence[int]], lams: Seq
 
 def _fit(
     rows: DataFrame, tests: Callable[[int], Sequence[int]], lams: Sequence[float], shrunk: bool, mean: bool = False,
-    levels: Sequence[float] | None = None
+    levels: Sequence[float] | None = None, prior: Sequence[float] | None = None
 ) -> DataFrame:
+    """prior: weights toward which those of series with few rows are drawn (all series, or those whose column pooled is true)."""
+    toward = None if prior is None else np.asarray(prior, float)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _windows(pdf, tests, lams, shrunk, mean, levels)
+        return _windows(pdf, tests, lams, shrunk, mean, levels, toward)
 
-    return rows.select("series_id", "day_idx", "hour", "x", "target").groupBy("series_id").applyInPandas(run, MODEL)
+    extra = ["pooled"] if prior is not None and "pooled" in rows.columns else []
+    return rows.select("series_id", "day_idx", "hour", "x", "target", *extra).groupBy("series_id").applyInPandas(run, MODEL)
 
 
 def fit_expanding(
@@ -120,12 +132,14 @@ def fit_expanding(
     return _fit(rows, lambda new: range(new - n_test, new + 1), lams, shrunk, mean, levels)
 
 
-def fit_once(rows: DataFrame, cal_days: int, first: int, lams: Sequence[float], shrunk: bool, levels: Sequence[float]) -> DataFrame:
+def fit_once(
+    rows: DataFrame, cal_days: int, first: int, lams: Sequence[float], shrunk: bool, levels: Sequence[float], prior: Sequence[float] | None = None
+) -> DataFrame:
     """(series_id, cut, next, weights, q_low, q_high): one model a series, fitted on the days before cut, which is
     cal_days before the next unknown day, or that day itself where history is too short."""
     cut = lambda new: (new - cal_days if new - cal_days > first + 2 else new,)
     last = rows.where("target is not null").groupBy("series_id").agg((F.max("day_idx") + 1).cast("int").alias("next"))
-    return _fit(rows, cut, lams, shrunk, True, levels).withColumnRenamed("test_day", "cut").join(last, "series_id").select("series_id", "cut", "next", "weights", "q_low", "q_high")
+    return _fit(rows, cut, lams, shrunk, True, levels, prior).withColumnRenamed("test_day", "cut").join(last, "series_id").select("series_id", "cut", "next", "weights", "q_low", "q_high")
 
 
 def fit_custom(rows: DataFrame, n_test: int, corrector: Callable[[], object], levels: Sequence[float] = (0.1, 0.9)) -> DataFrame:
@@ -206,6 +220,7 @@ def rolling_origin(
     window: int = 28,
     shrink: float = 0.5,
     first: int = feats.FIRST,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Backtest rows: series_id, day_idx, hour, actual, persist, snaive, model, p10, p90 of the last n_test
     days, each predicted from the days before it: the holiday-aware base plus the model's correction, bands
@@ -215,10 +230,10 @@ def rolling_origin(
     for models; weather names columns of days that are forecasts for their day. feedback shifts a day
     by its part of yesterday's residual; calibrate adds p10_cal and p90_cal, scaled by the tails of the
     `window` days before, of which as many before the test days are forecast too (null where history
-    is too short for them)."""
+    is too short for them). rows: the features of days, if they are at hand (days, feature_fn and the like aren't read then)."""
     from . import calibration
 
-    rows = with_vector(feature_fn(days, holidays), [*names, *weather])
+    rows = with_vector(feature_fn(days, holidays), [*names, *weather]) if rows is None else rows
     tested = n_test + (window if calibrate else 0)
     if corrector is None:
         models = fit_expanding(rows, tested, lams, shrunk, True, (0.1, 0.9)).select("series_id", F.col("test_day").alias("day_idx"), "weights", "q_low", "q_high")
@@ -298,6 +313,8 @@ def next_day(
     shrink: float = 0.5,
     last_residual: DataFrame | None = None,
     first: int = feats.FIRST,
+    rows: DataFrame | None = None,
+    prior: Sequence[float] | None = None,
 ) -> DataFrame:
     """The day after the last: (series_id, local_date, hour, p10, p50, p90). One model, fitted on the days before the
     last cal_days, gives the median, the bands (its residuals' quantiles by hour) and their conformal
@@ -306,11 +323,13 @@ def next_day(
     weather names columns of days, next_weather has them for the new day. calibrate scales the band
     by the factor whose coverage of the cal_days was nearest (column scale). feedback shifts
     it by a part rho of yesterday's residual (column rho): that of last_residual(series_id, hour,
-    residual) if given, else that of the fit."""
+    residual) if given, else that of the fit. rows: the features of days and of the day after, if they are at hand.
+    prior: see _fit()."""
     from . import calibration
 
-    rows = with_vector(feature_fn(append_days(days, 1, next_weather), holidays), [*names, *weather])
-    centred = _with_center(rows, fit_once(rows, cal_days, first, lams, True, (alpha / 2, 1 - alpha / 2)))
+    if rows is None:
+        rows = with_vector(feature_fn(append_days(days, 1, next_weather), holidays), [*names, *weather])
+    centred = _with_center(rows, fit_once(rows, cal_days, first, lams, True, (alpha / 2, 1 - alpha / 2), prior))
     past = _calibration_rows(centred)
     offsets = calibration.cqr_interp(past, ["series_id"], alpha).select("series_id", "offset")
     x = centred.where("day_idx = next").join(offsets, "series_id", "left").withColumn("c", F.coalesce("offset", F.lit(0.0)))

@@ -112,3 +112,86 @@ def test_whole_request(spark):
     assert {r["utility"] for r in batch["forecast"].select("utility").distinct().collect()} == {"u1", "u2"}
     plain = service.run_forecast(series, "UTC", n_test=3, cal_days=8, horizon=2)
     assert set(plain) == {"integrity", "validation", "forecast", "backtest", "metrics", "bands"} and plain["forecast"].count() == 96
+
+
+def test_request_on_residual_load(spark):
+    import numpy as np
+
+    load = hourly(spark, 40)
+    made = load.withColumn("value", F.col("value") * 0.4 + F.hour("ts") / 3).where("ts < '2024-04-08'")  # generation ends earlier: so does the residual
+    devices = spark.createDataFrame([("a", k, 5.0 + k) for k in range(6)], "feeder_id string, device_id int, demand_kw double")
+    fee = spark.range(24).select(F.col("id").cast("int").alias("hour"), (F.col("id") % 5 * 0.1).alias("fee"))
+    assets = spark.createDataFrame([("p", 1, 9.0, 4.2, 1.0), ("p", 2, 12.0, 4.2, 2.0)], "pool_id string, device_id int, demand_kw double, floor_kw double, weight double")
+    caps = spark.createDataFrame([("p", h, 15.0) for h in range(24)], "pool_id string, hour int, cap_kw double")
+    options = dict(n_test=8, cal_days=8)
+    out = service.run_forecast(
+        load, "UTC", threshold=35.0, devices=devices, generation=made, surplus_price=3.0, drift_days=3, dispatch=dict(energy_kwh=60.0, p_max_kw=9.0, fee=fee, beta=0.5),
+        pool=(assets, caps), issued_utc="2024-05-01T00:00", audit=True, **options
+    )
+    counts = {k: v.count() for k, v in out.items()}
+    assert {"forecast", "generation_forecast", "residual_forecast", "surplus", "drift", "coverage", "drift_reference", "dispatch", "pool_dispatch", "issued", "audit", "redispatch"} <= set(counts)
+    assert counts["forecast"] == counts["residual_forecast"] == counts["generation_forecast"] == counts["dispatch"] == 48 and counts["issued"] == 2
+    # each quantity is what a request of its own gives
+    alone = {r["hour"]: r for r in service.run_forecast(load, "UTC", **options)["forecast"].where("series_id = 'a'").collect()}
+    for r in out["forecast"].where("series_id = 'a'").collect():
+        assert (r["local_date"], r["p10"], r["p50"], r["p90"]) == tuple(alone[r["hour"]][c] for c in ("local_date", "p10", "p50", "p90"))
+    left = load.join(made.withColumnRenamed("value", "m"), ["series_id", "ts"]).select("series_id", "ts", (F.col("value") - F.col("m")).alias("value"))
+    own = {(r["series_id"], r["hour"]): (r["local_date"], r["p50"]) for r in service.run_forecast(left, "UTC", **options)["forecast"].collect()}
+    assert {(r["series_id"], r["hour"]): (r["local_date"], r["p50"]) for r in out["residual_forecast"].collect()} == own
+    # surplus, drift
+    back = out["backtest"].toPandas()
+    for r in out["surplus"].collect():
+        g = back[back["series_id"] == r["series_id"]]
+        e, n = g["actual"] - g["model"], g["actual"] - g["snaive"]
+        assert np.isclose(r["more_model"], e.clip(lower=0).sum()) and np.isclose(r["reduction_value"], 3 * (n.abs().sum() - e.abs().sum()))
+    for r in out["drift"].collect():
+        g = back[back["series_id"] == r["series_id"]]
+        late = g["day_idx"] > g["day_idx"].max() - 3
+        e = g["actual"] - g["model"]
+        assert np.isclose(r["mae_ratio"], e[late].abs().mean() / e[~late].abs().mean())
+    stored = out["drift_reference"].where("series_id = 'a'").withColumn("error", F.lit(0.5))
+    again = service.drift_parts(out["backtest"], 3, stored)
+    assert {r["series_id"] for r in again["drift_reference"].collect()} == {"b"}
+    assert {r["series_id"]: round(r["bias_ref"], 9) for r in again["drift"].collect()}["a"] == 0.5
+    # the limit holds on the residual load, and what was done is on record
+    caps_of = {(r["plan_id"], r["hour"]): r for r in out["dispatch"].collect()}
+    assert all(r["grid_safe"] or r["base_kw"] > 35 for r in caps_of.values()) and sum(r["kwh"] for r in caps_of.values() if r["plan_id"] == "a") <= 60 + 1e-6
+    entries = out["audit"].cache()
+    shed = out["redispatch"].where("shed_kw > 1e-9").count() + sum(r["kwh"] > 1e-9 for r in caps_of.values())
+    assert entries.count() == shed and entries.where("ledger_id = 'a'").count() > 0 and ledger.verify(entries).where("not chain_ok").isEmpty()
+    longer = service.audit_entries({k: out[k] for k in ("redispatch", "dispatch")}, entries)
+    assert ledger.verify(entries.unionByName(longer)).where("chain_ok").count() == entries.select("ledger_id").distinct().count()
+    # what was issued is judged when the day has come, and its residual moves the next forecast
+    issued = out["issued"].withColumn("p50", F.transform("p50", lambda v: v * 0 + 7.0)).withColumn("target_date", F.lit("2024-04-05"))
+    later = service.run_forecast(load, "UTC", feedback=True, issued=issued, **options)
+    truth = load.where("date(ts) = '2024-04-05'").toPandas()
+    for r in later["track_record"].collect():
+        assert np.isclose(r["bias"], (truth[truth["series_id"] == r["series_id"]]["value"] - 7.0).mean()) and r["n"] == 24
+    plain = {(r["series_id"], r["hour"]): r for r in service.run_forecast(load, "UTC", feedback=True, digits=None, **options)["forecast"].collect()}
+    moved = {(r["series_id"], r["hour"]): r for r in service.run_forecast(load, "UTC", feedback=True, issued=issued, digits=None, **options)["forecast"].collect()}
+    assert all(plain[k]["rho"] == moved[k]["rho"] for k in plain)
+    if any(r["rho"] for r in plain.values()):
+        assert any(not np.isclose(plain[k]["p50"], moved[k]["p50"]) for k in plain)
+
+
+def test_request_with_prior_and_quarter_hours(spark):
+    from loadweave.operators import features, resample
+
+    load = hourly(spark, 30)
+    days = resample.daily_matrix(load)
+    rows = models.with_vector(features.features(models.normalised(days)), features.FEATURES)
+    prior = models.pool_prior(models.fit_expanding(rows, 0)).withColumn("weights", F.transform("weights", lambda w: w * 0 + 0.01))
+    got = service.run_forecast(load, "UTC", n_test=3, cal_days=8, prior=prior, digits=None)["forecast"].where("series_id = 'a'").orderBy("hour").collect()
+    # by hand, on the series over its mean
+    mean = days.where("series_id = 'a'").agg(F.avg("value")).first()[0]
+    one = days.where("series_id = 'a'").withColumn("value", F.col("value") / mean)
+    x = models.with_vector(features.features(models.append_days(one)), features.FEATURES)
+    fit = models.fit_once(x, 8, features.FIRST, (10.0,), True, (0.1, 0.9)).first()
+    n = 24 * (fit["cut"] - features.FIRST)
+    own = n / (n + 24 * 30.0)
+    want = {r["hour"]: mean * (r["base"] + sum((own * w + (1 - own) * 0.01) * v for w, v in zip(fit["weights"], r["x"]))) for r in x.where("value is null").collect()}
+    assert all(r["p50"] == pytest.approx(want[r["hour"]]) for r in got) and len(got) == 24
+    quarter = load.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), "ts", "value").select("series_id", (F.col("ts") + F.make_dt_interval(mins=15 * F.col("k"))).alias("ts"), (F.col("value") * (1 + F.col("k") / 50)).alias("value"))
+    out = service.run_forecast(quarter, "UTC", n_test=3, cal_days=8, temporal=dict(n_test=2, method="wls_struct", cal_days=8, min_history=20))
+    assert {(r["series_id"], r["level"]) for r in out["temporal"].collect()} == {(s, k) for s in "ab" for k in ("day", "hour", "quarter")}
+    assert all(r["gap_after"] < 1e-9 for r in out["temporal"].collect()) and out["temporal_next"].count() == 242
