@@ -142,6 +142,68 @@ def fit_once(
     return _fit(rows, cut, lams, shrunk, True, levels, prior).withColumnRenamed("test_day", "cut").join(last, "series_id").select("series_id", "cut", "next", "weights", "q_low", "q_high")
 
 
+SUMS = "series_id string, day_idx int, n long, g array<double>, b array<double>"
+
+
+def running_moments(rows: DataFrame, size: int, stored: DataFrame | None = None) -> DataFrame:
+    """rows(series_id, day_idx, x of `size` features, target) -> (series_id, day_idx, n, g, b): rows, x x' and x y of each day and all
+    days before it, to be stored. With what is stored already, only days after it are read and only their rows come back,
+    carried on from each series' last sums.
+
+    Days are summed up in plain aggregates first; what is cumulated is one row a day."""
+    x = rows.where("target is not null and not isnan(target)").select("series_id", "day_idx", "x", F.col("target").cast("double").alias("y"))
+    if stored is not None:
+        last = stored.groupBy("series_id").agg(F.max("day_idx").alias("day_idx"), *(F.max_by(c, "day_idx").alias(c) for c in ("n", "g", "b")))
+        x = x.join(last.select("series_id", F.col("day_idx").alias("last")), "series_id", "left").where("last is null or day_idx > last").drop("last")
+    at = lambda i: F.get("x", F.lit(i))
+    g = F.array(*(F.sum(at(i) * at(j)) for i in range(size) for j in range(i + 1)))  # the lower half
+    daily = x.groupBy("series_id", "day_idx").agg(F.count("*").alias("n"), g.alias("g"), F.array(*(F.sum(at(i) * F.col("y")) for i in range(size))).alias("b"))
+    daily = daily.withColumn("old", F.lit(False))
+    if stored is not None:
+        daily = dealt_union(["series_id"], daily, last.join(daily.select("series_id").distinct(), "series_id", "left_semi").withColumn("old", F.lit(True)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_idx")
+        sums = {c: np.cumsum(np.stack(pdf[c].to_numpy()), axis=0) for c in ("g", "b")}
+        out = pdf.assign(n=pdf["n"].cumsum(), g=list(sums["g"]), b=list(sums["b"]))
+        return out.loc[~pdf["old"], ["series_id", "day_idx", "n", "g", "b"]]
+
+    return daily.groupBy("series_id").applyInPandas(run, SUMS)
+
+
+def fit_from_moments(moments: DataFrame, n_test: int, lam: float = 10.0, window: int | None = None) -> DataFrame:
+    """fit_expanding() without shrinking, from stored running_moments(): one model per series for each of the last n_test days and the
+    next unknown one. window: only that many days before, as the difference of two rows' sums."""
+    end = F.max("day_idx").over(W.partitionBy("series_id")) + 1
+    reach = n_test + 1 + (window or 0)
+    recent = moments.withColumn("end", end).where(F.col("day_idx") >= F.col("end") - reach - HISTORY)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_idx")
+        day, p = pdf["day_idx"].to_numpy(), len(pdf["b"].iloc[0])
+        lower, out, new = np.tril_indices(p), [], int(pdf["day_idx"].max()) + 1
+
+        def upto(d: int) -> tuple[np.ndarray, np.ndarray, int]:
+            """The sums of the days before d."""
+            k = int(np.searchsorted(day, d)) - 1
+            g = np.zeros((p, p))
+            if k < 0:
+                return g, np.zeros(p), 0
+            g[lower] = pdf["g"].iloc[k]
+            return g + np.tril(g, -1).T, np.asarray(pdf["b"].iloc[k], float), int(pdf["n"].iloc[k])
+
+        for d in range(new - n_test, new + 1):
+            g, b, n = upto(d)
+            if window is not None:
+                g0, b0, n0 = upto(d - window)
+                g, b, n = g - g0, b - b0, n - n0
+            if n:
+                out.append((pdf["series_id"].iloc[0], d, lam, 1.0, _solve(g, b, n, lam).tolist(), n))
+        return pd.DataFrame(out, columns=["series_id", "test_day", "lam", "shrink", "weights", "n_rows"])
+
+    return recent.groupBy("series_id").applyInPandas(run, "series_id string, test_day int, lam double, shrink double, weights array<double>, n_rows long")
+
+
 def fit_custom(rows: DataFrame, n_test: int, corrector: Callable[[], object], levels: Sequence[float] = (0.1, 0.9)) -> DataFrame:
     """Any corrector with fit(X, y) and predict(X): (series_id, day_idx, hour, correction, q_low, q_high) for each of the
     last n_test days and the next unknown one, a new one being fitted on the days before it."""

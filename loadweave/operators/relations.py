@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -71,16 +73,83 @@ def exact_duplicates(hashed: DataFrame) -> DataFrame:
     return hashed.withColumn("canonical", F.min("series_id").over(W.partitionBy("content_hash")))
 
 
+def _correlation() -> list[Column]:
+    """overlap, r and both deviations of va and vb; r is null where one is constant (corr() would be an error there)."""
+    sa, sb = F.stddev_pop("va"), F.stddev_pop("vb")
+    return [F.count("*").alias("overlap"), F.try_divide(F.covar_pop("va", "vb"), sa * sb).alias("r"), sa.alias("sa"), sb.alias("sb")]
+
+
 def pair_correlations(series: DataFrame, least_overlap: int = 7200) -> DataFrame:
     """(a, b, overlap, r) of all series pairs a < b that share enough times: an equi-join by time, so
     pairs without a common time cost nothing, then one aggregation."""
     x = series.where("value is not null")
     a, b = (x.select("ts", F.col("series_id").alias(n), F.col("value").alias(f"v{n}")) for n in ("a", "b"))
     pairs = a.join(b, "ts").where("a < b").groupBy("a", "b")
-    r = pairs.agg(F.count("*").alias("overlap"), F.corr("va", "vb").alias("r"), F.stddev_pop("va").alias("sa"), F.stddev_pop("vb").alias("sb"))
+    r = pairs.agg(*_correlation())
     return r.where((F.col("overlap") >= least_overlap) & (F.col("sa") > 0) & (F.col("sb") > 0)).select("a", "b", "overlap", "r")
 
 
+def _waves(n: Column) -> Column:
+    """Six distinct frequencies below half of n, so that their waves are orthonormal: those of hourly values' day, half day and week
+    and the slowest ones, or where n is too short for these the six slowest; null for the shortest."""
+    usual = F.array(F.round(n / 24), F.round(n / 12), F.round(n / 168), F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    sound = (F.size(F.array_distinct(usual)) == 6) & (F.array_min(usual) >= 1) & (F.array_max(usual) * 2 < n)
+    return F.when(sound, usual).when(n > 12, F.array(*(F.lit(float(k)) for k in range(1, 7))))
+
+
+def _coefficients(series: DataFrame, sets: DataFrame) -> DataFrame:
+    """(series_id, support, c: coefficients of the centred series of length 1 in an orthonormal wave basis, null where there is none)."""
+    x = series.join(sets.withColumn("waves", _waves(F.col("n"))), "series_id").where("norm > 0")
+    x = x.withColumn("j", F.row_number().over(W.partitionBy("series_id").orderBy("ts")) - 1).withColumn("z", (F.col("value") - F.col("mean")) / F.col("norm"))
+    sums = []
+    for k in range(6):
+        angle = 2 * math.pi * F.get("waves", F.lit(k)) * F.col("j") / F.col("n")
+        sums += [F.sum(F.col("z") * f(angle)) * F.sqrt(2 / F.first("n")) for f in (F.cos, F.sin)]
+    return x.groupBy("series_id").agg(F.first("support").alias("support"), F.when(F.first("waves").isNotNull(), F.array(*sums)).alias("c"))
+
+
+def correlation_candidates(series: DataFrame, threshold: float, least_overlap: int = 7200, dims: int = 3) -> DataFrame:
+    """(a, b), a < b: pairs whose correlation can reach the threshold, no other of them missing.
+
+    Series with the same times, centred and of length 1, are at a squared distance of 2 (1 - r). In an orthonormal basis the
+    distance of some coefficients is at most the whole one, so series that correlate enough lie in cells of that width of the first
+    `dims` coefficients that are the same or neighbours, and near in all coefficients. Pairs with different times, or in too short
+    a support for the basis, are candidates if they share enough times."""
+    x = series.where("value is not null").select("series_id", "ts", "value")
+    stats = x.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
+        F.concat_ws("/", F.count("*"), F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.sum(F.xxhash64("ts") % 1_000_000_007), F.bit_xor(F.xxhash64("ts"))).alias("support"),
+    )
+    sets = stats.withColumn("norm", F.col("sd") * F.sqrt("n"))
+    c = _cut(_coefficients(x, sets))
+    eps = math.sqrt(max(0.0, 2 * (1 - threshold))) * (1 + 1e-9) + 1e-9
+    cell = F.array(*(F.floor(F.col("c")[k] / eps) for k in range(dims)))
+    good = c.where("c is not null").withColumn("cell", cell)
+    steps = F.array(*(F.array(*(F.lit(int(v)) for v in v3)) for v3 in product((-1, 0, 1), repeat=dims)))
+    near = good.select(F.col("series_id").alias("a"), "support", F.col("c").alias("ca"), F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda p, q: p + q))).alias("cell"))
+    far2 = F.aggregate(F.zip_with("ca", "cb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    same = near.join(good.select(F.col("series_id").alias("b"), "support", F.col("c").alias("cb"), "cell"), ["support", "cell"]).where("a < b").where(far2 <= eps * eps).select("a", "b")
+    # the others: pairs of different times share some of them, or they are none
+    kinds = sets.where("norm > 0").join(c, ["series_id", "support"], "left").select("series_id", F.when(F.col("c").isNotNull(), F.col("support")).alias("grid"))
+    timed = x.join(kinds, "series_id")
+    if kinds.agg(F.count_distinct("grid") + F.max(F.col("grid").isNull().cast("int"))).first()[0] in (None, 1) and kinds.where("grid is null").isEmpty():
+        return same
+    a, b = (timed.select("ts", F.col("series_id").alias(k), F.col("grid").alias(f"grid_{k}")) for k in ("a", "b"))
+    mixed = a.join(b, "ts").where("a < b and not coalesce(grid_a = grid_b, false)").groupBy("a", "b").count().where(F.col("count") >= least_overlap).select("a", "b")
+    return dealt_union(["a", "b"], same, mixed)
+
+
+def correlated_pairs(series: DataFrame, threshold: float, least_overlap: int = 7200, dims: int = 3) -> DataFrame:
+    """(a, b, overlap, r) of the pairs with r >= threshold: pair_correlations() without comparing all pairs. Only the candidates'
+    values meet, by time."""
+    x = series.where("value is not null").select("series_id", "ts", "value")
+    found = _cut(correlation_candidates(series, threshold, least_overlap, dims))
+    left = found.join(x.select(F.col("series_id").alias("a"), "ts", F.col("value").alias("va")), "a")
+    pairs = left.join(x.select(F.col("series_id").alias("b"), "ts", F.col("value").alias("vb")), ["b", "ts"]).groupBy("a", "b")
+    r = pairs.agg(*_correlation())
+    return r.where((F.col("overlap") >= least_overlap) & (F.col("sa") > 0) & (F.col("sb") > 0) & (F.col("r") >= threshold)).select("a", "b", "overlap", "r")
+
+
 def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id) and edges (a, b) -> (id, component): smallest id reachable, by min-label rounds with
     pointer jumping; lineage is cut each round at spark.checkpoint.dir."""

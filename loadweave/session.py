@@ -13,6 +13,7 @@ def build(app: str = "loadweave", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.unionOutputPartitioning": "false",  # adaptive execution may change the partitioning of one side alone
+        "spark.sql.python.filterPushdown.enabled": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

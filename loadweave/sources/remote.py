@@ -9,12 +9,14 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 
 WEEK_MS = 7 * 24 * 3600 * 1000
 
@@ -34,6 +36,59 @@ def _transport(name: str | None):
     return getattr(importlib.import_module(module), attribute)
 
 
+class Pruned(DataSourceReader):
+    """A reader that learns from filters on one column between which values rows can be, and leaves out partitions beyond. All
+    filters stay with Spark, so what is read too much does no harm. Spark hands filters on only where
+    spark.sql.python.filterPushdown.enabled is true, and refuses readers that take them elsewhere: option prune = true asks for it."""
+
+    column, low, high = "ts", None, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) != (self.column,):
+                continue
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self._at_least(f.value)
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self._at_most(f.value)
+            elif isinstance(f, (EqualTo, EqualNullSafe)) and f.value is not None:
+                self._at_least(f.value)
+                self._at_most(f.value)
+            elif isinstance(f, In) and f.value:
+                self._at_least(min(f.value))
+                self._at_most(max(f.value))
+        return filters
+
+    def _at_least(self, value) -> None:
+        self.low = value if self.low is None else max(self.low, value)
+
+    def _at_most(self, value) -> None:
+        self.high = value if self.high is None else min(self.high, value)
+
+    def days(self) -> tuple[date | None, date | None]:
+        """The bounds as days, a day wider on each side, whatever their time zone."""
+        one = timedelta(days=1)
+        day = lambda v: v.date() if isinstance(v, datetime) else v if isinstance(v, date) else datetime.fromisoformat(str(v)[:10]).date()
+        return (None if self.low is None else day(self.low) - one), (None if self.high is None else day(self.high) + one)
+
+
+def _reader(kind: type, options: dict, *more):
+    """kind, which takes filters only where that is asked for."""
+    if options.get("prune", "").lower() == "true":
+        kind = type(f"Pruned{kind.__name__}", (kind, Pruned), {})
+    return kind(options, *more)
+
+
+def _days(reader) -> tuple[date | None, date | None]:
+    return reader.days() if isinstance(reader, Pruned) else (None, None)
+
+
+def _meets(reader, first: date, last: date) -> bool:
+    """Whether days first to last can hold rows that the filters let through."""
+    low, high = _days(reader)
+    return (low is None or last >= low) and (high is None or first <= high)
+
+
 class Chunk(InputPartition):
     def __init__(self, url: str, low: int, high: int):
         self.url, self.low, self.high = url, low, high
@@ -46,6 +101,10 @@ class ChunkReader(DataSourceReader):
     def partitions(self) -> list[Chunk]:
         o = self.options
         low, high = int(o["start_ms"]), int(o["end_ms"])
+        since, until = _days(self)
+        ms = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=timezone.utc).timestamp() * 1000)
+        low = low if since is None else max(low, ms(since))
+        high = high if until is None else min(high, ms(until + timedelta(days=1)))
         stamps = json.loads(_transport(o.get("transport"))(o["index"]))["timestamps"]
         return [Chunk(o["chunk"].format(ts=t), low, high) for t in stamps if low - WEEK_MS <= t <= high]
 
@@ -58,7 +117,7 @@ class ChunkReader(DataSourceReader):
 
 
 class ChunkedSeries(DataSource):
-    """Options: index and chunk (URL with {ts}), start_ms, end_ms, transport (dotted function name)."""
+    """Options: index and chunk (URL with {ts}), start_ms, end_ms, transport (dotted function name), prune (chunks by filters on ts)."""
 
     @classmethod
     def name(cls) -> str:
@@ -68,7 +127,7 @@ class ChunkedSeries(DataSource):
         return "ts timestamp, value double"
 
     def reader(self, schema) -> ChunkReader:
-        return ChunkReader(dict(self.options))
+        return _reader(ChunkReader, dict(self.options))
 
 
 class Span(InputPartition):
@@ -86,6 +145,9 @@ class WeatherReader(DataSourceReader):
         out = []
         while day <= end:
             last = min(end, day + step - timedelta(days=1))
+            if not _meets(self, day.date(), last.date()):
+                day = last + timedelta(days=1)
+                continue
             out.append(Span(o["url"].format(start=day.date(), end=last.date(), hourly=",".join(self.columns))))
             day = last + timedelta(days=1)
         return out
@@ -98,7 +160,7 @@ class WeatherReader(DataSourceReader):
 
 class ForecastWeather(DataSource):
     """Historical forecasts, never reanalysis. Options: url with {start}, {end}, {hourly}; columns; start; end;
-    chunk_days; transport."""
+    chunk_days; transport; prune (spans by filters on ts)."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,7 +173,7 @@ class ForecastWeather(DataSource):
         return "ts timestamp, " + ", ".join(f"{c} double" for c in self._columns())
 
     def reader(self, schema) -> WeatherReader:
-        return WeatherReader(dict(self.options), self._columns())
+        return _reader(WeatherReader, dict(self.options), self._columns())
 
 
 class Page(InputPartition):
@@ -130,6 +192,9 @@ class RecordReader(DataSourceReader):
         out = []
         while day <= end:
             following = (day.replace(day=1) + timedelta(days=32)).replace(day=1)
+            if not _meets(self, day.date(), following.date()):
+                day = following
+                continue
             out.append(Page(o["url"].replace("{start}", str(day.date())).replace("{end}", str(min(end + timedelta(days=1), following).date()))))
             day = following
         return out
@@ -147,7 +212,8 @@ class RecordReader(DataSourceReader):
 
 class PagedRecords(DataSource):
     """Open-data record services: options url with {start}, {end} (exclusive), {limit}, {offset}; fields; start; end;
-    limit; transport. All fields are text, for the parsers of this package."""
+    limit; transport; prune (months by filters on date_field, an ISO date as text). All fields are text, for the parsers
+    of this package."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,7 +226,9 @@ class PagedRecords(DataSource):
         return ", ".join(f"`{f}` string" for f in self._fields())
 
     def reader(self, schema) -> RecordReader:
-        return RecordReader(dict(self.options), self._fields())
+        reader = _reader(RecordReader, dict(self.options), self._fields())
+        reader.column = self.options.get("date_field", "ts")
+        return reader
 
 
 def cached(spark: SparkSession, path: str, read: Callable[[], DataFrame], force: bool = False) -> DataFrame:
