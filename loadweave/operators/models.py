@@ -532,8 +532,7 @@ def quantile_weights(x: np.ndarray, y: np.ndarray, level: float, rounds: int = 4
 
 
 def quantile_regression(rows: DataFrame, level: float) -> DataFrame:
-    """Linear quantile model per series: (series_id, weights). Stands in for boosted trees, which need a
-    package that isn't here."""
+    """Linear quantile model per series: (series_id, weights). Boosted trees are in boosting.py."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day_idx", "hour"])

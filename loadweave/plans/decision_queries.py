@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
-from ..operators import backtests, bootstrap, calibration, control, features, ledger, metrics, models, reconcile, relations, risk, studies
+from ..operators import backtests, boosting, bootstrap, calibration, control, features, ledger, metrics, models, reconcile, relations, risk, studies
 from . import inputs as i
 from .registry import query, rounded, stirred
 
@@ -492,6 +492,14 @@ def quantile_regression_forecast(spark: SparkSession, d: str) -> DataFrame:
     return backtests.rolling_quantile(i.days(spark, d), 7, every=7)
 
 
+@query()
+def boosted_quantile_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The last seven days' bands by boosted trees that are fitted on the days before."""
+    rows = models.with_vector(features.features(i.days(spark, d)), features.FEATURES)
+    cut = rows.agg(F.max("day_idx")).first()[0] - 6
+    return boosting.boosted_quantiles(rows, train_until=cut).where(F.col("day_idx") >= cut).select("series_id", "day_idx", "hour", "value", "p10", "p50", "p90")
+
+
 @query()
 def pooled_prior(spark: SparkSession, d: str) -> DataFrame:
     rows = models.with_vector(features.features(models.normalised(i.days(spark, d))), features.FEATURES)
