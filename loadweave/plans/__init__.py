@@ -1,4 +1,4 @@
 """Registered queries on the driver tables."""
 
-from . import decision_queries, series_queries, service_queries, support_queries  # noqa: F401
+from . import decision_queries, series_queries, service_queries, source_queries, support_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from statistics import mode
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -46,7 +47,7 @@ def _is_data(cells: list[str]) -> bool:
 
 
 def sniff(lines: list[str]) -> Layout:
-    """Layout from the first lines: a header names a time and a value; a headerless file has date, from and
+    """Layout from the first lines: a header names a time and a value, or is the first line as wide as most are; a headerless file has date, from and
     to first, and its columns are named Datum, von, bis, Load_1, ... with units and levels from
     the lines above."""
     sep = separator(lines)
@@ -67,8 +68,11 @@ def sniff(lines: list[str]) -> Layout:
             names = [c or f"c{i}" for i, c in enumerate(cells)]
             units = {n: m[1] for n in names if (m := UNIT_WORDS.search(n))}
             return Layout(sep, k, k + 1, names, units)
-    names = [c.strip().strip('"') or f"c{i}" for i, c in enumerate(lines[0].split(sep))] if lines else []
-    return Layout(sep, 0, 1, names, {n: m[1] for n in names if (m := UNIT_WORDS.search(n))})
+    # no words that are known: the first line with as many cells as most lines have
+    widths = [line.count(sep) for line in lines if sep in line]
+    k = next((k for k, line in enumerate(lines) if line.count(sep) == mode(widths)), 0) if widths else 0
+    names = [c.strip().strip('"') or f"c{i}" for i, c in enumerate(lines[k].split(sep))] if lines else []
+    return Layout(sep, k, k + 1, names, {n: m[1] for n in names if (m := UNIT_WORDS.search(n))})
 
 
 def is_excel(head: bytes, path: str = "") -> bool:
