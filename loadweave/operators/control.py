@@ -189,29 +189,23 @@ def validate_schedule(points: DataFrame, default_floor: float = FLOOR_KW) -> Dat
 def active_limit(readings: DataFrame, points: DataFrame, key: str = "malo", grain_s: int = 3600) -> DataFrame:
     """Each reading with the lowest limit whose [start, end) holds its ts; repeated readings stay.
 
-    Intervals are cut into dyadic ones: a power of two of grains long and as many from the epoch on, at most two of each length.
-    A reading meets the one of each length that holds it, so the range join is an equi-join by key, length and number, whose
-    rows grow with the logarithm of the durations; the exact times then decide."""
+    An interval is covered by at most nine dyadic blocks of one length, a power of two of grains that fits its duration. A
+    reading meets the block of each length in use that holds it, so the range join is an equi-join by key, length and block:
+    an interval's rows don't grow with its duration, a reading's with its logarithm at most; the exact times then decide."""
     grains = lambda c: F.unix_micros(c) / F.lit(grain_s * 1e6)
     spans = points.where("end_ts > start_ts").select(key, "start_ts", "end_ts", "p_limit_kw", F.floor(grains("start_ts")).alias("a"), F.ceil(grains("end_ts")).alias("b"))
-    longest = spans.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 1
-    top = int(longest).bit_length() - 1
-    pieces = []
-    for k in range(top + 1):
-        low, high = F.ceil(F.col("a") / 2**k), F.floor(F.col("b") / 2**k)
-        at = lambda n: F.struct(F.lit(k).alias("length"), n.cast("long").alias("number"))  # noqa: B023, E731
-        if k == top:
-            pieces.append(F.when(low < high, F.transform(F.sequence(low, high - 1), at)))
-            continue
-        odd = lambda n: F.pmod(n, F.lit(2)) == 1
-        pieces.append(F.when(low < high, F.array_compact(F.array(F.when(odd(low), at(low)), F.when(odd(high), at(high - 1))))))
-    spans = spans.select(key, "start_ts", "end_ts", "p_limit_kw", F.explode(F.flatten(F.array_compact(F.array(*pieces)))).alias("node")).select(key, "node.*", "start_ts", "end_ts", "p_limit_kw")
-    own = F.array(*(F.struct(F.lit(k).alias("length"), F.floor(grains("ts") / 2**k).alias("number")) for k in range(top + 1)))
-    r = readings.withColumn("reading_no", F.monotonically_increasing_id()).select("*", F.explode(own).alias("node")).select(*readings.columns, "reading_no", "node.*")
-    met = r.join(spans, [key, "length", "number"], "left")
-    limit = F.min(F.when((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")), F.col("p_limit_kw")))
-    rest = [c for c in readings.columns if c != key]
-    return met.groupBy(key, "reading_no").agg(*(F.first(c).alias(c) for c in rest), limit.alias("active_limit_kw")).select(*readings.columns, "active_limit_kw")
+    size = F.pow(F.lit(2.0), F.col("length"))
+    spans = spans.withColumn("length", F.greatest(F.lit(0), F.floor(F.log2(F.col("b") - F.col("a"))).cast("int") - 2))
+    used = sorted(r["length"] for r in spans.select("length").distinct().collect())  # some twenty lengths, however many intervals
+    if not used:
+        return readings.withColumn("active_limit_kw", F.lit(None).cast("double"))
+    block = F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size))).alias("block")
+    spans = spans.select(key, "length", block, "start_ts", "end_ts", "p_limit_kw")
+    own = F.array(*(F.struct(F.lit(k).alias("length"), F.floor(grains("ts") / 2**k).alias("block")) for k in used))
+    r = readings.select(key, "ts", F.explode(own).alias("at")).select(key, "ts", "at.*")
+    met = r.join(spans, [key, "length", "block"]).where("ts >= start_ts and ts < end_ts")
+    # a limit belongs to a key and a time, however many readings there are of them
+    return readings.join(met.groupBy(key, "ts").agg(F.min("p_limit_kw").alias("active_limit_kw")), [key, "ts"], "left").select(*readings.columns, "active_limit_kw")
 
 
 def to_lpc(points: DataFrame, floor: float = FLOOR_KW) -> DataFrame:

@@ -179,19 +179,19 @@ m AS (SELECT t.series_id, t.day_idx, avg(p.value - p.snaive) AS mean FROM (SELEC
   AND p.day_idx >= 8 AND p.day_idx < t.day_idx GROUP BY ALL)"""
 
 
-@query(f"""WITH {MEAN} SELECT t.series_id, t.day_idx, t.hour, round(t.value, 6) AS actual, round(t.snaive + mean, 6) AS model FROM t JOIN m
+@query(f"""WITH {MEAN} SELECT t.series_id, t.day_idx, t.hour, round(t.value, 9) AS actual, round(t.snaive + mean, 9) AS model FROM t JOIN m
   ON m.series_id = t.series_id AND m.day_idx = t.day_idx""")
 def custom_corrector(spark: SparkSession, d: str) -> DataFrame:
     x = models.rolling_origin(i.days(spark, d), 5, corrector=MeanCorrector)
-    return rounded(x.select("series_id", "day_idx", "hour", "actual", "model"))
+    return rounded(x.select("series_id", "day_idx", "hour", "actual", "model"), digits=9)
 
 
-@query(f"""WITH {MEAN} SELECT t.series_id, t.day_idx, 'mean' AS candidate, round(avg(abs(t.snaive + mean - t.value)), 6) AS mae FROM t JOIN m
+@query(f"""WITH {MEAN} SELECT t.series_id, t.day_idx, 'mean' AS candidate, round(avg(abs(t.snaive + mean - t.value)), 9) AS mae FROM t JOIN m
   ON m.series_id = t.series_id AND m.day_idx = t.day_idx GROUP BY 1, 2
-UNION ALL SELECT series_id, day_idx, 'base', round(avg(abs(snaive - value)), 6) FROM t GROUP BY 1, 2""")
+UNION ALL SELECT series_id, day_idx, 'base', round(avg(abs(snaive - value)), 9) FROM t GROUP BY 1, 2""")
 def model_shoot_out(spark: SparkSession, d: str) -> DataFrame:
     x = studies.shoot_out(i.days(spark, d), {"base": {"lams": ()}, "mean": {"corrector": MeanCorrector}}, 5)
-    return rounded(x.select("series_id", "day_idx", "candidate", "mae"))
+    return rounded(x.select("series_id", "day_idx", "candidate", "mae"), digits=9)
 
 
 @query(f"""WITH {i.BASED}, {BASE_FIT} SELECT 'utility ' || substr(d.series_id, 1, 1) AS utility, d.series_id, CAST(local_date + 7 AS VARCHAR) AS local_date, d.hour, round(value, 8) AS p50
