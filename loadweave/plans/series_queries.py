@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import calibration as cal
 from ..operators import features, integrity, metrics, relations, resample
+from ..streaming import feedback
 from . import inputs as i
-from .registry import query, rounded
+from .registry import SQL, query, rounded
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 
@@ -400,6 +403,28 @@ def residual_feedback(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cal.residual_feedback(i.bands(spark, d), window=7, least=3))
 
 
+@query(SQL["residual_feedback"])
+def live_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream of the rows: each day's shift as it was known when the day before was over."""
+    root = f"{relations._scratch(spark)}/feedback-{uuid.uuid4().hex}"
+    rows = i.bands(spark, d).select("series_id", "day", "hour", "p50", "actual")
+    rows.write.parquet(f"{root}/rows")
+    found = feedback.daily_feedback(spark.readStream.schema(rows.schema).parquet(f"{root}/rows"), window=7, least=3, late="0 hours")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, feedback.ROCKS)
+    try:
+        out = found.writeStream.format("parquet").option("checkpointLocation", f"{root}/mark").outputMode("append").trigger(availableNow=True)
+        out.start(f"{root}/shifts").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    shifts = spark.read.schema(feedback.OUT).parquet(f"{root}/shifts")
+    x = spark.read.schema(rows.schema).parquet(f"{root}/rows").join(shifts.groupBy("series_id", "day").agg(F.max("rho").alias("rho")), ["series_id", "day"], "left")
+    x = x.join(shifts.drop("rho"), ["series_id", "day", "hour"], "left").na.fill(0.0, ["rho"])
+    delta = F.coalesce(F.col("rho") * F.col("residual"), F.lit(0.0))
+    return rounded(x.select("series_id", "day", "hour", "rho", delta.alias("delta"), (F.col("p50") + delta).alias("corrected")))
+
+
 @query(f"""WITH {i.BANDS}, s AS (SELECT series_id, day, 0.5 * sum(pow(0.5, (11 - hour) / 3.0) * (actual - p50)) / sum(pow(0.5,
   (11 - hour) / 3.0)) AS shift FROM bands WHERE hour < 12 GROUP BY 1, 2)
 SELECT series_id, day, hour, round(shift, 6) AS shift, round(p10 + shift, 6) AS p10, round(p50 + shift, 6) AS p50, round(p90 + shift, 6) AS p90
