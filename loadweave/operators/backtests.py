@@ -107,16 +107,27 @@ def rolling_cqr(
     miss = F.greatest(F.col("q")[0] - F.col("value"), F.col("value") - F.col("q")[2])
     by = ["series_id", "day_idx", "hour"] if per_hour else ["series_id", "day_idx"]
     scores = served.withColumn("score", miss).groupBy(*by).agg(F.array_sort(F.collect_list("score")).alias("scores"))
-    x = x.join(scores, by, "left").withColumn("scores", F.coalesce("scores", F.expr("cast(array() as array<double>)")))
+    # one row a day, with its hours' values in arrays; scores come once a day, or once an hour if each has its own
+    cells = ["hour", "actual", "persist", "snaive", "q"]
+    if per_hour:
+        x, cells = x.join(scores, by, "left"), [*cells, "scores"]
+    x = x.groupBy("series_id", "day_idx").agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("h"))
+    x = x.select("series_id", "day_idx", *(F.col("h")[c].alias(c) for c in cells))
+    if not per_hour:
+        x = x.join(scores, by, "left")
+
+    def offset(s, aim: float) -> float:
+        return max(0.0, s[min(max(int(np.ceil((len(s) + 1) * aim - 1e-12)), 1), len(s)) - 1]) if s is not None and len(s) else 0.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         aim, out = coverage, []
-        for _, day in pdf.sort_values(["day_idx", "hour"], kind="stable").groupby("day_idx", sort=True):
-            offset = np.array([max(0.0, s[min(max(int(np.ceil((len(s) + 1) * aim - 1e-12)), 1), len(s)) - 1]) if len(s) else 0.0 for s in day["scores"]])
-            q = np.stack(day["q"].to_numpy())
-            day = day.assign(model=q[:, 1], p10=q[:, 0] - offset, p90=q[:, 2] + offset)
-            out.append(day[OUT])
-            hit = float(((day["actual"] >= day["p10"]) & (day["actual"] <= day["p90"])).mean())
+        for day in pdf.sort_values("day_idx").itertuples():
+            widen = np.array([offset(s, aim) for s in day.scores]) if per_hour else offset(day.scores, aim)
+            q, actual = np.stack(list(day.q)), np.asarray(day.actual, float)
+            low, high = q[:, 0] - widen, q[:, 2] + widen
+            values = {"hour": day.hour, "actual": actual, "persist": day.persist, "snaive": day.snaive, "model": q[:, 1], "p10": low, "p90": high}
+            out.append(pd.DataFrame({"series_id": day.series_id, "day_idx": day.day_idx, **values})[OUT])
+            hit = float(((actual >= low) & (actual <= high)).mean())
             aim = float(np.clip(aim + eta * (coverage - hit), coverage, 0.995)) if eta else aim
         return pd.concat(out)
 
