@@ -20,8 +20,11 @@ from ..functions.columns import easter
 def dealt_union(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
     """Frames below each other by column name (missing columns null), dealt by the keys anew. Windows, groups and joins by
     these keys then need no further shuffle, and never rest on partitionings that the frames happen to have:
-    Spark 4.1 takes those over for the union, and adaptive execution may change one of them alone."""
+    Spark 4.1 takes those over for the union, drops a repartition that says the same, and adaptive execution may then change one
+    of them alone. So the first frame's keys are taken through an array, which has no partitioning to take over."""
     out = frames[0]
+    if len(frames) > 1:
+        out = out.withColumns({c: F.element_at(F.array(c), 1) for c in keys})
     for x in frames[1:]:
         out = out.unionByName(x, allowMissingColumns=True)
     return out.repartition(*keys)

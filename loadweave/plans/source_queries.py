@@ -21,10 +21,10 @@ from .support_queries import BASE_FIT
 START = "TIMESTAMP '2024-01-01'"
 
 
-def _files(lines: DataFrame) -> str:
-    """lines(name, k, line) as text files in order of k, below the folder returned: name=<name>/part-..."""
-    root = f"{relations._scratch(lines.sparkSession)}/files-{uuid.uuid4().hex}"
-    lines.repartition("name").sortWithinPartitions("name", "k").select("name", "line").write.partitionBy("name").text(root)
+def _files(*lines: DataFrame) -> str:
+    """lines(name, k, line) as text files in order of k, below the folder returned: name=<name>/part-..., one file a name."""
+    root = f"{relations._scratch(lines[0].sparkSession)}/files-{uuid.uuid4().hex}"
+    relations.dealt_union(["name"], *lines).sortWithinPartitions("name", "k").select("name", "line").write.partitionBy("name").text(root)
     return root
 
 
@@ -47,7 +47,7 @@ def _csv(spark: SparkSession, d: str) -> tuple[str, list[str]]:
     rows = e.withColumn("k", k).withColumn("line", F.concat_ws(";", "k", F.concat(F.lit("Messung "), F.col("event_id") % 3), german, F.concat_ws(" ", F.date_format("ts", "dd.MM.yyyy HH:mm:ss"), day)))
     names = e.select("name").distinct()
     heads = names.select("name", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("line")) for k, x in ((-2, "Bericht"), (-1, ""), (0, "nr;Notiz;Leistung [kW];Stempel"))))).alias("h"))
-    root = _files(rows.select("name", "k", "line").unionByName(heads.select("name", "h.k", "h.line")))
+    root = _files(rows.select("name", "k", "line"), heads.select("name", "h.k", "h.line"))
     return root, sorted(r["name"] for r in names.collect())  # one name an event type
 
 
@@ -94,7 +94,7 @@ def _price_files(spark: SparkSession, d: str, column: str) -> tuple[str, list[st
     rows = p.select(F.translate(F.substring("p_brand", 1, 7), "#", "").alias("name"), (F.col("p_partkey") + 1).cast("int").alias("k"), F.concat_ws(";", zeit, price).alias("line"))
     names = rows.select("name").distinct()
     heads = names.select("name", F.lit(-1).alias("k"), F.lit(f"Zeit;{column}").alias("line"))
-    return _files(rows.unionByName(heads)), sorted(r["name"] for r in names.collect())  # one name for each first digit of a brand
+    return _files(rows, heads), sorted(r["name"] for r in names.collect())  # one name for each first digit of a brand
 
 
 PRICES = f"""p AS (SELECT replace(substr(p_brand, 1, 7), '#', '') AS name, row_number() OVER (PARTITION BY substr(p_brand, 1, 7) ORDER BY p_partkey) - 1 AS pos,
@@ -125,7 +125,7 @@ def _messages(spark: SparkSession, d: str) -> str:
     line = F.concat(F.lit("QTY+220:"), F.format_string("%.3f", "value"), F.lit(":KWH'DTM+163:"), at(0), F.lit("?+00:303'DTM+164:"), at(1), F.lit("?+00:303'"))
     rows = x.select(F.col("series_id").alias("name"), F.unix_timestamp("ts").alias("k"), line.alias("line"))
     heads = rows.select("name").distinct().select("name", F.lit(-1).cast("long").alias("k"), F.lit("UNB+UNOC:3'LIN+1'PIA+5+1-1?:1.8.0:SRW'").alias("line"))
-    return _files(rows.unionByName(heads))
+    return _files(rows, heads)
 
 
 @query(f"""WITH {i.LOAD} SELECT series_id AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 1.0::DOUBLE AS step_h, round(value, 3) AS value, 'KWH' AS unit
