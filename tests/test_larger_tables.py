@@ -29,3 +29,7 @@ def same_as_sql(spark, sf, name):
 
 def test_csv_files_are_one_file_a_name(spark, sf, merged):
     same_as_sql(spark, sf, "csv_files")
+
+
+def test_csv_inspection_sees_the_header(spark, sf, merged):
+    same_as_sql(spark, sf, "csv_inspection")
