@@ -284,11 +284,13 @@ def moments(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def sign_test(groups: DataFrame, wins: str, n: str) -> DataFrame:
-    """One-sided binomial p: sum of C(n, i) / 2^n for i from wins to n, by a folded product."""
+    """One-sided binomial p: sum of C(n, i) / 2^n for i from wins to n, folded over the logarithms of the coefficients: 2^-n itself
+    is no double beyond some thousand."""
     terms = F.sequence(F.lit(0), F.col(n).cast("int"))
-    step = lambda acc, i: F.struct(
-        F.when(i == 0, F.exp(-F.col(n) * F.log(F.lit(2.0)))).otherwise(acc["c"] * (F.col(n) - i + 1) / i).alias("c"),
-        (acc["p"] + F.when(i >= F.col(wins), F.when(i == 0, F.exp(-F.col(n) * F.log(F.lit(2.0)))).otherwise(acc["c"] * (F.col(n) - i + 1) / i)).otherwise(0.0)).alias("p"),
-    )
-    p = F.aggregate(terms, F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("p")), step, lambda acc: acc["p"])
+
+    def step(acc: Column, i: Column) -> Column:
+        c = F.when(i == 0, 0.0).otherwise(acc["c"] + F.log((F.col(n) - i + 1) / i))
+        return F.struct(c.alias("c"), (acc["p"] + F.when(i >= F.col(wins), F.exp(c - F.col(n) * F.log(F.lit(2.0)))).otherwise(0.0)).alias("p"))
+
+    p = F.aggregate(terms, F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("p")), step, lambda acc: acc["p"])
     return groups.withColumn("p_value", p)

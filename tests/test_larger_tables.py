@@ -1,9 +1,12 @@
 """Faults that show on larger tables, brought about on small ones by settings or made rows."""
 
+import math
+
 import pytest
 from tests.compare import duck, rows
 
 from loadweave import plans
+from loadweave.operators import metrics
 
 # what a default session does on large tables: partitions of one side of a union are merged, those of the other are not
 MERGED = {
@@ -33,3 +36,10 @@ def test_csv_files_are_one_file_a_name(spark, sf, merged):
 
 def test_csv_inspection_sees_the_header(spark, sf, merged):
     same_as_sql(spark, sf, "csv_inspection")
+
+
+def test_sign_test_beyond_a_thousand(spark):
+    x = spark.createDataFrame([(0, 0), (5, 8), (630, 1200), (20_000, 40_000)], "w long, n long")
+    got = {r["n"]: r["p_value"] for r in metrics.sign_test(x, "w", "n").collect()}
+    want = {8: 93 / 256} | {n: sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(w, n + 1)) for w, n in ((630, 1200), (20_000, 40_000))}
+    assert got[0] == 1 and all(got[n] == pytest.approx(p, abs=1e-9) for n, p in want.items())
