@@ -55,7 +55,8 @@ def weighted_fill(devices: DataFrame, by: Sequence[str], cap: str = "cap_kw", di
     x = x.withColumns({"b": (d - f) / w, "total": F.sum(d).over(group), "floors": F.sum(f).over(group)})
     order = group.orderBy("b", "device_id")
     done = order.rowsBetween(W.unboundedPreceding, -1)
-    ahead = order.rowsBetween(0, W.unboundedFollowing)
+    # the rows from this one on, summed from the far end: a frame that ends at the last row is summed anew for each row
+    ahead = group.orderBy(F.col("b").desc(), F.col("device_id").desc()).rowsBetween(W.unboundedPreceding, 0)
     nominal = F.sum(d).over(ahead) + F.coalesce(F.sum(f).over(done), F.lit(0.0))
     x = x.withColumn("candidate", (nominal - F.col(cap)) / F.sum(w).over(ahead)).withColumn("k", F.row_number().over(order))
     pressure = F.min_by("candidate", F.when(F.col("candidate") <= F.col("b") + 1e-12, F.col("k"))).over(group)

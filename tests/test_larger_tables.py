@@ -6,7 +6,7 @@ import pytest
 from tests.compare import duck, rows
 
 from loadweave import plans
-from loadweave.operators import metrics
+from loadweave.operators import control, metrics
 
 # what a default session does on large tables: partitions of one side of a union are merged, those of the other are not
 MERGED = {
@@ -43,3 +43,22 @@ def test_sign_test_beyond_a_thousand(spark):
     got = {r["n"]: r["p_value"] for r in metrics.sign_test(x, "w", "n").collect()}
     want = {8: 93 / 256} | {n: sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(w, n + 1)) for w, n in ((630, 1200), (20_000, 40_000))}
     assert got[0] == 1 and all(got[n] == pytest.approx(p, abs=1e-9) for n, p in want.items())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighted_fill_has_no_frame_that_is_summed_anew(spark, sf):
+    n = 2_000
+    x = spark.range(n).selectExpr("0 as f", "id as device_id", "double(id % 37) as demand_kw", "1.5 as floor_kw", "double(1 + id % 3) as weight", "double(20000) as cap_kw")
+    out = control.weighted_fill(x.withColumn("floor_kw", x.floor_kw.cast("double")), ["f"], digits=None)
+    assert "currentrow$(), unboundedfollowing" not in _plan(out).lower()
+    got = out.toPandas()
+    assert got["limit_kw"].sum() == pytest.approx(20000) and got["feasible"].all()
+    want = got.apply(lambda r: max(min(r.floor_kw, r.demand_kw), min(r.demand_kw, r.demand_kw - r.weight * r.pressure)), axis=1)
+    assert (got["limit_kw"] - want).abs().max() < 1e-9
+
+
+def test_pool_dispatch_has_no_frame_that_is_summed_anew(spark, sf):
+    assert "currentrow$(), unboundedfollowing" not in _plan(plans.QUERIES["pool_dispatch"](spark, sf)).lower()
