@@ -24,6 +24,19 @@ def _meet(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(groups, list(by)) if by else rows.crossJoin(groups)
 
 
+def _counted(rows: DataFrame, by: Sequence[str], value: str, parts: int = 64, **counts: Column) -> DataFrame:
+    """Equal values of a group counted first: (by, value, part, counts). part is one of some shares that the values are dealt to."""
+    x = rows.groupBy(*by, value).agg(*(F.sum(c.cast("long")).alias(n) for n, c in counts.items()))
+    return x.withColumn("part", F.pmod(F.xxhash64(value), F.lit(parts)))
+
+
+def _meet_parts(counted: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """_meet() of _counted() values, a share at a time: no task takes a group as a whole, however few groups there are."""
+    if not by:
+        return counted.crossJoin(groups).drop("part")
+    return counted.join(counted.select(*by, "part").distinct().join(groups, list(by)), [*by, "part"]).drop("part")
+
+
 def cumulative(values: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], blocks: int = 64) -> DataFrame:
     """Rows with distinct values in each group -> adds upto_<c> (sum of c over values up to this one) and all_<c>. Values
     go to blocks between approximate quantiles, sums run inside blocks and over block totals, so no
@@ -191,8 +204,9 @@ def realized_settlement(rows: DataFrame, by: Sequence[str], baseline: str, model
 def cvar(rows: DataFrame, by: Sequence[str], cost: str, alpha: float = 0.95) -> DataFrame:
     x = pairs(rows, cost)
     at = quantiles(x, by, cost, [alpha]).select(*by, F.col("q")[0].alias("var"))
-    x = _meet(x, at, by)
-    return x.groupBy(*by).agg(F.first("var").alias("var"), (F.first("var") + F.avg(F.greatest(F.col(cost) - F.col("var"), F.lit(0.0))) / (1 - alpha)).alias("cvar"))
+    x = _meet_parts(_counted(x, by, cost, k=F.lit(1)), at, by)
+    beyond = F.sum(F.col("k") * F.greatest(F.col(cost) - F.col("var"), F.lit(0.0))) / F.sum("k")
+    return x.groupBy(*by).agg(F.first("var").alias("var"), (F.first("var") + beyond / (1 - alpha)).alias("cvar"))
 
 
 # --- drift --------------------------------------------------------------------------------------
@@ -200,8 +214,9 @@ def psi(errors: DataFrame, by: Sequence[str], value: str = "error", recent: str
     """Population stability index of recent against reference rows on the reference's deciles."""
     x = pairs(errors, value)
     edges = quantiles(x.where(~F.col(recent)), by, value, [k / bins for k in range(1, bins)], "edges").where(F.col("n") >= least).drop("n")
-    placed = _meet(x, edges, by).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
-    counts = placed.groupBy(*by, "bin").agg(F.sum((~F.col(recent)).cast("long")).alias("r"), F.sum(F.col(recent).cast("long")).alias("c"))
+    placed = _meet_parts(_counted(x, by, value, r=~F.col(recent), c=F.col(recent)), edges, by)
+    placed = placed.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
+    counts = placed.groupBy(*by, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     total = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     shares = counts.withColumn("pr", F.greatest(F.lit(eps), F.try_divide("r", F.sum("r").over(total)))).withColumn(
         "pc", F.greatest(F.lit(eps), F.coalesce(F.try_divide("c", F.sum("c").over(total)), F.lit(eps)))

@@ -1,6 +1,7 @@
 """Faults that show on larger tables, brought about on small ones by settings or made rows."""
 
 import math
+import re
 
 import pytest
 from tests.compare import duck, rows
@@ -62,3 +63,20 @@ def test_weighted_fill_has_no_frame_that_is_summed_anew(spark, sf):
 
 def test_pool_dispatch_has_no_frame_that_is_summed_anew(spark, sf):
     assert "currentrow$(), unboundedfollowing" not in _plan(plans.QUERIES["pool_dispatch"](spark, sf)).lower()
+
+
+@pytest.fixture
+def unsent(spark):
+    """No table is small enough to be sent to all tasks."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("name", ["psi", "drift_status", "cvar"])
+def test_no_task_takes_the_rows_of_a_group(spark, sf, unsent, name):
+    """Three groups, so rows dealt by the group alone would meet in three tasks."""
+    raw = {"psi": "recent", "drift_status": "recent", "cvar": r"CASE WHEN .* END AS c"}[name]
+    assert not re.search(rf"Exchange hashpartitioning\(grp#\d+, \d+\).*\n[^\n]*Project \[grp#\d+, {raw}#", _plan(plans.QUERIES[name](spark, sf)))
+    same_as_sql(spark, sf, name)
