@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -187,24 +187,41 @@ def validate_schedule(points: DataFrame, default_floor: float = FLOOR_KW) -> Dat
     return points.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items()))))
 
 
+def _grains(ts: str, grain_s: int) -> Column:
+    return F.unix_micros(ts) / F.lit(grain_s * 1e6)
+
+
+def _spans(points: DataFrame, key: str, grain_s: int) -> DataFrame:
+    """Intervals of some duration from grain a to before grain b, with the length of their blocks."""
+    spans = points.where("end_ts > start_ts").select(
+        key, "start_ts", "end_ts", "p_limit_kw", F.floor(_grains("start_ts", grain_s)).alias("a"), F.ceil(_grains("end_ts", grain_s)).alias("b")
+    )
+    return spans.withColumn("length", F.greatest(F.lit(0), F.floor(F.log2(F.col("b") - F.col("a"))).cast("int")))
+
+
+def _blocks(spans: DataFrame, key: str) -> DataFrame:
+    """_spans() as a row for each block that they lie in."""
+    size = F.pow(F.lit(2.0), F.col("length"))
+    block = F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size))).alias("block")
+    spans = spans.select(key, "length", block, "start_ts", "end_ts", "p_limit_kw")
+    return spans.select(key, (F.col("block") * 64 + F.col("length")).alias("at"), "start_ts", "end_ts", "p_limit_kw")
+
+
 def active_limit(readings: DataFrame, points: DataFrame, key: str = "malo", grain_s: int = 3600) -> DataFrame:
     """Each reading with the lowest limit whose [start, end) holds its ts; repeated readings stay.
 
-    An interval is covered by at most nine dyadic blocks of one length, a power of two of grains that fits its duration. A
-    reading meets the block of each length in use that holds it, so the range join is an equi-join by key, length and block:
-    an interval's rows don't grow with its duration, a reading's with its logarithm at most; the exact times then decide."""
-    grains = lambda c: F.unix_micros(c) / F.lit(grain_s * 1e6)
-    spans = points.where("end_ts > start_ts").select(key, "start_ts", "end_ts", "p_limit_kw", F.floor(grains("start_ts")).alias("a"), F.ceil(grains("end_ts")).alias("b"))
-    size = F.pow(F.lit(2.0), F.col("length"))
-    spans = spans.withColumn("length", F.greatest(F.lit(0), F.floor(F.log2(F.col("b") - F.col("a"))).cast("int") - 2))
+    An interval is covered by at most three dyadic blocks of one length, the largest power of two of grains within its duration. A
+    reading meets the block of each length in use that holds it, so the range join is an equi-join by key and numbered block (block * 64
+    + length): an interval's rows don't grow with its duration, a reading's with its logarithm at most; the exact times then
+    decide. Shorter blocks would bring fewer pairs that miss, but what is shuffled is the blocks."""
+    spans = _spans(points, key, grain_s)
     used = sorted(r["length"] for r in spans.select("length").distinct().collect())  # some twenty lengths, however many intervals
     if not used:
         return readings.withColumn("active_limit_kw", F.lit(None).cast("double"))
-    block = F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size))).alias("block")
-    spans = spans.select(key, "length", block, "start_ts", "end_ts", "p_limit_kw")
-    own = F.array(*(F.struct(F.lit(k).alias("length"), F.floor(grains("ts") / 2**k).alias("block")) for k in used))
-    r = readings.select(key, "ts", F.explode(own).alias("at")).select(key, "ts", "at.*")
-    met = r.join(spans, [key, "length", "block"]).where("ts >= start_ts and ts < end_ts")
+    spans = _blocks(spans, key)
+    own = F.array(*(F.floor(_grains("ts", grain_s) / 2**k) * 64 + k for k in used))
+    r = readings.select(key, "ts", F.explode(own).alias("at"))
+    met = r.join(spans, [key, "at"]).where("ts >= start_ts and ts < end_ts")
     # a limit belongs to a key and a time, however many readings there are of them
     return readings.join(met.groupBy(key, "ts").agg(F.min("p_limit_kw").alias("active_limit_kw")), [key, "ts"], "left").select(*readings.columns, "active_limit_kw")
 

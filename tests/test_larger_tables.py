@@ -52,8 +52,8 @@ def _plan(df):
 
 def test_weighted_fill_has_no_frame_that_is_summed_anew(spark, sf):
     n = 2_000
-    x = spark.range(n).selectExpr("0 as f", "id as device_id", "double(id % 37) as demand_kw", "1.5 as floor_kw", "double(1 + id % 3) as weight", "double(20000) as cap_kw")
-    out = control.weighted_fill(x.withColumn("floor_kw", x.floor_kw.cast("double")), ["f"], digits=None)
+    x = spark.range(n).selectExpr("0 as feeder_id", "id as device_id", "double(id % 37) as demand_kw", "1.5 as floor_kw", "double(1 + id % 3) as weight", "double(20000) as cap_kw")
+    out = control.weighted_fill(x.withColumn("floor_kw", x.floor_kw.cast("double")), ["feeder_id"], digits=None)
     assert "currentrow$(), unboundedfollowing" not in _plan(out).lower()
     got = out.toPandas()
     assert got["limit_kw"].sum() == pytest.approx(20000) and got["feasible"].all()
@@ -80,3 +80,12 @@ def test_no_task_takes_the_rows_of_a_group(spark, sf, unsent, name):
     raw = {"psi": "recent", "drift_status": "recent", "cvar": r"CASE WHEN .* END AS c"}[name]
     assert not re.search(rf"Exchange hashpartitioning\(grp#\d+, \d+\).*\n[^\n]*Project \[grp#\d+, {raw}#", _plan(plans.QUERIES[name](spark, sf)))
     same_as_sql(spark, sf, name)
+
+
+def test_an_interval_has_three_blocks_at_most(spark):
+    x = spark.range(1, 400).selectExpr("id as malo", "timestamp_seconds(1700000000 + id * 977) as start_ts", "timestamp_seconds(1700000000 + id * 977 + id * 1777) as end_ts", "double(id) as p_limit_kw")
+    n = control._blocks(control._spans(x, "malo", 3600), "malo").groupBy("malo").count()
+    assert n.count() == 399 and n.agg({"count": "max"}).first()[0] <= 3
+    readings = x.selectExpr("malo", "explode(array(start_ts, end_ts, start_ts + (end_ts - start_ts) / 2, start_ts - interval 1 second, end_ts - interval 1 second)) as ts")
+    got = control.active_limit(readings, x).join(x, "malo").collect()
+    assert len(got) == 5 * 399 and all(r["active_limit_kw"] == (r["malo"] if r["start_ts"] <= r["ts"] < r["end_ts"] else None) for r in got)
