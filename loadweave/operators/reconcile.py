@@ -88,6 +88,7 @@ DEEPEST = 32
 def with_depth(tree: DataFrame) -> DataFrame:
     """(tree_id, node_id, parent_id) -> with depth, 0 at nodes without a parent. A join a level; a node that no root reaches, as
     in a loop, is an error."""
+    tree = _cut(tree.select("tree_id", "node_id", "parent_id"))  # read once a level
     now = tree.where("parent_id is null").select("tree_id", "node_id", "parent_id", F.lit(0).alias("depth"))
     found, n, d = [_cut(now)], tree.count(), 0
     while sum(seen := [x.count() for x in found]) < n:
@@ -180,7 +181,7 @@ def reconcile_tree(base: DataFrame, tree: DataFrame, method: str = "ols", residu
     else:
         raise ValueError(method)
     weighed = _cut(weighed)
-    values = base.select("tree_id", "period", "node_id", F.col("value").cast("double").alias("value"))
+    values = _cut(base.select("tree_id", "period", "node_id", F.col("value").cast("double").alias("value")))  # read three times
     complete = values.where("value is not null").join(size, "tree_id").groupBy("tree_id", "period").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size").select("tree_id", "period")
     x = values.join(complete, ["tree_id", "period"]).join(weighed, ["tree_id", "node_id"])
     fixed = two_pass(x, depth, ["tree_id", "period"])

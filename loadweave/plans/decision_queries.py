@@ -673,7 +673,7 @@ def mint_tree(spark: SparkSession, d: str) -> DataFrame:
     o = i.table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("period"), "o_totalprice")
     years = F.broadcast(o.select("period").distinct())  # one row a year
     sums = o.groupBy(F.col("o_custkey").alias("c_custkey"), "period").agg(F.sum("o_totalprice").alias("v"))
-    leaves = c.crossJoin(years).join(sums, ["c_custkey", "period"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    leaves = relations._cut(c.crossJoin(years).join(sums, ["c_custkey", "period"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))))  # every level sums them up
     nation, region = F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("r"), "n_regionkey")
     base = [leaves.select("period", F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.col("v").alias("value"))]
     for node, factor in ((nation, 0.9 + 0.01 * F.col("c_nationkey")), (region, 1.1 - 0.02 * F.col("n_regionkey")), (F.lit("all"), F.lit(1.02))):

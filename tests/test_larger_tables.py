@@ -89,3 +89,9 @@ def test_an_interval_has_three_blocks_at_most(spark):
     readings = x.selectExpr("malo", "explode(array(start_ts, end_ts, start_ts + (end_ts - start_ts) / 2, start_ts - interval 1 second, end_ts - interval 1 second)) as ts")
     got = control.active_limit(readings, x).join(x, "malo").collect()
     assert len(got) == 5 * 399 and all(r["active_limit_kw"] == (r["malo"] if r["start_ts"] <= r["ts"] < r["end_ts"] else None) for r in got)
+
+
+def test_mint_tree_reads_its_tables_once_a_level(spark, sf):
+    """The final plan joins what was written; the tables are no part of it any more."""
+    plan = _plan(plans.QUERIES["mint_tree"](spark, sf))
+    assert "orders.parquet" not in plan and "customer.parquet" not in plan and "o_totalprice" not in plan
