@@ -31,12 +31,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared scratch folder and read it again.
-    The files outlive any executor; they go with the folder, or by discard()."""
+    The files outlive any executor; they go with the folder, or by discard(). options: more of the writer."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -3,11 +3,12 @@
 Vectors are normalised, so cosine >= c means a chord of at most sqrt(2 - 2c). Equal vectors are one
 row with a multiplicity. The roots of the tree are a net of pivots from a bounded sample; every vector
 hangs below its nearest root. A node of more than `block` vectors is split by a net of its own sample,
-level by level, so the tree grows with the data; the leaves of this top are chunks. Pairs of
-roots, then pairs of chunks, are pruned where they are farther apart than their covering radii and the
-threshold allow; a vector goes to a partner chunk only if it is near enough to the chunk's ball and to
-the bisector of the two cells. For each remaining pair of chunks a task has both chunks' lower
-levels, nested nets with radii 1, 1/2, ..., 1/16, and walks down pairs of nodes:
+level by level, so the tree grows with the data; the leaves of this top are chunks. Chunks with their lower
+levels, nested nets with radii 1, 1/2, ..., 1/16, are written once, some neighbours of the tree to a row. Pairs of
+these rows meet by a product that reads them again and shuffles nothing, so disk grows with the vectors and not with the
+pairs. Pairs of rows, then pairs of their chunks, are pruned where they are farther apart than their covering radii and the
+threshold allow; a first node takes part only if it is near enough to the partner chunk's ball and to
+the bisector of the two cells. For each remaining pair of chunks a task walks down pairs of nodes:
 
 * centres farther apart than threshold + both covering radii: no link below, pruned;
 * centres at most threshold - both radii apart: all pairs below are links, counted at once;
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 
 COSINE = 0.95
@@ -34,11 +36,15 @@ FANOUT = 64  # children of a split node at most
 SAMPLE = 1_024  # vectors that a split node's centres are chosen from, about
 DEEPEST = 16  # levels of splits; what is still crowded then is dealt by hash
 SALT = 32_768  # vectors of a split node that one task places
-PARTNERS = 64  # partner chunks that one task deals a chunk's vectors to
+PARTNERS = 64  # chunks in one row that meets its partners at once, at most
+BUNDLE = 16_384  # vectors in such a row, about; of long vectors fewer
+BUNDLE_BYTES = 8 << 20
+SHARES = 16  # rows that small tables are cut into, about, so that all tasks have work
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-7  # more than the error of a chord that comes from a cosine
 ROUNDING = 1e-5  # more than the error of a dot product of unit vectors in single floats
 PAIRS = 1 << 20
+SCREEN = 1 << 17  # pairs screened at once: their products stay in the cache
 
 
 def nets(x: np.ndarray) -> np.ndarray:
@@ -70,6 +76,7 @@ class Tree:
 
     def __init__(self, x: np.ndarray, weight: np.ndarray, centre: np.ndarray | None = None):
         self.x, self.weight = x, weight
+        self.kids: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # centre, radius, parent of each node
         self.saved: list[tuple[np.ndarray, np.ndarray]] = []
         parent = np.zeros(len(x), np.int64)
@@ -81,12 +88,15 @@ class Tree:
             self.levels.append((centres, np.maximum.reduceat(far[order], bounds[:-1]) if len(x) else far, parent[centres]))
             self.saved.append((order, bounds))
             parent = node
+        self.single = x[self.levels[0][0]].astype(np.float32)  # first nodes' centres, to screen pairs
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Order and bounds of level + 1's nodes by their parent at level."""
-        parent = self.levels[level + 1][2]
-        order = np.argsort(parent, kind="stable")
-        return order, np.searchsorted(parent[order], np.arange(len(self.levels[level][0]) + 1))
+        if level not in self.kids:
+            parent = self.levels[level + 1][2]
+            order = np.argsort(parent, kind="stable")
+            self.kids[level] = order, np.searchsorted(parent[order], np.arange(len(self.levels[level][0]) + 1))
+        return self.kids[level]
 
     def points(self, level: int, node: int) -> np.ndarray:
         order, bounds = self.saved[level]
@@ -114,15 +124,17 @@ class Links:
             self.root[max(a, b)] = min(a, b)
 
 
-def _bands(radius: np.ndarray) -> list[np.ndarray]:
+def _bands(radius: np.ndarray, some: np.ndarray | None = None) -> list[np.ndarray]:
     """Places of the nodes of about equal covering radius: single points, then by halves of the first level's."""
     band = np.digitize(radius, [SLACK, LEVELS[0] / 4, LEVELS[0] / 2])
+    if some is not None:
+        band = np.where(some, band, -1)
     return [at for k in range(4) if len(at := np.flatnonzero(band == k))]
 
 
-def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
+def dual_links(a: Tree, b: Tree, cosine: float, some_a: np.ndarray | None = None, some_b: np.ndarray | None = None) -> Links:
     """Links between the points of a (numbered first) and of b. If b is a, each point's link with
-    itself is counted too."""
+    itself is counted too. some_*: first nodes that may have links at all (no mask: every node)."""
     same, shift = b is a, 0 if b is a else len(a.x)
     out = Links(len(a.x) + (0 if same else len(b.x)))
     t = math.sqrt(2.0 - 2.0 * cosine)
@@ -163,27 +175,27 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
     # the root pair: all first-level pairs. Nodes go by bands of radius, so that a block of pairs has one bound;
     # single floats screen against it with room for their rounding, visit() decides in doubles
     (ca, ra, _), (cb, rb, _) = a.levels[0], b.levels[0]
-    single_b = b.x[cb].astype(np.float32)
+    single_a, single_b = a.single, b.single
     stack = []
-    for i in _bands(ra):
-        for j in _bands(rb):
+    for i in _bands(ra, some_a):
+        for j in _bands(rb, some_b):
             floor = np.float32(1.0 - (t + ra[i].max() + rb[j].max()) ** 2 / 2.0 - ROUNDING)
             columns = single_b[j].T
-            rows = max(1, PAIRS // len(j))
+            rows = max(1, SCREEN // len(j))
             for at in range(0, len(i), rows):
                 own = i[at : at + rows]
-                p, q = np.nonzero(a.x[ca[own]].astype(np.float32) @ columns >= floor)
-                p, q = own[p], j[q]
+                hit = np.flatnonzero(single_a[own] @ columns >= floor)
+                if not len(hit):
+                    continue
+                p, q = own[hit // len(j)], j[hit % len(j)]
                 for s in range(0, len(p), 65536):
                     x, y = p[s : s + 65536], q[s : s + 65536]
                     stack.append((0, *visit(0, x, y, np.einsum("ij,ij->i", a.x[ca[x]], b.x[cb[y]]))))
-    kids_a = [a.children(k) for k in range(last)]
-    kids_b = kids_a if same else [b.children(k) for k in range(last)]
     while stack:
         level, i, j = stack.pop()
         if not len(i):
             continue
-        (oa, ba), (ob, bb) = kids_a[level], kids_b[level]
+        (oa, ba), (ob, bb) = a.children(level), b.children(level)
         na, nb = ba[i + 1] - ba[i], bb[j + 1] - bb[j]
         size = na * nb
         if size.sum() > PAIRS and len(i) > 1:
@@ -199,8 +211,12 @@ def dual_links(a: Tree, b: Tree, cosine: float) -> Links:
     return out
 
 
-PLACED = "root long, node string, rep long, copies long, x array<double>, far double, root_far double"
-CHUNK = PLACED + ", chunk long, centres array<long>"
+PLACED = ["root", "node", "rep", "copies", "x", "far", "root_far"]
+
+
+def _placed(kind: str) -> str:
+    """PLACED as a schema; kind: float or double, as the vectors came."""
+    return f"root long, node string, rep long, copies long, x array<{kind}>, far double, root_far double"
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
@@ -209,24 +225,126 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), -1)
 
 
-def _plant(part: pa.Table) -> pa.Table:
-    """A chunk with each vector's centres, by rep: its tree is built once, whatever the number of partners."""
-    part = part.sort_by("rep")
-    centres = part["rep"].to_numpy()[nets(unit(matrix(part["x"], np.float64)))].T
-    lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * len(LEVELS), pa.array(np.ascontiguousarray(centres).ravel()))
-    return part.select([*names_of(PLACED), "chunk"]).append_column("centres", lists)
+PACKED = "bundle long, width int, single boolean, x binary, rep binary, copies binary, net binary, size binary, root binary, node array<string>, far binary, middle binary, centre array<double>, radius double"
+
+
+def _pack(part: pa.Table) -> pa.Table:
+    """The chunks of a bundle in one row: vectors by rep, each with its places in the chunk's nested nets, so that a tree is built
+    once, whatever the number of partners; of each chunk its size, root, node, covering radius and centre. centre and
+    radius are a ball around the bundle."""
+    part = part.combine_chunks().sort_by([("chunk", "ascending"), ("rep", "ascending")])
+    chunk = part["chunk"].to_numpy()
+    first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+    size = np.diff(np.r_[first, len(chunk)])
+    x = matrix(part["x"], np.float64)
+    u = unit(x)
+    net = np.concatenate([nets(u[f : f + n]) for f, n in zip(first, size)], 1).astype(np.int32)
+    single = pa.types.is_float32(part["x"].type.value_type)
+    far = np.maximum.reduceat(part["far"].to_numpy(), first)
+    middle = matrix(part["centre"].take(first), np.float64)
+    centre = unit(middle.mean(0, keepdims=True)) if np.linalg.norm(middle.mean(0)) > SLACK else middle[:1]
+    cells = {
+        "bundle": part["bundle"][0].as_py(), "width": x.shape[1], "single": single, "x": x.astype(np.float32 if single else np.float64).tobytes(),
+        "rep": part["rep"].to_numpy().tobytes(), "copies": part["copies"].to_numpy().tobytes(), "net": net.tobytes(), "size": size.astype(np.int64).tobytes(),
+        "root": part["root"].to_numpy()[first].tobytes(), "node": part["node"].take(first).to_pylist(), "far": far.tobytes(), "middle": middle.tobytes(),
+        "centre": centre[0].tolist(), "radius": float(chord(u @ centre[0]).max())
+    }
+    return pa.table({k: [v] for k, v in cells.items()}).cast(pa.schema([(f, t) for f, t in _PACKED_TYPES.items()]))
+
+
+_PACKED_TYPES = {
+    "bundle": pa.int64(), "width": pa.int32(), "single": pa.bool_(), **dict.fromkeys(["x", "rep", "copies", "net", "size", "root"], pa.binary()),
+    "node": pa.list_(pa.string()), "far": pa.binary(), "middle": pa.binary(), "centre": pa.list_(pa.float64()), "radius": pa.float64()
+}
+SENT = [c for c in _PACKED_TYPES if c not in ("centre", "radius")]
+
+
+class Bundle:
+    """Chunks of one packed row, each with its tree."""
+
+    def __init__(self, row: dict):
+        whole = lambda c, t=np.int64: np.frombuffer(row[c], t)
+        self.bundle, self.node = row["bundle"], row["node"]
+        self.rep, self.copies, self.size, self.root = (whole(c) for c in ("rep", "copies", "size", "root"))
+        self.first = np.r_[0, np.cumsum(self.size)[:-1]]
+        self.far = whole("far", np.float64)
+        self.middle = whole("middle", np.float64).reshape(len(self.size), row["width"])
+        x = unit(whole("x", np.float32 if row["single"] else np.float64).astype(np.float64).reshape(len(self.rep), row["width"]))
+        net = whole("net", np.int32).astype(np.int64).reshape(len(LEVELS), len(self.rep))
+        self.trees = [Tree(x[f : f + n], self.copies[f : f + n], net[:, f : f + n]) for f, n in zip(self.first, self.size)]
+
+    def near(self, k: int, other: Bundle, j: int, pivots: np.ndarray, reach: float) -> np.ndarray:
+        """First nodes of chunk k that may link with something in chunk j of the other bundle: near enough to its
+        ball and to the bisector between the roots, or between children of one node."""
+        tree = self.trees[k]
+        c, r = tree.x[tree.levels[0][0]], tree.levels[0][1]
+        d = chord(c @ other.middle[j])
+        keep = d <= reach + r + other.far[j] + SLACK
+        p, q, node, partner = self.root[k], other.root[j], self.node[k], other.node[j]
+        if p != q:
+            mine, theirs, apart = pivots[p], pivots[q], chord(c @ pivots[q])
+        elif node != partner and "." in node and partner.rpartition(".")[0] == node.rpartition(".")[0]:
+            mine, theirs, apart = self.middle[k], other.middle[j], d
+        else:
+            return keep
+        gap = float(chord(mine @ theirs))
+        return keep & (apart**2 - chord(c @ mine) ** 2 <= 2 * gap * (reach + r + SLACK) + SLACK)
+
+
+def bundle_links(a: Bundle, b: Bundle, pivots: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rep, links, root) of the vectors of both that have links between them; if b is a, inside it."""
+    reach, same = math.sqrt(2.0 - 2.0 * cosine), b is a
+    shift = 0 if same else len(a.rep)
+    all_ = Links(shift + len(b.rep))
+    rep = a.rep if same else np.concatenate([a.rep, b.rep])
+    gap = chord(a.middle @ b.middle.T) <= reach + a.far[:, None] + b.far[None, :] + SLACK
+    for i, j in zip(*(v.tolist() for v in np.nonzero(gap | np.eye(len(gap), dtype=bool) if same else gap))):
+        if same and i > j:
+            continue
+        if same and i == j:
+            found = dual_links(a.trees[i], a.trees[i], cosine)
+            found.count -= a.trees[i].weight  # a vector with itself and its copies
+        else:
+            found = dual_links(a.trees[i], b.trees[j], cosine, a.near(i, b, j, pivots, reach), b.near(j, a, i, pivots, reach))
+        mine = a.first[i] + np.arange(a.size[i])
+        place = mine if same and i == j else np.concatenate([mine, shift + b.first[j] + np.arange(b.size[j])])
+        all_.count[place] += found.count
+        for k in np.flatnonzero(found.count > 0).tolist():
+            all_.union(int(place[k]), int(place[found.find(k)]))
+    some = np.flatnonzero(all_.count > 0)
+    return rep[some], all_.count[some], rep[np.fromiter((all_.find(int(i)) for i in some), np.int64, len(some))]
+
+
+def _meet(pivots, cosine: float):
+    """Rows of two packed bundles each -> (rep, links, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                key = row.column("a_bundle")[0].as_py()
+                if a is None or a.bundle != key:
+                    a = Bundle({c: row.column(f"a_{c}")[0].as_py() for c in SENT})
+                b = a if row.column("b_bundle")[0].as_py() == key else Bundle({c: row.column(f"b_{c}")[0].as_py() for c in SENT})
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in bundle_links(a, b, pivots.value, cosine)], ["rep", "links", "root"])
+
+    return run
 
 
-def _grown(part: pa.Table) -> Tree:
-    """The tree of some of a chunk's vectors, in order of rep. A centre that isn't among them is replaced by the
-    first vector that it covers, whose covering radii are measured anew."""
-    rep, centres = part["rep"].to_numpy(), matrix(part["centres"], np.int64).T
-    places = np.minimum(np.searchsorted(rep, centres), len(rep) - 1)
-    for k, (own, centre) in enumerate(zip(places, centres)):
-        if len(own) and (rep[own] != centre).any():
-            _, first, node = np.unique(centre, return_index=True, return_inverse=True)
-            places[k] = first[node]
-    return Tree(unit(matrix(part["x"], np.float64)), part["copies"].to_numpy(), places)
+def _bundled(chunked: DataFrame, centres: DataFrame, n: int, roots: int, dim: int, block: int) -> DataFrame:
+    """Placed rows with chunk -> packed bundles: neighbours in the tree, PARTNERS chunks and about `most` vectors at most. Running
+    sums go over chunks, by groups of roots."""
+    most = min(max(block, -(-n // SHARES)), max(block, min(BUNDLE, BUNDLE_BYTES // (8 * dim))))
+    nodes = chunked.groupBy("chunk").agg(F.first("node").alias("node"), F.first("root").alias("root"), F.count("*").alias("n"))
+    together = max(1, roots * most // max(1, n))  # roots that share a bundle where roots are small
+    order = W.partitionBy(F.floor(F.col("root") / together)).orderBy("root", "node", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    upto, at = F.coalesce(F.sum("n").over(order), F.lit(0)), F.count("*").over(order)
+    nodes = nodes.withColumn("bundle", F.xxhash64(F.floor(F.col("root") / together), F.floor(upto / most), F.floor(at / PARTNERS)))
+    named = materialize(nodes.join(centres, "node").select("chunk", "bundle", "centre"))
+    packed = materialize(chunked.join(named, "chunk").groupBy("bundle").applyInArrow(_pack, PACKED), **{"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
+    discard(named)
+    return packed
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -249,11 +367,14 @@ def _net(x: np.ndarray, want: int) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose vector has no null and only finite components and isn't zero. Vectors whose squares could over- or
-    underflow are scaled by their largest component."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
+    underflow in doubles are scaled by their largest component; floats stay floats."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    x = F.transform("embedding", lambda v: v.cast("float" if single else "double") + F.lit(0.0).cast("float" if single else "double"))  # -0.0 is 0.0
     good = F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
     most = F.greatest(F.array_max("x"), -F.array_min("x"))
     kept = vectors.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x")).withColumn("most", most).where("most > 0")
+    if single:
+        return kept.select("vec_id", "x")
     return kept.select("vec_id", F.when(F.col("most").between(1e-100, 1e100), F.col("x")).otherwise(F.transform("x", lambda v: v / F.col("most"))).alias("x"))
 
 
@@ -269,14 +390,14 @@ def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 root, far = cos.argmax(1), pa.array(chord(cos.max(1)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(root), pa.array(root.astype(str)), b.column("rep"), b.column("copies"), b.column("x"), far, far],
-                    names_of(PLACED)
+                    PLACED
                 )
 
-    return rows.select("rep", "copies", "x").mapInArrow(run, PLACED)
+    return rows.select("rep", "copies", "x").mapInArrow(run, _placed(_kind(rows)))
 
 
-def names_of(schema: str) -> list[str]:
-    return [f.split()[0] for f in schema.split(", ")]
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["x"].dataType.elementType.simpleString()
 
 
 def _own_net(block: int | None):
@@ -289,24 +410,27 @@ def _own_net(block: int | None):
     return run
 
 
-def _descend(key: tuple, part: pa.Table, nets_of: pa.Table) -> pa.Table:
-    """Each vector of a split node moves to the child whose centre is nearest."""
-    if not len(part):
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
-        return pa.table([pa.array([], t) for t in types], names=names_of(PLACED))
-    x = unit(matrix(part["x"], np.float64))
-    cos = x @ np.array(nets_of["net"][0].as_py()).reshape(-1, x.shape[1]).T
-    child = cos.argmax(1)
-    node = [f"{key[0].as_py()}.{c}" for c in child.tolist()]
-    return pa.table([part["root"], pa.array(node), part["rep"], part["copies"], part["x"], pa.array(chord(cos.max(1))), part["root_far"]], names=names_of(PLACED))
+def _descend(kind: str):
+    def run(key: tuple, part: pa.Table, nets_of: pa.Table) -> pa.Table:
+        """Each vector of a split node moves to the child whose centre is nearest."""
+        if not len(part):
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float32() if kind == "float" else pa.float64()), pa.float64(), pa.float64())
+            return pa.table([pa.array([], t) for t in types], names=PLACED)
+        x = unit(matrix(part["x"], np.float64))
+        cos = x @ np.array(nets_of["net"][0].as_py()).reshape(-1, x.shape[1]).T
+        child = cos.argmax(1)
+        node = [f"{key[0].as_py()}.{c}" for c in child.tolist()]
+        return pa.table([part["root"], pa.array(node), part["rep"], part["copies"], part["x"], pa.array(chord(cos.max(1))), part["root_far"]], names=PLACED)
+
+    return run
 
 
-def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Nodes of more than `block` vectors split by nets of their own samples, level by level, until none is left; a node
     whose sample has only one centre is dealt by hash. (placed rows with chunk; node, centre of the split
-    nodes' children). One loop a level of the tree."""
+    nodes' children; the written levels, for discard()). One loop a level of the tree."""
     spark = placed.sparkSession
-    done, centres, now, level = None, spark.createDataFrame([], "node string, centre array<double>"), placed, 0
+    done, centres, now, level, levels = None, spark.createDataFrame([], "node string, centre array<double>"), placed, 0, [placed]
     while True:
         level += 1
         sizes = materialize(now.groupBy("node").agg(F.count("*").alias("size")))
@@ -314,7 +438,7 @@ def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         small = now.join(sizes.where(F.col("size") <= block).select("node"), "node", "left_semi").withColumn("chunk", F.xxhash64("node"))
         done = small if done is None else done.unionByName(small)
         if crowded.isEmpty():
-            return done, centres
+            return done, centres, levels
         held = now.join(crowded, "node")
         sample = held.where(F.pmod(F.xxhash64("rep", "node"), F.col("size")) < SAMPLE).select("node", "rep", "x", "size")
         nets_ = materialize(sample.groupBy("node").applyInArrow(_own_net(block if level <= DEEPEST else None), "node string, net array<double>, width int"))
@@ -324,7 +448,8 @@ def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         done = done.unionByName(flat)
         salted = split.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / SALT)))
         salts = nets_.where("width > 1").join(crowded, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / SALT) - 1)).alias("salt"), "net")
-        now = materialize(salted.groupBy("node", "salt").cogroup(salts.groupBy("node", "salt")).applyInArrow(_descend, PLACED))
+        now = materialize(salted.groupBy("node", "salt").cogroup(salts.groupBy("node", "salt")).applyInArrow(_descend(_kind(placed)), _placed(_kind(placed))))
+        levels.append(now)
         one = F.size("net") / F.col("width")
         centre = F.transform(
             F.sequence(F.lit(0), F.col("width") - 1),
@@ -333,57 +458,8 @@ def _split(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         centres = materialize(centres.unionByName(nets_.where("width > 1").select(F.explode(centre).alias("c")).select("c.*")))
 
 
-def _partners(nodes: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
-    """(a, b): pairs of chunks that may hold a link, each with itself too: pairs of roots first (a bounded number, on the
-    driver), then the pairs of their chunks."""
-    spark = nodes.sparkSession
-    far = {r["root"]: r["far"] for r in nodes.groupBy("root").agg(F.max("root_radius").alias("far")).collect()}  # one row a pivot
-    roots = sorted(far)
-    radius = np.array([far[r] for r in roots])
-    near = chord(pivots[roots] @ pivots[roots].T) <= reach + radius[:, None] + radius[None, :] + SLACK
-    pairs = [(roots[i], roots[j]) for i, j in zip(*np.nonzero(near)) if i <= j]
-    met = spark.createDataFrame(pairs, "ra long, rb long")
-    side = lambda k: nodes.select(F.col("root").alias(f"r{k}"), F.col("chunk").alias(k), F.col("radius").alias(f"radius_{k}"), F.col("centre").alias(f"centre_{k}"))
-    x = met.join(side("a"), "ra").join(side("b"), "rb").where("ra < rb or a <= b")
-    cos = F.aggregate(F.zip_with("centre_a", "centre_b", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cos))
-    return x.where((F.col("a") == F.col("b")) | (gap <= reach + F.col("radius_a") + F.col("radius_b") + SLACK)).select("a", "b")
-
-
-def _deal(pivots, reach: float):
-    """Of a chunk's vectors those that may link with something in each of some partner chunks: near enough to the partner's
-    ball and to the bisector between the roots, or between children of one node."""
-    names = ["a", "b", "second", "rep", "copies", "x", "centres"]
-
-    def run(key: tuple, own: pa.Table, others: pa.Table) -> pa.Table:
-        out = []
-        if len(own) and len(others):
-            x, p = unit(matrix(own["x"], np.float64)), pivots.value
-            node, root = own["node"][0].as_py(), own["root"][0].as_py()
-            far, root_far = own["far"].to_numpy(), own["root_far"].to_numpy()
-            d = chord(x @ matrix(others["centre"], np.float64).T)
-            mine = np.array(others["own_centre"][0].as_py())
-            for k, o in enumerate(others.drop_columns(["own_centre"]).to_pylist()):
-                keep = np.ones(len(x), bool)
-                if o["a"] != o["b"]:
-                    keep = d[:, k] <= reach + o["radius"] + SLACK
-                    if o["root"] != root:
-                        gap = float(chord(p[root] @ p[o["root"]]))
-                        keep &= chord(x @ p[o["root"]]) ** 2 - root_far**2 <= 2 * gap * (reach + SLACK) + SLACK
-                    elif o["node"] != node and "." in node and o["node"].rpartition(".")[0] == node.rpartition(".")[0]:
-                        gap = float(chord(mine @ np.array(o["centre"])))
-                        keep &= d[:, k] ** 2 - far**2 <= 2 * gap * (reach + SLACK) + SLACK
-                some = own.filter(pa.array(keep)).select(["rep", "copies", "x", "centres"])
-                n = len(some)
-                out.append(pa.table([pa.array([v] * n, t) for v, t in ((o["a"], pa.int64()), (o["b"], pa.int64()), (o["second"], pa.bool_()))] + some.columns, names=names))
-        if not out:
-            return pa.table(
-                [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))],
-                names=names
-            )
-        return pa.concat_tables(out)
-
-    return run
+def _hash() -> Column:
+    return F.xxhash64("x")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -395,64 +471,46 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     vec_id). Vectors of another dimension than most link with those of their own only. Rows that
     repeat a vec_id with equal vectors count as copies. Other columns are ignored."""
     spark = vectors.sparkSession
-    good = materialize(usable(vectors))
+    good = usable(vectors)
     classes = materialize(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     reach = math.sqrt(2.0 - 2.0 * cosine)
     edges, counts = None, None
     for (dim,) in classes.select(F.size("x")).distinct().collect():
         own = classes.where(F.size("x") == dim)
         n = own.count()
-        sample = unit(np.array([r["x"] for r in own.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("x").collect()]))
+        sample = unit(np.array([r["x"] for r in own.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("x").collect()], np.float64))
         pivots = _net(sample, max(1, min(PIVOTS, -(-n // block))))
         shared = spark.sparkContext.broadcast(pivots)
-        chunked, centres = _split(materialize(_place(own, pivots)), block)
-        treed = materialize(chunked.groupBy("chunk").applyInArrow(_plant, CHUNK))
+        chunked, centres, levels = _split(materialize(_place(own, pivots)), block)
         of_root = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(pivots)], "node string, centre array<double>")
-        nodes = treed.groupBy("chunk").agg(
-            F.first("node").alias("node"), F.first("root").alias("root"), F.max("far").alias("radius"),
-            F.max("root_far").alias("root_radius")
-        )
-        nodes = materialize(nodes.join(centres.unionByName(of_root), "node"))
-        pairs = materialize(_partners(nodes, pivots, reach))
-        both = pairs.select(F.col("a").alias("chunk"), F.col("b").alias("other"), F.lit(False).alias("second"), "a", "b")
-        both = both.unionByName(pairs.where("a != b").select(F.col("b").alias("chunk"), F.col("a").alias("other"), F.lit(True).alias("second"), "a", "b"))
-        lots = both.groupBy("chunk").agg(F.ceil(F.count("*") / PARTNERS).alias("lots"))
-        other = nodes.select(F.col("chunk").alias("other"), "node", "root", "radius", "centre")
-        mine = nodes.select("chunk", F.col("centre").alias("own_centre"))
-        both = both.join(lots, "chunk").withColumn("lot", F.pmod(F.xxhash64("other"), F.col("lots"))).join(other, "other").join(mine, "chunk").drop("lots", "other")
-        dealt = treed.join(lots, "chunk").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("lots")
-        dealt = dealt.groupBy("chunk", "lot").cogroup(both.groupBy("chunk", "lot")).applyInArrow(
-            _deal(shared, reach), "a long, b long, second boolean, rep long, copies long, x array<double>, centres array<long>"
-        )
-
-        def meet(key: tuple, part: pa.Table) -> pa.Table:
-            part = part.combine_chunks().sort_by([("second", "ascending"), ("rep", "ascending")])
-            first = int(np.count_nonzero(~part["second"].to_numpy()))
-            rep = part["rep"].to_numpy()
-            if key[0] == key[1]:
-                tree = _grown(part)
-                found = dual_links(tree, tree, cosine)
-                found.count -= tree.weight  # a vector with itself and its copies
-            elif 0 < first < len(part):
-                found = dual_links(_grown(part.slice(0, first)), _grown(part.slice(first)), cosine)
-            else:
-                found = Links(0)
-            some = np.flatnonzero(found.count > 0)
-            roots = rep[np.fromiter((found.find(int(i)) for i in some), np.int64, len(some))]
-            return pa.table({"rep": rep[some], "links": found.count[some], "root": roots})
-
-        met = materialize(dealt.groupBy("a", "b").applyInArrow(meet, "rep long, links long, root long"))
+        packed = _bundled(chunked, centres.unionByName(of_root), n, len(pivots), dim, block)
+        for x in levels:
+            discard(x)
+        a, b = (packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns)) for s in "ab")
+        cos = F.aggregate(F.zip_with("a_centre", "b_centre", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cos))
+        near = (F.col("a_bundle") == F.col("b_bundle")) | ((F.col("a_bundle") < F.col("b_bundle")) & (gap <= reach + F.col("a_radius") + F.col("b_radius") + SLACK))
+        pairs = a.join(b.hint("shuffle_replicate_nl"), near).select(*(f"{s}_{c}" for s in "ab" for c in SENT))
+        met = materialize(pairs.mapInArrow(_meet(shared, cosine), "rep long, links long, root long"))
+        discard(packed)
         e, c = met.select(F.col("rep").alias("src"), F.col("root").alias("dst")), met.groupBy("rep").agg(F.sum("links").alias("links"))
         edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
     if edges is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     parts = connected_components(edges)
     named = (
-        classes.join(counts, "rep", "left")
+        classes.withColumn("h", _hash()).join(counts, "rep", "left")
         .join(parts, F.col("rep") == F.col("id"), "left")
-        .select("x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("h", "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = good.join(named, "x").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    # every row's vector is among the classes, so a hash that one class has tells it; others are told by the vector itself
+    clash = materialize(classes.groupBy(_hash().alias("h")).count().where("count > 1").select("h"))
+    rows = good.withColumn("h", _hash())
+    linked = rows.select("vec_id", "h").join(named.drop("x"), "h").select("vec_id", "n_links", "component_id")
+    if not clash.isEmpty():
+        told = rows.join(clash, "h", "left_semi").drop("h").join(named.drop("h"), "x").select("vec_id", "n_links", "component_id")
+        linked = rows.select("vec_id", "h").join(clash, "h", "left_anti").join(named.drop("x"), "h").select("vec_id", "n_links", "component_id").union(told)
+    linked = linked.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select("vec_id").join(linked, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(

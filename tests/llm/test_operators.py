@@ -76,6 +76,40 @@ def test_cover_tree_of_a_tight_crowd(spark, monkeypatch):
     assert all(got[i]["n_links"] == n[i] and got[i]["component_id"] == label[i] for i in range(len(x)))
 
 
+def _shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none, quantiles = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_cover_tree_shuffles_no_pairs(spark):
+    """Random vectors, whose chunks nearly all may hold links: what is shuffled grows with the vectors, not with the pairs of chunks."""
+    rng, rows = np.random.default_rng(3), []
+    for n in (300, 1500):
+        x = rng.normal(size=(n, 16))
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+        before = _shuffled(spark)
+        got = {r["vec_id"]: r["n_links"] for r in covertree.near_duplicates(df, block=16).collect()}
+        rows.append(_shuffled(spark) - before)
+        assert got == dict(enumerate(brute_links(np.float32(x).astype(float))[0]))
+    assert rows[1] < 40 * 1500
+
+
+def test_cover_tree_tells_vectors_of_one_hash_apart(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "_hash", lambda: F.pmod(F.hash("x"), F.lit(7)))
+    rng = np.random.default_rng(4)
+    x = np.float32(rng.normal(size=(60, 5)))
+    x = np.concatenate([x, x[:20], x[:5], -0.0 * x[:1], np.float32([[0.0, 1, 0, 0, 0], [-0.0, 1, 0, -0.0, 0]])])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in covertree.near_duplicates(df).collect()}
+    n, label = brute_links(np.delete(x, 85, 0).astype(float))
+    keep = [i for i in range(len(x)) if i != 85]
+    assert all(got[i]["n_links"] == n[k] and got[i]["component_id"] == keep[label[k]] for k, i in enumerate(keep))
+    assert got[85]["n_links"] == 0
+
+
 def test_cover_tree_extreme_and_repeated_rows(spark):
     rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (4, None), (5, [0.0, -0.0])]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
