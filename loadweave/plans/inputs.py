@@ -102,17 +102,18 @@ settlement AS (SELECT l_returnflag AS grp, l_orderkey AS k, CAST(l_shipdate AS D
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as controllable devices of a nation's feeder, half of its demand as cap."""
+    """Customers as controllable devices of a nation's feeder, half of its demand as cap. Hundredths are rounded as doubles, like the
+    SQL's: round(x, 2) goes by the shortest decimal text, which differs where x * 100 is just below a half."""
     from pyspark.sql import Window as W
 
     x = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("feeder_id"),
         F.col("c_custkey").alias("device_id"),
-        F.round((F.col("c_acctbal") + 1000) / 500, 2).alias("demand_kw"),
+        (F.round((F.col("c_acctbal") + 1000) / 500 * 100) / 100).alias("demand_kw"),
         F.lit(1.5).alias("floor_kw"),
         (1.0 + F.col("c_custkey") % 3).cast("double").alias("weight"),
     )
-    return x.withColumn("cap_kw", F.round(F.sum("demand_kw").over(W.partitionBy("feeder_id")) * 0.6, 2))
+    return x.withColumn("cap_kw", F.round(F.sum("demand_kw").over(W.partitionBy("feeder_id")) * 0.6 * 100) / 100)
 
 
 DEVICES = """

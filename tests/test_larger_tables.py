@@ -3,6 +3,7 @@
 import math
 import re
 
+import duckdb
 import pytest
 from tests.compare import duck, rows
 
@@ -65,6 +66,16 @@ def test_pool_dispatch_has_no_frame_that_is_summed_anew(spark, sf):
     assert "currentrow$(), unboundedfollowing" not in _plan(plans.QUERIES["pool_dispatch"](spark, sf)).lower()
 
 
+@pytest.mark.parametrize("name", ["water_fill", "water_fill_weighted", "pool_dispatch"])
+def test_demands_half_way_between_hundredths(spark, tmp_path, name):
+    x = spark.range(2_000).selectExpr("id as c_custkey", "int(id % 3) as c_nationkey", "id * 5 - 997.5D as c_acctbal")
+    x.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert rows(got) == rows(con.execute(plans.SQL[name]).fetch_df())
+
+
 @pytest.fixture
 def unsent(spark):
     """No table is small enough to be sent to all tasks."""
