@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from .relations import _cut
 
 
 def pairs(df: DataFrame, *columns: str) -> DataFrame:
@@ -24,26 +25,27 @@ def _meet(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(groups, list(by)) if by else rows.crossJoin(groups)
 
 
-def _counted(rows: DataFrame, by: Sequence[str], value: str, parts: int = 64, **counts: Column) -> DataFrame:
-    """Equal values of a group counted first: (by, value, part, counts). part is one of some shares that the values are dealt to."""
-    x = rows.groupBy(*by, value).agg(*(F.sum(c.cast("long")).alias(n) for n, c in counts.items()))
-    return x.withColumn("part", F.pmod(F.xxhash64(value), F.lit(parts)))
+def _counted(rows: DataFrame, by: Sequence[str], value: str, **counts: Column) -> DataFrame:
+    """Equal values of a group counted first: (by, value, counts)."""
+    return rows.groupBy(*by, value).agg(*(F.sum(c.cast("long")).alias(n) for n, c in counts.items()))
 
 
-def _meet_parts(counted: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """_meet() of _counted() values, a share at a time: no task takes a group as a whole, however few groups there are."""
+def _meet_parts(counted: DataFrame, groups: DataFrame, by: Sequence[str], value: str, parts: int = 64) -> DataFrame:
+    """_meet() of distinct values, which are dealt to some shares of their group: no task takes a group as a whole, however few there are."""
     if not by:
-        return counted.crossJoin(groups).drop("part")
-    return counted.join(counted.select(*by, "part").distinct().join(groups, list(by)), [*by, "part"]).drop("part")
+        return counted.crossJoin(groups)
+    x = counted.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(parts)))
+    return x.join(x.select(*by, "_part").distinct().join(groups, list(by)), [*by, "_part"]).drop("_part")
 
 
 def cumulative(values: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], blocks: int = 64) -> DataFrame:
     """Rows with distinct values in each group -> adds upto_<c> (sum of c over values up to this one) and all_<c>. Values
     go to blocks between approximate quantiles, sums run inside blocks and over block totals, so no
-    task scans a group as a whole; the blocks' borders don't change the result."""
+    task scans a group as a whole. Where the borders lie doesn't change the result, but rows and totals must share them: approximate
+    quantiles follow the order in which tasks are merged, so they are written once."""
     levels = F.array(*(F.lit(k / blocks) for k in range(1, blocks)))
-    edges = values.groupBy(*by).agg(F.percentile_approx(value, levels).alias("edges"))
-    x = _meet(values, edges, by)
+    edges = _cut(values.groupBy(*by).agg(F.percentile_approx(value, levels).alias("edges")))
+    x = _meet_parts(values, edges, by, value)
     x = x.withColumn("block", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
     inside = W.partitionBy(*by, "block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -204,7 +206,7 @@ def realized_settlement(rows: DataFrame, by: Sequence[str], baseline: str, model
 def cvar(rows: DataFrame, by: Sequence[str], cost: str, alpha: float = 0.95) -> DataFrame:
     x = pairs(rows, cost)
     at = quantiles(x, by, cost, [alpha]).select(*by, F.col("q")[0].alias("var"))
-    x = _meet_parts(_counted(x, by, cost, k=F.lit(1)), at, by)
+    x = _meet_parts(_counted(x, by, cost, k=F.lit(1)), at, by, cost)
     beyond = F.sum(F.col("k") * F.greatest(F.col(cost) - F.col("var"), F.lit(0.0))) / F.sum("k")
     return x.groupBy(*by).agg(F.first("var").alias("var"), (F.first("var") + beyond / (1 - alpha)).alias("cvar"))
 
@@ -214,7 +216,7 @@ def psi(errors: DataFrame, by: Sequence[str], value: str = "error", recent: str
     """Population stability index of recent against reference rows on the reference's deciles."""
     x = pairs(errors, value)
     edges = quantiles(x.where(~F.col(recent)), by, value, [k / bins for k in range(1, bins)], "edges").where(F.col("n") >= least).drop("n")
-    placed = _meet_parts(_counted(x, by, value, r=~F.col(recent), c=F.col(recent)), edges, by)
+    placed = _meet_parts(_counted(x, by, value, r=~F.col(recent), c=F.col(recent)), edges, by, value)
     placed = placed.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
     counts = placed.groupBy(*by, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     total = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))

@@ -4,6 +4,7 @@ import math
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 from tests.compare import duck, rows
 
@@ -93,6 +94,28 @@ def test_no_task_takes_the_rows_of_a_group(spark, sf, unsent, name):
     same_as_sql(spark, sf, name)
 
 
+@pytest.fixture
+def made_anew(spark):
+    """What two branches need is made for each: a plan is no promise that exchanges are shared."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    yield
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_values_that_all_differ_share_their_borders_with_the_totals(spark, made_anew):
+    """Approximate quantiles go by the order of the rows and of the tasks that are merged, so borders made twice differ; here rows come at random."""
+    x = spark.range(0, 600_000, 1, 2).selectExpr("id % 2 as grp", "double(id) as v", "1 as k")
+    x = x.mapInPandas(lambda batches: [pd.concat(batches).sample(frac=1)], x.schema)
+    out = metrics.cumulative(x, ["grp"], "v", ["k"])
+    assert out.where("upto_k <> floor(v / 2) + 1 or all_k <> 300000").count() == 0 and out.count() == 600_000
+
+
+def test_values_that_all_differ_are_not_dealt_by_the_group(spark, unsent):
+    x = spark.range(1_000).selectExpr("id % 2 as grp", "double(id) as v", "1 as k")
+    dealt = re.findall(r"Exchange hashpartitioning\(grp#\d+L?, \d+\).*\n\W*(\w+)", _plan(metrics.cumulative(x, ["grp"], "v", ["k"])))
+    assert dealt and set(dealt) == {"HashAggregate", "Filter"}  # sums, shares and the borders that were read, no rows
+
+
 def test_an_interval_has_three_blocks_at_most(spark):
     x = spark.range(1, 400).selectExpr("id as malo", "timestamp_seconds(1700000000 + id * 977) as start_ts", "timestamp_seconds(1700000000 + id * 977 + id * 1777) as end_ts", "double(id) as p_limit_kw")
     n = control._blocks(control._spans(x, "malo", 3600), "malo").groupBy("malo").count()
