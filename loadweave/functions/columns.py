@@ -66,13 +66,19 @@ def german_number(x: Column | str, comma: Column, dotted: Column) -> Column:
 def parse_numbers(df: DataFrame, source: str, target: str) -> DataFrame:
     """Decide once for the column: over 20 % with a comma means German decimals, else over 20 % like
     1.234 or 1.234.567 means dots group thousands. Unreadable values become null."""
-    seen = F.col(source).isNotNull()
-    share = df.agg(
-        F.avg(F.when(seen, F.col(source).contains(",").cast("double"))).alias("c"),
-        F.avg(F.when(seen, F.trim(source).rlike(r"^-?\d{1,3}(\.\d{3})+$").cast("double"))).alias("d"),
-    ).first()
-    comma, dotted = F.lit((share["c"] or 0) > 0.2), F.lit((share["d"] or 0) > 0.2)
-    return df.withColumn(target, german_number(source, comma, dotted))
+    return parse_columns(df, {source: target})
+
+
+def parse_columns(df: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """parse_numbers() of each source; one aggregation decides for all of them."""
+    shares = []
+    for k, source in enumerate(targets):
+        seen = F.col(source).isNotNull()
+        shares.append(F.avg(F.when(seen, F.col(source).contains(",").cast("double"))).alias(f"c{k}"))
+        shares.append(F.avg(F.when(seen, F.trim(source).rlike(r"^-?\d{1,3}(\.\d{3})+$").cast("double"))).alias(f"d{k}"))
+    share = df.agg(*shares).first()
+    much = [[F.lit((share[f"{c}{k}"] or 0) > 0.2) for c in "cd"] for k in range(len(targets))]
+    return df.withColumns({target: german_number(source, *much[k]) for k, (source, target) in enumerate(targets.items())})
 
 
 # Accepted time formats, first match with the best rate wins.

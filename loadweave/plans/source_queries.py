@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import models, relations, studies
@@ -37,18 +37,20 @@ def _stamped(spark: SparkSession, d: str) -> DataFrame:
 STAMPED = "stamped AS (SELECT event_type AS name, date_trunc('second', ts) AS ts, event_id, value FROM events)"
 
 
-def _csv(spark: SparkSession, d: str) -> tuple[str, list[str]]:
+def _csv(spark: SparkSession, d: str) -> list[tuple[Column, str]]:
     """Each event type as a utility's file: two lines before the header, a row number, times in German form with the day of the week, a
-    note without numbers; the load in kW with German numbers."""
+    note without numbers; the load in kW with German numbers. Returns the types with the folders of their files, which are named by
+    the type's bytes: it may be null or hold what paths don't."""
     e = _stamped(spark, d)
     german = F.translate(F.format_number("value", 3), ",.", ".,")
     day = F.element_at(F.array(*(F.lit(x) for x in ("Mo", "Di", "Mi", "Do", "Fr", "Sa", "So"))), F.weekday("ts") + 1)
     k = F.row_number().over(Window.partitionBy("name").orderBy("ts", "event_id"))
     rows = e.withColumn("k", k).withColumn("line", F.concat_ws(";", "k", F.concat(F.lit("Messung "), F.col("event_id") % 3), german, F.concat_ws(" ", F.date_format("ts", "dd.MM.yyyy HH:mm:ss"), day)))
     names = e.select("name").distinct()
-    heads = names.select("name", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("line")) for k, x in ((-2, "Bericht"), (-1, ""), (0, "nr;Notiz;Leistung [kW];Stempel"))))).alias("h"))
-    root = _files(rows.select("name", "k", "line"), heads.select("name", "h.k", "h.line"))
-    return root, sorted(r["name"] for r in names.collect())  # one name an event type
+    key = F.coalesce(F.concat(F.lit("x"), F.hex("name")), F.lit("null"))
+    heads = names.select(key.alias("name"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("line")) for k, x in ((-2, "Bericht"), (-1, ""), (0, "nr;Notiz;Leistung [kW];Stempel"))))).alias("h"))
+    root = _files(rows.select(key.alias("name"), "k", "line"), heads.select("name", "h.k", "h.line"))
+    return [(F.lit(r["name"]).cast("string"), f"{root}/name={r['key']}") for r in names.select("name", key.alias("key")).orderBy("key").collect()]  # one row an event type
 
 
 @query(f"""WITH {STAMPED}, once AS (SELECT *, row_number() OVER (PARTITION BY name, ts ORDER BY event_id) AS k FROM stamped)
@@ -56,8 +58,7 @@ SELECT name AS series_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')
   WHERE k = 1 GROUP BY ALL""")
 def csv_files(spark: SparkSession, d: str) -> DataFrame:
     """Separator, preamble, header, time column, load column and unit are found out from each file."""
-    root, names = _csv(spark, d)
-    out = [text_series.load_series(spark, f"{root}/name={n}", n, zone="UTC") for n in names]
+    out = [text_series.load_series(spark, path, "", zone="UTC").withColumn("series_id", name) for name, path in _csv(spark, d)]
     return rounded(relations.dealt_union(["series_id"], *out).withColumn("ts", i.stamp("ts")), digits=9)
 
 
@@ -68,12 +69,11 @@ UNION ALL SELECT name, 'nr', count(*), avg(nr), min(nr), max(nr), false FROM h G
 UNION ALL SELECT name, 'Notiz', 0, NULL, NULL, NULL, false FROM h GROUP BY 1""")
 def csv_inspection(spark: SparkSession, d: str) -> DataFrame:
     """What the first 2 000 rows of each file say about its columns: the row number is index-like, the note holds no numbers."""
-    root, names = _csv(spark, d)
     out = []
-    for n in names:
-        cells, layout = text_series.read_text(spark, f"{root}/name={n}")
+    for name, path in _csv(spark, d):
+        cells, layout = text_series.read_text(spark, path)
         x = text_series.inspect(cells, [c for c in layout.names if c != "Stempel"])
-        out.append(x.select(F.lit(n).alias("name"), F.when(F.col("column").startswith("Leistung"), "Leistung").otherwise(F.col("column")).alias("column"), "n", "mean", "min", "max", "plausible"))
+        out.append(x.select(name.alias("name"), F.when(F.col("column").startswith("Leistung"), "Leistung").otherwise(F.col("column")).alias("column"), "n", "mean", "min", "max", "plausible"))
     return rounded(relations.dealt_union(["name"], *out))
 
 

@@ -10,6 +10,7 @@ from tests.compare import duck, rows
 
 from loadweave import plans
 from loadweave.operators import control, metrics
+from loadweave.sources import text_series
 
 # what a default session does on large tables: partitions of one side of a union are merged, those of the other are not
 MERGED = {
@@ -41,6 +42,39 @@ def test_csv_inspection_sees_the_header(spark, sf, merged):
     same_as_sql(spark, sf, "csv_inspection")
 
 
+@pytest.mark.parametrize("name", ["csv_files", "csv_inspection"])
+def test_no_file_is_read_as_one_value(spark, sf, name):
+    """Spark reads no binary value beyond this limit, 2 GB by default."""
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        same_as_sql(spark, sf, name)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_excel_is_refused_by_its_first_bytes(spark, tmp_path):
+    for k, head in enumerate((b"PK\x03\x04\x14", b"\xd0\xcf\x11\xe0\xa1")):
+        (tmp_path / f"{k}.csv").write_bytes(head + bytes(range(256)) * 9)
+        with pytest.raises(ValueError, match="Excel"):
+            text_series.read_text(spark, str(tmp_path / f"{k}.csv"))
+
+
+def test_csv_inspection_sorts_a_file_once(spark, sf):
+    """Whatever the number of its columns: 5 files, 15 columns."""
+    assert _plan(plans.QUERIES["csv_inspection"](spark, sf)).count("TakeOrderedAndProject") == 5
+
+
+@pytest.mark.parametrize("name", ["csv_files", "csv_inspection"])
+def test_event_types_of_any_kind(spark, tmp_path, name):
+    kinds = "array(null, '', 'a/b: c=%', 'view')"
+    x = spark.range(400).selectExpr("id as event_id", "timestamp_seconds(1704067200 + id * 977) as ts", f"element_at({kinds}, int(id % 4 + 1)) as event_type", "id * id % 97 * 0.25D as value")
+    x.withColumn("ts", x.ts.cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(got) == rows(con.execute(plans.SQL[name]).fetch_df())
+
+
 def test_sign_test_beyond_a_thousand(spark):
     x = spark.createDataFrame([(0, 0), (5, 8), (630, 1200), (20_000, 40_000)], "w long, n long")
     got = {r["n"]: r["p_value"] for r in metrics.sign_test(x, "w", "n").collect()}
